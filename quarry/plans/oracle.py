@@ -149,3 +149,44 @@ def metric_select(src: str = "a", ideal: str = "i") -> str:
 
 def with_(*ctes: str) -> str:
     return "WITH " + ",\n".join(c.strip() for c in ctes)
+
+
+def splits_cte() -> str:
+    return """splits AS (
+  SELECT ((doc_id % 3) + 3) % 3 AS src_ord, doc_id AS pos,
+         CAST(min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS VARCHAR) AS para_id,
+         coalesce(text, '') AS context, coalesce(text, '') AS raw_ocr,
+         coalesce(source, '') AS publication_date
+  FROM documents)"""
+
+
+def test_records_cte() -> str:
+    return qrels_cte("tq") + """,
+test_records AS (
+  SELECT CAST(tq.qid AS VARCHAR) AS query_id, CAST(tq.docno AS VARCHAR) AS para_id,
+         b.text AS question, split_part(b.text, '.', 1) AS answer, b.text AS org_answer
+  FROM tq JOIN benchmark b ON b.item_id = tq.qid)"""
+
+
+def topic_order(col: str) -> str:
+    return (f"CASE WHEN regexp_full_match({col}, '[0-9]+') THEN CAST({col} AS DECIMAL(38,0)) END "
+            f"ASC NULLS LAST, {col} ASC")
+
+
+def lengths_cte() -> str:
+    return f"""lens AS (SELECT doc_id AS docno, {count_words('text')} AS n_words,
+                 len({tokens('text', False)}) AS n_tokens FROM documents)"""
+
+
+def binned_cte(col: str, bins: int, name: str = "h") -> str:
+    return f"""{name}_r AS (SELECT CAST(min({col}) AS DOUBLE) AS mn, CAST(max({col}) AS DOUBLE) AS mx FROM lens),
+{name}_b AS (SELECT CAST(CASE WHEN mx - mn > 0 THEN least(floor((CAST({col} AS DOUBLE) - mn) * {dbl(bins)} / (mx - mn)), {bins - 1})
+                        ELSE 0 END AS INTEGER) AS bin
+          FROM lens CROSS JOIN {name}_r WHERE {col} IS NOT NULL),
+{name}_c AS (SELECT bin, count(*) AS count FROM {name}_b GROUP BY bin),
+{name} AS (SELECT g.bin,
+           round(mn + g.bin * (mx - mn) / {dbl(bins)}, 6) AS lo,
+           round(mn + (g.bin + 1) * (mx - mn) / {dbl(bins)}, 6) AS hi,
+           coalesce(c.count, 0) AS count
+         FROM (SELECT CAST(unnest(range(0, {bins})) AS INTEGER) AS bin) g CROSS JOIN {name}_r
+         LEFT JOIN {name}_c c ON c.bin = g.bin)"""

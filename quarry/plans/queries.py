@@ -101,3 +101,138 @@ def get_text(spark, sf_dir):
 def metrics_per_query(spark, sf_dir):
     return ev.per_query(_bm25_run(spark, sf_dir), tables.qrels(spark, sf_dir),
                         tables.topics(spark, sf_dir))
+
+
+# ---------------------------------------------------------- collection build
+from quarry.operators import analysis as an  # noqa: E402
+from quarry.operators import collection as co  # noqa: E402
+from quarry.session import scratch_path  # noqa: E402
+from quarry.sources import json_io  # noqa: E402
+
+_SPLIT_COLS = "src_ord, pos, para_id, context, raw_ocr, publication_date"
+
+
+def _union(spark, sf_dir):
+    return co.project(co.union_splits(*tables.document_splits(spark, sf_dir)))
+
+
+@query("union_splits", O.with_(O.splits_cte()) + f" SELECT {_SPLIT_COLS} FROM splits")
+def union_splits(spark, sf_dir):
+    return _union(spark, sf_dir).select(*_SPLIT_COLS.split(", "))
+
+
+_DEDUP_SQL = O.with_(O.splits_cte()) + f"""
+ SELECT {_SPLIT_COLS} FROM (
+   SELECT *, row_number() OVER (PARTITION BY para_id ORDER BY src_ord, pos) AS rn
+   FROM splits WHERE para_id IS NOT NULL AND para_id <> '') WHERE rn = 1"""
+
+
+@query("dedup_keep_first", _DEDUP_SQL)
+def dedup_keep_first(spark, sf_dir):
+    return co.dedup_keep_first(_union(spark, sf_dir)).select(*_SPLIT_COLS.split(", "))
+
+
+@query("collection_json_roundtrip", O.with_(O.splits_cte()) + """
+ SELECT para_id AS docno, context AS text FROM (
+   SELECT *, row_number() OVER (PARTITION BY para_id ORDER BY src_ord, pos) AS rn
+   FROM splits WHERE para_id IS NOT NULL AND para_id <> '') WHERE rn = 1""")
+def collection_json_roundtrip(spark, sf_dir):
+    """A7 then A1: write the deduplicated collection as JSON lines to the
+    shared folder and load it back as a corpus."""
+    path = scratch_path(spark, "collection-json")
+    coll = co.dedup_keep_first(_union(spark, sf_dir)).orderBy("src_ord", "pos")
+    json_io.write_json(coll.select(*json_io.COLLECTION_FIELDS), path)
+    return json_io.load_documents(spark, path)
+
+
+@query("topics_first_n", O.with_(O.test_records_cte()) + f"""
+ SELECT query_id, question FROM (
+   SELECT coalesce(query_id, '') AS query_id, {O.clean('question')} AS question FROM test_records)
+ ORDER BY {O.topic_order('query_id')} LIMIT {co.FIRST_TOPICS}""")
+def topics_first_n(spark, sf_dir):
+    """G1 + E3 + E4 on the test records: cleaned, sorted by id, first 10,000."""
+    return co.build_topics(tables.test_records(spark, sf_dir))
+
+
+@query("topics_sample", O.with_(O.topics_cte()) + f"""
+ SELECT qid, query FROM topics
+ ORDER BY md5(concat_ws('-', '{co.SEED}', CAST(qid AS VARCHAR))), qid LIMIT {co.SAMPLE_SIZE}""")
+def topics_sample(spark, sf_dir):
+    return co.sample_topics(tables.topics(spark, sf_dir), co.SAMPLE_SIZE, co.SEED)
+
+
+@query("qrels_from_records", O.with_(O.test_records_cte())
+       + " SELECT coalesce(query_id, '') AS query_id, 0 AS iteration,"
+         " coalesce(para_id, '') AS para_id, 1 AS relevance FROM test_records")
+def qrels_from_records(spark, sf_dir):
+    """B3 over the test records (all of them, no 10,000 cut)."""
+    return co.build_qrels(tables.test_records(spark, sf_dir))
+
+
+@query("answers_build", O.with_(O.test_records_cte())
+       + " SELECT coalesce(query_id, '') AS query_id, 0 AS iteration, coalesce(para_id, '') AS para_id,"
+         " 1 AS relevance, coalesce(answer, '') AS answer, coalesce(org_answer, '') AS org_answer"
+         " FROM test_records")
+def answers_build(spark, sf_dir):
+    return co.build_answers(tables.test_records(spark, sf_dir))
+
+
+@query("corpus_summary", O.with_(O.corpus_cte())
+       + " SELECT docno, text, (SELECT count(*) FROM corpus) AS n_rows FROM corpus ORDER BY docno LIMIT 5")
+def corpus_summary(spark, sf_dir):
+    """Count plus the first five documents."""
+    return co.summary(tables.corpus(spark, sf_dir), "docno", 5)
+
+
+@query("query_0", O.with_(O.topics_cte()) + " SELECT qid, query, query AS query_0 FROM topics")
+def query_0(spark, sf_dir):
+    return co.keep_original_query(tables.topics(spark, sf_dir))
+
+
+# ------------------------------------------------------------ length analysis
+def _lens(spark, sf_dir):
+    return an.with_lengths(tables.corpus(spark, sf_dir))
+
+
+@query("max_lengths", " SELECT max(length(CAST(doc_id AS VARCHAR))) AS max_docno_len,"
+                      " max(length(text)) AS max_text_len FROM documents")
+def max_lengths(spark, sf_dir):
+    return an.max_lengths(tables.corpus(spark, sf_dir))
+
+
+def _describe_sql(col):
+    return O.with_(O.lengths_cte()) + f"""
+ SELECT count({col}) AS count, round(avg({col}), 6) AS mean, round(stddev_samp({col}), 6) AS std,
+        round(CAST(min({col}) AS DOUBLE), 6) AS min,
+        round(quantile_cont({col}, 0.25), 6) AS p25, round(quantile_cont({col}, 0.5), 6) AS p50,
+        round(quantile_cont({col}, 0.75), 6) AS p75, round(CAST(max({col}) AS DOUBLE), 6) AS max
+ FROM lens"""
+
+
+@query("length_describe", _describe_sql("n_words"))
+def length_describe(spark, sf_dir):
+    return an.describe(_lens(spark, sf_dir), "n_words")
+
+
+@query("token_describe", _describe_sql("n_tokens"))
+def token_describe(spark, sf_dir):
+    return an.describe(_lens(spark, sf_dir), "n_tokens")
+
+
+@query("length_fraction", O.with_(O.lengths_cte())
+       + " SELECT round(avg(CASE WHEN n_tokens <= 512 THEN 1.0 ELSE 0.0 END), 6) AS fraction FROM lens")
+def length_fraction(spark, sf_dir):
+    return an.fraction_within(_lens(spark, sf_dir), "n_tokens", 512)
+
+
+@query("length_histogram", O.with_(O.lengths_cte(), O.binned_cte("n_words", 50))
+       + " SELECT bin, lo, hi, count FROM h")
+def length_histogram(spark, sf_dir):
+    return an.histogram(_lens(spark, sf_dir), "n_words", 50)
+
+
+@query("length_cumulative", O.with_(O.lengths_cte(), O.binned_cte("n_words", 100))
+       + " SELECT bin, lo, hi, round(sum(count) OVER (ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING"
+         " AND CURRENT ROW) * 100.0 / sum(count) OVER (), 6) AS cum_pct FROM h")
+def length_cumulative(spark, sf_dir):
+    return an.cumulative(_lens(spark, sf_dir), "n_words", 100)

@@ -42,6 +42,39 @@ def qrels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return containment_qrels(corpus(spark, sf_dir), raw_topics(spark, sf_dir))
 
 
+def document_splits(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
+    """Three raw splits standing in for train / validation / test.
+
+    Split ``pmod(doc_id, 3)``; ``para_id`` is the smallest ``doc_id`` with the
+    same text, so exact copies share an id across splits (the reference's
+    repeated paragraphs).  ``pos`` (file order) is ``doc_id``.
+    """
+    d = table(spark, sf_dir, "documents")
+    key = F.md5(F.coalesce(F.col("text"), F.lit("")))
+    ids = d.groupBy(key.alias("k")).agg(F.min("doc_id").alias("first_id"))
+    rec = (d.withColumn("k", key).join(ids, "k")
+           .select(F.pmod("doc_id", F.lit(3)).alias("split"),
+                   F.col("doc_id").alias("pos"),
+                   F.col("first_id").cast("string").alias("para_id"),
+                   F.col("text").alias("context"), F.col("text").alias("raw_ocr"),
+                   F.col("source").alias("publication_date")))
+    return [rec.filter(F.col("split") == i).drop("split") for i in range(3)]
+
+
+def test_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Test-split records standing in for ``test.json``: one row per
+    (passage, containing document) pair, with the passage as the question,
+    its first sentence as ``answer`` and the passage as ``org_answer``."""
+    b = table(spark, sf_dir, "benchmark")
+    q = qrels(spark, sf_dir)
+    return (q.join(b.withColumnRenamed("item_id", "qid"), "qid")
+            .select(F.col("qid").cast("string").alias("query_id"),
+                    F.col("docno").cast("string").alias("para_id"),
+                    F.col("text").alias("question"),
+                    F.split_part(F.col("text"), F.lit("."), F.lit(1)).alias("answer"),
+                    F.col("text").alias("org_answer")))
+
+
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(vec_id, embedding array<float>, label)``."""
     return table(spark, sf_dir, "embeddings")
