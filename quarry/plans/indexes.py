@@ -28,3 +28,25 @@ def basic_index(spark: SparkSession, sf_dir: str) -> ix.Index:
     if ix.index_exists(spark, path):
         return ix.open_index(spark, path)
     return ix.build_index(tables.corpus(spark, sf_dir), path, fields=("text",), mode="overwrite")
+
+
+def keywords_index(spark: SparkSession, sf_dir: str) -> ix.Index:
+    """Each document replaced by its keywords and synonyms."""
+    from quarry.operators.keywords import expand_documents
+    from quarry.sources.thesaurus import fixture
+    path = index_path(spark, sf_dir, "keywords")
+    if ix.index_exists(spark, path):
+        return ix.open_index(spark, path)
+    docs = expand_documents(tables.corpus(spark, sf_dir), fixture(spark), replace=True)
+    return ix.build_index(docs, path, fields=("text",), mode="overwrite")
+
+
+def two_fields_index(spark: SparkSession, sf_dir: str) -> ix.Index:
+    """``text`` (field 0) and ``keywords`` (field 1)."""
+    from quarry.operators.keywords import expand_documents
+    from quarry.sources.thesaurus import fixture
+    path = index_path(spark, sf_dir, "two_fields")
+    if ix.index_exists(spark, path):
+        return ix.open_index(spark, path)
+    docs = expand_documents(tables.corpus(spark, sf_dir), fixture(spark), replace=False)
+    return ix.build_index(docs, path, fields=("text", "keywords"), mode="overwrite")

@@ -190,3 +190,58 @@ def binned_cte(col: str, bins: int, name: str = "h") -> str:
            coalesce(c.count, 0) AS count
          FROM (SELECT CAST(unnest(range(0, {bins})) AS INTEGER) AS bin) g CROSS JOIN {name}_r
          LEFT JOIN {name}_c c ON c.bin = g.bin)"""
+
+
+def rake_ctes(src: str, prefix: str = "rk", max_keywords: int = 3) -> str:
+    """``{prefix}(docno, kw_rank, keyword)`` over ``src(docno, text)``."""
+    from quarry.operators.keywords import RAKE_TOKEN
+    p = prefix
+    return f"""
+{p}_l AS (SELECT docno, regexp_extract_all(lower(coalesce(text, '')), {lit_str(RAKE_TOKEN)}, 1) AS toks FROM {src}),
+{p}_t AS (SELECT docno, generate_subscripts(toks, 1) - 1 AS pos, unnest(toks) AS tok FROM {p}_l),
+{p}_b AS (SELECT docno, pos, tok,
+            (NOT regexp_full_match(tok, '[\\p{{L}}\\p{{N}}]+') OR list_contains({STOP_LIST}, tok)) AS brk FROM {p}_t),
+{p}_p AS (SELECT docno, pos, tok, brk,
+            sum(CASE WHEN brk THEN 1 ELSE 0 END) OVER (PARTITION BY docno ORDER BY pos
+                ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS phrase FROM {p}_b),
+{p}_w AS (SELECT docno, pos, tok, phrase, count(*) OVER (PARTITION BY docno, phrase) AS plen
+          FROM {p}_p WHERE NOT brk),
+{p}_s AS (SELECT *, sum(plen) OVER (PARTITION BY docno, tok) / count(*) OVER (PARTITION BY docno, tok) AS wscore
+          FROM {p}_w),
+{p}_ph AS (SELECT docno, phrase, round(sum(wscore), 6) AS score, min(pos) AS first_pos,
+             string_agg(tok, ' ' ORDER BY pos) AS ptext, list(tok ORDER BY pos) AS words
+           FROM {p}_s GROUP BY docno, phrase),
+{p}_r AS (SELECT *, row_number() OVER (PARTITION BY docno ORDER BY score DESC, ptext DESC, first_pos) AS prank
+          FROM {p}_ph),
+{p}_x AS (SELECT docno, prank, generate_subscripts(words, 1) - 1 AS widx, unnest(words) AS keyword FROM {p}_r),
+{p}_f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY docno, keyword ORDER BY prank, widx) AS rr
+                         FROM {p}_x) WHERE rr = 1),
+{p} AS (SELECT docno, kw_rank, keyword FROM (
+          SELECT docno, keyword, row_number() OVER (PARTITION BY docno ORDER BY prank, widx) AS kw_rank
+          FROM {p}_f) WHERE kw_rank <= {max_keywords})"""
+
+
+def thesaurus_ctes(src: str, kw: str, prefix: str = "th", max_synonyms: int = 2) -> str:
+    """``{prefix}(docno, kw_rank, keyword, synonyms)`` and
+    ``{prefix}_e(docno, expansion)`` for every row of ``src``."""
+    from quarry.operators.keywords import RAKE_TOKEN
+    from quarry.sources.thesaurus import fixture_sql
+    p = prefix
+    return f"""
+{p}_t AS (SELECT lower(lemma) AS lemma, sense_id, gloss, members FROM {fixture_sql()}),
+{p}_c AS (SELECT docno, list_distinct(regexp_extract_all(coalesce(text, ''), {lit_str(RAKE_TOKEN)}, 1)) AS ctx FROM {src}),
+{p}_s AS (SELECT k.docno, k.kw_rank, k.keyword, t.sense_id, t.members,
+            len(list_intersect(string_split_regex(trim(t.gloss), {lit_str(WHITESPACE_CLASS + '+')}), c.ctx)) AS overlap
+          FROM {kw} k JOIN {p}_t t ON lower(k.keyword) = t.lemma JOIN {p}_c c ON c.docno = k.docno),
+{p}_b AS (SELECT docno, kw_rank, list_transform(list_filter(members, lambda m: lower(m) <> lower(keyword)),
+                                                 lambda m: replace(m, '_', ' ')) AS cand
+          FROM (SELECT *, row_number() OVER (PARTITION BY docno, kw_rank ORDER BY overlap DESC, sense_id DESC) AS r
+                FROM {p}_s) WHERE r = 1),
+{p}_d AS (SELECT docno, kw_rank,
+            list_filter(cand, lambda x, i: NOT list_contains(cand[1:i - 1], x))[1:{max_synonyms}] AS synonyms
+          FROM {p}_b),
+{p} AS (SELECT k.docno, k.kw_rank, k.keyword, coalesce(d.synonyms, []) AS synonyms
+        FROM {kw} k LEFT JOIN {p}_d d ON d.docno = k.docno AND d.kw_rank = k.kw_rank),
+{p}_e AS (SELECT s.docno, coalesce(e.expansion, '') AS expansion FROM {src} s LEFT JOIN (
+            SELECT docno, string_agg(array_to_string(list_concat([keyword], synonyms), ' '), ' ' ORDER BY kw_rank) AS expansion
+            FROM {p} GROUP BY docno) e ON e.docno = s.docno)"""

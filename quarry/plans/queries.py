@@ -236,3 +236,38 @@ def length_histogram(spark, sf_dir):
          " AND CURRENT ROW) * 100.0 / sum(count) OVER (), 6) AS cum_pct FROM h")
 def length_cumulative(spark, sf_dir):
     return an.cumulative(_lens(spark, sf_dir), "n_words", 100)
+
+
+# ------------------------------------------------------------------ keywords
+from quarry.operators import keywords as kw  # noqa: E402
+from quarry.sources import thesaurus as th  # noqa: E402
+
+
+@query("rake_keywords", O.with_(O.corpus_cte(), O.rake_ctes("corpus"))
+       + " SELECT docno, kw_rank, keyword FROM rk")
+def rake_keywords(spark, sf_dir):
+    return kw.rake_keywords(tables.corpus(spark, sf_dir))
+
+
+@query("thesaurus_expand", O.with_(O.corpus_cte(), O.rake_ctes("corpus"), O.thesaurus_ctes("corpus", "rk"))
+       + " SELECT docno, kw_rank, keyword, array_to_string(synonyms, '|') AS synonyms FROM th")
+def thesaurus_expand(spark, sf_dir):
+    d = tables.corpus(spark, sf_dir)
+    e = kw.thesaurus_expansion(d, kw.rake_keywords(d), th.fixture(spark))
+    return e.withColumn("synonyms", F.array_join("synonyms", "|"))
+
+
+_TOPIC_SRC = "tsrc AS (SELECT qid AS docno, query AS text FROM topics)"
+
+
+@query("query_expand", O.with_(O.topics_cte(), _TOPIC_SRC, O.rake_ctes("tsrc"), O.thesaurus_ctes("tsrc", "rk"))
+       + " SELECT t.qid, concat_ws(' ', t.query, e.expansion) AS query, t.query AS query_0"
+         " FROM topics t JOIN th_e e ON e.docno = t.qid")
+def query_expand(spark, sf_dir):
+    return kw.expand_queries(tables.topics(spark, sf_dir), th.fixture(spark))
+
+
+@query("doc_expand", O.with_(O.corpus_cte(), O.rake_ctes("corpus"), O.thesaurus_ctes("corpus", "rk"))
+       + " SELECT docno, expansion AS text FROM th_e")
+def doc_expand(spark, sf_dir):
+    return kw.expand_documents(tables.corpus(spark, sf_dir), th.fixture(spark), replace=True)
