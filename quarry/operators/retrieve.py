@@ -151,7 +151,7 @@ def rm3_terms(index: Index, run: DataFrame, qterms: DataFrame, fb_docs: int = 3,
     p = (p.withColumn("r", F.row_number().over(
             W.partitionBy("qid").orderBy(F.col("p").desc(), F.col("term"))))
           .filter(F.col("r") <= fb_terms)
-          .withColumn("p", F.col("p") / F.sum("p").over(per_q))
+          .withColumn("p", F.try_divide(F.col("p"), F.sum("p").over(per_q)))
           .select("qid", "term", "p"))
     q = qterms.select("qid", "term", (F.col("weight") / F.sum("weight").over(per_q)).alias("q"))
     return (q.join(p, ["qid", "term"], "full_outer")

@@ -245,3 +245,60 @@ def thesaurus_ctes(src: str, kw: str, prefix: str = "th", max_synonyms: int = 2)
 {p}_e AS (SELECT s.docno, coalesce(e.expansion, '') AS expansion FROM {src} s LEFT JOIN (
             SELECT docno, string_agg(array_to_string(list_concat([keyword], synonyms), ' '), ' ' ORDER BY kw_rank) AS expansion
             FROM {p} GROUP BY docno) e ON e.docno = s.docno)"""
+
+
+def fielded_index_ctes(fields: list[tuple[str, str]], prefix: str = "f") -> str:
+    """Fielded index CTEs; ``fields`` = [(source CTE, text column)] in field order."""
+    p = prefix
+    parts = " UNION ALL ".join(
+        f"SELECT docno, {i} AS field, {tokens(col)} AS toks FROM {src}" for i, (src, col) in enumerate(fields))
+    return f"""
+{p}_tok AS ({parts}),
+{p}_post AS (
+  SELECT docno, field, term, count(*) AS tf, any_value(dl) AS dl
+  FROM (SELECT docno, field, len(toks) AS dl, unnest(toks) AS term FROM {p}_tok)
+  GROUP BY docno, field, term),
+{p}_lex AS (SELECT term, count(DISTINCT docno) AS df FROM {p}_post GROUP BY term),
+{p}_n AS (SELECT CAST(count(DISTINCT docno) AS DOUBLE) AS n FROM {p}_tok),
+{p}_fs AS (SELECT field, CAST(sum(len(toks)) AS DOUBLE) / (SELECT n FROM {p}_n) AS avgdl FROM {p}_tok GROUP BY field)"""
+
+
+def bm25f_ctes(name: str, qterms: str, weights, k: int, prefix: str = "f",
+               k1: float = 1.2, b: float = 0.75) -> str:
+    p = prefix
+    wf = "CASE field " + " ".join(f"WHEN {i} THEN {dbl(w)}" for i, w in enumerate(weights)) + " END"
+    return f"""
+{name}_w AS (SELECT qid, term, weight * {idf('BM25F')} AS w
+             FROM {qterms} JOIN {p}_lex USING (term) CROSS JOIN {p}_n),
+{name}_t AS (SELECT qid, docno, term, t, w FROM (
+               SELECT qid, docno, term,
+                      sum({wf} * (CAST(tf AS DOUBLE) / ({dbl(1.0 - b)} + {dbl(b)} * CAST(dl AS DOUBLE) / avgdl))) AS t,
+                      any_value(w) AS w
+               FROM {name}_w JOIN {p}_post USING (term) JOIN {p}_fs USING (field)
+               GROUP BY qid, docno, term) WHERE t > 0),
+{name}_s AS (SELECT qid, docno, round(sum(w * t / ({dbl(k1)} + t)), 6) AS score FROM {name}_t GROUP BY qid, docno),
+{name} AS (SELECT * FROM (
+    SELECT qid, docno, score,
+           row_number() OVER (PARTITION BY qid ORDER BY score DESC, docno) AS rank
+    FROM {name}_s) WHERE rank <= {k})"""
+
+
+def rm3_ctes(name: str, run: str, qterms: str, fb_docs: int = 3, fb_terms: int = 10,
+             fb_lambda: float = 0.6, prefix: str = "") -> str:
+    """``{name}(qid, term, weight)``: RM3 query model from ``run``."""
+    p = prefix
+    return f"""
+{name}_fb AS (SELECT qid, docno,
+                CASE WHEN tot > 0 THEN score / tot ELSE {dbl(1.0)} / cnt END AS dw
+              FROM (SELECT qid, docno, score, sum(score) OVER (PARTITION BY qid) AS tot,
+                           count(*) OVER (PARTITION BY qid) AS cnt
+                    FROM {run} WHERE rank <= {fb_docs})),
+{name}_p AS (SELECT qid, term, round(sum(CAST(tf AS DOUBLE) / dl * dw), 6) AS p
+             FROM {name}_fb JOIN {p}post USING (docno) GROUP BY qid, term),
+{name}_pt AS (SELECT qid, term, p / sum(p) OVER (PARTITION BY qid) AS p FROM (
+                SELECT *, row_number() OVER (PARTITION BY qid ORDER BY p DESC, term) AS r FROM {name}_p)
+              WHERE r <= {fb_terms}),
+{name}_q AS (SELECT qid, term, weight / sum(weight) OVER (PARTITION BY qid) AS q FROM {qterms}),
+{name} AS (SELECT coalesce(a.qid, b.qid) AS qid, coalesce(a.term, b.term) AS term,
+             round({dbl(fb_lambda)} * coalesce(a.q, {dbl(0.0)}) + {dbl(1.0 - fb_lambda)} * coalesce(b.p, {dbl(0.0)}), 9) AS weight
+           FROM {name}_q a FULL OUTER JOIN {name}_pt b ON a.qid = b.qid AND a.term = b.term)"""

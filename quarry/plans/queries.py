@@ -271,3 +271,84 @@ def query_expand(spark, sf_dir):
        + " SELECT docno, expansion AS text FROM th_e")
 def doc_expand(spark, sf_dir):
     return kw.expand_documents(tables.corpus(spark, sf_dir), th.fixture(spark), replace=True)
+
+
+# ------------------------------------------- expanded queries, keyword index
+def _expanded_topics(spark, sf_dir):
+    return kw.expand_queries(tables.topics(spark, sf_dir), th.fixture(spark))
+
+
+_EXP_TOPICS = [O.topics_cte(), _TOPIC_SRC, O.rake_ctes("tsrc", "qk"), O.thesaurus_ctes("tsrc", "qk", "qth"),
+               "xtopics AS (SELECT t.qid, concat_ws(' ', t.query, e.expansion) AS query"
+               " FROM topics t JOIN qth_e e ON e.docno = t.qid)"]
+_KW_DOCS = [O.corpus_cte(), O.rake_ctes("corpus"), O.thesaurus_ctes("corpus", "rk"),
+            "kdocs AS (SELECT docno, expansion AS text FROM th_e)"]
+
+
+@query("bm25_expanded_queries", O.with_(O.corpus_cte(), *_EXP_TOPICS, O.index_ctes(),
+                                        O.query_terms_cte("qt", "xtopics"), O.retrieve_ctes("run", "qt", "BM25", DEPTH))
+       + " SELECT qid, docno, score, rank FROM run")
+def bm25_expanded_queries(spark, sf_dir):
+    """Experiment 2: BM25 with thesaurus-expanded queries (G9 + H1)."""
+    return rt.bm25(indexes.basic_index(spark, sf_dir), rt.query_terms(_expanded_topics(spark, sf_dir)), k=DEPTH)
+
+
+@query("keyword_index_bm25", O.with_(*_KW_DOCS, O.topics_cte(), O.index_ctes("kdocs"),
+                                     O.query_terms_cte("qt", "topics"), O.retrieve_ctes("run", "qt", "BM25", DEPTH))
+       + " SELECT qid, docno, score, rank FROM run")
+def keyword_index_bm25(spark, sf_dir):
+    """Experiment 3A: BM25 on the keyword-only index."""
+    return rt.bm25(indexes.keywords_index(spark, sf_dir), _qterms(spark, sf_dir), k=DEPTH)
+
+
+@query("keyword_index_bm25_expanded", O.with_(*_KW_DOCS, *_EXP_TOPICS[1:], O.index_ctes("kdocs"),
+                                              O.query_terms_cte("qt", "xtopics"),
+                                              O.retrieve_ctes("run", "qt", "BM25", DEPTH))
+       .replace("WITH corpus AS", "WITH " + O.topics_cte() + ",\ncorpus AS", 1)
+       + " SELECT qid, docno, score, rank FROM run")
+def keyword_index_bm25_expanded(spark, sf_dir):
+    """Experiment 3B: keyword-only index with expanded queries."""
+    return rt.bm25(indexes.keywords_index(spark, sf_dir),
+                   rt.query_terms(_expanded_topics(spark, sf_dir)), k=DEPTH)
+
+
+# -------------------------------------------------------------------- BM25F
+_FIELDED = [O.corpus_cte(), O.rake_ctes("corpus"), O.thesaurus_ctes("corpus", "rk"), O.topics_cte(),
+            O.fielded_index_ctes([("corpus", "text"), ("th_e", "expansion")]), O.query_terms_cte("qt", "topics")]
+
+
+def _bm25f(weights):
+    def run(spark, sf_dir):
+        return rt.bm25f(indexes.two_fields_index(spark, sf_dir), _qterms(spark, sf_dir), weights, k=DEPTH)
+    return run
+
+
+for _name, _w in (("bm25f_keywords", (0.0, 1.0)), ("bm25f_text", (1.0, 0.0)), ("bm25f_mixed", (0.7, 0.3))):
+    query(_name, O.with_(*_FIELDED, O.bm25f_ctes("run", "qt", _w, DEPTH))
+          + " SELECT qid, docno, score, rank FROM run")(_bm25f(_w))
+
+
+# ---------------------------------------------------------------------- RM3
+def _rm3_sql(model, final):
+    base = [O.corpus_cte(), O.topics_cte(), O.index_ctes(), O.query_terms_cte("qt", "topics"),
+            O.retrieve_ctes("r1", "qt", model, DEPTH), O.rm3_ctes("qt2", "r1", "qt")]
+    if final == "terms":
+        return O.with_(*base) + " SELECT qid, term, weight FROM qt2"
+    return O.with_(*base, O.retrieve_ctes("run", "qt2", model, DEPTH)) + " SELECT qid, docno, score, rank FROM run"
+
+
+@query("rm3_terms", _rm3_sql("BM25", "terms"))
+def rm3_terms(spark, sf_dir):
+    idx = indexes.basic_index(spark, sf_dir)
+    qt = _qterms(spark, sf_dir)
+    return rt.rm3_terms(idx, rt.bm25(idx, qt, k=DEPTH), qt)
+
+
+@query("rm3_bm25", _rm3_sql("BM25", "run"))
+def rm3_bm25(spark, sf_dir):
+    return rt.rm3(indexes.basic_index(spark, sf_dir), _qterms(spark, sf_dir), "BM25", DEPTH)
+
+
+@query("rm3_tfidf", _rm3_sql("TF_IDF", "run"))
+def rm3_tfidf(spark, sf_dir):
+    return rt.rm3(indexes.basic_index(spark, sf_dir), _qterms(spark, sf_dir), "TF_IDF", DEPTH)
