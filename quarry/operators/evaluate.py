@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from quarry.operators.util import SCORE_DECIMALS
+from quarry.operators.util import SCORE_DECIMALS, broadcast_if_small
 
 # The reference's metric list (P@1,5,10 R@5,10 nDCG@5,10 MAP) as columns.
 METRICS = ("p_1", "p_5", "p_10", "r_5", "r_10", "ndcg_5", "ndcg_10", "map")
@@ -69,11 +69,41 @@ def per_query(run: DataFrame, qrels: DataFrame, topics: DataFrame | None = None,
 
     Topics without results appear with zeros only when ``group`` is empty.
     """
-    group = list(group)
     q = clean_qrels(qrels, topics)
-    ideal = _ideal(q, ndcg_cut)
     rel = q.filter(F.col("relevance") > 0)
     hits = run.select(*group, "qid", "docno", "rank").join(rel, ["qid", "docno"])
+    return metrics_from_hits(hits, _ideal(q, ndcg_cut), p_cut, r_cut, ndcg_cut, ap_cut, group)
+
+
+def label_hits(run: DataFrame, doc_labels: DataFrame, query_labels: DataFrame) -> DataFrame:
+    """Run rows whose document has the query's label (relevance 1).
+
+    ``doc_labels(docno, label)``, ``query_labels(qid, label)``.  The judgment
+    pairs themselves (all pairs within a label) are never built.
+    """
+    ql = broadcast_if_small(query_labels.select("qid", F.col("label").alias("qlabel")))
+    return (run.join(ql, "qid").join(doc_labels.select("docno", "label"), "docno")
+            .filter(F.col("label") == F.col("qlabel"))
+            .select(*[c for c in run.columns if c not in ("score",)], F.lit(1).alias("relevance")))
+
+
+def label_ideal(doc_labels: DataFrame, query_labels: DataFrame, cutoffs=(5, 10)) -> DataFrame:
+    """Number relevant and ideal DCG per query when relevance = same label;
+    the ideal ranking has ``min(k, num_rel)`` gains of 1."""
+    counts = doc_labels.groupBy("label").agg(F.count(F.lit(1)).alias("num_rel"))
+    out = query_labels.select("qid", "label").join(counts, "label").filter(F.col("num_rel") >= 1)
+    for k in cutoffs:
+        idx = F.sequence(F.lit(1), F.least(F.lit(k), F.col("num_rel")))
+        out = out.withColumn(f"idcg_{k}", F.aggregate(
+            idx, F.lit(0.0), lambda acc, i: acc + 1.0 / F.log2(i + 1.0)))
+    return out.drop("label")
+
+
+def metrics_from_hits(hits: DataFrame, ideal: DataFrame, p_cut=(1, 5, 10), r_cut=(5, 10),
+                      ndcg_cut=(5, 10), ap_cut: int | None = None, group=()) -> DataFrame:
+    """Metrics from relevant retrieved rows ``(<group>, qid, rank, relevance)``
+    and per-topic ideals ``(qid, num_rel, idcg_k)``."""
+    group = list(group)
     if ap_cut is not None:
         hits = hits.filter(F.col("rank") <= max([ap_cut, *p_cut, *r_cut, *ndcg_cut]))
     hits = hits.withColumn("hit_no", F.row_number().over(

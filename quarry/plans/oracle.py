@@ -302,3 +302,36 @@ def rm3_ctes(name: str, run: str, qterms: str, fb_docs: int = 3, fb_terms: int =
 {name} AS (SELECT coalesce(a.qid, b.qid) AS qid, coalesce(a.term, b.term) AS term,
              round({dbl(fb_lambda)} * coalesce(a.q, {dbl(0.0)}) + {dbl(1.0 - fb_lambda)} * coalesce(b.p, {dbl(0.0)}), 9) AS weight
            FROM {name}_q a FULL OUTER JOIN {name}_pt b ON a.qid = b.qid AND a.term = b.term)"""
+
+
+def dense_topk_ctes(name: str, docs: str, queries: str, k: int) -> str:
+    """``name(qid, docno, score, rank)`` by exhaustive dot product."""
+    return f"""
+{name}_s AS (SELECT q.qid, d.docno,
+               round(list_sum(list_transform(list_zip(q.vec, d.vec),
+                     lambda p: CAST(p[1] AS DOUBLE) * CAST(p[2] AS DOUBLE))), 6) AS score
+             FROM {queries} q CROSS JOIN {docs} d),
+{name} AS (SELECT * FROM (SELECT qid, docno, score,
+             row_number() OVER (PARTITION BY qid ORDER BY score DESC, docno) AS rank FROM {name}_s)
+           WHERE rank <= {k})"""
+
+
+def label_metrics_ctes(run: str, doc_labels: str, query_labels: str, out: str = "lm") -> str:
+    return f"""
+{out}_i AS (SELECT q.qid, c.num_rel,
+              (SELECT sum(1.0 / log2(i + {dbl(1.0)})) FROM range(1, least(5, c.num_rel) + 1) t(i)) AS idcg_5,
+              (SELECT sum(1.0 / log2(i + {dbl(1.0)})) FROM range(1, least(10, c.num_rel) + 1) t(i)) AS idcg_10
+            FROM {query_labels} q JOIN (SELECT label, count(*) AS num_rel FROM {doc_labels} GROUP BY label) c
+              ON c.label = q.label),
+{out}_h AS (SELECT r.qid, r.rank, 1 AS relevance,
+              row_number() OVER (PARTITION BY r.qid ORDER BY r.rank) AS hit_no
+            FROM {run} r JOIN {query_labels} q ON q.qid = r.qid JOIN {doc_labels} d ON d.docno = r.docno
+            WHERE d.label = q.label),
+{out}_a AS (SELECT qid,
+              sum(CASE WHEN rank <= 1 THEN 1 ELSE 0 END) AS hits_1,
+              sum(CASE WHEN rank <= 5 THEN 1 ELSE 0 END) AS hits_5,
+              sum(CASE WHEN rank <= 10 THEN 1 ELSE 0 END) AS hits_10,
+              sum(CASE WHEN rank <= 5 THEN relevance / log2(rank + {dbl(1.0)}) ELSE {dbl(0.0)} END) AS dcg_5,
+              sum(CASE WHEN rank <= 10 THEN relevance / log2(rank + {dbl(1.0)}) ELSE {dbl(0.0)} END) AS dcg_10,
+              sum(hit_no / rank) AS ap_sum
+            FROM {out}_h GROUP BY qid)"""

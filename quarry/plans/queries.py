@@ -352,3 +352,53 @@ def rm3_bm25(spark, sf_dir):
 @query("rm3_tfidf", _rm3_sql("TF_IDF", "run"))
 def rm3_tfidf(spark, sf_dir):
     return rt.rm3(indexes.basic_index(spark, sf_dir), _qterms(spark, sf_dir), "TF_IDF", DEPTH)
+
+
+# -------------------------------------------------------------------- dense
+from quarry.operators import dense as de  # noqa: E402
+
+_VEC_CTE = "vecs AS (SELECT vec_id AS docno, embedding AS vec, label FROM embeddings)"
+
+
+def _vectors(spark, sf_dir):
+    return tables.vectors(spark, sf_dir).select(F.col("vec_id").alias("docno"),
+                                                F.col("embedding").alias("vec"), "label")
+
+
+@query("dense_topk", O.with_(_VEC_CTE, "qv AS (SELECT docno AS qid, vec FROM vecs)",
+                             O.dense_topk_ctes("run", "vecs", "qv", de.DEPTH))
+       + " SELECT qid, docno, score, rank FROM run")
+def dense_topk(spark, sf_dir):
+    """H7: every vector queries the whole vector table (top 1000)."""
+    v = _vectors(spark, sf_dir)
+    return de.exhaustive_topk(v, v.select(F.col("docno").alias("qid"), "vec"), de.DEPTH)
+
+
+@query("dense_label_metrics", O.with_(_VEC_CTE, "qv AS (SELECT docno AS qid, vec FROM vecs)",
+                                      O.dense_topk_ctes("run", "vecs", "qv", de.DEPTH),
+                                      "ql AS (SELECT docno AS qid, label FROM vecs)",
+                                      O.label_metrics_ctes("run", "vecs", "ql"))
+       + f" SELECT i.qid, {O.metric_select()} FROM lm_i i LEFT JOIN lm_a USING (qid)")
+def dense_label_metrics(spark, sf_dir):
+    """Dense run scored with same-label relevance (judgments never built)."""
+    v = _vectors(spark, sf_dir)
+    run = de.exhaustive_topk(v, v.select(F.col("docno").alias("qid"), "vec"), de.DEPTH)
+    ql = v.select(F.col("docno").alias("qid"), "label")
+    return ev.metrics_from_hits(ev.label_hits(run, v, ql), ev.label_ideal(v, ql))
+
+
+_DENSE_RERANK_SQL = O.with_(
+    O.corpus_cte(), O.topics_cte(), O.index_ctes(), O.query_terms_cte("qt", "topics"),
+    O.retrieve_ctes("r1", "qt", "BM25", DEPTH), _VEC_CTE) + """,
+rs AS (SELECT r.qid, r.docno, round(list_sum(list_transform(list_zip(q.vec, d.vec),
+          lambda p: CAST(p[1] AS DOUBLE) * CAST(p[2] AS DOUBLE))), 6) AS score
+       FROM r1 r JOIN vecs d ON d.docno = r.docno JOIN vecs q ON q.docno = r.qid)
+ SELECT qid, docno, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, docno) AS rank FROM rs"""
+
+
+@query("dense_rerank", _DENSE_RERANK_SQL)
+def dense_rerank(spark, sf_dir):
+    """H8: BM25 top 1000 re-scored by the dot product of the document's and
+    the query's vectors (``vec_id = doc_id`` / ``vec_id = item_id``)."""
+    v = _vectors(spark, sf_dir)
+    return de.rerank(_bm25_run(spark, sf_dir), v, v.select(F.col("docno").alias("qid"), "vec"))
