@@ -23,8 +23,16 @@ TOKEN_PATTERN = r"([\p{L}\p{N}]+)"
 
 
 def _char_class(codepoints) -> str:
-    # \x{..} escapes read the same in Java regex and in RE2 (DuckDB).
-    return "[" + "".join(f"\\x{{{c:x}}}" for c in codepoints) + "]"
+    """Regex class of the given code points, consecutive ones as ranges;
+    ``\\x{..}`` escapes read the same in Java regex and in RE2 (DuckDB)."""
+    runs: list[list[int]] = []
+    for c in sorted(codepoints):
+        if runs and runs[-1][1] == c - 1:
+            runs[-1][1] = c
+        else:
+            runs.append([c, c])
+    return "[" + "".join(f"\\x{{{a:x}}}" if a == b else f"\\x{{{a:x}}}-\\x{{{b:x}}}"
+                         for a, b in runs) + "]"
 
 
 # Python's ``string.punctuation`` (the 32 ASCII punctuation characters).
@@ -70,10 +78,16 @@ def tokens(c, stop_words=ENGLISH_STOP_WORDS) -> Column:
     return arr
 
 
+def split_words(c) -> Column:
+    """``text.split()``: runs of non-space characters (Python's notion of
+    space); null -> empty array.  ``split`` + ``array_remove`` is several
+    times faster in the JVM than extracting the runs with a regex."""
+    return F.array_remove(F.split(F.coalesce(_col(c), F.lit("")), WHITESPACE_CLASS + "+"), "")
+
+
 def count_words(c) -> Column:
     """``len(text.split())``; null or empty text -> 0."""
-    return F.size(F.regexp_extract_all(F.coalesce(_col(c), F.lit("")),
-                                       F.lit(NON_SPACE_RUN), 1))
+    return F.size(split_words(c))
 
 
 def count_tokens(c, tokenizer=None) -> Column:

@@ -335,3 +335,51 @@ def label_metrics_ctes(run: str, doc_labels: str, query_labels: str, out: str =
               sum(CASE WHEN rank <= 10 THEN relevance / log2(rank + {dbl(1.0)}) ELSE {dbl(0.0)} END) AS dcg_10,
               sum(hit_no / rank) AS ap_sum
             FROM {out}_h GROUP BY qid)"""
+
+
+def questions_cte() -> str:
+    return ("questions AS (SELECT conv_id * 1000 + turn AS qid, text AS query "
+            "FROM conversations WHERE role = 'user')")
+
+
+def passages_ctes(run_text: str, name: str = "passages", length: int = 256, stride: int = 128) -> str:
+    """``name(qid, docno, rank, passage_no, text)`` from ``run_text(qid, docno, rank, text)``."""
+    return f"""
+{name}_w AS (SELECT qid, docno, rank, regexp_extract_all(coalesce(text, ''), {lit_str(NON_SPACE_RUN)}, 1) AS toks
+             FROM {run_text}),
+{name}_s AS (SELECT qid, docno, rank, toks, generate_subscripts(starts, 1) - 1 AS passage_no, unnest(starts) AS st
+             FROM (SELECT *, range(0, greatest(len(toks) - {length - stride} - 1, 0) + 1, {stride}) AS starts
+                   FROM {name}_w)),
+{name} AS (SELECT qid, docno, rank, CAST(passage_no AS INTEGER) AS passage_no,
+             array_to_string(toks[st + 1 : st + {length}], ' ') AS text FROM {name}_s)"""
+
+
+def coverage_ctes(src: str, topics: str, keys: str, name: str = "cov", query: str = "query") -> str:
+    """``name(<keys>, text, score)``: idf-weighted query-term coverage."""
+    return f"""
+{name}_q AS (SELECT DISTINCT qid, unnest({tokens(query)}) AS term FROM {topics}),
+{name}_w AS (SELECT qid, term, log2(n / CAST(df AS DOUBLE) + {dbl(1.0)}) AS idf
+             FROM {name}_q JOIN lex USING (term) CROSS JOIN stats),
+{name}_t AS (SELECT qid, sum(idf) AS total FROM {name}_w GROUP BY qid),
+{name}_p AS (SELECT DISTINCT {keys}, unnest({tokens('text')}) AS term FROM {src}),
+{name}_f AS (SELECT {', '.join('p.' + k for k in keys.split(', '))}, sum(w.idf) AS found
+             FROM {name}_p p JOIN {name}_w w ON w.qid = p.qid AND w.term = p.term GROUP BY ALL),
+{name} AS (SELECT s.*, round(coalesce(f.found / t.total, {dbl(0.0)}), 6) AS score
+           FROM {src} s LEFT JOIN {name}_f f USING ({keys}) LEFT JOIN {name}_t t USING (qid))"""
+
+
+def max_passage_ctes(scored: str, name: str = "mp") -> str:
+    return f"""
+{name}_b AS (SELECT qid, docno, score, text FROM (
+              SELECT *, row_number() OVER (PARTITION BY qid, docno ORDER BY score DESC, passage_no) AS r
+              FROM {scored}) WHERE r = 1),
+{name} AS (SELECT qid, docno, score, text,
+             row_number() OVER (PARTITION BY qid ORDER BY score DESC, docno) AS rank FROM {name}_b)"""
+
+
+def context_cte(ranked: str, name: str = "ctx", n: int = 3) -> str:
+    return f"""{name} AS (
+  SELECT qid, string_agg('CONTEXT NUMBER: ' || rank || chr(10) || 'DOCUMENT ID: ' || rank || chr(10)
+                         || CAST(docno AS VARCHAR) || chr(10) || chr(10) || coalesce(text, '') || chr(10) || chr(10),
+                         '' ORDER BY rank) AS context
+  FROM {ranked} WHERE rank <= {n} GROUP BY qid)"""

@@ -16,6 +16,7 @@ from quarry.operators import retrieve as rt
 from quarry.plans import indexes
 from quarry.plans import oracle as O
 from quarry.plans.registry import query
+from quarry.operators.util import top_k
 from quarry.sources import tables
 
 DEPTH = 1000          # the retrievers' default depth
@@ -402,3 +403,114 @@ def dense_rerank(spark, sf_dir):
     the query's vectors (``vec_id = doc_id`` / ``vec_id = item_id``)."""
     v = _vectors(spark, sf_dir)
     return de.rerank(_bm25_run(spark, sf_dir), v, v.select(F.col("docno").alias("qid"), "vec"))
+
+
+# ------------------------------------------------- passages, re-rank, answers
+from quarry.operators import answer as an_  # noqa: E402
+from quarry.operators import rerank as rr  # noqa: E402
+
+
+def _top_text(spark, sf_dir, topics, k=CROSS_DEPTH):
+    idx = indexes.basic_index(spark, sf_dir)
+    run = rt.bm25(idx, rt.query_terms(topics), k=k)
+    return idx, ix.get_text(run, idx).select("qid", "docno", "rank", "text")
+
+
+def _first_stage_sql(topics_cte: str, topics: str, k: int = CROSS_DEPTH) -> list[str]:
+    return [O.corpus_cte(), topics_cte, O.index_ctes(), O.query_terms_cte("qt", topics),
+            O.retrieve_ctes("r1", "qt", "BM25", k),
+            "rt AS (SELECT r.qid, r.docno, r.rank, c.text FROM r1 r LEFT JOIN corpus c USING (docno))"]
+
+
+@query("passages", O.with_(*_first_stage_sql(O.topics_cte(), "topics"), O.passages_ctes("rt"))
+       + " SELECT qid, docno, rank, passage_no, text FROM passages")
+def passages(spark, sf_dir):
+    """G11 on the BM25 top 100: windows of 256 tokens, stride 128."""
+    _, run = _top_text(spark, sf_dir, tables.topics(spark, sf_dir))
+    return rr.sliding(run).select("qid", "docno", "rank", "passage_no", "text")
+
+
+@query("pair_rerank", O.with_(*_first_stage_sql(O.topics_cte(), "topics"),
+                              O.coverage_ctes("rt", "topics", "qid, docno, rank"))
+       + " SELECT qid, docno, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, docno) AS rank"
+         " FROM cov")
+def pair_rerank(spark, sf_dir):
+    """H9 (experiment 6): BM25 top 100 re-scored by the pair scorer over
+    whole documents (default stand-in scorer)."""
+    t = tables.topics(spark, sf_dir)
+    idx, run = _top_text(spark, sf_dir, t)
+    scored = rr.coverage_scores(run, t, idx).drop("rank")
+    return top_k(scored, None).select("qid", "docno", "score", "rank")
+
+
+_MAXP_SQL = [*_first_stage_sql(O.topics_cte(), "topics"), O.passages_ctes("rt"),
+             O.coverage_ctes("passages", "topics", "qid, docno, rank, passage_no"), O.max_passage_ctes("cov")]
+
+
+@query("max_passage", O.with_(*_MAXP_SQL) + " SELECT qid, docno, score, text, rank FROM mp")
+def max_passage(spark, sf_dir):
+    """BM25 % 100 -> text -> passages -> pair scorer -> max passage."""
+    t = tables.topics(spark, sf_dir)
+    idx, run = _top_text(spark, sf_dir, t)
+    return rr.max_passage(rr.coverage_scores(rr.sliding(run), t, idx))
+
+
+_QA_SQL = [*_first_stage_sql(O.questions_cte(), "questions"), O.passages_ctes("rt"),
+           O.coverage_ctes("passages", "questions", "qid, docno, rank, passage_no"),
+           O.max_passage_ctes("cov"), O.context_cte("mp")]
+
+
+def _qa_context(spark, sf_dir):
+    q = tables.questions(spark, sf_dir)
+    idx, run = _top_text(spark, sf_dir, q)
+    ranked = rr.max_passage(rr.coverage_scores(rr.sliding(run), q, idx))
+    return q, an_.context(ranked, an_.CONTEXT_DOCS)
+
+
+@query("context", O.with_(*_QA_SQL) + " SELECT qid, context FROM ctx")
+def context(spark, sf_dir):
+    """I1/I2 for every user question of ``conversations``."""
+    return _qa_context(spark, sf_dir)[1]
+
+
+def _flat(prompts):
+    return prompts.select("qid", F.posexplode("messages").alias("msg_no", "m")) \
+        .select("qid", "msg_no", "m.role", "m.content")
+
+
+@query("prompts_tool", O.with_(*_QA_SQL) + f""",
+pr AS (SELECT q.qid, [{{'role': 'system', 'content': {O.lit_str(an_.SYSTEM_PROMPT_TOOL)}}},
+                     {{'role': 'tool', 'content': coalesce(c.context, '')}},
+                     {{'role': 'user', 'content': q.query}}] AS messages
+       FROM questions q LEFT JOIN ctx c USING (qid))
+ SELECT qid, CAST(generate_subscripts(messages, 1) - 1 AS INTEGER) AS msg_no,
+        unnest(messages).role AS role, unnest(messages).content AS content FROM pr""")
+def prompts_tool(spark, sf_dir):
+    """I3, one row per message ``(qid, msg_no, role, content)``."""
+    q, ctx = _qa_context(spark, sf_dir)
+    return _flat(an_.prompts_tool(q, ctx))
+
+
+@query("prompts_user", O.with_(*_QA_SQL) + f""",
+pr AS (SELECT q.qid, [{{'role': 'system', 'content': {O.lit_str(an_.SYSTEM_PROMPT_USER)}}},
+                     {{'role': 'user', 'content': coalesce(c.context, '') || chr(10) || chr(10) || q.query}}] AS messages
+       FROM questions q LEFT JOIN ctx c USING (qid))
+ SELECT qid, CAST(generate_subscripts(messages, 1) - 1 AS INTEGER) AS msg_no,
+        unnest(messages).role AS role, unnest(messages).content AS content FROM pr""")
+def prompts_user(spark, sf_dir):
+    """I4, one row per message."""
+    q, ctx = _qa_context(spark, sf_dir)
+    return _flat(an_.prompts_user(q, ctx))
+
+
+@query("answers", O.with_(*_QA_SQL) + """,
+aa AS (SELECT q.qid, coalesce(c.context, '') AS context,
+              CASE WHEN len(string_split(coalesce(c.context, ''), chr(10) || chr(10))) > 2
+                   THEN string_split(c.context, chr(10) || chr(10))[2] ELSE '' END AS answer
+       FROM questions q LEFT JOIN ctx c USING (qid))
+ SELECT qid, answer || chr(10) || chr(10) || context AS answer FROM aa""")
+def answers(spark, sf_dir):
+    """I5 + I6 with the stand-in answer function (first context passage)."""
+    q, ctx = _qa_context(spark, sf_dir)
+    gen = an_.generate(an_.prompts_tool(q, ctx))
+    return an_.final_answers(gen, ctx)
