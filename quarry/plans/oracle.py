@@ -383,3 +383,19 @@ def context_cte(ranked: str, name: str = "ctx", n: int = 3) -> str:
                          || CAST(docno AS VARCHAR) || chr(10) || chr(10) || coalesce(text, '') || chr(10) || chr(10),
                          '' ORDER BY rank) AS context
   FROM {ranked} WHERE rank <= {n} GROUP BY qid)"""
+
+
+def metrics_table_sql(runs: list[tuple[str, str]], qrels: str = "qrels", topics: str = "topics",
+                      cols=("p_1", "p_5", "p_10", "r_5", "r_10", "ndcg_5", "ndcg_10", "map"),
+                      map_name: str = "map") -> tuple[str, str]:
+    """(CTEs, final SELECT) of the mean metric table over named runs.
+    ``runs`` = [(name SQL expression, run CTE)]."""
+    union = " UNION ALL ".join(f"SELECT {n} AS name, qid, docno, rank FROM {r}" for n, r in runs)
+    ctes = (f"allruns AS ({union}),\n" + metrics_ctes("allruns", qrels, "name", topics).strip() + f""",
+mper AS (SELECT a.name, a.qid, {metric_select()} FROM m_a a JOIN m_i i USING (qid)),
+mnj AS (SELECT count(DISTINCT qid) AS n FROM m_q WHERE relevance > 0)""")
+    src = {c: ("ap" if c == map_name else c) for c in cols}
+    sel = ", ".join(f"round(coalesce(sum(mper.{src[c]}), {dbl(0.0)}) / max(mnj.n), 6) AS {c}" for c in cols)
+    final = (f" SELECT nm.name, {sel} FROM (SELECT DISTINCT name FROM allruns) nm"
+             f" LEFT JOIN mper USING (name) CROSS JOIN mnj GROUP BY nm.name")
+    return ctes, final

@@ -514,3 +514,139 @@ def answers(spark, sf_dir):
     q, ctx = _qa_context(spark, sf_dir)
     gen = an_.generate(an_.prompts_tool(q, ctx))
     return an_.final_answers(gen, ctx)
+
+
+# --------------------------------------------------------------- experiments
+from quarry.plans import experiments as xp  # noqa: E402
+from quarry.sources import runs as runs_io  # noqa: E402
+
+
+def _exp_sql(ctes: list[str], runs: list[tuple[str, str]], **kw) -> str:
+    mt, final = O.metrics_table_sql(runs, **kw)
+    return O.with_(*ctes, O.qrels_cte(), mt) + final
+
+
+def _lit(name):
+    return O.lit_str(name)
+
+
+_BASE = [O.corpus_cte(), O.topics_cte(), O.index_ctes(), O.query_terms_cte("qt", "topics")]
+
+
+def _four_sql(qt: str):
+    return [O.retrieve_ctes("rb", qt, "BM25", DEPTH), O.rm3_ctes("qb", "rb", qt),
+            O.retrieve_ctes("rbr", "qb", "BM25", DEPTH),
+            O.retrieve_ctes("rt", qt, "TF_IDF", DEPTH), O.rm3_ctes("qtf", "rt", qt),
+            O.retrieve_ctes("rtr", "qtf", "TF_IDF", DEPTH)]
+
+
+def _four_runs(prefix, suffix=lambda s: _lit(s)):
+    return [(suffix(f"{prefix}_bm25"), "rb"), (suffix(f"{prefix}_bm25_rm3"), "rbr"),
+            (suffix(f"{prefix}_tfidf"), "rt"), (suffix(f"{prefix}_tfidf_rm3"), "rtr")]
+
+
+@query("exp0", _exp_sql(_BASE + [O.retrieve_ctes("rt", "qt", "TF_IDF", DEPTH), O.retrieve_ctes("rb", "qt", "BM25", DEPTH),
+                                  O.rm3_ctes("qb", "rb", "qt"), O.retrieve_ctes("rbr", "qb", "BM25", DEPTH)],
+                        [(_lit("TF_IDF"), "rt"), (_lit("BM25"), "rb"), (_lit("BM25_RM3"), "rbr")],
+                        cols=("ap_1000", "p_5", "p_10"), map_name="ap_1000"))
+def exp0(spark, sf_dir):
+    return xp.experiment_0(indexes.basic_index(spark, sf_dir), tables.topics(spark, sf_dir),
+                           tables.qrels(spark, sf_dir))
+
+
+@query("exp1", _exp_sql(_BASE + _four_sql("qt"), _four_runs("experiment1")))
+def exp1(spark, sf_dir):
+    return xp.experiment_1(indexes.basic_index(spark, sf_dir), tables.topics(spark, sf_dir),
+                           tables.qrels(spark, sf_dir))
+
+
+_SAMPLE = (f"stopics AS (SELECT * FROM topics ORDER BY md5(concat_ws('-', '{co.SEED}', CAST(qid AS VARCHAR))), qid"
+           f" LIMIT {co.SAMPLE_SIZE})")
+
+
+@query("exp1_sample", _exp_sql([O.corpus_cte(), O.topics_cte(), _SAMPLE, O.index_ctes(),
+                                 O.query_terms_cte("qt", "stopics")] + _four_sql("qt"),
+                                _four_runs("experiment1", lambda s: f"'{s}_sample_' || (SELECT count(*) FROM stopics)"
+                                                                    " || '_queries'"),
+                                topics="stopics"))
+def exp1_sample(spark, sf_dir):
+    """Experiment 1 on a seeded sample of 1,000 topics (names carry the size)."""
+    return xp.experiment_1(indexes.basic_index(spark, sf_dir), tables.topics(spark, sf_dir),
+                           tables.qrels(spark, sf_dir), sample=co.SAMPLE_SIZE)
+
+
+@query("exp2", _exp_sql([O.corpus_cte(), *_EXP_TOPICS, O.index_ctes(), O.query_terms_cte("qt", "xtopics")]
+                        + _four_sql("qt"), _four_runs("experiment2")))
+def exp2(spark, sf_dir):
+    return xp.experiment_2(indexes.basic_index(spark, sf_dir), tables.topics(spark, sf_dir),
+                           tables.qrels(spark, sf_dir), th.fixture(spark))
+
+
+_KIDX = [*_KW_DOCS, *_EXP_TOPICS, O.index_ctes("kdocs", prefix="k"),
+         O.query_terms_cte("qa", "topics"), O.query_terms_cte("qx", "xtopics"),
+         O.retrieve_ctes("ka", "qa", "BM25", DEPTH, prefix="k"), O.rm3_ctes("kqa", "ka", "qa", prefix="k"),
+         O.retrieve_ctes("kar", "kqa", "BM25", DEPTH, prefix="k"),
+         O.retrieve_ctes("kb", "qx", "BM25", DEPTH, prefix="k"), O.rm3_ctes("kqb", "kb", "qx", prefix="k"),
+         O.retrieve_ctes("kbr", "kqb", "BM25", DEPTH, prefix="k")]
+
+
+@query("exp3", _exp_sql(_KIDX, [(_lit("experiment3A_bm25"), "ka"), (_lit("experiment3A_bm25_rm3"), "kar"),
+                                (_lit("experiment3B_bm25"), "kb"), (_lit("experiment3B_bm25_rm3"), "kbr")]))
+def exp3(spark, sf_dir):
+    return xp.experiment_3(indexes.keywords_index(spark, sf_dir), tables.topics(spark, sf_dir),
+                           tables.qrels(spark, sf_dir), th.fixture(spark))
+
+
+@query("exp4", _exp_sql(_FIELDED + [O.bm25f_ctes(f"f{i}", "qt", w, DEPTH) for i, (_, w) in enumerate(xp.BM25F_SETTINGS)],
+                        [(_lit(f"experiment4_{n}"), f"f{i}") for i, (n, _) in enumerate(xp.BM25F_SETTINGS)]))
+def exp4(spark, sf_dir):
+    return xp.experiment_4(indexes.two_fields_index(spark, sf_dir), tables.topics(spark, sf_dir),
+                           tables.qrels(spark, sf_dir))
+
+
+_E5 = _BASE + [_VEC_CTE, "qv AS (SELECT docno AS qid, vec FROM vecs WHERE docno IN (SELECT qid FROM topics))",
+               O.dense_topk_ctes("dn", "vecs", "qv", DEPTH), O.retrieve_ctes("rb", "qt", "BM25", DEPTH),
+               """rr_s AS (SELECT r.qid, r.docno, round(list_sum(list_transform(list_zip(q.vec, d.vec),
+                   lambda p: CAST(p[1] AS DOUBLE) * CAST(p[2] AS DOUBLE))), 6) AS score
+                 FROM rb r JOIN vecs d ON d.docno = r.docno JOIN qv q ON q.qid = r.qid)""",
+               "rr AS (SELECT qid, docno, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, docno)"
+               " AS rank FROM rr_s)"]
+
+
+@query("exp5", _exp_sql(_E5, [(_lit("experiment5_biencoder"), "dn"), (_lit("experiment5_bm25_biencoder"), "rr")]))
+def exp5(spark, sf_dir):
+    v = _vectors(spark, sf_dir)
+    return xp.experiment_5(indexes.basic_index(spark, sf_dir), v.select("docno", "vec"),
+                           v.select(F.col("docno").alias("qid"), "vec"), tables.topics(spark, sf_dir),
+                           tables.qrels(spark, sf_dir))
+
+
+@query("exp6", _exp_sql(_first_stage_sql(O.topics_cte(), "topics")
+                        + [O.coverage_ctes("rt", "topics", "qid, docno, rank"),
+                           "r6 AS (SELECT qid, docno, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC,"
+                           " docno) AS rank FROM cov)"],
+                        [(_lit("experiment6_bm25_monoT5"), "r6")]))
+def exp6(spark, sf_dir):
+    """J6 with the coverage stand-in for the cross-encoder."""
+    return xp.experiment_6(indexes.basic_index(spark, sf_dir), tables.topics(spark, sf_dir),
+                           tables.qrels(spark, sf_dir))
+
+
+@query("metrics_table", _exp_sql(_BASE + [O.retrieve_ctes("rb", "qt", "BM25", DEPTH),
+                                          O.retrieve_ctes("rt", "qt", "TF_IDF", DEPTH)],
+                                 [(_lit("bm25"), "rb"), (_lit("tfidf"), "rt")]))
+def metrics_table(spark, sf_dir):
+    """D16 for two named runs."""
+    idx, qt = indexes.basic_index(spark, sf_dir), _qterms(spark, sf_dir)
+    runs = (rt.bm25(idx, qt, DEPTH).withColumn("name", F.lit("bm25"))
+            .unionByName(rt.tf_idf(idx, qt, DEPTH).withColumn("name", F.lit("tfidf"))))
+    return ev.metrics_table(runs, tables.qrels(spark, sf_dir), tables.topics(spark, sf_dir))
+
+
+@query("run_trec_roundtrip", _run_sql("BM25", DEPTH) + " SELECT qid, docno, rank, score FROM run")
+def run_trec_roundtrip(spark, sf_dir):
+    """A8 + A9: save the BM25 run as TREC text, then reuse it from disk."""
+    path = scratch_path(spark, "runs") + "/bm25"
+    run = runs_io.reuse(spark, path, lambda: _bm25_run(spark, sf_dir), "BM25",
+                        qid_type="bigint", docno_type="bigint")
+    return run.select("qid", "docno", "rank", "score")
