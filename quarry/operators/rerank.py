@@ -24,6 +24,7 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quarry.functions.text import split_words, tokens
 from quarry.operators.index import Index, term_bucket
@@ -96,7 +97,7 @@ def model_scores(pairs: DataFrame, score_fn: Callable[[list[str], list[str]], li
                  batch_size: int = BATCH_SIZE, query: str = "query", text: str = "text") -> DataFrame:
     """H9 with a caller-supplied pair scorer (e.g. a cross-encoder), called
     on batches of ``batch_size`` (query, text) pairs per Arrow batch."""
-    schema = pairs.schema.add("score", "double")
+    schema = T.StructType(list(pairs.schema.fields) + [T.StructField("score", T.DoubleType())])
 
     def run(batches):
         for pdf in batches:

@@ -133,7 +133,8 @@ def rm3_terms(index: Index, run: DataFrame, qterms: DataFrame, fb_docs: int = 3,
     ``P(t) ~ sum_d tf(t,d)/dl(d) * s_d / sum s`` over the feedback documents
     (equal document weights when ``sum s <= 0``); keep the top ``fb_terms``
     (ties by term), normalise to 1, and mix
-    ``lambda * q / sum q + (1 - lambda) * P``.  Returns ``(qid, term, weight)``.
+    ``lambda * q / sum q + (1 - lambda) * P``.  Returns ``(qid, term, weight)``;
+    terms whose weight is 0 are dropped (they would match without scoring).
     """
     per_q = W.partitionBy("qid")
     fb = (run.filter(F.col("rank") <= fb_docs).select("qid", "docno", "score")
@@ -158,7 +159,8 @@ def rm3_terms(index: Index, run: DataFrame, qterms: DataFrame, fb_docs: int = 3,
             .select("qid", "term",
                     F.round(fb_lambda * F.coalesce("q", F.lit(0.0))
                             + (1.0 - fb_lambda) * F.coalesce("p", F.lit(0.0)),
-                            SCORE_DECIMALS + 3).alias("weight")))
+                            SCORE_DECIMALS + 3).alias("weight"))
+            .filter(F.col("weight") != 0))
 
 
 def rm3(index: Index, qterms: DataFrame, model: str = "BM25", k: int | None = DEFAULT_DEPTH,

@@ -301,7 +301,8 @@ def rm3_ctes(name: str, run: str, qterms: str, fb_docs: int = 3, fb_terms: int =
 {name}_q AS (SELECT qid, term, weight / sum(weight) OVER (PARTITION BY qid) AS q FROM {qterms}),
 {name} AS (SELECT coalesce(a.qid, b.qid) AS qid, coalesce(a.term, b.term) AS term,
              round({dbl(fb_lambda)} * coalesce(a.q, {dbl(0.0)}) + {dbl(1.0 - fb_lambda)} * coalesce(b.p, {dbl(0.0)}), 9) AS weight
-           FROM {name}_q a FULL OUTER JOIN {name}_pt b ON a.qid = b.qid AND a.term = b.term)"""
+           FROM {name}_q a FULL OUTER JOIN {name}_pt b ON a.qid = b.qid AND a.term = b.term
+           WHERE round({dbl(fb_lambda)} * coalesce(a.q, {dbl(0.0)}) + {dbl(1.0 - fb_lambda)} * coalesce(b.p, {dbl(0.0)}), 9) <> 0)"""
 
 
 def dense_topk_ctes(name: str, docs: str, queries: str, k: int) -> str:
