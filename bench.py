@@ -78,14 +78,14 @@ def main():
     timed("dense_rerank", lambda: de.rerank(rt.bm25(idx, qt, 1000), vec, qv))
 
     def maxp():
-        run = ix.get_text(rt.bm25(idx, qt, 100), idx)
-        return rr.max_passage(rr.coverage_scores(rr.sliding(run), topics, idx))
+        run = rt.bm25(idx, qt, 100)
+        return rr.max_passage(rr.coverage_scores(rr.run_passages(run, idx), topics, idx))
     timed("max_passage", maxp)
 
     def qa():
         q = tables.questions(spark, sf_dir)
-        run = ix.get_text(rt.bm25(idx, rt.query_terms(q), 100), idx)
-        ctx = an.context(rr.max_passage(rr.coverage_scores(rr.sliding(run), q, idx)))
+        run = rt.bm25(idx, rt.query_terms(q), 100)
+        ctx = an.context(rr.max_passage(rr.coverage_scores(rr.run_passages(run, idx), q, idx)))
         return an.final_answers(an.generate(an.prompts_tool(q, ctx)), ctx)
     timed("qa_answers", qa)
 

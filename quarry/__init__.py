@@ -12,3 +12,14 @@ holds state between calls.  Sub-packages:
 """
 
 __version__ = "0.1.0"
+
+# Functions of this package run inside Python UDFs and mapInPandas tasks.
+# Pickle them by value so executors need no installed copy of the package.
+try:  # pragma: no cover - depends on the PySpark build
+    import sys as _sys
+
+    from pyspark import cloudpickle as _cp
+
+    _cp.register_pickle_by_value(_sys.modules[__name__])
+except Exception:  # noqa: BLE001
+    pass

@@ -242,24 +242,14 @@ def lexicon(index: Index) -> DataFrame:
     return index.lexicon.select("term", "df", "cf")
 
 
-# Runs naming at most this many distinct documents look them up with a
-# pushed-down ``IN`` filter (bucket and row-group pruning) instead of
-# reading the whole docs table.
-LOOKUP_MAX_DOCS = 10_000
-
-
-def get_text(run: DataFrame, index: Index, field: str = "text",
-             lookup_max: int = LOOKUP_MAX_DOCS) -> DataFrame:
+def get_text(run: DataFrame, index: Index, field: str = "text") -> DataFrame:
     """Attach stored text to a run by ``docno`` (left join).
 
     The docs table is bucketed by ``docno``, so the join is a sort-merge
-    join that shuffles only the run; the text work downstream (passages,
-    scoring) then runs in as many tasks as there are buckets.  The docs
-    table is never broadcast.
+    join that shuffles only the run (never the docs, which are never
+    broadcast); the text work downstream (passages, scoring) then runs in
+    as many tasks as there are buckets.  For small runs Spark's runtime
+    bloom filter prunes the docs scan.
     """
     docs = index.docs.select("docno", F.col(field).alias("text"))
-    ids = run.select("docno").distinct()
-    n = ids.count()
-    if n <= lookup_max:
-        docs = docs.filter(F.col("docno").isin([r[0] for r in ids.collect()]))
     return run.join(docs.hint("merge"), "docno", "left")

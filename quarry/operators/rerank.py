@@ -64,6 +64,24 @@ def sliding(df: DataFrame, length: int = LENGTH, stride: int = STRIDE, text: str
     return out.drop("_toks", "_start")
 
 
+def run_passages(run: DataFrame, index: Index, length: int = LENGTH, stride: int = STRIDE,
+                 field: str = "text", with_terms: bool = True) -> DataFrame:
+    """H11 first half: ``run % k >> get_text >> sliding`` as
+    ``(<run columns>, passage_no, text[, terms])``.
+
+    Passages depend only on the document, so they are cut once per distinct
+    retrieved document (with their distinct index terms when
+    ``with_terms``) and joined back to the run by ``docno`` - a document
+    retrieved by many queries is tokenised once, not once per query.
+    """
+    from quarry.operators.index import get_text
+    ids = run.select("docno").distinct()
+    ps = sliding(get_text(ids, index, field), length, stride)
+    if with_terms:
+        ps = ps.withColumn("terms", F.array_distinct(tokens(F.col("text"))))
+    return run.drop("text").join(ps, "docno")
+
+
 def query_idf_maps(topics: DataFrame, index: Index, query: str = "query") -> DataFrame:
     """``(qid, qmap map<term, idf>, total)`` for the coverage scorer; one
     row per query, so it is broadcast after a row-count check."""
@@ -86,11 +104,12 @@ def coverage_scores(passages: DataFrame, topics: DataFrame, index: Index,
     and no shuffle of the passages.
     """
     maps = broadcast_if_small(query_idf_maps(topics, index, query))
-    found = F.aggregate(F.array_intersect(tokens(F.col(text)), F.map_keys("qmap")), F.lit(0.0),
+    terms = F.col("terms") if "terms" in passages.columns else tokens(F.col(text))
+    found = F.aggregate(F.array_intersect(terms, F.map_keys("qmap")), F.lit(0.0),
                         lambda acc, t: acc + F.try_element_at(F.col("qmap"), t))
     return (passages.join(maps, "qid", "left")
             .withColumn("score", round_score(F.coalesce(F.try_divide(found, F.col("total")), F.lit(0.0))))
-            .drop("qmap", "total"))
+            .drop("qmap", "total", "terms"))
 
 
 def model_scores(pairs: DataFrame, score_fn: Callable[[list[str], list[str]], list[float]],

@@ -426,8 +426,9 @@ def _first_stage_sql(topics_cte: str, topics: str, k: int = CROSS_DEPTH) -> list
        + " SELECT qid, docno, rank, passage_no, text FROM passages")
 def passages(spark, sf_dir):
     """G11 on the BM25 top 100: windows of 256 tokens, stride 128."""
-    _, run = _top_text(spark, sf_dir, tables.topics(spark, sf_dir))
-    return rr.sliding(run).select("qid", "docno", "rank", "passage_no", "text")
+    idx = indexes.basic_index(spark, sf_dir)
+    run = rt.bm25(idx, rt.query_terms(tables.topics(spark, sf_dir)), k=CROSS_DEPTH)
+    return rr.run_passages(run, idx, with_terms=False).select("qid", "docno", "rank", "passage_no", "text")
 
 
 @query("pair_rerank", O.with_(*_first_stage_sql(O.topics_cte(), "topics"),
@@ -451,8 +452,9 @@ _MAXP_SQL = [*_first_stage_sql(O.topics_cte(), "topics"), O.passages_ctes("rt"),
 def max_passage(spark, sf_dir):
     """BM25 % 100 -> text -> passages -> pair scorer -> max passage."""
     t = tables.topics(spark, sf_dir)
-    idx, run = _top_text(spark, sf_dir, t)
-    return rr.max_passage(rr.coverage_scores(rr.sliding(run), t, idx))
+    idx = indexes.basic_index(spark, sf_dir)
+    run = rt.bm25(idx, rt.query_terms(t), k=CROSS_DEPTH)
+    return rr.max_passage(rr.coverage_scores(rr.run_passages(run, idx), t, idx))
 
 
 _QA_SQL = [*_first_stage_sql(O.questions_cte(), "questions"), O.passages_ctes("rt"),
@@ -462,8 +464,9 @@ _QA_SQL = [*_first_stage_sql(O.questions_cte(), "questions"), O.passages_ctes("r
 
 def _qa_context(spark, sf_dir):
     q = tables.questions(spark, sf_dir)
-    idx, run = _top_text(spark, sf_dir, q)
-    ranked = rr.max_passage(rr.coverage_scores(rr.sliding(run), q, idx))
+    idx = indexes.basic_index(spark, sf_dir)
+    run = rt.bm25(idx, rt.query_terms(q), k=CROSS_DEPTH)
+    ranked = rr.max_passage(rr.coverage_scores(rr.run_passages(run, idx), q, idx))
     return q, an_.context(ranked, an_.CONTEXT_DOCS)
 
 
