@@ -151,7 +151,8 @@ def build_index(docs: DataFrame, path: str, fields=("text",), docno: str = "docn
     # 3. lexicon: one partial-aggregated shuffle by term.
     (post.filter(F.col("term").isNotNull())
         .groupBy("term_bucket", "term")
-        .agg(F.count_distinct("docno").alias("df"), F.sum("tf").alias("cf"))
+        .agg((F.count(F.lit(1)) if len(fields) == 1 else F.count_distinct("docno")).alias("df"),
+             F.sum("tf").alias("cf"))
         .repartition("term_bucket")
         .write.mode("overwrite").format("parquet").partitionBy("term_bucket")
         .option("path", f"{path}/lexicon").saveAsTable(_table_name(path, "lexicon")))

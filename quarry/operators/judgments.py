@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions.text import tokens
 from quarry.operators.util import broadcast_if_small
+from quarry.session import shared_dir
 
 SHINGLE_WIDTH = 8
 
@@ -62,7 +63,10 @@ def containment_qrels(docs: DataFrame, passages: DataFrame, width: int = SHINGLE
             [], f"qid {passages.schema[qid].dataType.simpleString()}, "
                 f"docno {docs.schema[docno].dataType.simpleString()}, iteration int, relevance int")
     cand = keyed.join(p.select("qid", "L", "key"), ["L", "key"]).select("qid", "docno").distinct()
-    cand = broadcast_if_small(cand)
+    # materialise the candidates once in the shared checkpoint folder: the
+    # count for the broadcast check then does not re-scan the documents
+    shared_dir(docs.sparkSession)
+    cand = broadcast_if_small(cand.checkpoint())
     texts = docs.select(F.col(docno).alias("docno"), F.col(text).alias("dtext"))
     verified = (texts.join(cand, "docno")
                 .join(p.select("qid", "ptext"), "qid")

@@ -143,7 +143,9 @@ def rm3_terms(index: Index, run: DataFrame, qterms: DataFrame, fb_docs: int = 3,
           .select("qid", "docno",
                   F.when(F.col("tot") > 0, F.col("score") / F.col("tot"))
                    .otherwise(1.0 / F.col("cnt")).alias("dw")))
-    fb = broadcast_if_small(fb)
+    # proven bound: at most fb_docs rows per query, no count of the run needed
+    n_queries = qterms.select("qid").distinct().count()
+    fb = broadcast_if_small(fb, rows=n_queries * fb_docs)
     post = index.postings.filter(F.col("field") == field).select("docno", "term", "tf", "dl")
     p = (post.join(fb, "docno")
          .groupBy("qid", "term")
