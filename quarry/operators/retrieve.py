@@ -56,15 +56,16 @@ def _idf(model: str, n_docs: int):
     raise ValueError(f"unknown weighting model {model!r}; use one of {MODELS + ('BM25F',)}")
 
 
-def _weighted_terms(index: Index, qterms: DataFrame, model: str):
+def _weighted_terms(index: Index, qterms: DataFrame, model: str, rows: int | None = None):
     """Query terms joined to the lexicon: ``(qid, term_bucket, term, w)``.
 
     Returns the frame and its proven row bound (the lexicon has one row per
-    term, so the join cannot grow the query-term table).
+    term, so the join cannot grow the query-term table).  ``rows`` is a
+    known bound on ``qterms``; without it the query terms are counted.
     """
     qt = qterms.select("qid", "term", F.col("weight").cast("double").alias("weight")) \
         .withColumn("term_bucket", term_bucket("term", index.term_buckets))
-    n = qt.count()
+    n = qt.count() if rows is None else rows
     qt = broadcast_if_small(qt, rows=n)
     lex = index.lexicon.select("term_bucket", "term", "df")
     w = (qt.join(lex, ["term_bucket", "term"])
@@ -75,11 +76,14 @@ def _weighted_terms(index: Index, qterms: DataFrame, model: str):
 
 def retrieve(index: Index, qterms: DataFrame, model: str = "BM25",
              k: int | None = DEFAULT_DEPTH, k1: float = K1, b: float = B,
-             field: int = 0) -> DataFrame:
-    """H1/H2/H5: ranked run ``(qid, docno, score, rank)``, at most ``k`` per qid."""
+             field: int = 0, qterms_rows: int | None = None) -> DataFrame:
+    """H1/H2/H5: ranked run ``(qid, docno, score, rank)``, at most ``k`` per qid.
+
+    ``qterms_rows`` may carry a proven bound on the query-term rows (used for
+    the broadcast check instead of counting them)."""
     if model not in MODELS:
         raise ValueError(f"unknown weighting model {model!r}; use one of {MODELS}")
-    w, n = _weighted_terms(index, qterms, model)
+    w, n = _weighted_terms(index, qterms, model, qterms_rows)
     w = broadcast_if_small(w, rows=n)
     avgdl = index.avgdl(field)
     tf = F.col("tf").cast("double")
@@ -127,7 +131,8 @@ def bm25f(index: Index, qterms: DataFrame, weights, k: int | None = DEFAULT_DEPT
 
 
 def rm3_terms(index: Index, run: DataFrame, qterms: DataFrame, fb_docs: int = 3,
-              fb_terms: int = 10, fb_lambda: float = 0.6, field: int = 0) -> DataFrame:
+              fb_terms: int = 10, fb_lambda: float = 0.6, field: int = 0,
+              n_queries: int | None = None) -> DataFrame:
     """H4 (first half): RM3 query model from the top ``fb_docs`` documents.
 
     ``P(t) ~ sum_d tf(t,d)/dl(d) * s_d / sum s`` over the feedback documents
@@ -144,7 +149,8 @@ def rm3_terms(index: Index, run: DataFrame, qterms: DataFrame, fb_docs: int = 3,
                   F.when(F.col("tot") > 0, F.col("score") / F.col("tot"))
                    .otherwise(1.0 / F.col("cnt")).alias("dw")))
     # proven bound: at most fb_docs rows per query, no count of the run needed
-    n_queries = qterms.select("qid").distinct().count()
+    if n_queries is None:
+        n_queries = qterms.select("qid").distinct().count()
     fb = broadcast_if_small(fb, rows=n_queries * fb_docs)
     post = index.postings.filter(F.col("field") == field).select("docno", "term", "tf", "dl")
     p = (post.join(fb, "docno")
@@ -166,10 +172,17 @@ def rm3_terms(index: Index, run: DataFrame, qterms: DataFrame, fb_docs: int = 3,
 
 
 def rm3(index: Index, qterms: DataFrame, model: str = "BM25", k: int | None = DEFAULT_DEPTH,
-        first_run: DataFrame | None = None, **rm3_kw) -> DataFrame:
-    """H4: ``model >> RM3 >> model`` (the first run may be passed in, cached)."""
-    run1 = first_run if first_run is not None else retrieve(index, qterms, model, k)
-    return retrieve(index, rm3_terms(index, run1, qterms, **rm3_kw), model, k)
+        first_run: DataFrame | None = None, fb_docs: int = 3, fb_terms: int = 10,
+        fb_lambda: float = 0.6) -> DataFrame:
+    """H4: ``model >> RM3 >> model`` (the first run may be passed in).
+
+    The expanded query has at most (original terms + queries x fb_terms)
+    rows, a bound known without running the first stage."""
+    n_terms = qterms.count()
+    n_queries = qterms.select("qid").distinct().count()
+    run1 = first_run if first_run is not None else retrieve(index, qterms, model, k, qterms_rows=n_terms)
+    expanded = rm3_terms(index, run1, qterms, fb_docs, fb_terms, fb_lambda, n_queries=n_queries)
+    return retrieve(index, expanded, model, k, qterms_rows=n_terms + n_queries * fb_terms)
 
 
 def cutoff(run: DataFrame, k: int) -> DataFrame:
