@@ -26,6 +26,7 @@ from quarry.operators.util import BROADCAST_MAX_ROWS, SCORE_DECIMALS, broadcast_
 
 DEPTH = 1000
 BLOCK_ROWS = 4096  # document rows per matrix block inside a task
+BLOCK_CELLS = 32_000_000  # bound on queries x (k + block) score cells per task
 
 
 def dot(a, b):
@@ -91,12 +92,16 @@ def exhaustive_topk(docs: DataFrame, queries: DataFrame, k: int = DEPTH,
     id_type = docs.schema[doc_id].dataType.simpleString()
     q_type = queries.schema[qid].dataType.simpleString()
 
+    # memory per task ~ queries x (k + block) doubles: shrink the block for
+    # large query sets so a task stays within a few hundred MB
+    block = int(max(64, min(BLOCK_ROWS, BLOCK_CELLS // max(n_q, 1) - k)))
+
     def score(batches):
         qids_, qm = bq.value
         best_s, best_d = None, None
         for pdf in batches:
-            for i in range(0, len(pdf), BLOCK_ROWS):
-                part = pdf.iloc[i:i + BLOCK_ROWS]
+            for i in range(0, len(pdf), block):
+                part = pdf.iloc[i:i + block]
                 dm = np.array([np.asarray(v, dtype=np.float64) for v in part["vec"]])
                 if dm.size == 0 or qm.size == 0:
                     continue

@@ -68,9 +68,10 @@ def _topics_and_size(topics: DataFrame, sample: int | None):
 def experiment_0(index: ix.Index, topics: DataFrame, qrels: DataFrame) -> DataFrame:
     """J0 (notebook): TF_IDF, BM25 and BM25+RM3 with AP@1000, P@5, P@10."""
     qt = rt.query_terms(topics)
+    bm25 = rt.bm25(index, qt, DEPTH)
     systems = [("TF_IDF", lambda: rt.tf_idf(index, qt, DEPTH)),
-               ("BM25", lambda: rt.bm25(index, qt, DEPTH)),
-               ("BM25_RM3", lambda: rt.rm3(index, qt, "BM25", DEPTH))]
+               ("BM25", lambda: bm25),
+               ("BM25_RM3", lambda: rt.rm3(index, qt, "BM25", DEPTH, first_run=bm25))]
     t = evaluate_systems(systems, qrels, topics, ap_cut=1000, map_name="ap_1000")
     return t.select("name", "ap_1000", "p_5", "p_10")
 
@@ -78,10 +79,12 @@ def experiment_0(index: ix.Index, topics: DataFrame, qrels: DataFrame) -> DataFr
 def _four(index, topics, prefix, sample_size, save_dir, params):
     qt = rt.query_terms(topics)
     names = _names(prefix, ["bm25", "bm25_rm3", "tfidf", "tfidf_rm3"], sample_size)
-    makers = [lambda: rt.bm25(index, qt, DEPTH),
-              lambda: rt.rm3(index, qt, "BM25", DEPTH),
-              lambda: rt.tf_idf(index, qt, DEPTH),
-              lambda: rt.rm3(index, qt, "TF_IDF", DEPTH)]
+    # the RM3 pipelines reuse the plain runs as their first stage
+    bm25, tfidf = rt.bm25(index, qt, DEPTH), rt.tf_idf(index, qt, DEPTH)
+    makers = [lambda: bm25,
+              lambda: rt.rm3(index, qt, "BM25", DEPTH, first_run=bm25),
+              lambda: tfidf,
+              lambda: rt.rm3(index, qt, "TF_IDF", DEPTH, first_run=tfidf)]
     return list(zip(names, makers))
 
 
@@ -108,8 +111,9 @@ def experiment_3(kw_index: ix.Index, topics: DataFrame, qrels: DataFrame, thesau
     qa = rt.query_terms(t)
     qb = rt.query_terms(kw.expand_queries(t, thesaurus))
     names = _names("experiment3A", ["bm25", "bm25_rm3"], n) + _names("experiment3B", ["bm25", "bm25_rm3"], n)
-    makers = [lambda: rt.bm25(kw_index, qa, DEPTH), lambda: rt.rm3(kw_index, qa, "BM25", DEPTH),
-              lambda: rt.bm25(kw_index, qb, DEPTH), lambda: rt.rm3(kw_index, qb, "BM25", DEPTH)]
+    ra, rb = rt.bm25(kw_index, qa, DEPTH), rt.bm25(kw_index, qb, DEPTH)
+    makers = [lambda: ra, lambda: rt.rm3(kw_index, qa, "BM25", DEPTH, first_run=ra),
+              lambda: rb, lambda: rt.rm3(kw_index, qb, "BM25", DEPTH, first_run=rb)]
     return evaluate_systems(list(zip(names, makers)), qrels, t, save_dir, f"e3|{n}")
 
 
