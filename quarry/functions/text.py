@@ -65,16 +65,20 @@ def clean_question(c, normalize: bool = True) -> Column:
     return F.trim(x)
 
 
-def tokens(c, stop_words=ENGLISH_STOP_WORDS) -> Column:
+def tokens(c, stop_words=ENGLISH_STOP_WORDS, stem: bool = False) -> Column:
     """Index-time terms of a text column as ``array<string>``.
 
-    Null text gives an empty array.  ``stop_words=None`` keeps every token.
+    Null text gives an empty array.  ``stop_words=None`` keeps every token;
+    ``stem=True`` applies Porter stemming after the stop list (off by default).
     """
     arr = F.regexp_extract_all(F.lower(F.coalesce(_col(c), F.lit(""))),
                                F.lit(TOKEN_PATTERN), 1)
     if stop_words:
         stops = list(stop_words)
         arr = F.filter(arr, lambda t: ~t.isin(stops))
+    if stem:
+        from quarry.functions.stem import stem_tokens
+        arr = stem_tokens(arr)
     return arr
 
 

@@ -67,6 +67,11 @@ class Index:
     doc_buckets: int
     term_buckets: int
     stopped: bool
+    stemmed: bool = False
+
+    def terms(self, c):
+        """The index's own term rule (stop list, stemming) for any text column."""
+        return tokens(c, ENGLISH_STOP_WORDS if self.stopped else None, self.stemmed)
 
     @property
     def n_tokens(self) -> int:
@@ -104,7 +109,8 @@ def index_exists(spark: SparkSession, path: str) -> bool:
 
 def build_index(docs: DataFrame, path: str, fields=("text",), docno: str = "docno",
                 doc_buckets: int | None = None, term_buckets: int = DEFAULT_TERM_BUCKETS,
-                stop_words=ENGLISH_STOP_WORDS, mode: str = "errorifexists") -> Index:
+                stop_words=ENGLISH_STOP_WORDS, mode: str = "errorifexists",
+                stem: bool = False) -> Index:
     """Index ``fields`` of ``docs`` (field i gets number i).
 
     ``mode``: ``errorifexists`` (the reference's create-or-fail),
@@ -135,7 +141,7 @@ def build_index(docs: DataFrame, path: str, fields=("text",), docno: str = "docn
     # 2. bucket-local tokenising and tf counting; empty fields keep one row
     #    with a null term so that their length (0) is recorded.
     per_field = F.inline(F.array(*[
-        F.struct(F.lit(i).alias("field"), tokens(F.col(f), stop_words).alias("toks"))
+        F.struct(F.lit(i).alias("field"), tokens(F.col(f), stop_words, stem).alias("toks"))
         for i, f in enumerate(fields)]))
     postings = (src.select("docno", per_field)
                 .select("docno", "field", F.size("toks").alias("dl"),
@@ -175,6 +181,7 @@ def build_index(docs: DataFrame, path: str, fields=("text",), docno: str = "docn
         "doc_buckets": B,
         "term_buckets": T,
         "stopped": bool(stop_words),
+        "stemmed": bool(stem),
         "n_docs": int(n_docs),
         "n_terms": int(spark.table(_table_name(path, "lexicon")).count()),
         "field_tokens": [int(per_field_rows.get(i, (0, 0))[1] or 0) for i in range(len(fields))],
@@ -227,6 +234,7 @@ def open_index(spark: SparkSession, path: str) -> Index:
         doc_buckets=B,
         term_buckets=meta["term_buckets"],
         stopped=meta["stopped"],
+        stemmed=meta.get("stemmed", False),
     )
 
 

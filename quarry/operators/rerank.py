@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.functions.text import split_words, tokens
+from quarry.functions.text import split_words
 from quarry.operators.index import Index, term_bucket
 from quarry.operators.util import SCORE_DECIMALS, broadcast_if_small, round_score, top_k
 
@@ -78,14 +78,14 @@ def run_passages(run: DataFrame, index: Index, length: int = LENGTH, stride: int
     ids = run.select("docno").distinct()
     ps = sliding(get_text(ids, index, field), length, stride)
     if with_terms:
-        ps = ps.withColumn("terms", F.array_distinct(tokens(F.col("text"))))
+        ps = ps.withColumn("terms", F.array_distinct(index.terms(F.col("text"))))
     return run.drop("text").join(ps, "docno")
 
 
 def query_idf_maps(topics: DataFrame, index: Index, query: str = "query") -> DataFrame:
     """``(qid, qmap map<term, idf>, total)`` for the coverage scorer; one
     row per query, so it is broadcast after a row-count check."""
-    qt = (topics.select("qid", F.explode(F.array_distinct(tokens(F.col(query)))).alias("term"))
+    qt = (topics.select("qid", F.explode(F.array_distinct(index.terms(F.col(query)))).alias("term"))
           .withColumn("term_bucket", term_bucket("term", index.term_buckets)))
     qt = broadcast_if_small(qt)
     n = float(index.n_docs)
@@ -104,7 +104,7 @@ def coverage_scores(passages: DataFrame, topics: DataFrame, index: Index,
     and no shuffle of the passages.
     """
     maps = broadcast_if_small(query_idf_maps(topics, index, query))
-    terms = F.col("terms") if "terms" in passages.columns else tokens(F.col(text))
+    terms = F.col("terms") if "terms" in passages.columns else index.terms(F.col(text))
     found = F.aggregate(F.array_intersect(terms, F.map_keys("qmap")), F.lit(0.0),
                         lambda acc, t: acc + F.try_element_at(F.col("qmap"), t))
     return (passages.join(maps, "qid", "left")

@@ -40,10 +40,13 @@ MODELS = ("BM25", "TF_IDF")
 
 
 def query_terms(topics: DataFrame, qid: str = "qid", query: str = "query",
-                stop_words=ENGLISH_STOP_WORDS) -> DataFrame:
-    """Plain query -> ``(qid, term, weight)`` with weight = term count."""
-    return (topics.select(F.col(qid).alias("qid"),
-                          F.explode(tokens(F.col(query), stop_words)).alias("term"))
+                stop_words=ENGLISH_STOP_WORDS, stem: bool = False,
+                index: Index | None = None) -> DataFrame:
+    """Plain query -> ``(qid, term, weight)`` with weight = term count.
+
+    Pass ``index`` to use that index's term rule (stop list, stemming)."""
+    terms = index.terms(F.col(query)) if index is not None else tokens(F.col(query), stop_words, stem)
+    return (topics.select(F.col(qid).alias("qid"), F.explode(terms).alias("term"))
             .groupBy("qid", "term").agg(F.count(F.lit(1)).cast("double").alias("weight")))
 
 

@@ -45,3 +45,26 @@ def test_nfkc_udf(spark):
     s = "ﬁ ① Ａ"
     r = spark.createDataFrame([(s,)], "t string").select(nfkc(F.col("t")).alias("n")).first()
     assert r.n == unicodedata.normalize("NFKC", s)
+
+
+def test_porter_examples_and_column(spark):
+    from quarry.functions.stem import porter_stem
+    cases = {"caresses": "caress", "ponies": "poni", "agreed": "agre", "motoring": "motor",
+             "hopping": "hop", "filing": "file", "relational": "relat", "generalizations": "gener",
+             "oscillators": "oscil", "effective": "effect", "controll": "control", "sky": "sky"}
+    assert {w: porter_stem(w) for w in cases} == cases
+    r = spark.createDataFrame([("The ponies were hopping",)], "t string") \
+        .select(tokens(F.col("t"), stem=True).alias("a")).first()
+    assert r.a == ["poni", "hop"]
+
+
+def test_stemmed_index_matches_stemmed_queries(spark):
+    from quarry.operators import index as ix
+    from quarry.operators import retrieve as rt
+    from quarry.session import scratch_path
+    docs = spark.createDataFrame([(1, "connected connections"), (2, "connect")], "docno long, text string")
+    idx = ix.build_index(docs, scratch_path(spark, "stem-idx"), doc_buckets=2, stem=True)
+    assert idx.stemmed and {r.term for r in ix.lexicon(idx).collect()} == {"connect"}
+    topics = spark.createDataFrame([(7, "connecting")], "qid long, query string")
+    run = rt.bm25(idx, rt.query_terms(topics, index=idx)).collect()
+    assert sorted(r.docno for r in run) == [1, 2]
