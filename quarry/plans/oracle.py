@@ -339,8 +339,8 @@ def label_metrics_ctes(run: str, doc_labels: str, query_labels: str, out: str =
 
 
 def questions_cte() -> str:
-    return ("questions AS (SELECT conv_id * 1000 + turn AS qid, text AS query "
-            "FROM conversations WHERE role = 'user')")
+    return ("questions AS (SELECT CAST(conv_id AS VARCHAR) || ':' || CAST(turn AS VARCHAR) AS qid, "
+            "text AS query FROM conversations WHERE role = 'user')")
 
 
 def passages_ctes(run_text: str, name: str = "passages", length: int = 256, stride: int = 128) -> str:

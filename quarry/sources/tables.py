@@ -81,8 +81,9 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """User turns of ``conversations`` as questions ``(qid, query)``;
-    ``qid = conv_id * 1000 + turn`` keeps them unique and ordered."""
+    """User turns of ``conversations`` as questions ``(qid, query)`` with
+    ``qid = "<conv_id>:<turn>"`` (unique for any number of turns)."""
     c = table(spark, sf_dir, "conversations")
     return c.filter(F.col("role") == "user").select(
-        (F.col("conv_id") * 1000 + F.col("turn")).alias("qid"), F.col("text").alias("query"))
+        F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("qid"),
+        F.col("text").alias("query"))
