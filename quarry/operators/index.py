@@ -44,6 +44,21 @@ from quarry.functions.text import tokens
 from quarry.session import path_exists
 
 DEFAULT_TERM_BUCKETS = 16
+# Input bytes per document bucket when the bucket count is derived from the
+# size of the input (Catalyst's estimate of the scanned files).
+TARGET_BUCKET_BYTES = 256 * 1024 * 1024
+
+
+def auto_doc_buckets(docs: DataFrame, target_bytes: int = TARGET_BUCKET_BYTES) -> int:
+    """At least ``spark.sql.shuffle.partitions`` buckets, more for large
+    inputs: one per ``target_bytes`` of estimated input size."""
+    spark = docs.sparkSession
+    floor = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    try:
+        size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    except Exception:  # noqa: BLE001 - estimate unavailable
+        return floor
+    return max(floor, -(-size // target_bytes))
 
 
 def term_bucket(term_col, n_buckets: int):
@@ -113,6 +128,10 @@ def build_index(docs: DataFrame, path: str, fields=("text",), docno: str = "docn
                 stem: bool = False) -> Index:
     """Index ``fields`` of ``docs`` (field i gets number i).
 
+    ``doc_buckets`` defaults to ``auto_doc_buckets`` (one bucket per ~256 MB
+    of input, at least the shuffle partitions); ``term_buckets`` partitions
+    postings and lexicon by term hash for partition pruning.
+
     ``mode``: ``errorifexists`` (the reference's create-or-fail),
     ``overwrite`` (the notebook's delete-and-rebuild) or ``ignore``
     (open the existing index).  A15.
@@ -127,7 +146,7 @@ def build_index(docs: DataFrame, path: str, fields=("text",), docno: str = "docn
         _delete(spark, path)
     for part in ("docs", "postings", "lexicon", "doc_stats"):
         spark.sql(f"DROP TABLE IF EXISTS {_table_name(path, part)}")
-    B = int(doc_buckets or spark.conf.get("spark.sql.shuffle.partitions"))
+    B = int(doc_buckets or auto_doc_buckets(docs))
     T = int(term_buckets)
 
     # 1. the one shuffle of raw text: hash documents into B buckets.
