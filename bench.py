@@ -86,7 +86,7 @@ def main():
         q = tables.questions(spark, sf_dir)
         run = rt.bm25(idx, rt.query_terms(q), 100)
         ctx = an.context(rr.max_passage(rr.coverage_scores(rr.run_passages(run, idx), q, idx)))
-        return an.final_answers(an.generate(an.prompts_tool(q, ctx)), ctx)
+        return an.final_answers(an.generate(an.prompts_tool(q, ctx)))
     timed("qa_answers", qa)
 
     total = round(sum(times.values()), 3)

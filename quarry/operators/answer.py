@@ -43,7 +43,8 @@ def prompts_tool(questions: DataFrame, contexts: DataFrame, query: str = "query"
         F.struct(F.lit("system").alias("role"), F.lit(SYSTEM_PROMPT_TOOL).alias("content")),
         F.struct(F.lit("tool").alias("role"), F.coalesce("context", F.lit("")).alias("content")),
         F.struct(F.lit("user").alias("role"), F.col(query).alias("content")))
-    return questions.join(contexts, "qid", "left").select("qid", msg.alias("messages"))
+    return questions.join(contexts, "qid", "left").select(
+        "qid", msg.alias("messages"), F.coalesce("context", F.lit("")).alias("context"))
 
 
 def prompts_user(questions: DataFrame, contexts: DataFrame, query: str = "query") -> DataFrame:
@@ -52,7 +53,8 @@ def prompts_user(questions: DataFrame, contexts: DataFrame, query: str = "query"
     msg = F.array(
         F.struct(F.lit("system").alias("role"), F.lit(SYSTEM_PROMPT_USER).alias("content")),
         F.struct(F.lit("user").alias("role"), user.alias("content")))
-    return questions.join(contexts, "qid", "left").select("qid", msg.alias("messages"))
+    return questions.join(contexts, "qid", "left").select(
+        "qid", msg.alias("messages"), F.coalesce("context", F.lit("")).alias("context"))
 
 
 def first_passage_answer(messages: list[dict]) -> str:
@@ -67,23 +69,34 @@ def first_passage_answer(messages: list[dict]) -> str:
 
 def generate(prompts: DataFrame, answer_fn: Callable[[list[dict]], str] = first_passage_answer,
              temperature: float = 0.7, max_tokens: int = 256) -> DataFrame:
-    """``(qid, answer)`` from ``answer_fn(messages)`` per prompt, called
-    inside Arrow batches (``mapInPandas``).  ``temperature`` and
+    """``(qid, answer[, context])`` from ``answer_fn(messages)`` per
+    prompt, called inside Arrow batches (``mapInPandas``).  A ``context``
+    column of the prompts is passed through.  ``temperature`` and
     ``max_tokens`` are passed on when the function accepts them."""
     import inspect
     params = inspect.signature(answer_fn).parameters
     extra = {k: v for k, v in (("temperature", temperature), ("max_tokens", max_tokens)) if k in params}
     qid_type = prompts.schema["qid"].dataType.simpleString()
+    keep = ["context"] if "context" in prompts.columns else []
 
     def run(batches):
         for pdf in batches:
             answers = [answer_fn([dict(m) for m in msgs], **extra) for msgs in pdf["messages"]]
-            yield pd.DataFrame({"qid": pdf["qid"].values, "answer": answers})
-
-    return prompts.select("qid", "messages").mapInPandas(run, f"qid {qid_type}, answer string")
-
-
-def final_answers(answers: DataFrame, contexts: DataFrame) -> DataFrame:
-    """``answer + "\\n\\n" + context``."""
-    return answers.join(contexts, "qid", "left").select(
+            out = pd.DataFrame({"qid": pdf["qid"].values, "answer": answers})
+            for c in keep:
+                out[c] = pdf[c].values
+            yield out
+
+    schema = f"qid {qid_type}, answer string" + "".join(f", {c} string" for c in keep)
+    return prompts.select("qid", "messages", *keep).mapInPandas(run, schema)
+
+
+def final_answers(answers: DataFrame, contexts: DataFrame | None = None) -> DataFrame:
+    """``answer + blank line + context``; the context comes from the
+    answers' own ``context`` column when present (no second join)."""
+    if contexts is None or "context" in answers.columns:
+        src = answers
+    else:
+        src = answers.join(contexts, "qid", "left")
+    return src.select(
         "qid", F.concat(F.col("answer"), F.lit("\n\n"), F.coalesce("context", F.lit(""))).alias("answer"))

@@ -515,8 +515,7 @@ aa AS (SELECT q.qid, coalesce(c.context, '') AS context,
 def answers(spark, sf_dir):
     """I5 + I6 with the stand-in answer function (first context passage)."""
     q, ctx = _qa_context(spark, sf_dir)
-    gen = an_.generate(an_.prompts_tool(q, ctx))
-    return an_.final_answers(gen, ctx)
+    return an_.final_answers(an_.generate(an_.prompts_tool(q, ctx)))
 
 
 # --------------------------------------------------------------- experiments
