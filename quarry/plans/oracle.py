@@ -60,9 +60,9 @@ def index_ctes(docs: str = "corpus", text: str = "text", stop: bool = True,
 {p}tok AS (SELECT docno, {tokens(text, stop)} AS toks FROM {docs}),
 {p}post AS (
   SELECT docno, term, count(*) AS tf, any_value(dl) AS dl
-  FROM (SELECT docno, len(toks) AS dl, unnest(toks) AS term FROM {p}tok)
+  FROM (SELECT docno, CAST(len(toks) AS INTEGER) AS dl, unnest(toks) AS term FROM {p}tok)
   GROUP BY docno, term),
-{p}lex AS (SELECT term, count(*) AS df, sum(tf) AS cf FROM {p}post GROUP BY term),
+{p}lex AS (SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf FROM {p}post GROUP BY term),
 {p}stats AS (SELECT CAST(count(*) AS DOUBLE) AS n, CAST(sum(len(toks)) AS DOUBLE) AS tokens,
                CAST(sum(len(toks)) AS DOUBLE) / count(*) AS avgdl FROM {p}tok)"""
 
@@ -98,7 +98,7 @@ def retrieve_ctes(name: str, qterms: str, model: str, k: int, prefix: str = "")
              GROUP BY qid, docno),
 {name} AS (SELECT * FROM (
     SELECT qid, docno, score,
-           row_number() OVER (PARTITION BY qid ORDER BY score DESC, docno) AS rank
+           CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, docno) AS INTEGER) AS rank
     FROM {name}_s) WHERE rank <= {k})"""
 
 
@@ -153,7 +153,7 @@ def with_(*ctes: str) -> str:
 
 def splits_cte() -> str:
     return """splits AS (
-  SELECT ((doc_id % 3) + 3) % 3 AS src_ord, doc_id AS pos,
+  SELECT CAST(((doc_id % 3) + 3) % 3 AS INTEGER) AS src_ord, doc_id AS pos,
          CAST(min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS VARCHAR) AS para_id,
          coalesce(text, '') AS context, coalesce(text, '') AS raw_ocr,
          coalesce(source, '') AS publication_date
@@ -217,7 +217,7 @@ def rake_ctes(src: str, prefix: str = "rk", max_keywords: int = 3) -> str:
 {p}_f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY docno, keyword ORDER BY prank, widx) AS rr
                          FROM {p}_x) WHERE rr = 1),
 {p} AS (SELECT docno, kw_rank, keyword FROM (
-          SELECT docno, keyword, row_number() OVER (PARTITION BY docno ORDER BY prank, widx) AS kw_rank
+          SELECT docno, keyword, CAST(row_number() OVER (PARTITION BY docno ORDER BY prank, widx) AS INTEGER) AS kw_rank
           FROM {p}_f) WHERE kw_rank <= {max_keywords})"""
 
 
@@ -256,7 +256,7 @@ def fielded_index_ctes(fields: list[tuple[str, str]], prefix: str = "f") -> str:
 {p}_tok AS ({parts}),
 {p}_post AS (
   SELECT docno, field, term, count(*) AS tf, any_value(dl) AS dl
-  FROM (SELECT docno, field, len(toks) AS dl, unnest(toks) AS term FROM {p}_tok)
+  FROM (SELECT docno, field, CAST(len(toks) AS INTEGER) AS dl, unnest(toks) AS term FROM {p}_tok)
   GROUP BY docno, field, term),
 {p}_lex AS (SELECT term, count(DISTINCT docno) AS df FROM {p}_post GROUP BY term),
 {p}_n AS (SELECT CAST(count(DISTINCT docno) AS DOUBLE) AS n FROM {p}_tok),
@@ -279,7 +279,7 @@ def bm25f_ctes(name: str, qterms: str, weights, k: int, prefix: str = "f",
 {name}_s AS (SELECT qid, docno, round(sum(w * t / ({dbl(k1)} + t)), 6) AS score FROM {name}_t GROUP BY qid, docno),
 {name} AS (SELECT * FROM (
     SELECT qid, docno, score,
-           row_number() OVER (PARTITION BY qid ORDER BY score DESC, docno) AS rank
+           CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, docno) AS INTEGER) AS rank
     FROM {name}_s) WHERE rank <= {k})"""
 
 
@@ -313,7 +313,7 @@ def dense_topk_ctes(name: str, docs: str, queries: str, k: int) -> str:
                      lambda p: CAST(p[1] AS DOUBLE) * CAST(p[2] AS DOUBLE))), 6) AS score
              FROM {queries} q CROSS JOIN {docs} d),
 {name} AS (SELECT * FROM (SELECT qid, docno, score,
-             row_number() OVER (PARTITION BY qid ORDER BY score DESC, docno) AS rank FROM {name}_s)
+             CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, docno) AS INTEGER) AS rank FROM {name}_s)
            WHERE rank <= {k})"""
 
 
@@ -375,7 +375,7 @@ def max_passage_ctes(scored: str, name: str = "mp") -> str:
               SELECT *, row_number() OVER (PARTITION BY qid, docno ORDER BY score DESC, passage_no) AS r
               FROM {scored}) WHERE r = 1),
 {name} AS (SELECT qid, docno, score, text,
-             row_number() OVER (PARTITION BY qid ORDER BY score DESC, docno) AS rank FROM {name}_b)"""
+             CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, docno) AS INTEGER) AS rank FROM {name}_b)"""
 
 
 def context_cte(ranked: str, name: str = "ctx", n: int = 3) -> str:

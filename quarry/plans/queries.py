@@ -195,8 +195,8 @@ def _lens(spark, sf_dir):
     return an.with_lengths(tables.corpus(spark, sf_dir))
 
 
-@query("max_lengths", " SELECT max(length(CAST(doc_id AS VARCHAR))) AS max_docno_len,"
-                      " max(length(text)) AS max_text_len FROM documents")
+@query("max_lengths", " SELECT CAST(max(length(CAST(doc_id AS VARCHAR))) AS INTEGER) AS max_docno_len,"
+                      " CAST(max(length(text)) AS INTEGER) AS max_text_len FROM documents")
 def max_lengths(spark, sf_dir):
     return an.max_lengths(tables.corpus(spark, sf_dir))
 
@@ -394,7 +394,7 @@ _DENSE_RERANK_SQL = O.with_(
 rs AS (SELECT r.qid, r.docno, round(list_sum(list_transform(list_zip(q.vec, d.vec),
           lambda p: CAST(p[1] AS DOUBLE) * CAST(p[2] AS DOUBLE))), 6) AS score
        FROM r1 r JOIN vecs d ON d.docno = r.docno JOIN vecs q ON q.docno = r.qid)
- SELECT qid, docno, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, docno) AS rank FROM rs"""
+ SELECT qid, docno, score, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, docno) AS INTEGER) AS rank FROM rs"""
 
 
 @query("dense_rerank", _DENSE_RERANK_SQL)
@@ -433,7 +433,7 @@ def passages(spark, sf_dir):
 
 @query("pair_rerank", O.with_(*_first_stage_sql(O.topics_cte(), "topics"),
                               O.coverage_ctes("rt", "topics", "qid, docno, rank"))
-       + " SELECT qid, docno, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, docno) AS rank"
+       + " SELECT qid, docno, score, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, docno) AS INTEGER) AS rank"
          " FROM cov")
 def pair_rerank(spark, sf_dir):
     """H9 (experiment 6): BM25 top 100 re-scored by the pair scorer over
