@@ -1,0 +1 @@
+"""Relational operators: collection, index, retrieval, keywords, dense, re-ranking, evaluation, answers."""

@@ -42,13 +42,27 @@ def clean_qrels(qrels: DataFrame, topics: DataFrame | None = None) -> DataFrame:
 
 
 def _ideal(qrels: DataFrame, cutoffs) -> DataFrame:
-    """Per judged topic: number relevant and ideal DCG at each cutoff."""
-    pos = F.row_number().over(W.partitionBy("qid").orderBy(F.col("relevance").desc(), "docno"))
-    g = qrels.filter(F.col("relevance") > 0).withColumn("pos", pos)
-    aggs = [F.count(F.lit(1)).alias("num_rel")]
+    """Per judged topic: number relevant and ideal DCG at each cutoff.
+
+    The ideal ranking lists grades in descending order, so it is computed
+    from counts per (topic, grade) - a partially aggregated group-by with a
+    few rows per topic - instead of ranking every judgment of a topic in
+    one window (a topic with a huge number of judgments stays cheap).
+    Positions ``first .. last`` of a grade contribute
+    ``grade * sum_{p} 1 / log2(p + 1)`` for ``p <= k``.
+    """
+    g = (qrels.filter(F.col("relevance") > 0)
+         .groupBy("qid", "relevance").agg(F.count(F.lit(1)).alias("n")))
+    by_grade = W.partitionBy("qid").orderBy(F.col("relevance").desc()) \
+        .rowsBetween(W.unboundedPreceding, W.currentRow)
+    g = (g.withColumn("last", F.sum("n").over(by_grade))
+          .withColumn("first", F.col("last") - F.col("n") + 1))
+    aggs = [F.sum("n").alias("num_rel")]
     for k in cutoffs:
-        aggs.append(F.sum(F.when(F.col("pos") <= k, F.col("relevance") / F.log2(F.col("pos") + 1.0))
-                          .otherwise(0.0)).alias(f"idcg_{k}"))
+        pos = F.sequence(F.col("first"), F.least(F.col("last"), F.lit(k)))
+        part = F.when(F.col("first") <= k, F.aggregate(
+            pos, F.lit(0.0), lambda acc, p: acc + F.col("relevance") / F.log2(p + 1.0))).otherwise(0.0)
+        aggs.append(F.sum(part).alias(f"idcg_{k}"))
     return g.groupBy("qid").agg(*aggs)
 
 

@@ -1,0 +1 @@
+"""Readers and writers: JSON splits, driver tables, TREC runs, thesaurus."""
