@@ -48,9 +48,12 @@ def rake_keywords(docs: DataFrame, docno: str = "docno", text: str = "text",
                   stop_words=ENGLISH_STOP_WORDS) -> DataFrame:
     """``(docno, kw_rank, keyword)``, at most ``max_keywords`` per document."""
     stops = list(stop_words)
-    toks = docs.select(F.col(docno).alias("docno"),
-                       F.posexplode(F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))),
-                                                         F.lit(RAKE_TOKEN), 1)).alias("pos", "tok"))
+    # shuffle documents (not their many tokens) by docno once; every window
+    # and aggregate below is then partition-local
+    toks = docs.select(F.col(docno).alias("docno"), F.col(text).alias("text")).repartition("docno") \
+        .select("docno",
+                F.posexplode(F.regexp_extract_all(F.lower(F.coalesce(F.col("text"), F.lit(""))),
+                                                  F.lit(RAKE_TOKEN), 1)).alias("pos", "tok"))
     is_break = (~F.col("tok").rlike("^" + _WORD + "$")) | F.col("tok").isin(stops)
     by_pos = W.partitionBy("docno").orderBy("pos").rowsBetween(W.unboundedPreceding, W.currentRow)
     words = (toks.withColumn("phrase", F.sum(is_break.cast("int")).over(by_pos))
