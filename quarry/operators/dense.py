@@ -14,6 +14,7 @@ ranking; ties go to the smaller ``docno``.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 import numpy as np
@@ -140,3 +141,42 @@ def rerank(run: DataFrame, doc_vectors: DataFrame, query_vectors: DataFrame,
 
 def vector_schema():
     return T.ArrayType(T.FloatType())
+
+
+def build_dense_index(docs: DataFrame, path: str, encode_fn: Callable[[list[str]], list[list[float]]],
+                      doc_id: str = "docno", text: str = "text", mode: str = "errorifexists",
+                      batch_size: int = 64, buckets: int | None = None) -> DataFrame:
+    """Encode every document and store ``(docno, vec)`` as Parquet
+    bucketed by ``docno`` (so re-ranking joins shuffle only the run).
+    ``mode``: ``errorifexists`` (create-or-fail) or ``overwrite``."""
+    from quarry.operators.index import _delete, _table_name, auto_doc_buckets
+    from quarry.session import path_exists
+    spark = docs.sparkSession
+    if path_exists(spark, path):
+        if mode == "errorifexists":
+            raise RuntimeError(f"Index already exists: {path}")
+        _delete(spark, path)
+    B = int(buckets or auto_doc_buckets(docs))
+    name = _table_name(path, "vectors")
+    spark.sql(f"DROP TABLE IF EXISTS {name}")
+    vec = encode(docs.select(F.col(doc_id).alias("docno"), F.col(text).alias("text")), encode_fn,
+                 "docno", "text", batch_size)
+    (vec.repartition(B, "docno").write.format("parquet").bucketBy(B, "docno").sortBy("docno")
+        .option("path", path).saveAsTable(name))
+    meta = json.dumps({"buckets": B, "docno_type": docs.schema[doc_id].dataType.simpleString()})
+    spark.createDataFrame([(meta,)], "meta string").coalesce(1).write.mode("overwrite").text(f"{path}/_meta")
+    return open_dense_index(spark, path)
+
+
+def open_dense_index(spark, path: str) -> DataFrame:
+    """``(docno, vec)`` of a stored dense index or ``RuntimeError``."""
+    from quarry.operators.index import _table_name
+    from quarry.session import path_exists
+    if not path_exists(spark, path):
+        raise RuntimeError(f"Index does not exist: {path}")
+    name = _table_name(path, "vectors")
+    if not spark.catalog.tableExists(name):
+        meta = json.loads(spark.read.text(f"{path}/_meta").first()[0])
+        spark.sql(f"CREATE TABLE {name} (docno {meta['docno_type']}, vec ARRAY<FLOAT>) USING parquet "
+                  f"CLUSTERED BY (docno) SORTED BY (docno) INTO {meta['buckets']} BUCKETS LOCATION '{path}'")
+    return spark.table(name)

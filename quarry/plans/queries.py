@@ -652,3 +652,18 @@ def run_trec_roundtrip(spark, sf_dir):
     run = runs_io.reuse(spark, path, lambda: _bm25_run(spark, sf_dir), "BM25",
                         qid_type="bigint", docno_type="bigint")
     return run.select("qid", "docno", "rank", "score")
+
+
+@query("row_counts", O.with_(O.corpus_cte(), O.topics_cte(), O.qrels_cte()) + """
+ SELECT 'documents' AS name, count(*) AS n FROM corpus
+ UNION ALL SELECT 'topics', count(*) FROM topics
+ UNION ALL SELECT 'qrels', count(*) FROM qrels""")
+def row_counts(spark, sf_dir):
+    """Row counts of documents, topics and judgments."""
+    parts = [("documents", tables.corpus(spark, sf_dir)), ("topics", tables.topics(spark, sf_dir)),
+             ("qrels", tables.qrels(spark, sf_dir))]
+    out = None
+    for name, df in parts:
+        c = df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("name"), "n")
+        out = c if out is None else out.unionByName(c)
+    return out

@@ -30,3 +30,36 @@ def test_encode_hook(spark):
     v = {r.docno: r.vec for r in de.encode(docs, de.hashed_encoder(8)).collect()}
     assert len(v[1]) == 8 and sum(x * x for x in v[1]) == pytest.approx(1.0, rel=1e-5)
     assert sum(v[2]) == 0.0
+
+
+def test_dense_index_build_open(spark, scratch):
+    docs = spark.createDataFrame([(1, "a b"), (2, "c"), (3, "a")], "docno int, text string")
+    path = scratch("dense-idx")
+    v = de.build_dense_index(docs, path, de.hashed_encoder(4), buckets=2)
+    assert v.count() == 3
+    with pytest.raises(RuntimeError):
+        de.build_dense_index(docs, path, de.hashed_encoder(4))
+    again = de.open_dense_index(spark, path)
+    assert sorted(r.docno for r in again.collect()) == [1, 2, 3]
+    with pytest.raises(RuntimeError):
+        de.open_dense_index(spark, path + "-none")
+
+
+def test_similarity_keywords(spark):
+    from quarry.operators import keywords as kw
+    docs = spark.createDataFrame([(1, "alpha beta gamma the")], "docno int, text string")
+    tv = spark.createDataFrame([("alpha", [1.0, 0.0]), ("beta", [0.0, 1.0]), ("gamma", [0.7, 0.7])],
+                               "term string, vec array<double>")
+    dv = spark.createDataFrame([(1, [1.0, 0.1])], "docno int, vec array<double>")
+    got = [r.keyword for r in kw.keywords_extractor(docs, 2, "bert", term_vectors=tv, doc_vectors=dv)
+           .orderBy("kw_rank").collect()]
+    assert got == ["alpha", "gamma"]
+
+
+def test_dense_index_reopen_in_fresh_catalog(spark, scratch):
+    from quarry.operators.index import _table_name
+    docs = spark.createDataFrame([(1, "a b"), (2, "c")], "docno int, text string")
+    path = scratch("dense-idx2")
+    de.build_dense_index(docs, path, de.hashed_encoder(4), buckets=5)   # some buckets empty
+    spark.sql(f"DROP TABLE IF EXISTS {_table_name(path, 'vectors')}")   # as in a new session
+    assert sorted(r.docno for r in de.open_dense_index(spark, path).collect()) == [1, 2]
