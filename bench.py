@@ -68,7 +68,7 @@ def main():
     timed("rake_keywords", lambda: kw.rake_keywords(docs))
     idx2 = timed("two_field_index_build", lambda: ix.build_index(
         kw.expand_documents(docs, th, replace=False), scratch_path(spark, "bench-two"),
-        fields=("text", "keywords")))
+        fields=("text", "keywords"), store=False))
     timed("bm25f_mixed", lambda: rt.bm25f(idx2, qt, (0.7, 0.3), 1000))
     timed("query_expand_bm25", lambda: rt.bm25(idx, rt.query_terms(kw.expand_queries(topics, th)), 1000))
 

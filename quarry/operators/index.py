@@ -125,10 +125,11 @@ def index_exists(spark: SparkSession, path: str) -> bool:
 def build_index(docs: DataFrame, path: str, fields=("text",), docno: str = "docno",
                 doc_buckets: int | None = None, term_buckets: int = DEFAULT_TERM_BUCKETS,
                 stop_words=ENGLISH_STOP_WORDS, mode: str = "errorifexists",
-                stem: bool = False) -> Index:
+                stem: bool = False, store: bool = True) -> Index:
     """Index ``fields`` of ``docs`` (field i gets number i).
 
-    ``doc_buckets`` defaults to ``auto_doc_buckets`` (one bucket per ~256 MB
+    ``store=False`` keeps no copy of the text (no ``get_text``), as for the
+    keyword-only and two-field indexes.  ``doc_buckets`` defaults to ``auto_doc_buckets`` (one bucket per ~256 MB
     of input, at least the shuffle partitions); ``term_buckets`` partitions
     postings and lexicon by term hash for partition pruning.
 
@@ -149,13 +150,18 @@ def build_index(docs: DataFrame, path: str, fields=("text",), docno: str = "docn
     B = int(doc_buckets or auto_doc_buckets(docs))
     T = int(term_buckets)
 
-    # 1. the one shuffle of raw text: hash documents into B buckets.
-    (docs.select(F.col(docno).alias("docno"), *[F.col(f) for f in fields])
-         .repartition(B, "docno")
-         .write.mode("overwrite").format("parquet")
-         .bucketBy(B, "docno").sortBy("docno")
-         .option("path", f"{path}/docs").saveAsTable(_table_name(path, "docs")))
-    src = spark.table(_table_name(path, "docs"))
+    # 1. the one shuffle of raw text: hash documents into B buckets.  With
+    #    ``store`` the bucketed text is kept (for text lookup) and tokenised
+    #    from there; otherwise it is tokenised straight from the shuffle.
+    hashed = docs.select(F.col(docno).alias("docno"), *[F.col(f) for f in fields]) \
+        .repartition(B, "docno")
+    if store:
+        (hashed.write.mode("overwrite").format("parquet")
+            .bucketBy(B, "docno").sortBy("docno")
+            .option("path", f"{path}/docs").saveAsTable(_table_name(path, "docs")))
+        src = spark.table(_table_name(path, "docs"))
+    else:
+        src = hashed
 
     # 2. bucket-local tokenising and tf counting; empty fields keep one row
     #    with a null term so that their length (0) is recorded.
@@ -197,6 +203,7 @@ def build_index(docs: DataFrame, path: str, fields=("text",), docno: str = "docn
     meta = {
         "fields": list(fields),
         "docno_type": src.schema["docno"].dataType.simpleString(),
+        "stored": bool(store),
         "doc_buckets": B,
         "term_buckets": T,
         "stopped": bool(stop_words),
@@ -227,9 +234,11 @@ def open_index(spark: SparkSession, path: str) -> Index:
     B, fields = meta["doc_buckets"], tuple(meta["fields"])
     field_cols = ", ".join(f"`{f}` STRING" for f in fields)
     docno_type = meta["docno_type"]
-    docs_t = _register(spark, path, "docs",
-                       f"(docno {docno_type}, {field_cols}) USING parquet "
-                       f"CLUSTERED BY (docno) SORTED BY (docno) INTO {B} BUCKETS")
+    stored = meta.get("stored", True)
+    if stored:
+        docs_t = _register(spark, path, "docs",
+                           f"(docno {docno_type}, {field_cols}) USING parquet "
+                           f"CLUSTERED BY (docno) SORTED BY (docno) INTO {B} BUCKETS")
     post_t = _register(spark, path, "postings",
                        f"(docno {docno_type}, field INT, term STRING, dl INT, tf BIGINT, "
                        f"term_bucket INT) USING parquet PARTITIONED BY (term_bucket) "
@@ -240,12 +249,13 @@ def open_index(spark: SparkSession, path: str) -> Index:
     ds_t = _register(spark, path, "doc_stats",
                      f"(docno {docno_type}, field INT, dl INT) USING parquet "
                      f"CLUSTERED BY (docno) SORTED BY (docno) INTO {B} BUCKETS")
+    doc_stats = spark.table(ds_t)
     return Index(
         path=path,
-        docs=spark.table(docs_t),
+        docs=spark.table(docs_t) if stored else doc_stats.select("docno").distinct(),
         postings=spark.table(post_t).filter(F.col("term").isNotNull()),
         lexicon=spark.table(lex_t),
-        doc_stats=spark.table(ds_t),
+        doc_stats=doc_stats,
         fields=fields,
         n_docs=meta["n_docs"],
         n_terms=meta["n_terms"],
@@ -279,5 +289,7 @@ def get_text(run: DataFrame, index: Index, field: str = "text") -> DataFrame:
     as many tasks as there are buckets.  For small runs Spark's runtime
     bloom filter prunes the docs scan.
     """
+    if field not in index.docs.columns:
+        raise ValueError(f"index at {index.path} does not store field {field!r} (built with store=False)")
     docs = index.docs.select("docno", F.col(field).alias("text"))
     return run.join(docs.hint("merge"), "docno", "left")

@@ -18,7 +18,7 @@ from quarry.sources import tables
 
 
 def index_path(spark: SparkSession, sf_dir: str, kind: str) -> str:
-    h = hashlib.sha1(f"{sf_dir.rstrip('/')}|{kind}|v1".encode()).hexdigest()[:12]
+    h = hashlib.sha1(f"{sf_dir.rstrip('/')}|{kind}|v2".encode()).hexdigest()[:12]
     return f"{shared_dir(spark)}/quarry-index/{kind}-{h}"
 
 
@@ -38,7 +38,7 @@ def keywords_index(spark: SparkSession, sf_dir: str) -> ix.Index:
     if ix.index_exists(spark, path):
         return ix.open_index(spark, path)
     docs = expand_documents(tables.corpus(spark, sf_dir), fixture(spark), replace=True)
-    return ix.build_index(docs, path, fields=("text",), mode="overwrite")
+    return ix.build_index(docs, path, fields=("text",), mode="overwrite", store=False)
 
 
 def two_fields_index(spark: SparkSession, sf_dir: str) -> ix.Index:
@@ -49,4 +49,4 @@ def two_fields_index(spark: SparkSession, sf_dir: str) -> ix.Index:
     if ix.index_exists(spark, path):
         return ix.open_index(spark, path)
     docs = expand_documents(tables.corpus(spark, sf_dir), fixture(spark), replace=False)
-    return ix.build_index(docs, path, fields=("text", "keywords"), mode="overwrite")
+    return ix.build_index(docs, path, fields=("text", "keywords"), mode="overwrite", store=False)

@@ -119,3 +119,17 @@ def test_unknown_model(small):
     idx, topics, _ = small
     with pytest.raises(ValueError):
         rt.retrieve(idx, rt.query_terms(topics), "LM")
+
+
+def test_unstored_index_same_ranking(spark, small):
+    from quarry.session import scratch_path
+    idx, topics, docs = small
+    bare = ix.build_index(docs, scratch_path(spark, "t-bare"), doc_buckets=3, term_buckets=4, store=False)
+    assert bare.n_docs == 5 and "text" not in bare.docs.columns
+    a = sorted(tuple(r) for r in rt.bm25(idx, rt.query_terms(topics)).collect())
+    b = sorted(tuple(r) for r in rt.bm25(bare, rt.query_terms(topics)).collect())
+    assert a == b
+    with pytest.raises(ValueError):
+        ix.get_text(rt.bm25(bare, rt.query_terms(topics)), bare)
+    again = ix.open_index(spark, bare.path)
+    assert again.docs.count() == 5
