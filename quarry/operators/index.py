@@ -49,16 +49,30 @@ DEFAULT_TERM_BUCKETS = 16
 TARGET_BUCKET_BYTES = 256 * 1024 * 1024
 
 
+MAX_DOC_BUCKETS = 65_536
+
+
 def auto_doc_buckets(docs: DataFrame, target_bytes: int = TARGET_BUCKET_BYTES) -> int:
     """At least ``spark.sql.shuffle.partitions`` buckets, more for large
-    inputs: one per ``target_bytes`` of estimated input size."""
+    inputs: one per ``target_bytes`` of input.  The input size is the sum
+    of the file-backed leaf scans (each counted once); estimates of joins,
+    aggregates and in-memory relations are not used, they can be far off."""
     spark = docs.sparkSession
     floor = int(spark.conf.get("spark.sql.shuffle.partitions"))
     try:
-        size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+        it = docs._jdf.queryExecution().optimizedPlan().collectLeaves().iterator()
+        sizes = {}
+        while it.hasNext():
+            leaf = it.next()
+            if leaf.getClass().getSimpleName() not in ("LogicalRelation", "HiveTableRelation",
+                                                       "DataSourceV2Relation", "DataSourceV2ScanRelation"):
+                continue
+            key = leaf.simpleString(200).split("#")[0]
+            sizes[key] = max(sizes.get(key, 0), int(str(leaf.stats().sizeInBytes())))
+        size = sum(sizes.values())
     except Exception:  # noqa: BLE001 - estimate unavailable
         return floor
-    return max(floor, -(-size // target_bytes))
+    return int(min(MAX_DOC_BUCKETS, max(floor, -(-size // target_bytes))))
 
 
 def term_bucket(term_col, n_buckets: int):

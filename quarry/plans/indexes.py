@@ -18,7 +18,7 @@ from quarry.sources import tables
 
 
 def index_path(spark: SparkSession, sf_dir: str, kind: str) -> str:
-    h = hashlib.sha1(f"{sf_dir.rstrip('/')}|{kind}|v2".encode()).hexdigest()[:12]
+    h = hashlib.sha1(f"{sf_dir.rstrip('/')}|{kind}|v3".encode()).hexdigest()[:12]
     return f"{shared_dir(spark)}/quarry-index/{kind}-{h}"
 
 

@@ -133,3 +133,16 @@ def test_unstored_index_same_ranking(spark, small):
         ix.get_text(rt.bm25(bare, rt.query_terms(topics)), bare)
     again = ix.open_index(spark, bare.path)
     assert again.docs.count() == 5
+
+
+def test_auto_doc_buckets_uses_file_scans_only(spark):
+    from quarry.operators.keywords import expand_documents
+    from quarry.sources import tables, thesaurus
+    floor = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    mem = spark.createDataFrame([(1, "a")], "docno int, text string")
+    assert ix.auto_doc_buckets(mem) == floor
+    d = tables.corpus(spark, "/root/testdata/sf0.1")
+    one_mb = ix.auto_doc_buckets(d, 1024 * 1024)
+    assert floor <= one_mb < 100
+    # joins with in-memory tables and self-joins do not inflate the estimate
+    assert ix.auto_doc_buckets(expand_documents(d, thesaurus.fixture(spark), replace=False), 1024 * 1024) == one_mb
