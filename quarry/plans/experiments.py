@@ -76,7 +76,7 @@ def experiment_0(index: ix.Index, topics: DataFrame, qrels: DataFrame) -> DataFr
     return t.select("name", "ap_1000", "p_5", "p_10")
 
 
-def _four(index, topics, prefix, sample_size, save_dir, params):
+def _four(index, topics, prefix, sample_size):
     qt = rt.query_terms(topics)
     names = _names(prefix, ["bm25", "bm25_rm3", "tfidf", "tfidf_rm3"], sample_size)
     # the RM3 pipelines reuse the plain runs as their first stage
@@ -92,7 +92,7 @@ def experiment_1(index: ix.Index, topics: DataFrame, qrels: DataFrame, sample: i
                  save_dir: str | None = None) -> DataFrame:
     """BM25, BM25+RM3, TF_IDF, TF_IDF+RM3 on the full-text index."""
     t, n = _topics_and_size(topics, sample)
-    return evaluate_systems(_four(index, t, "experiment1", n, save_dir, "e1"), qrels, t, save_dir, f"e1|{n}")
+    return evaluate_systems(_four(index, t, "experiment1", n), qrels, t, save_dir, f"e1|{n}")
 
 
 def experiment_2(index: ix.Index, topics: DataFrame, qrels: DataFrame, thesaurus: DataFrame,
@@ -100,7 +100,7 @@ def experiment_2(index: ix.Index, topics: DataFrame, qrels: DataFrame, thesaurus
     """The four systems on thesaurus-expanded queries."""
     t, n = _topics_and_size(topics, sample)
     x = kw.expand_queries(t, thesaurus)
-    return evaluate_systems(_four(index, x, "experiment2", n, save_dir, "e2"), qrels, t, save_dir, f"e2|{n}")
+    return evaluate_systems(_four(index, x, "experiment2", n), qrels, t, save_dir, f"e2|{n}")
 
 
 def experiment_3(kw_index: ix.Index, topics: DataFrame, qrels: DataFrame, thesaurus: DataFrame,
