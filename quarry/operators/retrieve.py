@@ -31,7 +31,7 @@ from pyspark.sql import Window as W
 from quarry.functions.stopwords import ENGLISH_STOP_WORDS
 from quarry.functions.text import tokens
 from quarry.operators.index import Index, term_bucket
-from quarry.operators.util import (SCORE_DECIMALS, broadcast_if_small,
+from quarry.operators.util import (SCORE_DECIMALS, broadcast_if_small, known_count,
                                    round_score, top_k)
 
 K1, B = 1.2, 0.75
@@ -68,7 +68,7 @@ def _weighted_terms(index: Index, qterms: DataFrame, model: str, rows: int | Non
     """
     qt = qterms.select("qid", "term", F.col("weight").cast("double").alias("weight")) \
         .withColumn("term_bucket", term_bucket("term", index.term_buckets))
-    n = qt.count() if rows is None else rows
+    n = known_count(qterms) if rows is None else rows
     qt = broadcast_if_small(qt, rows=n)
     lex = index.lexicon.select("term_bucket", "term", "df")
     w = (qt.join(lex, ["term_bucket", "term"])
@@ -153,7 +153,7 @@ def rm3_terms(index: Index, run: DataFrame, qterms: DataFrame, fb_docs: int = 3,
                    .otherwise(1.0 / F.col("cnt")).alias("dw")))
     # proven bound: at most fb_docs rows per query, no count of the run needed
     if n_queries is None:
-        n_queries = qterms.select("qid").distinct().count()
+        n_queries = known_count(qterms, "qids")
     fb = broadcast_if_small(fb, rows=n_queries * fb_docs)
     post = index.postings.filter(F.col("field") == field).select("docno", "term", "tf", "dl")
     p = (post.join(fb, "docno")
@@ -181,8 +181,8 @@ def rm3(index: Index, qterms: DataFrame, model: str = "BM25", k: int | None = DE
 
     The expanded query has at most (original terms + queries x fb_terms)
     rows, a bound known without running the first stage."""
-    n_terms = qterms.count()
-    n_queries = qterms.select("qid").distinct().count()
+    n_terms = known_count(qterms)
+    n_queries = known_count(qterms, "qids")
     run1 = first_run if first_run is not None else retrieve(index, qterms, model, k, qterms_rows=n_terms)
     expanded = rm3_terms(index, run1, qterms, fb_docs, fb_terms, fb_lambda, n_queries=n_queries)
     return retrieve(index, expanded, model, k, qterms_rows=n_terms + n_queries * fb_terms)

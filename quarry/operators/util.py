@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import weakref
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -16,6 +18,22 @@ BROADCAST_MAX_ROWS = 2_000_000
 SCORE_DECIMALS = 6
 
 
+_COUNTS: "weakref.WeakKeyDictionary" = None  # set below
+
+
+def known_count(df: DataFrame, key: str = "rows") -> int:
+    """Row count of ``df`` (or of ``df.select("qid").distinct()`` for
+    ``key="qids"``), remembered per DataFrame object: DataFrames are
+    immutable, so repeated size checks on the same query table run once."""
+    try:
+        memo = _COUNTS.setdefault(df, {})
+    except TypeError:  # not weak-referenceable
+        memo = {}
+    if key not in memo:
+        memo[key] = df.count() if key == "rows" else df.select("qid").distinct().count()
+    return memo[key]
+
+
 def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS,
                        rows: int | None = None) -> DataFrame:
     """Broadcast ``df`` only when its row count is proven <= ``max_rows``.
@@ -56,3 +74,6 @@ def require_columns(df: DataFrame, cols, what: str) -> None:
     missing = [c for c in cols if c not in df.columns]
     if missing:
         raise ValueError(f"{what} lacks column(s) {missing}; has {df.columns}")
+
+
+_COUNTS = weakref.WeakKeyDictionary()
