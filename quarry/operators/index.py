@@ -53,12 +53,13 @@ MAX_DOC_BUCKETS = 65_536
 
 
 def auto_doc_buckets(docs: DataFrame, target_bytes: int = TARGET_BUCKET_BYTES) -> int:
-    """At least ``spark.sql.shuffle.partitions`` buckets, more for large
-    inputs: one per ``target_bytes`` of input.  The input size is the sum
-    of the file-backed leaf scans (each counted once); estimates of joins,
-    aggregates and in-memory relations are not used, they can be far off."""
+    """At least the session's default parallelism (its cores), more for
+    large inputs: one bucket per ``target_bytes`` of input.  The input size
+    is the sum of the file-backed leaf scans (each counted once); estimates
+    of joins, aggregates and in-memory relations are not used, they can be
+    far off."""
     spark = docs.sparkSession
-    floor = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    floor = max(1, int(spark.sparkContext.defaultParallelism))
     try:
         it = docs._jdf.queryExecution().optimizedPlan().collectLeaves().iterator()
         sizes = {}
@@ -144,7 +145,7 @@ def build_index(docs: DataFrame, path: str, fields=("text",), docno: str = "docn
 
     ``store=False`` keeps no copy of the text (no ``get_text``), as for the
     keyword-only and two-field indexes.  ``doc_buckets`` defaults to ``auto_doc_buckets`` (one bucket per ~256 MB
-    of input, at least the shuffle partitions); ``term_buckets`` partitions
+    of input, at least the session's cores); ``term_buckets`` partitions
     postings and lexicon by term hash for partition pruning.
 
     ``mode``: ``errorifexists`` (the reference's create-or-fail),

@@ -138,7 +138,7 @@ def test_unstored_index_same_ranking(spark, small):
 def test_auto_doc_buckets_uses_file_scans_only(spark):
     from quarry.operators.keywords import expand_documents
     from quarry.sources import tables, thesaurus
-    floor = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    floor = spark.sparkContext.defaultParallelism
     mem = spark.createDataFrame([(1, "a")], "docno int, text string")
     assert ix.auto_doc_buckets(mem) == floor
     d = tables.corpus(spark, "/root/testdata/sf0.1")
