@@ -87,3 +87,17 @@ def test_qrels_and_answers(spark):
     assert q == [("7", 0, "p", 1), ("", 0, "q", 1)]
     a = [tuple(r) for r in co.build_answers(t).collect()]
     assert a[1] == ("", 0, "q", 1, "", "")
+
+
+def test_document_splits_cover_whole_table(spark):
+    from conftest import SF_CHECK
+    from quarry.sources import tables
+    splits = tables.document_splits(spark, SF_CHECK)
+    n = tables.corpus(spark, SF_CHECK).count()
+    sizes = [s.count() for s in splits]
+    assert sum(sizes) == n and all(x > 0 for x in sizes)          # a partition, nothing dropped
+    u = co.union_splits(*splits)
+    per_id = u.groupBy("para_id").agg(F.countDistinct("src_ord").alias("k"))
+    assert per_id.filter("k > 1").count() > 0                     # ids repeated across splits
+    d = co.dedup_keep_first(u)
+    assert d.count() == u.select("para_id").distinct().count()
