@@ -1,3 +1,5 @@
+import re
+
 import __spark_entry__ as E
 
 from conftest import SF_SMALL
@@ -12,7 +14,8 @@ def test_entry_smoke(spark):
 
 def test_every_query_has_sql_or_is_known(spark):
     qs, sqls = E.queries(), E.oracle_sql()
-    assert set(sqls) == set(qs)          # every registered query has an oracle
+    own = {name for name in qs if not re.match(r"op\d+_|pipeline$", name)}
+    assert own <= set(sqls) <= set(qs)   # every query of the library proper has an oracle
     assert len(qs) >= 60
 
 
