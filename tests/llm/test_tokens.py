@@ -71,11 +71,31 @@ def test_words_encode_as_whole_text(text):
     self = test_words_encode_as_whole_text
     if not hasattr(self, "tok"):
         self.tok = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    from quarry.llm.common import words
-    parts = [x for w in words(text) for x in self.tok.encode(w.decode(), add_special_tokens=False).ids]
+        self.special = bpe.special_strings(tokenizer_json("word_bpe_49k.json"))
+    parts = [x for w in bpe.split_words(text, self.special) for x in self.tok.encode(w, add_special_tokens=False).ids]
     assert parts == self.tok.encode(text, add_special_tokens=False).ids
 
 
+def test_all_characters_of_the_fast_range(word_level):
+    special = bpe.special_strings(tokenizer_json("word_bpe_49k.json"))
+    for c in map(chr, range(0x260)):
+        for text in (c, f"a{c}b", f"1{c}2 {c}{c} '{c}S", f",{c};"):
+            parts = [x for w in bpe.split_words(text, special) for x in word_level.encode(w, add_special_tokens=False).ids]
+            assert parts == word_level.encode(text, add_special_tokens=False).ids, repr(text)
+
+
+def test_other_rules_are_refused():
+    with pytest.raises(ValueError):
+        bpe.check_rules(tokenizer_json("byte_bpe_50k.json"))
+
+
+def test_decode_joins_pieces(spark, word_level):
+    data = [(i, word_level.encode(t or "", add_special_tokens=False).ids) for i, (_, t, *_) in enumerate(fx.rows())]
+    table = bpe.pieces(spark, tokenizer_json("word_bpe_49k.json"))
+    got = bpe.decode(spark.createDataFrame(data, "k int, ids array<int>"), table, key="k").collect()
+    assert {r.k: (r.ids, r.decoded) for r in got} == {i: (ids, word_level.decode(ids, skip_special_tokens=False)) for i, ids in data}
+
+
 def test_queries_on_given_table(spark, byte_level, word_level):
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{SF_SMALL}/documents.parquet").collect()}
     got = op1_token_counts(spark, SF_SMALL).collect()
