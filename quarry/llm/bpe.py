@@ -3,9 +3,10 @@
 1. Documents are split into the tokenizer's words and packed into blocks: a
    block holds its own list of distinct words and, for each document, the
    positions of its words in that list.  Blocks are bounded in text bytes.
-2. The distinct words of all blocks form one table; each is encoded once.
-3. Word ids go back to the blocks by a join on the word, and each document's
-   ids follow from its word positions.  Ids are decoded by a join with the
+2. The words of all blocks are dealt and sorted by word: the table of distinct
+   words, each with the blocks that hold it.  Each word is encoded once.
+3. The ids go back to the blocks and are joined to the words there, and each
+   document's ids follow from its word positions.  Ids are decoded by a join with the
    id-to-piece table, which the vocabulary bounds: a broadcast one in the
    blocks, ``decode`` for tables of ids.
 
@@ -29,15 +30,15 @@ import os
 import re
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import worker_memo
 
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 24 << 20
 
 # The normalizer and the split of the tokenizer file, for which
 # the splitting into words below is right.
@@ -87,6 +88,10 @@ def _library(json_text: str):
     return worker_memo(("bpe", hash(json_text)), lambda: Tokenizer.from_str(json_text))
 
 
+def id_type(vocabulary: int):
+    return np.uint16 if vocabulary <= 1 << 16 else np.uint32
+
+
 class _Places(dict):
     """Word -> place in the order of first sight."""
 
@@ -155,7 +160,7 @@ def pack_blocks(docs: DataFrame, special: re.Pattern, text: str = "text", key: s
 
 
 def _word_rows(blocks: DataFrame) -> DataFrame:
-    """``(block, word)``, dealt by word.  Takes the blocks whole, so that the
+    """``(block, word)``, dealt by word.  Takes the blocks whole, so that one
     shuffle of the blocks serves this and the last step."""
     def rows(batches):
         for b in batches:
@@ -169,18 +174,28 @@ def _word_rows(blocks: DataFrame) -> DataFrame:
 
 
 def encode_words(rows: DataFrame, tokenizer_json: str) -> DataFrame:
-    """``(word, ids)``: each distinct word of ``(block, word)`` encoded once by
-    the library; ids as 32-bit integers in a binary."""
+    """``(block, word)`` to ``(block, word, ids)``.  Rows are dealt by word and
+    sorted, so a word's rows stand together: the library encodes it at the
+    first of them and the others share the ids (a binary of ``id_type``)."""
     shared = rows.sparkSession.sparkContext.broadcast(tokenizer_json)
 
-    # the block is taken along only to read the same shuffle as the join does
-    @F.pandas_udf("binary")
-    def encode(word: pd.Series, block: pd.Series) -> pd.Series:
+    def encode(batches):
         tok = _library(shared.value)
-        got = tok.encode_batch(word.tolist(), add_special_tokens=False)
-        return pd.Series([np.array(e.ids, np.uint32).tobytes() for e in got], dtype=object)
+        kind = id_type(tok.get_vocab_size())
+        last = coded = None
+        for b in batches:
+            runs = pc.run_end_encode(b.column(1), run_end_type=pa.int32())
+            distinct = runs.values.to_pylist()
+            got = [np.array(e.ids, kind).tobytes()
+                   for e in tok.encode_batch(distinct[distinct[0] == last:], add_special_tokens=False)]
+            if distinct[0] == last:
+                got.insert(0, coded)
+            last, coded = distinct[-1], got[-1]
+            many = np.diff(runs.run_ends.to_numpy(), prepend=0)
+            ids = pa.array(got, pa.binary()).take(pa.array(np.repeat(np.arange(len(got)), many)))
+            yield pa.record_batch({"block": b.column(0), "word": b.column(1), "ids": ids})
 
-    return rows.groupBy("word").agg(F.min("block").alias("block")).select("word", encode("word", "block").alias("ids"))
+    return rows.sortWithinPartitions("word").mapInArrow(encode, "block long, word string, ids binary")
 
 
 def piece_list(tokenizer_json: str) -> list[str]:
@@ -216,11 +231,12 @@ def encode_decode(docs: DataFrame, tokenizer_json: str, text: str = "text", key:
     check_rules(tokenizer_json)
     blocks = pack_blocks(docs, special_strings(tokenizer_json), text, key)
     rows = _word_rows(blocks)
-    back = rows.join(encode_words(rows, tokenizer_json), "word")
+    back = encode_words(rows, tokenizer_json)
     shared = docs.sparkSession.sparkContext.broadcast((tokenizer_json, piece_list(tokenizer_json)))
 
     def assemble(left: pa.Table, right: pa.Table) -> pa.Table:
         json_text, piece = shared.value
+        kind = id_type(len(piece))
         known = dict(zip(right.column("word").to_pylist(), right.column("ids").to_pylist()))
         doc_ids, n, a, b = [], [], [], []
         for vocab, body in zip(left.column("vocab").to_pylist(), left.column("body").to_pylist()):
@@ -228,11 +244,11 @@ def encode_decode(docs: DataFrame, tokenizer_json: str, text: str = "text", key:
             for w in _words_of(vocab):
                 got = known.get(w)
                 if got is None:      # the block was made anew, from rows in another order
-                    got = np.array(_library(json_text).encode(w, add_special_tokens=False).ids, np.uint32).tobytes()
+                    got = np.array(_library(json_text).encode(w, add_special_tokens=False).ids, kind).tobytes()
                 coded.append(got)
-            size = np.fromiter(map(len, coded), np.int64, len(coded)) // 4     # ids of each word
+            size = np.fromiter(map(len, coded), np.int64, len(coded)) // kind().itemsize     # ids of each word
             start = np.cumsum(size) - size
-            flat = np.frombuffer(b"".join(coded), np.uint32).astype(np.int32)
+            flat = np.frombuffer(b"".join(coded), kind).astype(np.int32)
             listed_ids = flat.tolist()
             each = [listed_ids[i:i + m] for i, m in zip(start.tolist(), size.tolist())]
             texts = [piece[x[0]] if len(x) == 1 else " ".join([piece[i] for i in x]) for x in each]
@@ -267,5 +283,5 @@ def encode_decode(docs: DataFrame, tokenizer_json: str, text: str = "text", key:
                 b.append(decoded)
 
     tail = "ids_sha256 string, decoded_sha256 string" if digest else "ids array<int>, decoded string"
-    return (blocks.groupBy("block").cogroup(back.select("block", "word", "ids").groupBy("block"))
+    return (blocks.groupBy("block").cogroup(back.groupBy("block"))
             .applyInArrow(assemble, f"{key} long, n_tokens long, {tail}"))
