@@ -2,24 +2,24 @@
 
 A document's set are the distinct hashes of its word shingles.  Documents
 with equal sets form one class; classes with equal prefix and size form one
-group.  Prefixes follow one global order of the shingles: first those whose
-hash falls into a fixed fifth and that few documents have, then those of the
-other four fifths, last the frequent ones of the fifth (a bounded table of
-counted shingles).  Any order gives exact results; this one keeps passages
-that many documents share out of the prefixes.
+group.  Prefixes follow one global order of the shingles: by hash, but with
+the frequent ones last (a bounded table, counted over all texts).  Any order
+gives exact results; this one keeps passages that many documents share out of
+the prefixes.
 
 Two sets with Jaccard similarity of ``t`` or more share a shingle of their
 prefixes (size - ceil(t * size) + 1), so pairs are looked for among groups
 that share one, filtered by size and position, expanded to their member
 classes and verified on the whole sets.  To keep large clusters from giving
-all their pairs, that happens twice:
+all their pairs, that happens in rounds:
 
-* Round 1 compares each group's classes with its first class, and the groups
-  that share a prefix shingle with the first of these groups.
-* Round 2 compares what shares a prefix shingle (or a group) and is not yet
-  in one component.
+* First each group's classes are compared with its first class, and the groups
+  that share a prefix shingle with a fixed number of them (PIVOTS, chosen by
+  hash).  TURNS such rounds compare only what is not in one component yet.
+* The last round compares everything that shares a prefix shingle (or a group)
+  and is not in one component yet.
 
-A pair that round 2 leaves out is in one component already, so components are
+A pair that the last round leaves out is in one component already, so components are
 exact.  Null, empty and blank texts have an empty set and link with nothing;
 a text shorter than a shingle is one shingle; repeated rows are one class.
 """
@@ -28,19 +28,17 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import components, cut, mix, row_key, shingles, word_hashes, words
 
 SHINGLE, PERCENT = 4, 85
-FIFTH = 5               # one shingle in so many is counted
-FREQUENT = 32           # documents from which on a counted shingle comes last
-FREQUENT_MAX = 1 << 18  # size bound of that broadcast table
-
-
-def _as_long(x: np.ndarray) -> pa.Array:
-    return pa.array(x.view(np.int64), pa.int64())
+FREQUENT = 16           # documents from which on a shingle comes last
+CHUNK = 8 << 20         # shingles that a task counts at a time
+FREQUENT_MAX = 1 << 20  # size bound of the broadcast table of frequent ones
+PIVOTS, TURNS = 24, 2      # members that are compared with all others, and how often anew
+BROADCAST_ROWS = 1 << 20   # up to so many wanted rows are broadcast, else shuffled
 
 
 def prefix_size(n: int, percent: int) -> int:
@@ -69,21 +67,45 @@ def _sets(docs: DataFrame, k: int) -> DataFrame:
     return docs.select("doc_id", "rid", "text").mapInArrow(rows, "doc_id long, rid long, n long, cid long")
 
 
+def _short(s: np.ndarray) -> np.ndarray:
+    """32 bits of a hash: enough to count by, as counts only set the order."""
+    return (s >> np.uint64(32)).astype(np.uint32)
+
+
+def _order(s: np.ndarray, often: np.ndarray) -> np.ndarray:
+    """The shingles in the global order; ``s`` is sorted by hash."""
+    if not len(often):
+        return s
+    short = _short(s)
+    last = often[np.minimum(np.searchsorted(often, short), len(often) - 1)] == short
+    return np.concatenate((s[~last], s[last]))
+
+
 def _frequent(docs: DataFrame, k: int) -> np.ndarray:
-    """The most frequent of the counted shingles, at most FREQUENT_MAX."""
+    """Shingles that many documents have, at most FREQUENT_MAX.  Every text is
+    counted; a task passes on what it has met at least twice in CHUNK
+    shingles, so the counts are lower bounds and little is shuffled."""
+    def repeated(held):
+        u, c = np.unique(np.concatenate(held), return_counts=True)
+        return pa.record_batch({"shingle": pa.array(u[c > 1].view(np.int32), pa.int32()),
+                                "n": pa.array(c[c > 1], pa.int64())})
+
     def rows(batches):
+        held, size = [], 0
         for b in batches:
-            out = []
             for t in b.column(0).to_pylist():
-                s = shingles(word_hashes(words(t, lower=True)), k)
-                out.append(s[s % np.uint64(FIFTH) == 0])
-            if out:
-                yield pa.record_batch({"shingle": _as_long(np.concatenate(out))})
+                held.append(_short(shingles(word_hashes(words(t, lower=True)), k)))
+                size += len(held[-1])
+                if size >= CHUNK:
+                    yield repeated(held)
+                    held, size = [], 0
+        if held:
+            yield repeated(held)
 
-    got = (docs.select("text").mapInArrow(rows, "shingle long").groupBy("shingle").count()
-           .filter(F.col("count") >= FREQUENT)
-           .orderBy(F.col("count").desc(), "shingle").limit(FREQUENT_MAX).select("shingle").toArrow())
-    return np.sort(got.column(0).to_numpy().astype(np.int64).view(np.uint64))
+    got = (docs.select("text").mapInArrow(rows, "shingle int, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
+           .filter(F.col("n") >= FREQUENT)
+           .orderBy(F.col("n").desc(), "shingle").limit(FREQUENT_MAX).select("shingle").toArrow())
+    return np.sort(got.column(0).to_numpy().astype(np.int32).view(np.uint32))
 
 
 def _classes(docs: DataFrame, k: int, percent: int, frequent) -> DataFrame:
@@ -98,9 +120,7 @@ def _classes(docs: DataFrame, k: int, percent: int, frequent) -> DataFrame:
                 n = len(s)
                 if not n:
                     continue
-                counted = s % np.uint64(FIFTH) == 0
-                rank = np.where(counted, np.where(np.isin(s, often), 2, 0), 1) if len(often) else np.where(counted, 0, 1)
-                p = s[np.argsort(rank, kind="stable")[:prefix_size(n, percent)]]
+                p = _order(s, often)[:prefix_size(n, percent)]
                 rids.append(rid)
                 cids.append(class_id(s))
                 ns.append(n)
@@ -124,11 +144,30 @@ def _may_link(a: str, b: str, percent: int) -> str:
             f"{100 + percent} * {top} >= {percent} * ({a}.n + {b}.n)")
 
 
+def _last():
+    """Of a pair: its shared prefix shingles and the places of the last."""
+    return F.count(F.lit(1)).alias("c"), F.max("pa").alias("pa"), F.max("pb").alias("pb")
+
+
+def _enough(percent: int) -> str:
+    """Bound on the overlap from those: what both have before the last shared
+    prefix shingle is counted, what follows is at most the shorter rest."""
+    return f"{100 + percent} * (c + least(na - pa, nb - pb) - 1) >= {percent} * (na + nb)"
+
+
+def _mixed(rows: DataFrame) -> DataFrame:
+    """The rows whose shingle more than one component has."""
+    ends = rows.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi")
+    return rows.join(ends.select("token"), "token", "left_semi")
+
+
 def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs ``(a, b)`` of classes whose whole sets are similar enough."""
     ends = pairs.select(F.col("a").alias("cid")).union(pairs.select(F.col("b").alias("cid"))).distinct()
-    texts = (classes.select("cid", "rid").join(ends, "cid")
-             .join(docs.select("rid", "text"), "rid").select("cid", "text"))
+    wanted = cut(classes.select("cid", "rid").join(ends, "cid"))
+    if wanted.count() <= BROADCAST_ROWS:      # two longs a row
+        wanted = F.broadcast(wanted)
+    texts = docs.select("rid", "text").join(wanted, "rid").select("cid", "text")
 
     def sets(batches):
         for b in batches:
@@ -165,44 +204,55 @@ def jaccard_components(docs: DataFrame, text: str = "text", key: str = "doc_id",
     often = spark.sparkContext.broadcast(_frequent(docs, shingle))
     classes = cut(_classes(docs, shingle, percent, often))
 
-    # round 1: each group's classes with its first; groups with the first of a shared shingle
-    groups = classes.groupBy("gid").agg(F.min("cid").alias("rep"))
+    groups = cut(classes.groupBy("gid").agg(F.min("cid").alias("rep")))
     one = classes.alias("c").join(groups.alias("g"), F.expr("c.gid = g.gid and c.cid = g.rep"), "left_semi")
-    inside = (classes.alias("c").join(groups.alias("g"), F.expr("c.gid = g.gid and c.cid <> g.rep"))
-              .select(F.col("g.rep").alias("a"), F.col("c.cid").alias("b")))
-    tokens = cut(one.select("gid", "n", F.col("cid").alias("rep"), F.posexplode("prefix").alias("pos", "token"))
-                 .select("token", "gid", "n", "pos", "rep"))
-    first = (tokens.groupBy("token").agg(F.count(F.lit(1)).alias("many"),
-                                         F.min(F.struct("gid", "n", "pos", "rep")).alias("f"))
-             .filter("many > 1").select("token", "f.*"))
-    shared = cut(tokens.join(first.select("token"), "token", "left_semi"))
-    star = (shared.alias("x").join(first.alias("y"), F.expr(
-        f"x.token = y.token and x.gid <> y.gid and {_may_link('x', 'y', percent)}"))
-        .select(F.col("y.rep").alias("a"), F.col("x.rep").alias("b")))
-    near = cut(inside.union(star).distinct())
-    edges = cut(_verified(near, classes, docs, shingle, percent))
-    label = components(edges)
-
-    # round 2: what shares a prefix shingle or a group and is not in one component
-    member = classes.select("cid", "gid").join(label.withColumnRenamed("node", "cid"), "cid", "left") \
-        .select("cid", "gid", F.coalesce("label", "cid").alias("comp"))
-    member = cut(member)
+    tokens = one.select("gid", F.col("n").cast("int").alias("n"), F.posexplode("prefix").alias("pos", "token"))
+    # one shuffle by shingle; a row that stands alone is no group's neighbour
+    by = Window.partitionBy("token").orderBy("gid")
+    shared = cut(tokens.withColumn("near", F.coalesce(F.lag("gid").over(by), F.lead("gid").over(by)))
+                 .filter("near is not null").select("token", "gid", "n", "pos"))
+    member = classes.select("cid", "gid", F.col("cid").alias("comp"))
+    edges = done = None
+
+    # a few members of each group, and of those that share a shingle, with the others
+    for turn in range(TURNS):
+        parts = member.groupBy("gid", "comp").agg(F.min("cid").alias("cid"))
+        if turn == 0:
+            inside = (classes.alias("c").join(groups.alias("g"), F.expr("c.gid = g.gid and c.cid <> g.rep"))
+                      .select(F.col("g.rep").alias("a"), F.col("c.cid").alias("b")))
+            parts = groups.select("gid", F.col("rep").alias("comp"), F.col("rep").alias("cid"))
+        rows_ = _mixed(shared.join(parts, "gid"))
+        turned = Window.partitionBy("token").orderBy(F.xxhash64(F.lit(turn), "gid", "comp"))
+        rows_ = cut(rows_.withColumn("at", F.row_number().over(turned)))
+        star = (rows_.alias("x").join(rows_.filter(F.col("at") <= PIVOTS).alias("y"), F.expr(
+            f"x.token = y.token and x.at > y.at and x.comp <> y.comp and {_may_link('x', 'y', percent)}"))
+            .selectExpr("x.cid a", "y.cid b", "x.n na", "y.n nb", "x.pos pa", "y.pos pb")
+            .groupBy("a", "b", "na", "nb").agg(*_last()).filter(_enough(percent)).select("a", "b"))
+        if turn == 0:
+            star = star.union(inside).distinct()
+        near = cut(star.selectExpr("least(a, b) a", "greatest(a, b) b"))
+        found = cut(_verified(near, classes, docs, shingle, percent))
+        done = near if done is None else done.union(near)
+        edges = found if edges is None else edges.union(found)
+        label = components(edges)
+        member = cut(classes.select("cid", "gid").join(label.withColumnRenamed("node", "cid"), "cid", "left")
+                     .select("cid", "gid", F.coalesce("label", "cid").alias("comp")))
+
+    # whatever shares a prefix shingle or a group and is not in one component yet
     parts = member.select("gid", "comp").distinct()
     split = parts.groupBy("gid").count().filter("count > 1").select("gid")
     apart = member.join(split, "gid")
     within = (apart.alias("x").join(apart.alias("y"), F.expr("x.gid = y.gid and x.comp < y.comp"))
               .select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b")))
-    open_tokens = shared.select("token", "gid", "n", "pos").join(parts, "gid")
-    mixed = (open_tokens.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-             .filter("lo <> hi").select("token"))
-    open_tokens = cut(open_tokens.join(mixed, "token", "left_semi"))
-    across = (open_tokens.alias("x").join(open_tokens.alias("y"), F.expr(
+    rows_ = cut(_mixed(shared.join(parts, "gid")))
+    across = (rows_.alias("x").join(rows_.alias("y"), F.expr(
         f"x.token = y.token and x.gid < y.gid and x.comp <> y.comp and {_may_link('x', 'y', percent)}"))
-        .selectExpr("x.gid ga", "x.comp ca", "y.gid gb", "y.comp cb").distinct())
+        .selectExpr("x.gid ga", "x.comp ca", "y.gid gb", "y.comp cb", "x.n na", "y.n nb", "x.pos pa", "y.pos pb")
+        .groupBy("ga", "ca", "gb", "cb", "na", "nb").agg(*_last()).filter(_enough(percent)))
     across = (across.join(member.selectExpr("cid a", "gid ga", "comp ca"), ["ga", "ca"])
               .join(member.selectExpr("cid b", "gid gb", "comp cb"), ["gb", "cb"]).select("a", "b"))
-    rest = cut(within.union(across).distinct().join(near, ["a", "b"], "left_anti")
-               .join(near.selectExpr("b a", "a b"), ["a", "b"], "left_anti"))
+    rest = cut(within.union(across).selectExpr("least(a, b) a", "greatest(a, b) b").distinct()
+               .join(done.distinct(), ["a", "b"], "left_anti"))
     more = cut(_verified(rest, classes, docs, shingle, percent))
     label = components(edges.union(more))
 
