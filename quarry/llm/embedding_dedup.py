@@ -41,8 +41,7 @@ def learn_rotations(sample: np.ndarray, rotations: int = ROTATIONS, rounds: int
     mean = sample.mean(axis=0)
     x = sample - mean
     bits = min(MAX_BITS, x.shape[1])
-    _, _, axes = np.linalg.svd(x, full_matrices=True)
-    axes = axes[:bits].T
+    axes = np.linalg.eigh(x.T @ x)[1][:, ::-1][:, :bits]     # by falling variance
     v = x @ axes
     rng = np.random.default_rng(seed)
     out = []
