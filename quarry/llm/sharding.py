@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 BUCKET_BYTES = 16 << 20
+BROADCAST_BUCKETS = 1 << 20
 SEED = 42
 
 
@@ -58,6 +59,8 @@ def write_shards(docs: DataFrame, path: str, shards: int, order: str = "doc_id",
     # one row a bucket: bounded by the input over the size of a bucket
     before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    if counts.count() <= BROADCAST_BUCKETS:      # two longs a row; else the join shuffles
+        starts = F.broadcast(starts)
     place = (F.col("start") + F.col("at")).cast("long")
     return (boxes.join(starts, "bucket")
             .select("rec.*", F.pmod(place, F.lit(shards)).cast("int").alias("shard"),
