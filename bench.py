@@ -49,7 +49,7 @@ def main():
     th = thesaurus.fixture(spark)
 
     idx = timed("index_build", lambda: ix.build_index(docs, scratch_path(spark, "bench-basic")))
-    qt = rt.query_terms(topics)
+    qt = rt.query_terms(topics, idx)
     timed("bm25", lambda: rt.bm25(idx, qt, 1000))
     timed("tfidf", lambda: rt.tf_idf(idx, qt, 1000))
     timed("rm3_bm25", lambda: rt.rm3(idx, qt, "BM25", 1000))
@@ -63,14 +63,14 @@ def main():
                            ("tfidf_rm3", lambda: rt.rm3(idx, qt, "TF_IDF", 1000))):
             r = make().withColumn("name", F.lit(name))
             runs = r if runs is None else runs.unionByName(r)
-        return ev.metrics_table(runs, qrels, topics)
+        return ev.metrics_table(runs, qrels, topics, names=["bm25", "bm25_rm3", "tfidf", "tfidf_rm3"])
     timed("experiment1_table", exp1)
     timed("rake_keywords", lambda: kw.rake_keywords(docs))
     idx2 = timed("two_field_index_build", lambda: ix.build_index(
         kw.expand_documents(docs, th, replace=False), scratch_path(spark, "bench-two"),
         fields=("text", "keywords"), store=False))
     timed("bm25f_mixed", lambda: rt.bm25f(idx2, qt, (0.7, 0.3), 1000))
-    timed("query_expand_bm25", lambda: rt.bm25(idx, rt.query_terms(kw.expand_queries(topics, th)), 1000))
+    timed("query_expand_bm25", lambda: rt.bm25(idx, rt.query_terms(kw.expand_queries(topics, th), idx), 1000))
 
     vec = tables.vectors(spark, sf_dir).select(F.col("vec_id").alias("docno"), F.col("embedding").alias("vec"))
     qv = vec.select(F.col("docno").alias("qid"), "vec")
@@ -84,7 +84,7 @@ def main():
 
     def qa():
         q = tables.questions(spark, sf_dir)
-        run = rt.bm25(idx, rt.query_terms(q), 100)
+        run = rt.bm25(idx, rt.query_terms(q, idx), 100)
         ctx = an.context(rr.max_passage(rr.coverage_scores(rr.run_passages(run, idx), q, idx)))
         return an.final_answers(an.generate(an.prompts_tool(q, ctx)))
     timed("qa_answers", qa)

@@ -8,7 +8,6 @@ holds state between calls.  Sub-packages:
 * ``operators``  – relational building blocks: collection, index,
   retrieval, keywords, dense, re-ranking, evaluation, answering.
 * ``plans``      – named experiment pipelines and the query registry.
-* ``streaming``  – intentionally empty (the reference has no streams).
 """
 
 __version__ = "0.1.0"

@@ -1,12 +1,11 @@
 """Dense vectors, exhaustive retrieval and re-ranking.
 
 Exhaustive retrieval (C6/H7) scores every query against every document.
-Emitting those pairs as rows would not scale, so each partition of the
-document vectors runs a blocked matrix product against the query matrix
-and keeps only its own top-k per query (``numpy.argpartition``); the final
-top-k per query merges at most partitions x queries x k rows.  The query
-matrix is broadcast after a row-count check (queries are bounded by the
-topic set; documents are never collected).
+Emitting those pairs as rows would not scale, so documents and queries are
+dealt into blocks of bounded size by hash of their id.  Each pair of blocks is
+one group: a blocked matrix product that keeps its own top-k per query; the
+final top-k per query merges those (first inside each partition).  Neither side
+passes through the driver or is broadcast.
 
 Scores are dot products in double precision, rounded to 6 decimals before
 ranking; ties go to the smaller ``docno``.
@@ -23,11 +22,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.operators.util import BROADCAST_MAX_ROWS, SCORE_DECIMALS, broadcast_if_small, top_k
+from quarry.operators.util import SCORE_DECIMALS, broadcast_if_small, top_k
 
 DEPTH = 1000
-BLOCK_ROWS = 4096  # document rows per matrix block inside a task
-BLOCK_CELLS = 32_000_000  # bound on queries x (k + block) score cells per task
+DOC_BLOCK, QUERY_BLOCK = 65_536, 4_096   # vectors of a group, on average
+BLOCK_ROWS, BLOCK_QUERIES = 4_096, 256   # those of one matrix product inside it
 
 
 def dot(a, b):
@@ -80,50 +79,46 @@ def exhaustive_topk(docs: DataFrame, queries: DataFrame, k: int = DEPTH,
                     qid: str = "qid", q_vec: str = "vec") -> DataFrame:
     """C6 + H7: top ``k`` documents per query by dot product
     ``(qid, docno, score, rank)``."""
-    spark = docs.sparkSession
-    q = queries.select(F.col(qid).alias("qid"), F.col(q_vec).alias("vec"))
-    n_q = q.count()
-    if n_q > BROADCAST_MAX_ROWS:
-        raise ValueError(f"{n_q} query vectors exceed the broadcast bound {BROADCAST_MAX_ROWS}; "
-                         "split the query set and union the runs")
-    qp = q.toPandas()
-    qids = qp["qid"].to_numpy()
-    qmat = np.array([np.asarray(v, dtype=np.float64) for v in qp["vec"]]) if n_q else np.zeros((0, 0))
-    bq = spark.sparkContext.broadcast((qids, qmat))
+    d = docs.select(F.col(doc_id).alias("docno"), F.col(doc_vec).alias("vec")).filter("vec is not null")
+    q = queries.select(F.col(qid).alias("qid"), F.col(q_vec).alias("vec")).filter("vec is not null")
+    n_d, n_q = d.count(), q.count()
+    cores = int(docs.sparkSession.sparkContext.defaultParallelism)
+    q_blocks = max(1, -(-n_q // QUERY_BLOCK))
+    d_blocks = max(1, -(-n_d // DOC_BLOCK), -(-cores // q_blocks))
+    block = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")                     # noqa: E731
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))                       # noqa: E731
+    d = d.withColumn("db", block("docno", d_blocks)).withColumn("qb", each(q_blocks))
+    q = q.withColumn("qb", block("qid", q_blocks)).withColumn("db", each(d_blocks))
     id_type = docs.schema[doc_id].dataType.simpleString()
     q_type = queries.schema[qid].dataType.simpleString()
 
-    # memory per task ~ queries x (k + block) doubles: shrink the block for
-    # large query sets so a task stays within a few hundred MB
-    block = int(max(64, min(BLOCK_ROWS, BLOCK_CELLS // max(n_q, 1) - k)))
-
-    def score(batches):
-        qids_, qm = bq.value
-        best_s, best_d = None, None
-        for pdf in batches:
-            for i in range(0, len(pdf), block):
-                part = pdf.iloc[i:i + block]
-                dm = np.array([np.asarray(v, dtype=np.float64) for v in part["vec"]])
-                if dm.size == 0 or qm.size == 0:
-                    continue
-                s = np.round(qm @ dm.T, SCORE_DECIMALS)            # queries x block
-                ids = np.broadcast_to(part["docno"].to_numpy(), s.shape)
+    def matrix(vecs):
+        return np.array([np.asarray(v, dtype=np.float64) for v in vecs])
+
+    def score(docs_, queries_):
+        if docs_.empty or queries_.empty:
+            return pd.DataFrame({"qid": queries_["qid"][:0], "docno": docs_["docno"][:0],
+                                 "score": np.zeros(0)})
+        out, all_ids = [], docs_["docno"].to_numpy()
+        for at in range(0, len(queries_), BLOCK_QUERIES):
+            part = queries_.iloc[at:at + BLOCK_QUERIES]
+            qm, best_s, best_d = matrix(part["vec"]), None, None
+            for i in range(0, len(docs_), BLOCK_ROWS):
+                s = np.round(qm @ matrix(docs_["vec"].iloc[i:i + BLOCK_ROWS]).T, SCORE_DECIMALS)
+                ids = np.broadcast_to(all_ids[i:i + BLOCK_ROWS], s.shape)
                 if best_s is not None:
-                    s = np.concatenate([best_s, s], axis=1)
-                    ids = np.concatenate([best_d, ids], axis=1)
+                    s, ids = np.concatenate([best_s, s], axis=1), np.concatenate([best_d, ids], axis=1)
                 if s.shape[1] > k:
                     # exact top-k with ties by docno: sort by (-score, docno)
                     order = np.lexsort((ids, -s), axis=1)[:, :k]
-                    s = np.take_along_axis(s, order, axis=1)
-                    ids = np.take_along_axis(ids, order, axis=1)
+                    s, ids = np.take_along_axis(s, order, axis=1), np.take_along_axis(ids, order, axis=1)
                 best_s, best_d = s, ids
-        if best_s is not None:
-            m = best_s.shape[1]
-            yield pd.DataFrame({"qid": np.repeat(qids_, m), "docno": best_d.reshape(-1),
-                                "score": best_s.reshape(-1)})
+            out.append(pd.DataFrame({"qid": np.repeat(part["qid"].to_numpy(), best_s.shape[1]),
+                                     "docno": best_d.reshape(-1), "score": best_s.reshape(-1)}))
+        return pd.concat(out)
 
-    d = docs.select(F.col(doc_id).alias("docno"), F.col(doc_vec).alias("vec"))
-    partial = d.mapInPandas(score, f"qid {q_type}, docno {id_type}, score double")
+    partial = (d.groupBy("db", "qb").cogroup(q.groupBy("db", "qb"))
+               .applyInPandas(score, f"qid {q_type}, docno {id_type}, score double"))
     return top_k(partial, k).select("qid", "docno", "score", "rank")
 
 
@@ -139,10 +134,6 @@ def rerank(run: DataFrame, doc_vectors: DataFrame, query_vectors: DataFrame,
     return top_k(scored, k).select("qid", "docno", "score", "rank")
 
 
-def vector_schema():
-    return T.ArrayType(T.FloatType())
-
-
 def build_dense_index(docs: DataFrame, path: str, encode_fn: Callable[[list[str]], list[list[float]]],
                       doc_id: str = "docno", text: str = "text", mode: str = "errorifexists",
                       batch_size: int = 64, buckets: int | None = None) -> DataFrame:
@@ -154,7 +145,7 @@ def build_dense_index(docs: DataFrame, path: str, encode_fn: Callable[[list[str]
     spark = docs.sparkSession
     if path_exists(spark, path):
         if mode == "errorifexists":
-            raise RuntimeError(f"Index already exists: {path}")
+            raise RuntimeError(f"there are vectors at {path} already; pass mode='overwrite' to replace them")
         _delete(spark, path)
     B = int(buckets or auto_doc_buckets(docs))
     name = _table_name(path, "vectors")
@@ -173,7 +164,7 @@ def open_dense_index(spark, path: str) -> DataFrame:
     from quarry.operators.index import _table_name
     from quarry.session import path_exists
     if not path_exists(spark, path):
-        raise RuntimeError(f"Index does not exist: {path}")
+        raise RuntimeError(f"no vectors at {path}")
     name = _table_name(path, "vectors")
     if not spark.catalog.tableExists(name):
         meta = json.loads(spark.read.text(f"{path}/_meta").first()[0])

@@ -20,8 +20,6 @@ is proportional to the judgments, not to the run depth.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -142,9 +140,13 @@ def metrics_from_hits(hits: DataFrame, ideal: DataFrame, p_cut=(1, 5, 10), r_cut
 
 def metrics_table(runs: DataFrame, qrels: DataFrame, topics: DataFrame | None = None,
                   p_cut=(1, 5, 10), r_cut=(5, 10), ndcg_cut=(5, 10),
-                  ap_cut: int | None = None, map_name: str = "map") -> DataFrame:
+                  ap_cut: int | None = None, map_name: str = "map",
+                  names: list[str] | None = None) -> DataFrame:
     """One row per run ``name``, mean of each metric over judged topics.
 
+    ``names`` lists the systems: one that found nothing gets a row of zeros, and
+    the runs need not be read a second time for their names.
+
     ``runs`` is the union of named runs ``(name, qid, docno, rank)``.  Topics
     without results contribute 0, so each mean is a sum over topics with
     hits divided by the number of judged topics - no topic x system grid is
@@ -156,14 +158,12 @@ def metrics_table(runs: DataFrame, qrels: DataFrame, topics: DataFrame | None =
     per = per_query(runs, q, None, p_cut, r_cut, ndcg_cut, ap_cut, group=["name"])
     metric_cols = [c for c in per.columns if c not in ("name", "qid")]
     sums = per.groupBy("name").agg(*[F.sum(c).alias(c) for c in metric_cols])
-    names = runs.select("name").distinct()
-    out = names.join(sums, "name", "left").select(
+    if names is None:
+        systems = runs.select("name").distinct()
+    else:
+        systems = runs.sparkSession.createDataFrame([(n,) for n in names], "name string")
+    out = systems.join(sums, "name", "left").select(
         "name", *[F.round(F.try_divide(F.coalesce(F.col(c), F.lit(0.0)), n_judged),
                           SCORE_DECIMALS)
                   .alias(map_name if c == "ap" else c) for c in metric_cols])
     return out
-
-
-def ndcg_discount(rank: int) -> float:
-    """Gain discount used above, for hand-computed tests."""
-    return 1.0 / math.log2(rank + 1)

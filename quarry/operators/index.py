@@ -34,6 +34,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -41,6 +42,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions.stopwords import ENGLISH_STOP_WORDS
 from quarry.functions.text import tokens
+from quarry.operators.util import known_size
 from quarry.session import path_exists
 
 DEFAULT_TERM_BUCKETS = 16
@@ -49,31 +51,26 @@ DEFAULT_TERM_BUCKETS = 16
 TARGET_BUCKET_BYTES = 256 * 1024 * 1024
 
 
-MAX_DOC_BUCKETS = 65_536
-
-
 def auto_doc_buckets(docs: DataFrame, target_bytes: int = TARGET_BUCKET_BYTES) -> int:
     """At least the session's default parallelism (its cores), more for
     large inputs: one bucket per ``target_bytes`` of input.  The input size
-    is the sum of the file-backed leaf scans (each counted once); estimates
-    of joins, aggregates and in-memory relations are not used, they can be
-    far off."""
+    is the sum of the file-backed leaf scans (each counted once).  An input
+    without any (memory, checkpoints) is measured by one aggregate, as Spark's
+    estimates for those can be far off.  Pass ``doc_buckets`` for an input that
+    joins a large checkpoint with small files."""
     spark = docs.sparkSession
     floor = max(1, int(spark.sparkContext.defaultParallelism))
-    try:
-        it = docs._jdf.queryExecution().optimizedPlan().collectLeaves().iterator()
-        sizes = {}
-        while it.hasNext():
-            leaf = it.next()
-            if leaf.getClass().getSimpleName() not in ("LogicalRelation", "HiveTableRelation",
-                                                       "DataSourceV2Relation", "DataSourceV2ScanRelation"):
-                continue
-            key = leaf.simpleString(200).split("#")[0]
-            sizes[key] = max(sizes.get(key, 0), int(str(leaf.stats().sizeInBytes())))
-        size = sum(sizes.values())
-    except Exception:  # noqa: BLE001 - estimate unavailable
-        return floor
-    return int(min(MAX_DOC_BUCKETS, max(floor, -(-size // target_bytes))))
+    it = docs._jdf.queryExecution().optimizedPlan().collectLeaves().iterator()
+    sizes = {}
+    while it.hasNext():
+        leaf = it.next()
+        if leaf.getClass().getSimpleName() not in ("LogicalRelation", "HiveTableRelation",
+                                                   "DataSourceV2Relation", "DataSourceV2ScanRelation"):
+            continue
+        key = leaf.simpleString(200).split("#")[0]
+        sizes[key] = max(sizes.get(key, 0), int(str(leaf.stats().sizeInBytes())))
+    size = sum(sizes.values()) if sizes else known_size(docs)[1]
+    return int(max(floor, -(-size // target_bytes)))
 
 
 def term_bucket(term_col, n_buckets: int):
@@ -96,12 +93,15 @@ class Index:
     field_tokens: tuple          # total tokens per field, in field order
     doc_buckets: int
     term_buckets: int
-    stopped: bool
-    stemmed: bool = False
+    stop_words: tuple            # the list it was built with, () for none
+    stemmed: bool
+    max_docno_bytes: int
+    max_term_bytes: int
+    build_id: str                # new with every build
 
     def terms(self, c):
         """The index's own term rule (stop list, stemming) for any text column."""
-        return tokens(c, ENGLISH_STOP_WORDS if self.stopped else None, self.stemmed)
+        return tokens(c, self.stop_words or None, self.stemmed)
 
     @property
     def n_tokens(self) -> int:
@@ -150,20 +150,29 @@ def build_index(docs: DataFrame, path: str, fields=("text",), docno: str = "docn
 
     ``mode``: ``errorifexists`` (the reference's create-or-fail),
     ``overwrite`` (the notebook's delete-and-rebuild) or ``ignore``
-    (open the existing index).  A15.
+    (open the existing index; ``ValueError`` where it was built with other
+    fields, stop list, stemming or stored text than asked for).  A15.
     """
     spark = docs.sparkSession
     fields = tuple(fields)
     if index_exists(spark, path) or path_exists(spark, path):
         if mode == "errorifexists":
-            raise RuntimeError(f"Index already exists: {path}")
+            raise RuntimeError(f"there is an index at {path} already; pass mode='overwrite' to replace it")
         if mode == "ignore" and index_exists(spark, path):
+            meta = _meta(spark, path)
+            asked = {"fields": list(fields), "stop_words": list(stop_words or ()),
+                     "stemmed": bool(stem), "stored": bool(store)}
+            other = sorted(k for k, v in asked.items() if meta[k] != v)
+            if other:
+                raise ValueError(f"the index at {path} was built with other {', '.join(other)}")
             return open_index(spark, path)
         _delete(spark, path)
     for part in ("docs", "postings", "lexicon", "doc_stats"):
         spark.sql(f"DROP TABLE IF EXISTS {_table_name(path, part)}")
     B = int(doc_buckets or auto_doc_buckets(docs))
     T = int(term_buckets)
+    limit = "spark.sql.sources.bucketing.maxBuckets"
+    spark.conf.set(limit, max(B, int(spark.conf.get(limit))))
 
     # 1. the one shuffle of raw text: hash documents into B buckets.  With
     #    ``store`` the bucketed text is kept (for text lookup) and tokenised
@@ -194,12 +203,13 @@ def build_index(docs: DataFrame, path: str, fields=("text",), docno: str = "docn
         .option("path", f"{path}/postings").saveAsTable(_table_name(path, "postings")))
     post = spark.table(_table_name(path, "postings"))
 
-    # 3. lexicon: one partial-aggregated shuffle by term.
-    (post.filter(F.col("term").isNotNull())
-        .groupBy("term_bucket", "term")
-        .agg((F.count(F.lit(1)) if len(fields) == 1 else F.count_distinct("docno")).alias("df"),
-             F.sum("tf").alias("cf"))
-        .repartition("term_bucket")
+    # 3. lexicon: fields of one document are added up bucket-locally, then one
+    #    partial-aggregated shuffle by term, written from there.
+    terms = post.filter(F.col("term").isNotNull())
+    if len(fields) > 1:
+        terms = terms.groupBy("docno", "term_bucket", "term").agg(F.sum("tf").alias("tf"))
+    (terms.groupBy("term_bucket", "term")
+        .agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
         .write.mode("overwrite").format("parquet").partitionBy("term_bucket")
         .option("path", f"{path}/lexicon").saveAsTable(_table_name(path, "lexicon")))
 
@@ -211,20 +221,26 @@ def build_index(docs: DataFrame, path: str, fields=("text",), docno: str = "docn
 
     # 5. scalar statistics (a handful of rows) and the completion marker.
     ds = spark.table(_table_name(path, "doc_stats"))
-    per_field_rows = {r["field"]: (r["n"], r["tok"]) for r in
-                      ds.groupBy("field").agg(F.count(F.lit(1)).alias("n"),
-                                              F.sum("dl").alias("tok")).collect()}
+    per_field_rows = {r["field"]: (r["n"], r["tok"], r["width"]) for r in
+                      ds.groupBy("field").agg(F.count(F.lit(1)).alias("n"), F.sum("dl").alias("tok"),
+                                              F.max(F.octet_length(F.col("docno").cast("string"))).alias("width"))
+                      .collect()}
     n_docs = max((v[0] for v in per_field_rows.values()), default=0)
+    n_terms, term_width = spark.table(_table_name(path, "lexicon")).agg(
+        F.count(F.lit(1)), F.max(F.octet_length("term"))).first()
     meta = {
         "fields": list(fields),
         "docno_type": src.schema["docno"].dataType.simpleString(),
         "stored": bool(store),
         "doc_buckets": B,
         "term_buckets": T,
-        "stopped": bool(stop_words),
+        "stop_words": list(stop_words or ()),
         "stemmed": bool(stem),
         "n_docs": int(n_docs),
-        "n_terms": int(spark.table(_table_name(path, "lexicon")).count()),
+        "n_terms": int(n_terms),
+        "max_term_bytes": int(term_width or 0),
+        "max_docno_bytes": max((int(v[2] or 0) for v in per_field_rows.values()), default=0),
+        "build_id": uuid.uuid4().hex,
         "field_tokens": [int(per_field_rows.get(i, (0, 0))[1] or 0) for i in range(len(fields))],
     }
     spark.createDataFrame([(json.dumps(meta),)], "meta string").coalesce(1) \
@@ -241,15 +257,19 @@ def _register(spark: SparkSession, path: str, part: str, ddl: str) -> str:
     return name
 
 
+def _meta(spark: SparkSession, path: str) -> dict:
+    return json.loads(spark.read.text(f"{path}/_meta").first()[0])
+
+
 def open_index(spark: SparkSession, path: str) -> Index:
     """Open a complete index or raise ``RuntimeError``."""
     if not index_exists(spark, path):
-        raise RuntimeError(f"Index does not exist: {path}")
-    meta = json.loads(spark.read.text(f"{path}/_meta").first()[0])
+        raise RuntimeError(f"no complete index at {path}")
+    meta = _meta(spark, path)
     B, fields = meta["doc_buckets"], tuple(meta["fields"])
     field_cols = ", ".join(f"`{f}` STRING" for f in fields)
     docno_type = meta["docno_type"]
-    stored = meta.get("stored", True)
+    stored = meta["stored"]
     if stored:
         docs_t = _register(spark, path, "docs",
                            f"(docno {docno_type}, {field_cols}) USING parquet "
@@ -277,19 +297,14 @@ def open_index(spark: SparkSession, path: str) -> Index:
         field_tokens=tuple(meta["field_tokens"]),
         doc_buckets=B,
         term_buckets=meta["term_buckets"],
-        stopped=meta["stopped"],
-        stemmed=meta.get("stemmed", False),
+        stop_words=tuple(meta["stop_words"]),
+        stemmed=meta["stemmed"],
+        max_docno_bytes=meta["max_docno_bytes"],
+        max_term_bytes=meta["max_term_bytes"],
+        build_id=meta["build_id"],
     )
 
 
-def open_or_build(docs_fn, path: str, **kw) -> Index:
-    """Open the index at ``path``; build it from ``docs_fn()`` if absent."""
-    spark = SparkSession.getActiveSession()
-    if index_exists(spark, path):
-        return open_index(spark, path)
-    return build_index(docs_fn(), path, mode="overwrite", **kw)
-
-
 def lexicon(index: Index) -> DataFrame:
     """Term -> document frequency, collection frequency."""
     return index.lexicon.select("term", "df", "cf")

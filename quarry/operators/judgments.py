@@ -5,17 +5,19 @@ relevant to passage q when d's text contains q's text" (see FIXTURES.md).
 A nested-loop ``contains`` join would compare every passage with every
 document.  Instead:
 
-1. each passage is keyed by the hash of an interior token window (tokens
-   2 .. 1+L, L = min(width, n - 2)): interior tokens of a contained passage
-   are whole tokens of the document, in the same order;
-2. each document emits the hashes of its token windows of the lengths the
-   passages need (usually just ``width``) and probes the broadcast passage
-   keys - a map-side equi-join, no shuffle of the shingles;
+1. each passage of 3 tokens or more is keyed by the hash of an interior token
+   window (tokens 2 .. 1+L, L = min(width, n - 2)): interior tokens of a
+   contained passage are whole tokens of the document, in the same order;
+   a shorter passage has no interior token and is keyed by the hash of its
+   first L = min(12, length) characters;
+2. each document emits the distinct hashes of its windows of those lengths, in
+   tokens (usually just ``width``) and, only if a short passage needs it, in
+   characters: one pass over the documents, probing the passage keys - a
+   map-side equi-join where they are small;
 3. the few candidate pairs are verified with ``contains`` on the raw text.
 
-Candidates are a superset of the true pairs, so the result is exact.
-Passages with fewer than 3 tokens have no interior window and get no
-judgment (none occur in the driver's ``benchmark`` table).
+Candidates are a superset of the true pairs, so the result is exact.  An empty
+passage is contained in every text; null texts and passages match nothing.
 """
 
 from __future__ import annotations
@@ -28,14 +30,14 @@ from quarry.operators.util import broadcast_if_small
 from quarry.session import shared_dir
 
 SHINGLE_WIDTH = 8
+GRAM_WIDTH = 12
 
 
-def _window_hashes(toks, width_col):
-    n = F.size(toks)
-    starts = F.sequence(F.lit(1), n - width_col + 1)
-    return F.when(n >= width_col, F.transform(
-        starts, lambda i: F.xxhash64(F.array_join(F.slice(toks, i, width_col), " "))))\
-        .otherwise(F.array().cast("array<bigint>"))
+def _keys(L: int, parts, n, piece):
+    """Keys of all windows of ``L`` parts; ``n`` counts the parts."""
+    windows = F.transform(F.sequence(F.lit(1), n - L + 1), lambda i: F.struct(
+        F.lit(parts).alias("parts"), F.lit(L).alias("L"), F.xxhash64(piece(i)).alias("key")))
+    return F.when(n >= L, windows)
 
 
 def containment_qrels(docs: DataFrame, passages: DataFrame, width: int = SHINGLE_WIDTH,
@@ -43,32 +45,40 @@ def containment_qrels(docs: DataFrame, passages: DataFrame, width: int = SHINGLE
                       passage_text: str = "text") -> DataFrame:
     """``(qid, docno, iteration=0, relevance=1)`` for every document whose
     text contains the passage text."""
+    ptext = F.col("ptext")
     p = (passages.select(F.col(qid).alias("qid"), F.col(passage_text).alias("ptext"))
-         .withColumn("toks", tokens(F.col("ptext"), stop_words=None))
-         .withColumn("L", F.least(F.lit(width), F.size("toks") - 2))
-         .filter(F.col("L") >= 1)
-         .select("qid", "ptext", "L",
-                 F.xxhash64(F.array_join(F.slice("toks", 2, F.col("L")), " ")).alias("key")))
-    n_passages = p.count()
-    p = broadcast_if_small(p, rows=n_passages)
-    lengths = sorted(r[0] for r in p.select("L").distinct().collect())  # <= width values
-    d = docs.select(F.col(docno).alias("docno"), tokens(F.col(text), stop_words=None).alias("toks"))
-    keyed = None
-    for L in lengths:
-        part = d.select("docno", F.lit(L).alias("L"),
-                        F.explode(_window_hashes(F.col("toks"), F.lit(L))).alias("key"))
-        keyed = part if keyed is None else keyed.unionByName(part)
-    if keyed is None:
+         .filter(ptext.isNotNull())
+         .withColumn("toks", tokens(ptext, stop_words=None))
+         .withColumn("parts", F.when(F.size("toks") >= 3, "token").otherwise("char"))
+         .withColumn("L", F.when(F.col("parts") == "token", F.least(F.lit(width), F.size("toks") - 2))
+                     .otherwise(F.least(F.lit(GRAM_WIDTH), F.char_length(ptext))))
+         .select("qid", "ptext", "parts", "L", F.xxhash64(
+             F.when(F.col("parts") == "token", F.array_join(F.slice("toks", 2, F.col("L")), " "))
+             .otherwise(ptext.substr(F.lit(1), F.col("L")))).alias("key")))
+    needed = sorted((r[0], r[1]) for r in p.select("parts", "L").distinct().collect())  # <= 8 + 13 rows
+    if not needed:
         return passages.sparkSession.createDataFrame(
             [], f"qid {passages.schema[qid].dataType.simpleString()}, "
                 f"docno {docs.schema[docno].dataType.simpleString()}, iteration int, relevance int")
-    cand = keyed.join(p.select("qid", "L", "key"), ["L", "key"]).select("qid", "docno").distinct()
+    texts = docs.select(F.col(docno).alias("docno"), F.col(text).alias("dtext"))
+    toks, dtext = F.col("toks"), F.col("dtext")
+    d = texts.filter(dtext.isNotNull())
+    if any(parts == "token" for parts, _ in needed):
+        d = d.withColumn("toks", tokens(dtext, stop_words=None))
+    windows = [_keys(L, "token", F.size(toks), lambda i, L=L: F.array_join(F.slice(toks, i, L), " "))
+               if parts == "token" else
+               _keys(L, "char", F.char_length(dtext), lambda i, L=L: dtext.substr(i, F.lit(L)))
+               for parts, L in needed]
+    none = F.array().cast("array<struct<parts:string,L:int,key:bigint>>")
+    keyed = d.select("docno", F.explode(F.array_distinct(F.concat(
+        *[F.coalesce(w, none) for w in windows]))).alias("w")).select("docno", "w.*")
+    probe = broadcast_if_small(p.select("qid", "parts", "L", "key"))
+    cand = keyed.join(probe, ["parts", "L", "key"]).select("qid", "docno").distinct()
     # materialise the candidates once in the shared checkpoint folder: the
-    # count for the broadcast check then does not re-scan the documents
+    # size check of the broadcast then does not re-scan the documents
     shared_dir(docs.sparkSession)
     cand = broadcast_if_small(cand.checkpoint())
-    texts = docs.select(F.col(docno).alias("docno"), F.col(text).alias("dtext"))
     verified = (texts.join(cand, "docno")
-                .join(p.select("qid", "ptext"), "qid")
-                .filter(F.col("dtext").contains(F.col("ptext"))))
+                .join(broadcast_if_small(p.select("qid", "ptext")), "qid")
+                .filter(dtext.contains(ptext)))
     return verified.select("qid", "docno", F.lit(0).alias("iteration"), F.lit(1).alias("relevance"))

@@ -82,7 +82,7 @@ def keywords_extractor(docs: DataFrame, max_keywords: int = MAX_KEYWORDS, method
                        doc_vectors: DataFrame | None = None) -> DataFrame:
     """Dispatch on ``method``; ``ValueError`` for anything else."""
     if method not in METHODS:
-        raise ValueError("Method must be either 'rake' or 'bert'")
+        raise ValueError(f"unknown keyword method {method!r}; use one of {METHODS}")
     if method == "rake":
         return rake_keywords(docs, docno, text, max_keywords)
     if term_vectors is None or doc_vectors is None:
@@ -121,7 +121,7 @@ def thesaurus_expansion(docs: DataFrame, keywords: DataFrame, thesaurus: DataFra
     """``(docno, kw_rank, keyword, synonyms array<string>)``.
 
     ``keywords`` is ``(docno, kw_rank, keyword)``; a keyword without a sense
-    gets no synonyms.  The thesaurus is broadcast after a row-count check.
+    gets no synonyms.  The thesaurus is broadcast after a size check.
     """
     th = broadcast_if_small(thesaurus.select(F.lower("lemma").alias("lemma"), "sense_id",
                                              "gloss", "members"))

@@ -84,7 +84,7 @@ def run_passages(run: DataFrame, index: Index, length: int = LENGTH, stride: int
 
 def query_idf_maps(topics: DataFrame, index: Index, query: str = "query") -> DataFrame:
     """``(qid, qmap map<term, idf>, total)`` for the coverage scorer; one
-    row per query, so it is broadcast after a row-count check."""
+    row per query, so it is broadcast after a size check."""
     qt = (topics.select("qid", F.explode(F.array_distinct(index.terms(F.col(query)))).alias("term"))
           .withColumn("term_bucket", term_bucket("term", index.term_buckets)))
     qt = broadcast_if_small(qt)

@@ -28,10 +28,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from quarry.functions.stopwords import ENGLISH_STOP_WORDS
-from quarry.functions.text import tokens
 from quarry.operators.index import Index, term_bucket
-from quarry.operators.util import (SCORE_DECIMALS, broadcast_if_small, known_count,
+from quarry.operators.util import (SCORE_DECIMALS, broadcast_if_small, known_qids, known_size,
                                    round_score, top_k)
 
 K1, B = 1.2, 0.75
@@ -39,14 +37,10 @@ DEFAULT_DEPTH = 1000
 MODELS = ("BM25", "TF_IDF")
 
 
-def query_terms(topics: DataFrame, qid: str = "qid", query: str = "query",
-                stop_words=ENGLISH_STOP_WORDS, stem: bool = False,
-                index: Index | None = None) -> DataFrame:
-    """Plain query -> ``(qid, term, weight)`` with weight = term count.
-
-    Pass ``index`` to use that index's term rule (stop list, stemming)."""
-    terms = index.terms(F.col(query)) if index is not None else tokens(F.col(query), stop_words, stem)
-    return (topics.select(F.col(qid).alias("qid"), F.explode(terms).alias("term"))
+def query_terms(topics: DataFrame, index: Index, qid: str = "qid", query: str = "query") -> DataFrame:
+    """Plain query -> ``(qid, term, weight)`` with weight = term count, by the
+    term rule of the index that is to answer (its stop list and stemming)."""
+    return (topics.select(F.col(qid).alias("qid"), F.explode(index.terms(F.col(query))).alias("term"))
             .groupBy("qid", "term").agg(F.count(F.lit(1)).cast("double").alias("weight")))
 
 
@@ -59,35 +53,37 @@ def _idf(model: str, n_docs: int):
     raise ValueError(f"unknown weighting model {model!r}; use one of {MODELS + ('BM25F',)}")
 
 
-def _weighted_terms(index: Index, qterms: DataFrame, model: str, rows: int | None = None):
+def _weighted_terms(index: Index, qterms: DataFrame, model: str, size: int | None = None):
     """Query terms joined to the lexicon: ``(qid, term_bucket, term, w)``.
 
-    Returns the frame and its proven row bound (the lexicon has one row per
-    term, so the join cannot grow the query-term table).  ``rows`` is a
-    known bound on ``qterms``; without it the query terms are counted.
+    Returns the frame, broadcast where its bytes are proven to be few (the
+    lexicon has one row per term, so the join cannot grow the query-term
+    table).  ``size`` is a known bound on those bytes; without it the query
+    terms are measured.
     """
     qt = qterms.select("qid", "term", F.col("weight").cast("double").alias("weight")) \
         .withColumn("term_bucket", term_bucket("term", index.term_buckets))
-    n = known_count(qterms) if rows is None else rows
-    qt = broadcast_if_small(qt, rows=n)
+    if size is None:
+        rows, size = known_size(qterms)
+        size += 8 * rows
+    qt = broadcast_if_small(qt, size=size)
     lex = index.lexicon.select("term_bucket", "term", "df")
     w = (qt.join(lex, ["term_bucket", "term"])
            .select("qid", "term_bucket", "term",
                    (F.col("weight") * _idf(model, index.n_docs)).alias("w")))
-    return w, n
+    return broadcast_if_small(w, size=size)
 
 
 def retrieve(index: Index, qterms: DataFrame, model: str = "BM25",
              k: int | None = DEFAULT_DEPTH, k1: float = K1, b: float = B,
-             field: int = 0, qterms_rows: int | None = None) -> DataFrame:
+             field: int = 0, qterms_size: int | None = None) -> DataFrame:
     """H1/H2/H5: ranked run ``(qid, docno, score, rank)``, at most ``k`` per qid.
 
-    ``qterms_rows`` may carry a proven bound on the query-term rows (used for
-    the broadcast check instead of counting them)."""
+    ``qterms_size`` may carry a proven bound on the bytes of the weighted terms
+    (used for the broadcast check instead of measuring them)."""
     if model not in MODELS:
         raise ValueError(f"unknown weighting model {model!r}; use one of {MODELS}")
-    w, n = _weighted_terms(index, qterms, model, qterms_rows)
-    w = broadcast_if_small(w, rows=n)
+    w = _weighted_terms(index, qterms, model, qterms_size)
     avgdl = index.avgdl(field)
     tf = F.col("tf").cast("double")
     norm = k1 * (1.0 - b + b * F.col("dl").cast("double") / F.lit(avgdl))
@@ -117,8 +113,7 @@ def bm25f(index: Index, qterms: DataFrame, weights, k: int | None = DEFAULT_DEPT
     weights = [float(x) for x in weights]
     if len(weights) != len(index.fields):
         raise ValueError(f"need {len(index.fields)} field weights, got {len(weights)}")
-    w, n = _weighted_terms(index, qterms, "BM25F")
-    w = broadcast_if_small(w, rows=n)
+    w = _weighted_terms(index, qterms, "BM25F")
     wf = F.element_at(F.array(*[F.lit(x) for x in weights]), F.col("field") + 1)
     avg = F.element_at(F.array(*[F.lit(index.avgdl(i)) for i in range(len(weights))]),
                        F.col("field") + 1)
@@ -151,10 +146,12 @@ def rm3_terms(index: Index, run: DataFrame, qterms: DataFrame, fb_docs: int = 3,
           .select("qid", "docno",
                   F.when(F.col("tot") > 0, F.col("score") / F.col("tot"))
                    .otherwise(1.0 / F.col("cnt")).alias("dw")))
-    # proven bound: at most fb_docs rows per query, no count of the run needed
+    # proven bound: at most fb_docs rows per query, whose ids the query terms
+    # hold at least once; the run need not be measured
     if n_queries is None:
-        n_queries = known_count(qterms, "qids")
-    fb = broadcast_if_small(fb, rows=n_queries * fb_docs)
+        n_queries = known_qids(qterms)
+    fb = broadcast_if_small(fb, size=fb_docs * (known_size(qterms)[1]
+                                                + n_queries * (index.max_docno_bytes + 24)))
     post = index.postings.filter(F.col("field") == field).select("docno", "term", "tf", "dl")
     p = (post.join(fb, "docno")
          .groupBy("qid", "term")
@@ -180,12 +177,14 @@ def rm3(index: Index, qterms: DataFrame, model: str = "BM25", k: int | None = DE
     """H4: ``model >> RM3 >> model`` (the first run may be passed in).
 
     The expanded query has at most (original terms + queries x fb_terms)
-    rows, a bound known without running the first stage."""
-    n_terms = known_count(qterms)
-    n_queries = known_count(qterms, "qids")
-    run1 = first_run if first_run is not None else retrieve(index, qterms, model, k, qterms_rows=n_terms)
+    rows, and no term is longer than the index's longest: a bound known without
+    running the first stage."""
+    n_terms, n_bytes = known_size(qterms)
+    n_queries = known_qids(qterms)
+    run1 = first_run if first_run is not None else retrieve(index, qterms, model, k)
     expanded = rm3_terms(index, run1, qterms, fb_docs, fb_terms, fb_lambda, n_queries=n_queries)
-    return retrieve(index, expanded, model, k, qterms_rows=n_terms + n_queries * fb_terms)
+    return retrieve(index, expanded, model, k, qterms_size=(
+        n_bytes * (1 + fb_terms) + 8 * n_terms + n_queries * fb_terms * (index.max_term_bytes + 32)))
 
 
 def cutoff(run: DataFrame, k: int) -> DataFrame:

@@ -6,43 +6,81 @@ import weakref
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-# Largest row count we broadcast.  Every broadcast in the package goes
-# through ``broadcast_if_small`` so the bound is checked at run time; above
-# it the planner's shuffle join is used instead.
-BROADCAST_MAX_ROWS = 2_000_000
+# Largest size we broadcast, in bytes of column values.  Every broadcast in the
+# package goes through ``broadcast_if_small`` so the bound is checked at run
+# time; above it the planner's shuffle join is used instead.
+BROADCAST_MAX_BYTES = 64 << 20
 
 # Scores are rounded before ranking so that ties and order do not depend on
 # the summation order of a shuffle.
 SCORE_DECIMALS = 6
 
 
-_COUNTS: "weakref.WeakKeyDictionary" = None  # set below
+_COUNTS: "weakref.WeakKeyDictionary" = weakref.WeakKeyDictionary()
 
 
-def known_count(df: DataFrame, key: str = "rows") -> int:
-    """Row count of ``df`` (or of ``df.select("qid").distinct()`` for
-    ``key="qids"``), remembered per DataFrame object: DataFrames are
-    immutable, so repeated size checks on the same query table run once."""
+def _memo(df: DataFrame) -> dict:
     try:
-        memo = _COUNTS.setdefault(df, {})
+        return _COUNTS.setdefault(df, {})
     except TypeError:  # not weak-referenceable
-        memo = {}
-    if key not in memo:
-        memo[key] = df.count() if key == "rows" else df.select("qid").distinct().count()
-    return memo[key]
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS,
-                       rows: int | None = None) -> DataFrame:
-    """Broadcast ``df`` only when its row count is proven <= ``max_rows``.
-
-    ``rows`` may carry an already known upper bound; otherwise the frame is
-    counted (one cheap job over a small input).
+        return {}
+
+
+def _value_bytes(field: T.StructField) -> Column:
+    """Bytes of one column's value: 8 for a fixed one, content plus 8 otherwise."""
+    c, t = F.col(f"`{field.name}`"), field.dataType
+    if isinstance(t, (T.StringType, T.BinaryType)):
+        n = F.octet_length(c) + 8
+    elif isinstance(t, T.ArrayType) and isinstance(t.elementType, (T.NumericType, T.BooleanType)):
+        n = F.size(c) * 8 + 8
+    elif isinstance(t, (T.ArrayType, T.MapType, T.StructType)):
+        n = F.octet_length(F.to_json(F.struct(c))) + 8
+    else:
+        n = F.lit(8)
+    return F.coalesce(n.cast("long"), F.lit(8))
+
+
+def known_size(df: DataFrame) -> tuple[int, int]:
+    """``(rows, bytes of all column values)``, measured by one aggregate and
+    remembered per DataFrame object: DataFrames are immutable, so repeated
+    size checks on the same query table run once."""
+    memo = _memo(df)
+    if "size" not in memo:
+        width = sum((_value_bytes(f) for f in df.schema.fields), F.lit(0).cast("long"))
+        r = df.select(width.alias("w")).agg(F.count(F.lit(1)), F.sum("w")).first()
+        memo["size"] = (int(r[0]), int(r[1] or 0))
+    return memo["size"]
+
+
+def known_qids(df: DataFrame) -> int:
+    """Number of distinct ``qid``, remembered like ``known_size``."""
+    memo = _memo(df)
+    if "qids" not in memo:
+        memo["qids"] = df.select("qid").distinct().count()
+    return memo["qids"]
+
+
+def content_key(df: DataFrame) -> str:
+    """Key of a frame's rows whatever their order (one aggregate): equal rows
+    give an equal key, other rows another one."""
+    h = F.xxhash64(*[F.col(f"`{c}`") for c in sorted(df.columns)])
+    r = df.select(h.alias("h")).agg(
+        F.count(F.lit(1)), F.sum(F.col("h").cast("decimal(38,0)")), F.bit_xor("h")).first()
+    return "|".join([",".join(sorted(df.columns)), *map(str, r)])
+
+
+def broadcast_if_small(df: DataFrame, max_bytes: int = BROADCAST_MAX_BYTES,
+                       size: int | None = None) -> DataFrame:
+    """Broadcast ``df`` only when its bytes are proven <= ``max_bytes``.
+
+    ``size`` may carry an already known upper bound in bytes; otherwise the
+    frame is measured (one job).
     """
-    n = df.count() if rows is None else rows
-    return F.broadcast(df) if n <= max_rows else df
+    n = known_size(df)[1] if size is None else size
+    return F.broadcast(df) if n <= max_bytes else df
 
 
 def round_score(c: Column | str) -> Column:
@@ -68,12 +106,3 @@ def top_k(df: DataFrame, k: int | None, group: str | list[str] = "qid",
     if k is not None:
         ranked = ranked.filter(F.col(rank_col) <= k)
     return ranked
-
-
-def require_columns(df: DataFrame, cols, what: str) -> None:
-    missing = [c for c in cols if c not in df.columns]
-    if missing:
-        raise ValueError(f"{what} lacks column(s) {missing}; has {df.columns}")
-
-
-_COUNTS = weakref.WeakKeyDictionary()

@@ -1,9 +1,9 @@
 """Named indexes over the driver's tables, built once and reused.
 
 Each index lives below the shared folder (``spark.checkpoint.dir``) under a
-name derived from the input folder and the build parameters, so repeated
-queries open it instead of rebuilding (the reference's
-``create_*_index`` / ``load_*_index`` pair).
+name derived from the input's files (names, lengths, times) and the build
+parameters, so repeated queries open it instead of rebuilding (the reference's
+``create_*_index`` / ``load_*_index`` pair) and changed data get a new index.
 """
 
 from __future__ import annotations
@@ -13,12 +13,13 @@ import hashlib
 from pyspark.sql import SparkSession
 
 from quarry.operators import index as ix
-from quarry.session import shared_dir
+from quarry.session import shared_dir, source_key
 from quarry.sources import tables
 
 
 def index_path(spark: SparkSession, sf_dir: str, kind: str) -> str:
-    h = hashlib.sha1(f"{sf_dir.rstrip('/')}|{kind}|v3".encode()).hexdigest()[:12]
+    data = source_key(spark, tables.table_path(sf_dir, "documents"))
+    h = hashlib.sha1(f"{data}|{kind}|v4".encode()).hexdigest()[:12]
     return f"{shared_dir(spark)}/quarry-index/{kind}-{h}"
 
 

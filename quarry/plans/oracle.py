@@ -105,8 +105,7 @@ def retrieve_ctes(name: str, qterms: str, model: str, k: int, prefix: str = "")
 def qrels_cte(name: str = "qrels") -> str:
     return f"""{name} AS (
   SELECT DISTINCT b.item_id AS qid, d.doc_id AS docno, 0 AS iteration, 1 AS relevance
-  FROM benchmark b JOIN documents d ON contains(d.text, b.text)
-  WHERE len({tokens('b.text', False)}) >= 3)"""
+  FROM benchmark b JOIN documents d ON contains(d.text, b.text))"""
 
 
 def metrics_ctes(run: str, qrels: str = "qrels", group: str = "", topics: str = "topics",

@@ -23,8 +23,8 @@ DEPTH = 1000          # the retrievers' default depth
 CROSS_DEPTH = 100     # cross-encoder re-rank depth (experiment 6)
 
 
-def _qterms(spark, sf_dir):
-    return rt.query_terms(tables.topics(spark, sf_dir))
+def _qterms(spark, sf_dir, index=None):
+    return rt.query_terms(tables.topics(spark, sf_dir), index or indexes.basic_index(spark, sf_dir))
 
 
 def _bm25_run(spark, sf_dir, k=DEPTH):
@@ -291,7 +291,8 @@ _KW_DOCS = [O.corpus_cte(), O.rake_ctes("corpus"), O.thesaurus_ctes("corpus", "r
        + " SELECT qid, docno, score, rank FROM run")
 def bm25_expanded_queries(spark, sf_dir):
     """Experiment 2: BM25 with thesaurus-expanded queries (G9 + H1)."""
-    return rt.bm25(indexes.basic_index(spark, sf_dir), rt.query_terms(_expanded_topics(spark, sf_dir)), k=DEPTH)
+    idx = indexes.basic_index(spark, sf_dir)
+    return rt.bm25(idx, rt.query_terms(_expanded_topics(spark, sf_dir), idx), k=DEPTH)
 
 
 @query("keyword_index_bm25", O.with_(*_KW_DOCS, O.topics_cte(), O.index_ctes("kdocs"),
@@ -299,7 +300,8 @@ def bm25_expanded_queries(spark, sf_dir):
        + " SELECT qid, docno, score, rank FROM run")
 def keyword_index_bm25(spark, sf_dir):
     """Experiment 3A: BM25 on the keyword-only index."""
-    return rt.bm25(indexes.keywords_index(spark, sf_dir), _qterms(spark, sf_dir), k=DEPTH)
+    idx = indexes.keywords_index(spark, sf_dir)
+    return rt.bm25(idx, _qterms(spark, sf_dir, idx), k=DEPTH)
 
 
 @query("keyword_index_bm25_expanded", O.with_(*_KW_DOCS, *_EXP_TOPICS[1:], O.index_ctes("kdocs"),
@@ -309,8 +311,8 @@ def keyword_index_bm25(spark, sf_dir):
        + " SELECT qid, docno, score, rank FROM run")
 def keyword_index_bm25_expanded(spark, sf_dir):
     """Experiment 3B: keyword-only index with expanded queries."""
-    return rt.bm25(indexes.keywords_index(spark, sf_dir),
-                   rt.query_terms(_expanded_topics(spark, sf_dir)), k=DEPTH)
+    idx = indexes.keywords_index(spark, sf_dir)
+    return rt.bm25(idx, rt.query_terms(_expanded_topics(spark, sf_dir), idx), k=DEPTH)
 
 
 # -------------------------------------------------------------------- BM25F
@@ -412,7 +414,7 @@ from quarry.operators import rerank as rr  # noqa: E402
 
 def _top_text(spark, sf_dir, topics, k=CROSS_DEPTH):
     idx = indexes.basic_index(spark, sf_dir)
-    run = rt.bm25(idx, rt.query_terms(topics), k=k)
+    run = rt.bm25(idx, rt.query_terms(topics, idx), k=k)
     return idx, ix.get_text(run, idx).select("qid", "docno", "rank", "text")
 
 
@@ -427,7 +429,7 @@ def _first_stage_sql(topics_cte: str, topics: str, k: int = CROSS_DEPTH) -> list
 def passages(spark, sf_dir):
     """G11 on the BM25 top 100: windows of 256 tokens, stride 128."""
     idx = indexes.basic_index(spark, sf_dir)
-    run = rt.bm25(idx, rt.query_terms(tables.topics(spark, sf_dir)), k=CROSS_DEPTH)
+    run = rt.bm25(idx, rt.query_terms(tables.topics(spark, sf_dir), idx), k=CROSS_DEPTH)
     return rr.run_passages(run, idx, with_terms=False).select("qid", "docno", "rank", "passage_no", "text")
 
 
@@ -453,7 +455,7 @@ def max_passage(spark, sf_dir):
     """BM25 % 100 -> text -> passages -> pair scorer -> max passage."""
     t = tables.topics(spark, sf_dir)
     idx = indexes.basic_index(spark, sf_dir)
-    run = rt.bm25(idx, rt.query_terms(t), k=CROSS_DEPTH)
+    run = rt.bm25(idx, rt.query_terms(t, idx), k=CROSS_DEPTH)
     return rr.max_passage(rr.coverage_scores(rr.run_passages(run, idx), t, idx))
 
 
@@ -465,7 +467,7 @@ _QA_SQL = [*_first_stage_sql(O.questions_cte(), "questions"), O.passages_ctes("r
 def _qa_context(spark, sf_dir):
     q = tables.questions(spark, sf_dir)
     idx = indexes.basic_index(spark, sf_dir)
-    run = rt.bm25(idx, rt.query_terms(q), k=CROSS_DEPTH)
+    run = rt.bm25(idx, rt.query_terms(q, idx), k=CROSS_DEPTH)
     ranked = rr.max_passage(rr.coverage_scores(rr.run_passages(run, idx), q, idx))
     return q, an_.context(ranked, an_.CONTEXT_DOCS)
 
@@ -642,7 +644,8 @@ def metrics_table(spark, sf_dir):
     idx, qt = indexes.basic_index(spark, sf_dir), _qterms(spark, sf_dir)
     runs = (rt.bm25(idx, qt, DEPTH).withColumn("name", F.lit("bm25"))
             .unionByName(rt.tf_idf(idx, qt, DEPTH).withColumn("name", F.lit("tfidf"))))
-    return ev.metrics_table(runs, tables.qrels(spark, sf_dir), tables.topics(spark, sf_dir))
+    return ev.metrics_table(runs, tables.qrels(spark, sf_dir), tables.topics(spark, sf_dir),
+                            names=["bm25", "tfidf"])
 
 
 @query("run_trec_roundtrip", _run_sql("BM25", DEPTH) + " SELECT qid, docno, rank, score FROM run")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import os
+import hashlib
 import uuid
 
 from pyspark.sql import SparkSession
@@ -30,14 +30,17 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
 def shared_dir(spark: SparkSession) -> str:
     """Folder for materialised tables (indexes, cut lineage).
 
-    Uses ``spark.checkpoint.dir`` as named by the cluster.  Only when it is
-    unset (local tests) a folder below the warehouse directory is chosen and
-    registered as the checkpoint directory.
+    Uses ``spark.checkpoint.dir`` as named by the cluster.  Where it is unset,
+    a local master gets a folder below the warehouse directory, registered as
+    the checkpoint directory; on a cluster that folder could be on each
+    machine's own disk, so that is an error.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
         d = spark.sparkContext.getCheckpointDir()
     if not d:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         wh = spark.conf.get("spark.sql.warehouse.dir", "spark-warehouse")
         d = wh.rstrip("/") + "/quarry-checkpoints"
         spark.sparkContext.setCheckpointDir(d)
@@ -49,15 +52,27 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def is_local_path(path: str) -> bool:
-    return path.startswith("file:") or "://" not in path
+def _matches(spark: SparkSession, path: str):
+    """Files and folders that a path or glob names, by Hadoop's FileSystem, so
+    on any store and with the default file system for a bare path."""
+    jpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return fs, list(fs.globStatus(jpath) or [])
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
-    """Existence test through Hadoop's FileSystem, so it works on any store."""
-    if is_local_path(path) and not path.startswith("file:"):
-        return os.path.exists(path)
-    jvm = spark.sparkContext._jvm
-    jpath = jvm.org.apache.hadoop.fs.Path(path)
-    fs = jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return fs.exists(jpath)
+    """Does the path exist, or the glob match anything?"""
+    return bool(_matches(spark, path)[1])
+
+
+def source_key(spark: SparkSession, path: str) -> str:
+    """Hash of names, lengths and times of all files below ``path``: changed
+    data under one path has another key.  File metadata only."""
+    fs, found = _matches(spark, path)
+    rows = []
+    for status in found:
+        files = fs.listFiles(status.getPath(), True)
+        while files.hasNext():
+            f = files.next()
+            rows.append(f"{f.getPath()}|{f.getLen()}|{f.getModificationTime()}")
+    return hashlib.sha1("\n".join(sorted(rows)).encode()).hexdigest()[:16]

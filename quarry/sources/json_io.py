@@ -48,12 +48,15 @@ def load_list_or_empty(spark: SparkSession, path: str,
     return parsed
 
 
+def _holds_array(spark: SparkSession, path: str) -> bool:
+    check_paths(spark, path)  # A4
+    head = spark.read.text(path).filter(F.length(F.trim("value")) > 0).first()
+    return head is not None and head[0].lstrip().startswith("[")
+
+
 def _read_records(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """JSON array or JSON lines, whichever the file holds."""
-    if not path_exists(spark, path):
-        raise FileNotFoundError(f"File does not exist: {path}")  # A4
-    head = spark.read.text(path).filter(F.length(F.trim("value")) > 0).first()
-    if head is not None and head[0].lstrip().startswith("["):
+    if _holds_array(spark, path):
         return load_list_or_empty(spark, path, schema).drop("pos")
     return spark.read.schema(schema).json(path)
 
@@ -62,7 +65,7 @@ def check_paths(spark: SparkSession, *paths: str) -> None:
     """A4: ``FileNotFoundError`` for the first missing input."""
     for p in paths:
         if not path_exists(spark, p):
-            raise FileNotFoundError(f"File does not exist: {p}")
+            raise FileNotFoundError(f"nothing to read at {p}")
 
 
 def load_documents(spark: SparkSession, path: str) -> DataFrame:
@@ -73,8 +76,13 @@ def load_documents(spark: SparkSession, path: str) -> DataFrame:
 
 
 def load_queries(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
-    """A2: topics file -> ``(qid, query, ...)``; other columns kept."""
-    schema = schema or T.StructType([T.StructField("query_id", S), T.StructField("question", S)])
+    """A2: topics file -> ``(qid, query, ...)``; other columns kept (those of
+    ``schema``, or all that the file has, values as strings)."""
+    if schema is None:
+        as_array = _holds_array(spark, path)
+        found = spark.read.option("primitivesAsString", True).option("multiLine", as_array).json(path)
+        schema = T.StructType([f for f in found.schema.fields if f.name not in ("query_id", "question")])
+        schema = T.StructType([T.StructField("query_id", S), T.StructField("question", S), *schema.fields])
     return _read_records(spark, path, schema).withColumnsRenamed(
         {"query_id": "qid", "question": "query"})
 

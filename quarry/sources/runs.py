@@ -2,8 +2,8 @@
 
 One folder per system name; Spark writes it as text shards.  ``reuse``
 reads a saved run instead of recomputing it (the reference's
-``save_mode="reuse"``); the folder name carries a hash of the caller's
-parameters so two different topic sets never collide.
+``save_mode="reuse"``); the folder name carries a hash of ``params``, which
+must name everything the run depends on: topics, index build, parameters.
 """
 
 from __future__ import annotations
@@ -23,9 +23,16 @@ def run_path(base: str, name: str, params: str = "") -> str:
 
 
 def save_run(run: DataFrame, path: str, tag: str, mode: str = "overwrite") -> None:
-    """One line per row; score printed with full double precision."""
-    line = F.concat_ws(" ", F.col("qid").cast("string"), F.lit("Q0"), F.col("docno").cast("string"),
-                       F.col("rank").cast("string"), F.col("score").cast("string"), F.lit(tag))
+    """One line per row; score printed with full double precision.  A null
+    value, or an id or tag that is empty or holds white space, would shift the
+    columns and is an error."""
+    def word(c):
+        c = c.cast("string")
+        return F.when(c.rlike(r"^\S+$"), c).otherwise(F.raise_error(F.concat(
+            F.lit("not a word of a run file: "), F.coalesce(c, F.lit("null")))))
+
+    line = F.concat_ws(" ", word(F.col("qid")), F.lit("Q0"), word(F.col("docno")),
+                       word(F.col("rank")), word(F.col("score")), word(F.lit(tag)))
     run.select(line.alias("value")).write.mode(mode).text(path)
 
 

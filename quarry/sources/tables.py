@@ -16,8 +16,12 @@ from quarry.functions.text import clean_question
 from quarry.operators.judgments import containment_qrels
 
 
+def table_path(sf_dir: str, name: str) -> str:
+    return f"{sf_dir.rstrip('/')}/{name}.parquet"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return spark.read.parquet(table_path(sf_dir, name))
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -87,3 +87,30 @@ def test_fielded_index_stats(spark, scratch):
     assert lex == {"alpha": 1, "beta": 2, "gamma": 1}
     st = {r.field_name: r.avgdl for r in idx.stats().collect()}
     assert st == {"text": 1.5, "keywords": 0.5}
+
+
+def test_runs_of_other_topics_are_not_reused(spark, scratch):
+    docs = spark.createDataFrame([(i, f"w{i} common") for i in range(12)], "docno long, text string")
+    idx = ix.build_index(docs, scratch("y-idx"), doc_buckets=2)
+    qrels = spark.createDataFrame([(i, i, 0, 1) for i in range(4)], "qid long, docno long, iteration int, relevance int")
+    right = spark.createDataFrame([(i, f"w{i}") for i in range(4)], "qid long, query string")
+    wrong = spark.createDataFrame([(i, f"w{i + 5}") for i in range(4)], "qid long, query string")
+    save = scratch("y-runs")
+    one = {r.name: r.map for r in xp.experiment_1(idx, right, qrels, save_dir=save).collect()}
+    two = {r.name: r.map for r in xp.experiment_1(idx, wrong, qrels, save_dir=save).collect()}
+    assert one["experiment1_bm25"] == 1.0 and two["experiment1_bm25"] == 0.0
+
+
+def test_system_without_results_keeps_its_row(spark, scratch):
+    docs = spark.createDataFrame([(1, "alpha"), (2, "beta")], "docno long, text string")
+    idx = ix.build_index(docs, scratch("z-idx"), doc_buckets=2)
+    topics = spark.createDataFrame([(1, "nothing")], "qid long, query string")
+    qrels = spark.createDataFrame([(1, 1, 0, 1)], "qid long, docno long, iteration int, relevance int")
+    got = xp.experiment_1(idx, topics, qrels).collect()
+    assert len(got) == 4 and all(r.map == 0.0 and r.p_1 == 0.0 for r in got)
+
+
+def test_run_ids_with_spaces_are_refused(spark, scratch):
+    run = spark.createDataFrame([("a b", 1, 1.0, 1)], "qid string, docno long, score double, rank int")
+    with pytest.raises(Exception, match="not a word"):
+        runs_io.save_run(run, scratch("bad"), "sys")

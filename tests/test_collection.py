@@ -101,3 +101,18 @@ def test_document_splits_cover_whole_table(spark):
     assert per_id.filter("k > 1").count() > 0                     # ids repeated across splits
     d = co.dedup_keep_first(u)
     assert d.count() == u.select("para_id").distinct().count()
+
+
+def test_globs_and_other_columns_of_topics(spark, tmp_path):
+    import json
+    from quarry.session import path_exists, source_key
+    from quarry.sources import json_io
+    (tmp_path / "a1.json").write_text(json.dumps([{"query_id": 7, "question": "q", "answer": "x", "year": 1901}]))
+    glob = str(tmp_path / "a*.json")
+    assert path_exists(spark, glob) and not path_exists(spark, str(tmp_path / "b*.json"))
+    assert json_io.load_list_or_empty(spark, glob).count() == 1
+    r = json_io.load_queries(spark, glob).first().asDict()
+    assert r == {"qid": "7", "query": "q", "answer": "x", "year": "1901"}
+    before = source_key(spark, str(tmp_path))
+    (tmp_path / "a2.json").write_text("[]")
+    assert source_key(spark, str(tmp_path)) != before

@@ -55,7 +55,7 @@ def test_build_errors_if_exists(small, spark):
 
 def test_bm25_hand_computed(small):
     idx, topics, _ = small
-    run = rt.bm25(idx, rt.query_terms(topics), k=10).collect()
+    run = rt.bm25(idx, rt.query_terms(topics, idx), k=10).collect()
     got = {(r.qid, r.docno): r.score for r in run}
     for qid, q in TOPICS:
         for d, _ in DOCS:
@@ -69,7 +69,7 @@ def test_bm25_hand_computed(small):
 
 def test_cutoff_idempotent(small):
     idx, topics, _ = small
-    run = rt.bm25(idx, rt.query_terms(topics), k=10)
+    run = rt.bm25(idx, rt.query_terms(topics, idx), k=10)
     a = sorted(tuple(r) for r in rt.cutoff(run, 2).collect())
     b = sorted(tuple(r) for r in rt.cutoff(rt.cutoff(run, 2), 2).collect())
     assert a == b and all(r[3] <= 2 for r in a)
@@ -79,14 +79,14 @@ def test_partition_count_invariance(spark, small):
     from quarry.session import scratch_path
     idx, topics, docs = small
     idx1 = ix.build_index(docs.repartition(1), scratch_path(spark, "t-idx1"), doc_buckets=1, term_buckets=1)
-    a = sorted(tuple(r) for r in rt.bm25(idx, rt.query_terms(topics)).collect())
-    b = sorted(tuple(r) for r in rt.bm25(idx1, rt.query_terms(topics)).collect())
+    a = sorted(tuple(r) for r in rt.bm25(idx, rt.query_terms(topics, idx)).collect())
+    b = sorted(tuple(r) for r in rt.bm25(idx1, rt.query_terms(topics, idx1)).collect())
     assert a == b
 
 
 def test_rm3_lambda_one_is_base_ranking(small):
     idx, topics, _ = small
-    qt = rt.query_terms(topics)
+    qt = rt.query_terms(topics, idx)
     base = rt.bm25(idx, qt)
     again = rt.retrieve(idx, rt.rm3_terms(idx, base, qt, fb_lambda=1.0), "BM25")
     order = lambda df: sorted((r.qid, r.rank, r.docno) for r in df.collect())
@@ -95,7 +95,7 @@ def test_rm3_lambda_one_is_base_ranking(small):
 
 def test_rm3_terms_sum(small):
     idx, topics, _ = small
-    qt = rt.query_terms(topics)
+    qt = rt.query_terms(topics, idx)
     w = rt.rm3_terms(idx, rt.bm25(idx, qt), qt, fb_terms=2)
     sums = {r.qid: r.s for r in w.groupBy("qid").agg(F.sum("weight").alias("s")).collect()}
     assert sums[10] == pytest.approx(1.0, abs=1e-6)
@@ -106,7 +106,7 @@ def test_bm25f_text_only_matches_bm25_order(spark):
     docs = spark.createDataFrame([(d, t, "") for d, t in DOCS], "docno long, text string, keywords string")
     idx2 = ix.build_index(docs, scratch_path(spark, "t-idx2"), fields=("text", "keywords"), doc_buckets=2)
     topics = spark.createDataFrame(TOPICS, "qid long, query string")
-    qt = rt.query_terms(topics)
+    qt = rt.query_terms(topics, idx2)
     f = sorted((r.qid, r.rank, r.docno) for r in rt.bm25f(idx2, qt, (1.0, 0.0)).collect())
     idx1 = ix.build_index(docs.select("docno", "text"), scratch_path(spark, "t-idx3"), doc_buckets=2)
     b = sorted((r.qid, r.rank, r.docno) for r in rt.bm25(idx1, qt).collect())
@@ -118,7 +118,7 @@ def test_bm25f_text_only_matches_bm25_order(spark):
 def test_unknown_model(small):
     idx, topics, _ = small
     with pytest.raises(ValueError):
-        rt.retrieve(idx, rt.query_terms(topics), "LM")
+        rt.retrieve(idx, rt.query_terms(topics, idx), "LM")
 
 
 def test_unstored_index_same_ranking(spark, small):
@@ -126,11 +126,11 @@ def test_unstored_index_same_ranking(spark, small):
     idx, topics, docs = small
     bare = ix.build_index(docs, scratch_path(spark, "t-bare"), doc_buckets=3, term_buckets=4, store=False)
     assert bare.n_docs == 5 and "text" not in bare.docs.columns
-    a = sorted(tuple(r) for r in rt.bm25(idx, rt.query_terms(topics)).collect())
-    b = sorted(tuple(r) for r in rt.bm25(bare, rt.query_terms(topics)).collect())
+    a = sorted(tuple(r) for r in rt.bm25(idx, rt.query_terms(topics, idx)).collect())
+    b = sorted(tuple(r) for r in rt.bm25(bare, rt.query_terms(topics, bare)).collect())
     assert a == b
     with pytest.raises(ValueError):
-        ix.get_text(rt.bm25(bare, rt.query_terms(topics)), bare)
+        ix.get_text(rt.bm25(bare, rt.query_terms(topics, bare)), bare)
     again = ix.open_index(spark, bare.path)
     assert again.docs.count() == 5
 
@@ -146,3 +146,44 @@ def test_auto_doc_buckets_uses_file_scans_only(spark):
     assert floor <= one_mb < 100
     # joins with in-memory tables and self-joins do not inflate the estimate
     assert ix.auto_doc_buckets(expand_documents(d, thesaurus.fixture(spark), replace=False), 1024 * 1024) == one_mb
+
+
+def test_index_keeps_its_own_stop_list(spark):
+    from quarry.session import scratch_path
+    docs = spark.createDataFrame([(1, "the sky above"), (2, "the sea"), (3, "sky")], "docno long, text string")
+    topics = spark.createDataFrame([(7, "the sky")], "qid long, query string")
+    path = scratch_path(spark, "t-stops")
+    idx = ix.build_index(docs, path, doc_buckets=2, stop_words=("sky",))
+    assert idx.stop_words == ("sky",)
+    assert sorted(r.docno for r in rt.bm25(idx, rt.query_terms(topics, idx)).collect()) == [1, 2]
+    free = ix.build_index(docs, scratch_path(spark, "t-free"), doc_buckets=2, stop_words=None)
+    assert sorted(r.docno for r in rt.bm25(free, rt.query_terms(topics, free)).collect()) == [1, 2, 3]
+    assert ix.build_index(docs, path, stop_words=("sky",), mode="ignore").build_id == idx.build_id
+    with pytest.raises(ValueError):
+        ix.build_index(docs, path, mode="ignore")
+
+
+def test_bucket_count_measures_what_is_not_a_file(spark):
+    docs = spark.range(4000).selectExpr("id docno", "repeat('x', 100) text")
+    cores = spark.sparkContext.defaultParallelism
+    assert ix.auto_doc_buckets(docs) == cores
+    assert ix.auto_doc_buckets(docs, target_bytes=10_000) == 47      # 4000 * (8 + 108) bytes
+
+
+def test_broadcast_is_bounded_in_bytes(spark):
+    from quarry.operators.util import broadcast_if_small, known_size
+    df = spark.createDataFrame([("a" * 100,), (None,)], "t string")
+    assert known_size(df) == (2, 116)
+    hinted = lambda d: "broadcast" in d._jdf.queryExecution().analyzed().toString()
+    assert hinted(broadcast_if_small(df, 116)) and not hinted(broadcast_if_small(df, 115))
+
+
+def test_short_and_empty_passages_are_judged(spark):
+    from quarry.operators.judgments import containment_qrels
+    texts = {1: "big red fox runs", 2: "a hundred foxes", 3: "", 4: None, 5: "red fox", 6: "?! fox", 7: "Red fox and the dog barks"}
+    passages = {1: "red fox", 2: "fox", 3: "", 4: None, 5: "?!", 6: "d fox", 7: "big red fox runs", 8: "ox and the dog ba"}
+    docs = spark.createDataFrame(list(texts.items()), "docno long, text string")
+    p = spark.createDataFrame(list(passages.items()), "qid long, text string")
+    got = sorted((r.qid, r.docno) for r in containment_qrels(docs, p).collect())
+    assert got == sorted((q, d) for q, a in passages.items() for d, t in texts.items()
+                         if a is not None and t is not None and a in t)
