@@ -10,12 +10,14 @@ the prefixes.
 Two sets with Jaccard similarity of ``t`` or more share a shingle of their
 prefixes (size - ceil(t * size) + 1), so pairs are looked for among groups
 that share one, filtered by size and position, expanded to their member
-classes and verified on the whole sets.  To keep large clusters from giving
-all their pairs, that happens in rounds:
+classes, filtered by bit maps of the whole sets (a bound on the overlap, so no
+link is lost) and verified on the whole sets.  To keep large clusters from
+giving all their pairs, that happens in rounds:
 
 * First each group's classes are compared with its first class, and the groups
   that share a prefix shingle with a fixed number of them (PIVOTS, chosen by
-  hash).  TURNS such rounds compare only what is not in one component yet.
+  hash).  Of what the bit maps leave to a class, PICKED pairs are verified.
+  TURNS such rounds compare only what is not in one component yet.
 * The last round compares everything that shares a prefix shingle (or a group)
   and is not in one component yet.
 
@@ -38,6 +40,8 @@ FREQUENT = 16           # documents from which on a shingle comes last
 CHUNK = 8 << 20         # shingles that a task counts at a time
 FREQUENT_MAX = 1 << 20  # size bound of the broadcast table of frequent ones
 PIVOTS, TURNS = 24, 2      # members that are compared with all others, and how often anew
+PICKED = 2              # pairs of a class that a turn verifies; the last round takes all
+BITS = 4                # places of a bit map a shingle, at least
 BROADCAST_ROWS = 1 << 20   # up to so many wanted rows are broadcast, else shuffled
 
 
@@ -52,6 +56,24 @@ def class_id(s: np.ndarray) -> int:
     return int(mix(h[:1] * np.uint64(0x9E3779B97F4A7C15) + h[1:])[0].view(np.int64))
 
 
+def bit_map(s: np.ndarray) -> np.ndarray:
+    """The places that the hashes fall on, a power of two, as packed bits."""
+    places = max(64, 1 << (BITS * len(s) - 1).bit_length())
+    bits = np.zeros(places, np.uint8)
+    bits[(s & np.uint64(places - 1)).astype(np.int64)] = 1
+    return np.packbits(bits)
+
+
+def may_overlap(x: np.ndarray, y: np.ndarray, nx: int, ny: int, percent: int) -> bool:
+    """Can sets with these bit maps and sizes link?  A place that only one set
+    falls on holds a shingle that the other lacks."""
+    size = min(len(x), len(y))
+    x = np.bitwise_or.reduce(x.reshape(-1, size), axis=0)    # fold the larger map
+    y = np.bitwise_or.reduce(y.reshape(-1, size), axis=0)
+    most = min(nx - int(np.bitwise_count(x & ~y).sum()), ny - int(np.bitwise_count(y & ~x).sum()))
+    return (100 + percent) * most >= percent * (nx + ny)
+
+
 def _sets(docs: DataFrame, k: int) -> DataFrame:
     """``(doc_id, rid, n, cid)`` of every row."""
     def rows(batches):
@@ -109,12 +131,12 @@ def _frequent(docs: DataFrame, k: int) -> np.ndarray:
 
 
 def _classes(docs: DataFrame, k: int, percent: int, frequent) -> DataFrame:
-    """One row per distinct set: ``(cid, n, gid, prefix, rid)``; ``rid`` names
-    a row that has the set."""
+    """One row per distinct set: ``(cid, n, gid, prefix, rid, bits)``; ``rid``
+    names a row that has the set."""
     def rows(batches):
         often = frequent.value
         for b in batches:
-            rids, cids, ns, gids, prefixes = [], [], [], [], []
+            rids, cids, ns, gids, prefixes, bits = [], [], [], [], [], []
             for rid, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 s = shingles(word_hashes(words(t, lower=True)), k)
                 n = len(s)
@@ -126,13 +148,15 @@ def _classes(docs: DataFrame, k: int, percent: int, frequent) -> DataFrame:
                 ns.append(n)
                 gids.append(class_id(np.concatenate((p, [np.uint64(n)]))))
                 prefixes.append(p.view(np.int64))
+                bits.append(bit_map(s).tobytes())
             if rids:
                 yield pa.record_batch({
                     "cid": pa.array(cids, pa.int64()), "n": pa.array(ns, pa.int64()),
                     "gid": pa.array(gids, pa.int64()), "rid": pa.array(rids, pa.int64()),
-                    "prefix": pa.array(prefixes, pa.list_(pa.int64()))})
+                    "prefix": pa.array(prefixes, pa.list_(pa.int64())), "bits": pa.array(bits, pa.binary())})
 
-    return (docs.select("rid", "text").mapInArrow(rows, "cid long, n long, gid long, rid long, prefix array<long>")
+    return (docs.select("rid", "text")
+            .mapInArrow(rows, "cid long, n long, gid long, rid long, prefix array<long>, bits binary")
             .dropDuplicates(["cid"]))
 
 
@@ -161,10 +185,32 @@ def _mixed(rows: DataFrame) -> DataFrame:
     return rows.join(ends.select("token"), "token", "left_semi")
 
 
+def _of_ends(classes: DataFrame, pairs: DataFrame, *cols: str) -> DataFrame:
+    """``(cid, <cols>)`` of the classes that the pairs ``(a, b)`` name."""
+    ends = cut(pairs.select(F.col("a").alias("cid")).union(pairs.select(F.col("b").alias("cid"))).distinct())
+    if ends.count() <= BROADCAST_ROWS:        # a long a row
+        ends = F.broadcast(ends)
+    return classes.select("cid", *cols).join(ends, "cid")
+
+
+def _possible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The pairs ``(a, b)`` whose bit maps allow the overlap."""
+    has = _of_ends(classes, pairs, "n", "bits")
+    both = (pairs.join(has.selectExpr("cid a", "n na", "bits xa"), "a")
+            .join(has.selectExpr("cid b", "n nb", "bits xb"), "b"))
+
+    def check(batches):
+        for b in batches:
+            keep = [may_overlap(np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8), nx, ny, percent)
+                    for x, y, nx, ny in zip(*[b.column(i).to_pylist() for i in range(2, 6)])]
+            yield pa.record_batch({"a": b.column(0), "b": b.column(1)}).filter(pa.array(keep, pa.bool_()))
+
+    return both.select("a", "b", "xa", "xb", "na", "nb").mapInArrow(check, "a long, b long")
+
+
 def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs ``(a, b)`` of classes whose whole sets are similar enough."""
-    ends = pairs.select(F.col("a").alias("cid")).union(pairs.select(F.col("b").alias("cid"))).distinct()
-    wanted = cut(classes.select("cid", "rid").join(ends, "cid"))
+    wanted = cut(_of_ends(classes, pairs, "rid"))
     if wanted.count() <= BROADCAST_ROWS:      # two longs a row
         wanted = F.broadcast(wanted)
     texts = docs.select("rid", "text").join(wanted, "rid").select("cid", "text")
@@ -219,7 +265,7 @@ def jaccard_components(docs: DataFrame, text: str = "text", key: str = "doc_id",
         parts = member.groupBy("gid", "comp").agg(F.min("cid").alias("cid"))
         if turn == 0:
             inside = (classes.alias("c").join(groups.alias("g"), F.expr("c.gid = g.gid and c.cid <> g.rep"))
-                      .select(F.col("g.rep").alias("a"), F.col("c.cid").alias("b")))
+                      .select(F.col("c.cid").alias("a"), F.col("g.rep").alias("b")))
             parts = groups.select("gid", F.col("rep").alias("comp"), F.col("rep").alias("cid"))
         rows_ = _mixed(shared.join(parts, "gid"))
         turned = Window.partitionBy("token").orderBy(F.xxhash64(F.lit(turn), "gid", "comp"))
@@ -230,8 +276,14 @@ def jaccard_components(docs: DataFrame, text: str = "text", key: str = "doc_id",
             .groupBy("a", "b", "na", "nb").agg(*_last()).filter(_enough(percent)).select("a", "b"))
         if turn == 0:
             star = star.union(inside).distinct()
-        near = cut(star.selectExpr("least(a, b) a", "greatest(a, b) b"))
-        found = cut(_verified(near, classes, docs, shingle, percent))
+        star = cut(star)
+        maybe = cut(_possible(star, classes, percent))
+        first = F.row_number().over(Window.partitionBy("a").orderBy("b"))
+        picked = cut(maybe.withColumn("at", first).filter(F.col("at") <= PICKED).select("a", "b"))
+        found = cut(_verified(picked, classes, docs, shingle, percent))
+        # settled: what the bit maps refuse, and what was verified
+        near = (star.join(maybe, ["a", "b"], "left_anti").union(picked)
+                .selectExpr("least(a, b) a", "greatest(a, b) b"))
         done = near if done is None else done.union(near)
         edges = found if edges is None else edges.union(found)
         label = components(edges)
@@ -253,7 +305,7 @@ def jaccard_components(docs: DataFrame, text: str = "text", key: str = "doc_id",
               .join(member.selectExpr("cid b", "gid gb", "comp cb"), ["gb", "cb"]).select("a", "b"))
     rest = cut(within.union(across).selectExpr("least(a, b) a", "greatest(a, b) b").distinct()
                .join(done.distinct(), ["a", "b"], "left_anti"))
-    more = cut(_verified(rest, classes, docs, shingle, percent))
+    more = cut(_verified(cut(_possible(rest, classes, percent)), classes, docs, shingle, percent))
     label = components(edges.union(more))
 
     # classes to rows
