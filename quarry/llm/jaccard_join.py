@@ -162,21 +162,22 @@ def _classes(docs: DataFrame, k: int, percent: int, frequent) -> DataFrame:
 
 def _may_link(a: str, b: str, percent: int) -> str:
     """Size filter, and bound on the overlap from the places of a shared
-    shingle in both prefixes."""
-    top = f"(least({a}.pos, {b}.pos) + 1 + least({a}.n - {a}.pos, {b}.n - {b}.pos) - 1)"
+    shingle in both orders.  A shingle before it that no other group has in its
+    prefix is not in the other set: there it would stand in the prefix too."""
+    top = f"(least({a}.pos, {b}.pos) + least({a}.left, {b}.left))"
     return (f"100 * least({a}.n, {b}.n) >= {percent} * greatest({a}.n, {b}.n) and "
             f"{100 + percent} * {top} >= {percent} * ({a}.n + {b}.n)")
 
 
 def _last():
-    """Of a pair: its shared prefix shingles and the places of the last."""
-    return F.count(F.lit(1)).alias("c"), F.max("pa").alias("pa"), F.max("pb").alias("pb")
+    """Of a pair: its shared prefix shingles and what both have from the last on."""
+    return F.count(F.lit(1)).alias("c"), F.min("la").alias("la"), F.min("lb").alias("lb")
 
 
 def _enough(percent: int) -> str:
     """Bound on the overlap from those: what both have before the last shared
     prefix shingle is counted, what follows is at most the shorter rest."""
-    return f"{100 + percent} * (c + least(na - pa, nb - pb) - 1) >= {percent} * (na + nb)"
+    return f"{100 + percent} * (c + least(la, lb) - 1) >= {percent} * (na + nb)"
 
 
 def _mixed(rows: DataFrame) -> DataFrame:
@@ -255,8 +256,12 @@ def jaccard_components(docs: DataFrame, text: str = "text", key: str = "doc_id",
     tokens = one.select("gid", F.col("n").cast("int").alias("n"), F.posexplode("prefix").alias("pos", "token"))
     # one shuffle by shingle; a row that stands alone is no group's neighbour
     by = Window.partitionBy("token").orderBy("gid")
-    shared = cut(tokens.withColumn("near", F.coalesce(F.lag("gid").over(by), F.lead("gid").over(by)))
-                 .filter("near is not null").select("token", "gid", "n", "pos"))
+    shared = (tokens.withColumn("near", F.coalesce(F.lag("gid").over(by), F.lead("gid").over(by)))
+              .filter("near is not null").select("token", "gid", "n", "pos"))
+    # "pos" now counts what other groups may have before the shingle, "left" all from it on
+    before = F.row_number().over(Window.partitionBy("gid").orderBy("pos")) - 1
+    shared = cut(shared.select("token", "gid", "n", (F.col("n") - F.col("pos")).alias("left"), before.alias("pos"))
+                 .filter(f"100L * (pos + left) >= {percent}L * n"))
     member = classes.select("cid", "gid", F.col("cid").alias("comp"))
     edges = done = None
 
@@ -272,7 +277,7 @@ def jaccard_components(docs: DataFrame, text: str = "text", key: str = "doc_id",
         rows_ = cut(rows_.withColumn("at", F.row_number().over(turned)))
         star = (rows_.alias("x").join(rows_.filter(F.col("at") <= PIVOTS).alias("y"), F.expr(
             f"x.token = y.token and x.at > y.at and x.comp <> y.comp and {_may_link('x', 'y', percent)}"))
-            .selectExpr("x.cid a", "y.cid b", "x.n na", "y.n nb", "x.pos pa", "y.pos pb")
+            .selectExpr("x.cid a", "y.cid b", "x.n na", "y.n nb", "x.left la", "y.left lb")
             .groupBy("a", "b", "na", "nb").agg(*_last()).filter(_enough(percent)).select("a", "b"))
         if turn == 0:
             star = star.union(inside).distinct()
@@ -299,7 +304,7 @@ def jaccard_components(docs: DataFrame, text: str = "text", key: str = "doc_id",
     rows_ = cut(_mixed(shared.join(parts, "gid")))
     across = (rows_.alias("x").join(rows_.alias("y"), F.expr(
         f"x.token = y.token and x.gid < y.gid and x.comp <> y.comp and {_may_link('x', 'y', percent)}"))
-        .selectExpr("x.gid ga", "x.comp ca", "y.gid gb", "y.comp cb", "x.n na", "y.n nb", "x.pos pa", "y.pos pb")
+        .selectExpr("x.gid ga", "x.comp ca", "y.gid gb", "y.comp cb", "x.n na", "y.n nb", "x.left la", "y.left lb")
         .groupBy("ga", "ca", "gb", "cb", "na", "nb").agg(*_last()).filter(_enough(percent)))
     across = (across.join(member.selectExpr("cid a", "gid ga", "comp ca"), ["ga", "ca"])
               .join(member.selectExpr("cid b", "gid gb", "comp cb"), ["gb", "cb"]).select("a", "b"))
