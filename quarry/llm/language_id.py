@@ -28,6 +28,7 @@ letterless text is rejected; an empty table gives an empty result.
 from __future__ import annotations
 
 import re
+import uuid
 from collections import Counter
 
 import numpy as np
@@ -44,6 +45,7 @@ TRUST_DECLARED, TRUST_SUFFIX = 0.9, 0.8
 SMOOTH = 20.0           # rows that the level above weighs in the prior of a host
 ACCEPT = 0.5
 SALTS = 32              # parts that a host's rows are dealt to
+PART_WORDS, CACHE_WORDS = 50_000, 400_000    # words of a text at a time, words that a worker remembers
 UND = "und"
 
 # Country code suffixes and their language.
@@ -67,10 +69,20 @@ def grams(word: str) -> list[str]:
 def train(docs: DataFrame, text: str = "text", label: str = "lang", key: str = "doc_id") -> dict:
     """Trigram models of the languages labelled in ``docs``: a small dict for
     the driver, bounded by the three parameters above."""
-    labelled = docs.filter(F.col(label).isNotNull() & F.col(text).isNotNull() & (F.col(label) != UND))
-    first = Window.partitionBy(label).orderBy(F.xxhash64(key), key)
-    sample = (labelled.select(F.col(label).alias("lang"), F.col(text).alias("text"), key)
-              .withColumn("at", F.row_number().over(first.partitionBy("lang"))).filter(F.col("at") <= TRAIN_ROWS))
+    labelled = (docs.filter(F.col(label).isNotNull() & F.col(text).isNotNull() & (F.col(label) != UND))
+                .select(F.col(label).alias("lang"), F.col(text).alias("text"), F.col(key).alias("key"))
+                .withColumn("hash", F.xxhash64("key", "text")))
+    # choose by hash first, so that no text is sorted or shuffled but the chosen
+    first = Window.partitionBy("lang").orderBy("hash")
+    chosen = (labelled.select("lang", "hash").distinct().withColumn("at", F.row_number().over(first))
+              .filter(F.col("at") <= TRAIN_ROWS)
+              .groupBy("lang").agg(F.count(F.lit(1)).alias("rows"), F.max("hash").alias("last")))
+    most = chosen.orderBy(F.col("rows").desc(), "last", "lang").limit(MAX_LANGS).collect()
+    langs = {r["lang"]: r["last"] for r in most}
+    bound = F.lit(False)
+    for name, last in sorted(langs.items()):
+        bound = bound | ((F.col("lang") == name) & (F.col("hash") <= last))
+    sample = labelled.filter(bound).dropDuplicates(["lang", "hash"])
 
     def count(batches):
         seen: dict[str, Counter] = {}
@@ -93,7 +105,7 @@ def train(docs: DataFrame, text: str = "text", label: str = "lang", key: str = "
     by: dict[str, dict[str, int]] = {}
     for r in rows:
         by.setdefault(r.lang, {})[r.gram] = r.n
-    langs = sorted(sorted(by, key=lambda x: -sum(by[x].values()))[:MAX_LANGS])
+    langs = sorted(by)
     vocab = {g for lang in langs for g in by[lang]}
     logs = {}
     totals = {lang: sum(by[lang].values()) + len(vocab) + 1 for lang in langs}
@@ -107,40 +119,37 @@ class _Scorer:
     """Sums of word scores; remembers the words that it has met."""
 
     def __init__(self, model):
-        self.m, self.n = model, len(model["langs"]) + 1
+        self.n = len(model["langs"]) + 1
+        self.place = {g: i for i, g in enumerate(model["grams"], 1)}     # 0: any other trigram
+        self.scores = np.array([[*x, model["und"]] for x in (model["other"], *model["grams"].values())])
         self.rows: dict[str, int] = {}
         self.table = np.zeros((1 << 12, self.n))
 
-    def row(self, word: str) -> int:
-        at = self.rows.get(word)
-        if at is None:
-            if len(self.rows) >= 200_000:
-                self.rows.clear()
-            at = self.rows[word] = len(self.rows)
-            if at >= len(self.table):
-                self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-            gs = grams(word)
-            known, other = self.m["grams"], self.m["other"]
-            self.table[at, :-1] = np.sum([known.get(g, other) for g in gs], axis=0) if self.n > 1 else 0
-            self.table[at, -1] = self.m["und"] * len(gs)
-        return at
+    def learn(self, new: list[str]) -> None:
+        """Rows of the table for words without one."""
+        at, place = len(self.rows), self.place
+        listed = [grams(w) for w in new]
+        sizes = np.fromiter(map(len, listed), np.int64, len(listed))
+        flat = [place.get(g, 0) for gs in listed for g in gs]
+        while at + len(new) > len(self.table):
+            self.table = np.concatenate([self.table, np.zeros_like(self.table)])
+        self.table[at:at + len(new)] = np.add.reduceat(self.scores[flat], np.cumsum(sizes) - sizes, axis=0)
+        self.rows.update(zip(new, range(at, at + len(new))))
 
     def score(self, text: str) -> np.ndarray | None:
         """Tempered log likelihoods of the languages and of ``und``; None
         where the text has no letters."""
         total, some, found = np.zeros(self.n), False, LETTERS.findall(text.lower())
-        for i in range(0, len(found), 50_000):
-            part = found[i:i + 50_000]
-            if len(self.rows) + len(part) > 200_000:
+        for i in range(0, len(found), PART_WORDS):
+            part = found[i:i + PART_WORDS]
+            if len(self.rows) + len(part) > CACHE_WORDS:
                 self.rows.clear()
-            total += self.table_rows(part)
+            if new := list(set(part).difference(self.rows)):
+                self.learn(new)
+            total += self.table[list(map(self.rows.__getitem__, part))].sum(axis=0)
             some = True
         return TEMPER * total if some else None
 
-    def table_rows(self, part):
-        at = [self.row(w) for w in part]
-        return self.table[at].sum(axis=0)
-
 
 def soft(x: np.ndarray) -> np.ndarray:
     e = np.exp(x - x.max())
@@ -156,7 +165,7 @@ def identify(rows: DataFrame, model: dict, keep: list[str], text: str = "text",
     langs = model["langs"]
     n = len(langs) + 1
     sc = rows.sparkSession.sparkContext
-    shared = sc.broadcast(model)
+    shared, token = sc.broadcast(model), uuid.uuid4().hex
     none = F.lit(None).cast("string")
     base = rows.select(*keep, *[(F.col(c).cast("string") if c else none).alias(a) for c, a in
                                 ((declared, "__declared"), (host, "__host"), (suffix, "__suffix"), (text, "__text"))])
@@ -167,8 +176,11 @@ def identify(rows: DataFrame, model: dict, keep: list[str], text: str = "text",
         T.StructField("__ll", T.ArrayType(T.DoubleType())), T.StructField("__p", T.ArrayType(T.DoubleType()))]
 
     def likelihoods(batches):
-        model = shared.value
-        scorer = worker_memo(("lang", id(model), tuple(model["langs"])), lambda: _Scorer(model))
+        slot = worker_memo("lang", dict)        # one model a worker
+        if token not in slot:
+            slot.clear()
+            slot[token] = _Scorer(shared.value)
+        scorer = slot[token]
         for b in batches:
             ll, p = [], []
             for t in b.column(b.num_columns - 1).to_pylist():
@@ -199,8 +211,7 @@ def identify(rows: DataFrame, model: dict, keep: list[str], text: str = "text",
     priors = by_host.join(by_domain, "__domain").select(
         "__host", F.array(*[f"s{i}" for i in range(n)]).alias("__sums"), F.array(*[f"d{i}" for i in range(n)]).alias("__above"))
     priors = priors.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    salted = seen.withColumn("__salt", F.when(F.col("__host").isNull(), -1).otherwise(
-        F.pmod(row_key(*keep), F.lit(SALTS))).cast("int"))
+    salted = seen.withColumn("__salt", F.pmod(row_key(*keep), F.lit(SALTS)).cast("int"))   # null hosts too
     joined = salted.join(priors, ["__host", "__salt"], "left")
     names = [c for c in joined.columns if c not in ("__salt", "__p", "__suffix")] + ["__p", "__suffix"]
     joined = joined.select(*names)
