@@ -45,6 +45,7 @@ TRUST_DECLARED, TRUST_SUFFIX = 0.9, 0.8
 SMOOTH = 20.0           # rows that the level above weighs in the prior of a host
 ACCEPT = 0.5
 SALTS = 32              # parts that a host's rows are dealt to
+PARTS = 64              # parts that a language's rows are dealt to in the choice of training rows
 PART_WORDS, CACHE_WORDS = 50_000, 400_000    # words of a text at a time, words that a worker remembers
 UND = "und"
 
@@ -73,9 +74,11 @@ def train(docs: DataFrame, text: str = "text", label: str = "lang", key: str = "
                 .select(F.col(label).alias("lang"), F.col(text).alias("text"), F.col(key).alias("key"))
                 .withColumn("hash", F.xxhash64("key", "text")))
     # choose by hash first, so that no text is sorted or shuffled but the chosen
+    part = Window.partitionBy("lang", "part").orderBy("hash")       # parts first: a language may hold most rows
     first = Window.partitionBy("lang").orderBy("hash")
-    chosen = (labelled.select("lang", "hash").distinct().withColumn("at", F.row_number().over(first))
-              .filter(F.col("at") <= TRAIN_ROWS)
+    chosen = (labelled.select("lang", "hash", F.pmod("hash", F.lit(PARTS)).alias("part")).distinct()
+              .withColumn("at", F.row_number().over(part)).filter(F.col("at") <= TRAIN_ROWS)
+              .withColumn("at", F.row_number().over(first)).filter(F.col("at") <= TRAIN_ROWS)
               .groupBy("lang").agg(F.count(F.lit(1)).alias("rows"), F.max("hash").alias("last")))
     most = chosen.orderBy(F.col("rows").desc(), "last", "lang").limit(MAX_LANGS).collect()
     langs = {r["lang"]: r["last"] for r in most}
