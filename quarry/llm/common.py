@@ -21,6 +21,8 @@ from quarry.session import scratch_path
 
 #: Words a worker remembers before it starts its memory anew.
 CACHE_WORDS = 400_000
+#: Spark removes the shuffle files of a query when it ends.
+CLEAN_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 _B = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
@@ -37,23 +39,44 @@ def cut(df: DataFrame) -> DataFrame:
     """Cut lineage: write ``df`` to the shared folder that the cluster names in
     ``spark.checkpoint.dir`` (a default only where it is unset) and read it.
     A written table also has true sizes, which long chains of joins over
-    checkpointed frames would lose.  ``drop_written`` removes the files."""
+    checkpointed frames would lose.  The write's shuffle files go as soon as
+    it has ended; ``release`` and ``drop_written`` remove the table's files."""
     spark = df.sparkSession
     path = scratch_path(spark, "cut")
-    df.write.parquet(path)
+    before = spark.conf.get(CLEAN_SHUFFLES, None)
+    spark.conf.set(CLEAN_SHUFFLES, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(CLEAN_SHUFFLES)
+        else:
+            spark.conf.set(CLEAN_SHUFFLES, before)
     _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._cut_path = path
+    return out
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def release(*frames: DataFrame) -> None:
+    """Remove tables of ``cut`` from which nothing is read any more."""
+    for df in frames:
+        _written.remove((df.sparkSession, df._cut_path))
+        _remove(df.sparkSession, df._cut_path)
 
 
 def drop_written() -> None:
     """Remove the tables that ``cut`` has written in this process; nothing
     made from them can be read afterwards."""
     while _written:
-        spark, path = _written.pop()
         try:
-            jvm = spark.sparkContext._jvm
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+            _remove(*_written.pop())
         except Exception:  # noqa: BLE001  the session has ended
             pass
 

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, cut, mix, row_key, shingles, word_hashes, words
+from .common import components, cut, mix, release, row_key, shingles, word_hashes, words
 
 SHINGLE, PERCENT = 4, 85
 FREQUENT = 16           # documents from which on a shingle comes last
@@ -234,7 +234,9 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, per
                 keep.append(100 * inter >= percent * (len(x) + len(y) - inter))
             yield pa.record_batch({"a": b.column(0), "b": b.column(1)}).filter(pa.array(keep, pa.bool_()))
 
-    return both.select("a", "b", "sa", "sb").mapInArrow(verify, "a long, b long").distinct()
+    out = cut(both.select("a", "b", "sa", "sb").mapInArrow(verify, "a long, b long").distinct())
+    release(has)
+    return out
 
 
 def jaccard_components(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = SHINGLE,
@@ -285,7 +287,8 @@ def jaccard_components(docs: DataFrame, text: str = "text", key: str = "doc_id",
         maybe = cut(_possible(star, classes, percent))
         first = F.row_number().over(Window.partitionBy("a").orderBy("b"))
         picked = cut(maybe.withColumn("at", first).filter(F.col("at") <= PICKED).select("a", "b"))
-        found = cut(_verified(picked, classes, docs, shingle, percent))
+        release(rows_)
+        found = _verified(picked, classes, docs, shingle, percent)
         # settled: what the bit maps refuse, and what was verified
         near = (star.join(maybe, ["a", "b"], "left_anti").union(picked)
                 .selectExpr("least(a, b) a", "greatest(a, b) b"))
@@ -310,7 +313,7 @@ def jaccard_components(docs: DataFrame, text: str = "text", key: str = "doc_id",
               .join(member.selectExpr("cid b", "gid gb", "comp cb"), ["gb", "cb"]).select("a", "b"))
     rest = cut(within.union(across).selectExpr("least(a, b) a", "greatest(a, b) b").distinct()
                .join(done.distinct(), ["a", "b"], "left_anti"))
-    more = cut(_verified(cut(_possible(rest, classes, percent)), classes, docs, shingle, percent))
+    more = _verified(cut(_possible(rest, classes, percent)), classes, docs, shingle, percent)
     label = components(edges.union(more))
 
     # classes to rows
