@@ -107,7 +107,7 @@ def metrics_per_query(spark, sf_dir):
 # ---------------------------------------------------------- collection build
 from quarry.operators import analysis as an  # noqa: E402
 from quarry.operators import collection as co  # noqa: E402
-from quarry.session import scratch_path  # noqa: E402
+from quarry.session import temporary_path  # noqa: E402
 from quarry.sources import json_io  # noqa: E402
 
 _SPLIT_COLS = "src_ord, pos, para_id, context, raw_ocr, publication_date"
@@ -140,7 +140,7 @@ def dedup_keep_first(spark, sf_dir):
 def collection_json_roundtrip(spark, sf_dir):
     """A7 then A1: write the deduplicated collection as JSON lines to the
     shared folder and load it back as a corpus."""
-    path = scratch_path(spark, "collection-json")
+    path = temporary_path(spark, "collection-json")
     coll = co.dedup_keep_first(_union(spark, sf_dir)).orderBy("src_ord", "pos")
     json_io.write_json(coll.select(*json_io.COLLECTION_FIELDS), path)
     return json_io.load_documents(spark, path)
@@ -155,6 +155,44 @@ def topics_first_n(spark, sf_dir):
     return co.build_topics(tables.test_records(spark, sf_dir))
 
 
+@query("topics_first_10", O.with_(O.test_records_cte()) + f"""
+ SELECT query_id, question FROM (
+   SELECT coalesce(query_id, '') AS query_id, {O.clean('question')} AS question FROM test_records)
+ ORDER BY {O.topic_order('query_id')} LIMIT 10""")
+def topics_first_10(spark, sf_dir):
+    """E4 with a cut that acts: the feature is the limit."""
+    return co.build_topics(tables.test_records(spark, sf_dir), first_n=10)
+
+
+@query("topics_sample_10", O.with_(O.topics_cte()) + f"""
+ SELECT qid, query FROM topics
+ ORDER BY md5(concat_ws('-', '{co.SEED}', CAST(qid AS VARCHAR))), qid LIMIT 10""")
+def topics_sample_10(spark, sf_dir):
+    """E5 with a sample smaller than the table."""
+    return co.sample_topics(tables.topics(spark, sf_dir), 10, co.SEED)
+
+
+@query("load_queries_json", O.with_(O.topics_cte())
+       + " SELECT CAST(qid AS VARCHAR) AS qid, query, b.text AS raw FROM topics JOIN benchmark b ON b.item_id = qid")
+def load_queries_json(spark, sf_dir):
+    """A7 then A2: topics as JSON lines, loaded back with all their columns."""
+    path = temporary_path(spark, "topics-json")
+    t = tables.topics(spark, sf_dir).join(tables.raw_topics(spark, sf_dir), "qid")
+    json_io.write_json(t.select(F.col("qid").alias("query_id"), F.col("query").alias("question"),
+                                F.col("text").alias("raw")), path)
+    return json_io.load_queries(spark, path)
+
+
+@query("load_qrels_json", O.with_(O.test_records_cte())
+       + " SELECT coalesce(query_id, '') AS qid, 0 AS iteration,"
+         " coalesce(para_id, '') AS docno, 1 AS relevance FROM test_records")
+def load_qrels_json(spark, sf_dir):
+    """B3, A7, then A3: judgments as JSON lines, loaded back."""
+    path = temporary_path(spark, "qrels-json")
+    json_io.write_json(co.build_qrels(tables.test_records(spark, sf_dir)), path)
+    return json_io.load_qrels(spark, path)
+
+
 @query("topics_sample", O.with_(O.topics_cte()) + f"""
  SELECT qid, query FROM topics
  ORDER BY md5(concat_ws('-', '{co.SEED}', CAST(qid AS VARCHAR))), qid LIMIT {co.SAMPLE_SIZE}""")
@@ -648,10 +686,43 @@ def metrics_table(spark, sf_dir):
                             names=["bm25", "tfidf"])
 
 
+@query("metrics_table_empty_system", _exp_sql(
+    _BASE + [O.retrieve_ctes("rb", "qt", "BM25", DEPTH), "r0 AS (SELECT * FROM rb WHERE rank < 0)"],
+    [(_lit("bm25"), "rb"), (_lit("nothing"), "r0")]).replace(
+        "(SELECT DISTINCT name FROM allruns)", "(SELECT unnest(['bm25', 'nothing']) AS name)"))
+def metrics_table_empty_system(spark, sf_dir):
+    """D16 where one named system finds nothing: a row of zeros."""
+    idx, qt = indexes.basic_index(spark, sf_dir), _qterms(spark, sf_dir)
+    run = rt.bm25(idx, qt, DEPTH)
+    return xp.evaluate_systems([("bm25", lambda: run), ("nothing", lambda: run.filter("rank < 0"))],
+                               tables.qrels(spark, sf_dir), tables.topics(spark, sf_dir))
+
+
+def _half_sql(part: str, rest: int) -> str:
+    ctes = [O.corpus_cte(), O.topics_cte(), f"half AS (SELECT * FROM topics WHERE qid % 2 = {rest})", O.index_ctes(),
+            O.query_terms_cte("qt", "half"), O.retrieve_ctes("rb", "qt", "BM25", DEPTH)]
+    return f"SELECT '{part}' AS part, * FROM ({_exp_sql(ctes, [(_lit('bm25'), 'rb')], topics='half')})"
+
+
+@query("run_reuse_two_topic_sets", " UNION ALL ".join([_half_sql("even", 0), _half_sql("odd", 1), _half_sql("even again", 0)]))
+def run_reuse_two_topic_sets(spark, sf_dir):
+    """Both halves of the topics with one folder for saved runs; the third
+    call reads what the first saved, the second must not."""
+    idx, qrels, save = indexes.basic_index(spark, sf_dir), tables.qrels(spark, sf_dir), temporary_path(spark, "saved-runs")
+    out = None
+    for part, rest in (("even", 0), ("odd", 1), ("even again", 0)):
+        t = tables.topics(spark, sf_dir).filter(F.pmod("qid", F.lit(2)) == rest)
+        qt = rt.query_terms(t, idx)
+        table = xp.evaluate_systems([("bm25", lambda qt=qt: rt.bm25(idx, qt, DEPTH))], qrels, t, save,
+                                    xp._params(save, idx, t)).select(F.lit(part).alias("part"), "*")
+        out = table if out is None else out.unionByName(table)
+    return out
+
+
 @query("run_trec_roundtrip", _run_sql("BM25", DEPTH) + " SELECT qid, docno, rank, score FROM run")
 def run_trec_roundtrip(spark, sf_dir):
     """A8 + A9: save the BM25 run as TREC text, then reuse it from disk."""
-    path = scratch_path(spark, "runs") + "/bm25"
+    path = temporary_path(spark, "runs") + "/bm25"
     run = runs_io.reuse(spark, path, lambda: _bm25_run(spark, sf_dir), "BM25",
                         qid_type="bigint", docno_type="bigint")
     return run.select("qid", "docno", "rank", "score")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import hashlib
 import uuid
 
@@ -52,6 +53,26 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+_temporary: list[tuple[SparkSession, str]] = []
+
+
+def temporary_path(spark: SparkSession, name: str) -> str:
+    """A fresh path below the shared folder, removed when the process ends."""
+    path = scratch_path(spark, name)
+    _temporary.append((spark, path))
+    return path
+
+
+@atexit.register
+def _remove_temporary() -> None:
+    for spark, path in _temporary:
+        try:
+            where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        except Exception:  # noqa: BLE001  the session has ended
+            pass
+
+
 def _matches(spark: SparkSession, path: str):
     """Files and folders that a path or glob names, by Hadoop's FileSystem, so
     on any store and with the default file system for a bare path."""
