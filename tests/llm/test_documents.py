@@ -6,7 +6,7 @@ from collections import Counter, defaultdict
 
 from pyspark.sql import functions as F
 
-from quarry.llm import fingerprints, language_id, mixing, sharding
+from quarry.llm import common, fingerprints, language_id, mixing, sharding
 from quarry.llm.queries import op2_language_id, op5_sharding, op6_mixing, op9_fingerprints
 
 from conftest import SF_CHECK, SF_SMALL
@@ -212,3 +212,22 @@ def test_language_query(spark):
     assert sum(r.page_id is not None for r in got) == pages and {r.doc_id for r in got if r.doc_id is not None} == set(docs)
     right = [r.lang_id == docs[r.doc_id] for r in got if r.doc_id is not None and r.accepted]
     assert sum(right) >= 0.98 * len(right)
+
+
+def test_null_hosts_are_dealt_out_and_judged(spark):
+    """Rows without a host take the prior of all rows; no row is lost."""
+    docs = common.documents(spark, SF_SMALL)
+    model = language_id.train(docs)
+    bare = docs.withColumn("source", F.lit(None).cast("string"))
+    got = language_id.identify_documents(bare, model, ["doc_id"]).toPandas()
+    assert sorted(got.doc_id) == sorted(r.doc_id for r in docs.select("doc_id").collect())
+    assert got.accepted.any()
+
+
+def test_released_tables_go(spark):
+    from quarry.session import path_exists
+    kept, gone = common.cut(spark.range(10)), common.cut(spark.range(10).groupBy("id").count())
+    assert gone.count() == 10 and path_exists(spark, gone._cut_path)
+    assert spark.conf.get(common.CLEAN_SHUFFLES, None) is None
+    common.release(gone)
+    assert not path_exists(spark, gone._cut_path) and kept.count() == 10
