@@ -21,8 +21,8 @@ Why this layout scales:
   so at most buckets x queries x k rows cross the network - never the
   matched postings.
 * ``term_bucket = pmod(xxhash64(term), T)`` partitions postings and
-  lexicon, so a broadcast query-term table lets dynamic partition pruning
-  skip term buckets no query touches (large query batches touch them all).
+  lexicon, which keeps a term's rows together; retrieval scans every bucket,
+  as Spark plans no dynamic pruning for a query-term table without a filter.
 
 Term frequencies and lengths are stored raw; BM25 / TF-IDF / BM25F weights
 are computed at query time, so one index serves every weighting model.

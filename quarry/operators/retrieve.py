@@ -5,7 +5,7 @@ The only query representation is a weighted term table
 term by its count in the query.  Retrieval is::
 
     query_terms (broadcast, size-checked) -> lexicon (idf)
-        -> postings (streamed, term buckets pruned)
+        -> postings (streamed)
         -> sum per (qid, docno)   [bucket-local, docno-clustered scan]
         -> top-k per qid          [partial limit per bucket, then one shuffle]
 
