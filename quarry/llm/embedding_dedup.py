@@ -5,10 +5,18 @@
    axes, then alternately signs and the orthogonal matrix that brings the data
    nearest to them (iterative quantisation).  Every vector gets one binary
    code per rotation.
-3. Multi-index tables: each code is cut into substrings of about log2(rows)
-   bits.  A vector looks in each table at its own substring and those one bit
-   away.  Candidates whose whole codes differ in too many bits go at once.
-4. The rest is ranked by the cosine of the original vectors in double
+3. Multi-index tables: each code is cut into substrings, and vectors that
+   share a substring are candidates.  How often a bit differs between two
+   vectors at the threshold depends on the data (a common mean makes centred
+   vectors differ more), so it is measured: for sampled vectors, partners at
+   exactly the threshold are made in random directions and in those of other
+   vectors.  The length of the substrings is the cheapest for the number of
+   classes, and rotations are added until the tables find ``RECALL`` of the
+   made pairs of both kinds.  If they do not, substrings are halved, at last
+   to nothing: then all pairs are candidates.
+4. Candidates whose first two codes differ in more bits than those of nearly
+   all made pairs (``FAR_KEEPS``) go at once.
+5. The rest is ranked by the cosine of the original vectors in double
    precision; pairs that reach the threshold are links.
 
 A vector that is null, empty, zero, holds a null or non-finite component, or
@@ -20,6 +28,8 @@ are copies; an empty table gives an empty result.
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -30,34 +40,122 @@ from .common import components, cut
 
 COSINE = 0.95
 SAMPLE = 8192       # bound of the sample that fits the rotations
-ROTATIONS = 2
 ROUNDS = 40
 MAX_BITS = 64       # of one code
-FAR = 0.25          # share of differing code bits beyond which a candidate goes
-
-
-def learn_rotations(sample: np.ndarray, rotations: int = ROTATIONS, rounds: int = ROUNDS, seed: int = 7):
-    """``(mean, [matrix, ...])``; a code's bits are the signs of (x - mean) @ matrix."""
+RECALL = 0.96       # share of the made pairs that the tables must find
+FAR_KEEPS = 0.998   # share of the made pairs within the limit of differing bits
+MADE = 2048         # made pairs of a kind
+ROW_COST = 20       # of a row in a table, in comparisons of two codes
+GROUP = 16          # tables joined at a time, which bounds the shuffle files
+
+
+@dataclass
+class Plan:
+    """Table ``t`` holds substring ``t % per`` of the code by rotation
+    ``t // per``; a code's bits are the signs of (x - mean) @ axes @ rotation."""
+    mean: np.ndarray
+    axes: np.ndarray
+    rotations: list
+    sub: int            # bits of a substring
+    tables: int
+    far: int            # of the bits of the first two codes
+    recall: float       # of the made pairs
+
+    def codes(self, x: np.ndarray) -> list[np.ndarray]:
+        v = (x - self.mean) @ self.axes
+        weight = np.uint64(1) << np.arange(v.shape[1], dtype=np.uint64)
+        return [((v @ r >= 0) * weight).sum(axis=1, dtype=np.uint64) for r in self.rotations]
+
+    def cells(self, codes: list[np.ndarray]) -> np.ndarray:
+        """A column a table."""
+        if not self.sub:
+            return np.zeros((len(codes[0]), 1), np.int64)
+        per, mask = self.axes.shape[1] // self.sub, np.uint64((1 << self.sub) - 1)
+        return np.stack([(codes[t // per] >> np.uint64(t % per * self.sub)) & mask for t in range(self.tables)],
+                        axis=1).astype(np.int64)
+
+
+def learn_rotation(v: np.ndarray, rng, rounds: int = ROUNDS) -> np.ndarray:
+    r, _ = np.linalg.qr(rng.standard_normal((v.shape[1], v.shape[1])))
+    for _ in range(rounds):
+        u, _, wt = np.linalg.svd(np.where(v @ r >= 0, 1.0, -1.0).T @ v)
+        r = (u @ wt).T
+    return r
+
+
+def made_pairs(sample: np.ndarray, cosine: float, rng) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Sampled vectors with a partner at the threshold, in a random direction
+    and in the direction of another vector."""
+    out = []
+    for random in (True, False):
+        x = sample[rng.permutation(len(sample))[:MADE]]
+        u = rng.standard_normal(x.shape) if random else sample[rng.permutation(len(sample))[:len(x)]]
+        u = u - (u * x).sum(axis=1, keepdims=True) * x
+        size = np.linalg.norm(u, axis=1, keepdims=True)
+        ok = size[:, 0] > 1e-6
+        out.append((x[ok], cosine * x[ok] + np.sqrt(1 - cosine ** 2) * u[ok] / size[ok]))
+    return [pair for pair in out if len(pair[0])]
+
+
+def fit(sample: np.ndarray, n: int, cosine: float = COSINE, sub: int | None = None, seed: int = 7) -> Plan:
+    """The plan for ``n`` classes from unit vectors of some of them; ``sub``
+    sets the length of the substrings to begin with."""
+    rng = np.random.default_rng(seed)
     mean = sample.mean(axis=0)
     x = sample - mean
     bits = min(MAX_BITS, x.shape[1])
     axes = np.linalg.eigh(x.T @ x)[1][:, ::-1][:, :bits]     # by falling variance
     v = x @ axes
-    rng = np.random.default_rng(seed)
-    out = []
-    for _ in range(rotations):
-        r, _ = np.linalg.qr(rng.standard_normal((bits, bits)))
-        for _ in range(rounds):
-            u, _, wt = np.linalg.svd(np.where(v @ r >= 0, 1.0, -1.0).T @ v)
-            r = (u @ wt).T
-        out.append(axes @ r)
-    return mean, out
-
-
-def _codes(x: np.ndarray, mean, matrix) -> np.ndarray:
-    bits = ((x - mean) @ matrix) >= 0
-    weight = np.uint64(1) << np.arange(bits.shape[1], dtype=np.uint64)
-    return (bits * weight).sum(axis=1, dtype=np.uint64).view(np.int64)
+    made = [[(p - mean) @ axes for p in pair] for pair in made_pairs(sample, cosine, rng)]
+    rotations, differ = [], [[] for _ in made]
+
+    def add():
+        rotations.append(r := learn_rotation(v, rng))
+        for (a, b), known in zip(made, differ):
+            known.append((a @ r >= 0) != (b @ r >= 0))
+
+    def hits(d, length):
+        """Which pairs share which substrings of one code."""
+        per = bits // length
+        return ~d[:, :per * length].reshape(len(d), per, length).any(axis=2)
+
+    add()
+    add()
+    apart = [np.concatenate(known, axis=1).sum(axis=1) for known in differ]
+    far = max((int(np.quantile(d, FAR_KEEPS, method="higher")) for d in apart), default=2 * bits)
+    signs = [v @ r >= 0 for r in rotations]
+
+    def cost(length):
+        """Rows and comparisons, and the tables that they are for, if tables
+        were independent."""
+        if not length:
+            return n * n / 2 + n * ROW_COST, 1
+        share = min((np.mean([hits(d, length).mean() for d in known]) for known in differ), default=1.0)
+        if not share:
+            return math.inf, 0
+        tables = 1 if share >= RECALL else math.ceil(math.log(1 - RECALL) / math.log(1 - share))
+        weight = 1 << np.arange(length, dtype=np.int64)
+        many = [np.unique(s[:, :length] @ weight, return_counts=True)[1] for s in signs]
+        meet = max(0.5 ** length, float(np.mean([(c * (c - 1.0)).sum() for c in many])) / max(1, len(v) * (len(v) - 1)))
+        return tables * (n * ROW_COST + n * n / 2 * meet), tables
+
+    if sub is None:
+        sub = min(range(min(bits, 40) + 1), key=lambda length: cost(length)[0])
+    sub = min(sub, bits)
+    while sub:
+        most = 4 * cost(sub)[1]
+        while True:
+            found = [np.logical_or.accumulate(np.concatenate([hits(d, sub) for d in known], axis=1), axis=1)
+                     & (d0 <= far)[:, None] for known, d0 in zip(differ, apart)]
+            recall = np.min([f.mean(axis=0) for f in found], axis=0) if found else np.ones(2 * (bits // sub))
+            enough = np.flatnonzero(recall >= RECALL)
+            if len(enough):
+                return Plan(mean, axes, rotations, sub, int(enough[0]) + 1, far, float(recall[enough[0]]))
+            if len(recall) >= most:
+                break
+            add()
+        sub //= 2
+    return Plan(mean, axes, rotations[:2], 0, 1, 2 * bits, 1.0)
 
 
 def _unit(column: pa.Array, dim: int) -> np.ndarray:
@@ -66,8 +164,8 @@ def _unit(column: pa.Array, dim: int) -> np.ndarray:
 
 
 def near_vectors(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", cosine: float = COSINE,
-                 rotations: int = ROTATIONS) -> DataFrame:
-    """``(key, n_links, component_id, kept)`` of every row."""
+                 sub: int | None = None) -> DataFrame:
+    """``(key, n_links, component_id, kept)`` of every row; ``sub`` as for ``fit``."""
     spark = vectors.sparkSession
     v = F.col("v")
     rows = vectors.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))
@@ -85,30 +183,28 @@ def near_vectors(vectors: DataFrame, key: str = "vec_id", vector: str = "embeddi
     if n > 1:
         # the sample's order is that of the hashes: any bounded number of rows will do
         sample = classes.orderBy("cid").limit(SAMPLE).select("v").toArrow().column(0).combine_chunks()
-        learned = spark.sparkContext.broadcast(learn_rotations(_unit(sample, dim), rotations))
-        bits = min(MAX_BITS, dim)
-        sub = min(bits, max(12, min(24, math.ceil(math.log2(n)))))
-        tables = bits // sub
+        learned = spark.sparkContext.broadcast(fit(_unit(sample, dim), n, cosine, sub))
+        tables, far = learned.value.tables, learned.value.far
 
         def code(batches):
-            mean, matrices = learned.value
+            plan = learned.value
             for b in batches:
-                x = _unit(b.column(1), dim)
-                yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(_codes(x, mean, m), pa.int64()) for m in matrices]],
-                                                 names=["cid", *[f"c{i}" for i in range(len(matrices))]])
-
-        names = [f"c{i}" for i in range(rotations)]
-        codes = cut(classes.select("cid", "v").mapInArrow(code, "cid long, " + ", ".join(f"{c} long" for c in names)))
-        cell = F.explode(F.array(*[F.struct(F.lit(r * tables + t).alias("t"), F.shiftrightunsigned(F.col(names[r]), t * sub)
-                                            .bitwiseAND(F.lit((1 << sub) - 1)).alias("s"))
-                                   for r in range(rotations) for t in range(tables)]))
-        index = codes.select("cid", *names, cell.alias("cell")).select("cid", *names, "cell.t", "cell.s")
-        flips = F.explode(F.array(*[F.lit(x).cast("long") for x in [0] + [1 << i for i in range(sub)]]))
-        probe = index.select("cid", *names, "t", "s", flips.alias("flip")).withColumn("s", F.col("s").bitwiseXOR(F.col("flip")))
-        apart = " + ".join(f"bit_count(x.{c} ^ y.{c})" for c in names)
-        pairs = cut(probe.alias("x").join(index.alias("y"), F.expr(
-            f"x.t = y.t and x.s = y.s and x.cid < y.cid and {apart} <= {int(FAR * bits * rotations)}"))
-            .select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b")).distinct())
+                codes = plan.codes(_unit(b.column(1), dim))
+                cells = plan.cells(codes)
+                ends = np.arange(0, cells.size + 1, cells.shape[1], dtype=np.int32)
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(0), *[pa.array(c.view(np.int64)) for c in codes[:2]],
+                     pa.ListArray.from_arrays(pa.array(ends), pa.array(cells.ravel()))], names=["cid", "c0", "c1", "cells"])
+
+        codes = cut(classes.select("cid", "v").mapInArrow(code, "cid long, c0 long, c1 long, cells array<long>"))
+        found = []
+        for first in range(0, tables, GROUP):
+            index = codes.select("cid", "c0", "c1", F.posexplode(F.slice("cells", first + 1, GROUP)).alias("t", "s"))
+            found.append(cut(index.alias("x").join(index.alias("y"), F.expr(
+                "x.t = y.t and x.s = y.s and x.cid < y.cid and "
+                f"bit_count(x.c0 ^ y.c0) + bit_count(x.c1 ^ y.c1) <= {far}"))
+                .select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b")).distinct()))
+        pairs = found[0] if len(found) == 1 else cut(reduce(DataFrame.union, found).distinct())
         both = (pairs.join(classes.select(F.col("cid").alias("a"), F.col("v").alias("va")), "a")
                 .join(classes.select(F.col("cid").alias("b"), F.col("v").alias("vb")), "b").select("a", "b", "va", "vb"))
 

@@ -76,6 +76,36 @@ def test_recall_at_the_threshold(spark):
     assert sum(got[i] for i in range(1500)) >= 0.9 * 1500
 
 
+def at_the_threshold(m, mean, seed, dim=64):
+    """``m`` unit vectors whose mean has the given norm, and partners at cosine 0.953."""
+    rng = np.random.default_rng(seed)
+    a = rng.standard_normal((m, dim))
+    a[:, 0] = 0
+    a *= np.sqrt(1 - mean ** 2) / np.linalg.norm(a, axis=1, keepdims=True)
+    a[:, 0] = mean
+    o = rng.standard_normal((m, dim))
+    o -= (o * a).sum(1, keepdims=True) * a
+    return a, 0.953 * a + np.sqrt(1 - 0.953 ** 2) * o / np.linalg.norm(o, axis=1, keepdims=True)
+
+
+def test_recall_of_long_substrings():
+    """Substrings as on tables of 1M to 16M rows; pairs outside the sample."""
+    for mean, sub in ((0, 20), (0, 22), (0, 24), (0.5, 20), (0.5, 24), (0.8, 20)):
+        plan = embedding_dedup.fit(at_the_threshold(8192, mean, 1)[0], 1 << sub, sub=sub)
+        a, b = (plan.codes(x) for x in at_the_threshold(2000, mean, 2))
+        apart = sum(np.bitwise_count(x ^ y) for x, y in zip(a[:2], b[:2]))
+        found = (plan.cells(a) == plan.cells(b)).any(axis=1) & (apart <= plan.far)
+        assert plan.sub == sub and found.mean() >= 0.9
+
+
+def test_recall_with_a_common_mean(spark):
+    for mean, sub in ((0, 20), (0.8, None)):
+        a, b = at_the_threshold(1000, mean, 3)
+        df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(np.concatenate([a, b]))], "vec_id long, embedding array<double>")
+        got = {r.vec_id: r.n_links for r in embedding_dedup.near_vectors(df, sub=sub).collect()}
+        assert sum(got[i] > 0 for i in range(1000)) >= 0.9 * 1000
+
+
 def test_query(spark):
     got = op8_embedding_dedup(spark, SF_CHECK).collect()
     rows = spark.read.parquet(f"{SF_CHECK}/embeddings.parquet").collect()
