@@ -4,13 +4,20 @@ A text's units are its words (``[^\\x20\\x09-\\x0D]+``).  Of the runs of ``K``
 words, those are chosen as anchors whose smallest inner run of ``S`` words
 stands at either edge.  The choice looks at the run alone, never at its
 surroundings, so an edit changes only the anchors that it touches.  A text of
-fewer than ``K`` words has one anchor, the whole sequence.
+fewer than ``K`` words has one anchor, the whole sequence; a longer one
+without a chosen run has the run of the smallest hash.
+
+From ``4 * (2 * K - S - 1)`` words on, a quarter of them holds an anchor for
+sure.  Shorter texts have anchors of code points besides, chosen by the same
+rule from runs of ``CODE_K`` code points of the words with one space between.
 
 The fingerprint is the list ``place:hash`` of the anchors in order (hex, the
-place as the distance from the anchor before).  Two fingerprints' likeness
-matches anchors by hash within each hash's order of occurrence and takes the
-matched pairs whose shift in place lies near the commonest shift, as a share
-of the larger number of anchors.
+place as the distance from the anchor before; anchors of words first, those of
+code points, places too, have a hash of nine digits).  Two fingerprints'
+likeness matches anchors by hash within each hash's order of occurrence and
+takes the matched pairs whose shift in place lies near the commonest shift, as
+a share of the larger number of anchors.  It looks at code points if both texts
+are short, else at words.
 
 Nulls are empty texts.  The fingerprint of a text without words is empty; two
 of these are alike (1.0), one of these and another are not (0.0).  Repeated
@@ -29,23 +36,37 @@ from pyspark.sql import functions as F
 from .common import mix, rolling, sliding_min, word_hashes, words
 
 K, S = 16, 4
+CODE_K, CODE_S = 4, 2
+CODE = np.uint64(1 << 32)   # marks the hashes of code points
 DRIFT = 8   # words that the shift of a match may differ from the commonest one
 
 
-def anchors(text: str | None, k: int = K, s: int = S) -> tuple[np.ndarray, np.ndarray]:
-    """Places (word index) and 32-bit hashes of the closed syncmers."""
-    h = word_hashes(words(text))
+def _chosen(h: np.ndarray, k: int, s: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places and 32-bit hashes of the closed syncmers of a sequence; at least one."""
     n = len(h)
-    if not n:
-        return np.empty(0, np.int64), np.empty(0, np.uint32)
     if n < k:
-        whole = mix(rolling(h, n) + np.uint64(n))
-        return np.zeros(1, np.int64), (whole >> np.uint64(32)).astype(np.uint32)
-    inner = rolling(h, s)
+        return np.zeros(1, np.int64), mix(rolling(h, n) + np.uint64(n)) >> np.uint64(32)
+    inner, runs = rolling(h, s), rolling(h, k)
     least = sliding_min(inner, k - s + 1)
     m = n - k + 1
     at = np.flatnonzero((inner[:m] == least) | (inner[k - s:k - s + m] == least))
-    return at, (rolling(h, k)[at] >> np.uint64(32)).astype(np.uint32)
+    if not len(at):
+        at = np.array([runs.argmin()])
+    return at, runs[at] >> np.uint64(32)
+
+
+def anchors(text: str | None, k: int = K, s: int = S) -> tuple[np.ndarray, np.ndarray]:
+    """Places (word index) and hashes of the anchors of words, then places
+    (code point) and hashes of those of code points, which a short text has."""
+    ws = words(text)
+    if not ws:
+        return np.empty(0, np.int64), np.empty(0, np.uint64)
+    at, hashes = _chosen(word_hashes(ws), k, s)
+    if len(ws) >= 4 * (2 * k - s - 1):
+        return at, hashes
+    points = b" ".join(ws).decode("utf-8", "surrogatepass").encode("utf-32-le", "surrogatepass")
+    places, codes = _chosen(mix(np.frombuffer(points, "<u4").astype(np.uint64) + np.uint64(1)), CODE_K, CODE_S)
+    return np.concatenate([at, places]), np.concatenate([hashes, codes | CODE])
 
 
 def as_text(at: np.ndarray, hashes: np.ndarray) -> str:
@@ -56,7 +77,7 @@ def as_text(at: np.ndarray, hashes: np.ndarray) -> str:
 def from_text(fingerprint: str) -> tuple[np.ndarray, np.ndarray]:
     pairs = [p.split(":") for p in fingerprint.split()]
     return (np.cumsum([int(g, 16) for g, _ in pairs], dtype=np.int64),
-            np.array([int(h, 16) for _, h in pairs], np.uint32))
+            np.array([int(h, 16) for _, h in pairs], np.uint64))
 
 
 def _ordered(hashes: np.ndarray):
@@ -67,7 +88,7 @@ def _ordered(hashes: np.ndarray):
     new = np.ones(len(v), bool)
     new[1:] = v[1:] != v[:-1]
     start = np.maximum.accumulate(np.where(new, np.arange(len(v)), 0))
-    return (v.astype(np.uint64) << np.uint64(32)) | (np.arange(len(v)) - start).astype(np.uint64), by
+    return (v << np.uint64(32)) | (np.arange(len(v)) - start).astype(np.uint64), by
 
 
 def likeness(a, b) -> float:
@@ -75,6 +96,9 @@ def likeness(a, b) -> float:
     (pa_, ha), (pb, hb) = a, b
     if not len(ha) or not len(hb):
         return float(len(ha) == len(hb))
+    if ha[-1] >= CODE or hb[-1] >= CODE:
+        short = ha[-1] >= CODE and hb[-1] >= CODE
+        (pa_, ha), (pb, hb) = ((p[(h >= CODE) == short], h[(h >= CODE) == short]) for p, h in (a, b))
     ka, ia = _ordered(ha)
     kb, ib = _ordered(hb)
     _, x, y = np.intersect1d(ka, kb, assume_unique=True, return_indices=True)

@@ -47,6 +47,27 @@ def test_likeness():
     assert fingerprints.likeness(mark(""), mark(a)) == 0.0
 
 
+def test_short_texts():
+    rng = random.Random(4)
+    vocab = ["".join(rng.choice("abdeiklmnorstu") for _ in range(rng.randint(3, 9))) for _ in range(3000)]
+    mark, alike = fingerprints.anchors, fingerprints.likeness
+    for n in [*range(1, 41), 54, 107, 108, 109, 120]:
+        apart, half = [], []
+        for _ in range(20):
+            a, b = (" ".join(rng.choice(vocab) for _ in range(n)) for _ in range(2))
+            x = mark(a)
+            assert fingerprints.as_text(*x) and alike(x, mark(a)) == 1.0 and alike(x, mark("")) == 0.0
+            back = fingerprints.from_text(fingerprints.as_text(*x))
+            assert [y.tolist() for y in back] == [y.tolist() for y in x]
+            apart.append(alike(x, mark(b)))
+            half.append(alike(x, mark(fingerprints.edited(a, b))))
+            assert n < 3 or half[-1] > 0
+        assert max(apart) < 0.5 and sum(apart) / 20 < 0.05, (n, apart)
+        assert n < 4 or 0.25 < sum(half) / 20 < 0.65, (n, half)
+    word, other = "internationalisation", "straightforwardness"
+    assert 0 < alike(mark(word), mark(fingerprints.edited(word, other))) < 1 and alike(mark(word), mark(other)) == 0.0
+
+
 def expected_pairs(data):
     data = sorted(((i, t or "") for i, t in data), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
     for (i, t), (_, following) in zip(data, data[1:] + data[:1]):
