@@ -15,9 +15,9 @@ One more class, ``und``, stands for text that is no language: its trigrams
 are all equally likely.  A row is accepted if a language wins and its
 posterior reaches ``ACCEPT``.
 
-Models are trained here on a bounded sample of labelled rows
-(``TRAIN_ROWS`` a language, ``MAX_LANGS`` languages, ``MAX_GRAMS`` trigrams a
-language); everything else covers all rows.
+Models are trained here for every label, on a bounded sample of its rows
+(``TRAIN_ROWS`` rows and ``MAX_GRAMS`` trigrams a language); everything else
+covers all rows.
 
 Null, empty and letterless texts are ``und`` and not accepted, whatever is
 declared.  Unknown or null declarations, suffixes and hosts are no evidence.
@@ -39,7 +39,7 @@ from pyspark.sql import types as T
 
 from .common import cut, row_key, worker_memo
 
-TRAIN_ROWS, MAX_LANGS, MAX_GRAMS = 400, 64, 50_000
+TRAIN_ROWS, MAX_GRAMS = 400, 50_000
 TEMPER = 1 / 3          # a trigram shares two characters with the next
 TRUST_DECLARED, TRUST_SUFFIX = 0.9, 0.8
 SMOOTH = 20.0           # rows that the level above weighs in the prior of a host
@@ -47,6 +47,7 @@ ACCEPT = 0.5
 SALTS = 32              # parts that a host's rows are dealt to
 PARTS = 64              # parts that a language's rows are dealt to in the choice of training rows
 PART_WORDS, CACHE_WORDS = 50_000, 400_000    # words of a text at a time, words that a worker remembers
+CELLS = 1 << 25         # of a worker's table, words by languages: with very many languages it remembers fewer words
 UND = "und"
 
 # Country code suffixes and their language.
@@ -68,8 +69,9 @@ def grams(word: str) -> list[str]:
 
 
 def train(docs: DataFrame, text: str = "text", label: str = "lang", key: str = "doc_id") -> dict:
-    """Trigram models of the languages labelled in ``docs``: a small dict for
-    the driver, bounded by the three parameters above."""
+    """Trigram models of the languages labelled in ``docs``, for the driver:
+    of each language the trigrams that it has and the logarithm of one more
+    than their count, by trigram."""
     labelled = (docs.filter(F.col(label).isNotNull() & F.col(text).isNotNull() & (F.col(label) != UND))
                 .select(F.col(label).alias("lang"), F.col(text).alias("text"), F.col(key).alias("key"))
                 .withColumn("hash", F.xxhash64("key", "text")))
@@ -79,13 +81,10 @@ def train(docs: DataFrame, text: str = "text", label: str = "lang", key: str = "
     chosen = (labelled.select("lang", "hash", F.pmod("hash", F.lit(PARTS)).alias("part")).distinct()
               .withColumn("at", F.row_number().over(part)).filter(F.col("at") <= TRAIN_ROWS)
               .withColumn("at", F.row_number().over(first)).filter(F.col("at") <= TRAIN_ROWS)
-              .groupBy("lang").agg(F.count(F.lit(1)).alias("rows"), F.max("hash").alias("last")))
-    most = chosen.orderBy(F.col("rows").desc(), "last", "lang").limit(MAX_LANGS).collect()
-    langs = {r["lang"]: r["last"] for r in most}
-    bound = F.lit(False)
-    for name, last in sorted(langs.items()):
-        bound = bound | ((F.col("lang") == name) & (F.col("hash") <= last))
-    sample = labelled.filter(bound).dropDuplicates(["lang", "hash"])
+              .groupBy("lang").agg(F.max("hash").alias("last")))
+    last = cut(chosen.select("lang", "last"))     # a row a language
+    sample = (labelled.join(F.broadcast(last), "lang").filter(F.col("hash") <= F.col("last"))
+              .dropDuplicates(["lang", "hash"]))
 
     def count(batches):
         seen: dict[str, Counter] = {}
@@ -104,18 +103,19 @@ def train(docs: DataFrame, text: str = "text", label: str = "lang", key: str = "
     counted = (sample.select("lang", "text").mapInArrow(count, "lang string, gram string, n long")
                .groupBy("lang", "gram").agg(F.sum("n").alias("n")))
     top = Window.partitionBy("lang").orderBy(F.col("n").desc(), "gram")
-    rows = counted.withColumn("at", F.row_number().over(top)).filter(F.col("at") <= MAX_GRAMS).collect()
-    by: dict[str, dict[str, int]] = {}
-    for r in rows:
-        by.setdefault(r.lang, {})[r.gram] = r.n
-    langs = sorted(by)
-    vocab = {g for lang in langs for g in by[lang]}
-    logs = {}
-    totals = {lang: sum(by[lang].values()) + len(vocab) + 1 for lang in langs}
-    for g in vocab:
-        logs[g] = [float(np.log((by[lang].get(g, 0) + 1) / totals[lang])) for lang in langs]
-    return {"langs": langs, "grams": logs, "other": [float(-np.log(totals[lang])) for lang in langs],
-            "und": float(-np.log(len(vocab) + 1))}
+    rows = (counted.withColumn("at", F.row_number().over(top)).filter(F.col("at") <= MAX_GRAMS)
+            .select("lang", "gram", "n").toArrow())
+    names = rows.column("lang").combine_chunks().dictionary_encode()
+    listed = names.dictionary.to_pylist()
+    langs = sorted(listed)
+    at = np.array([langs.index(x) for x in listed], np.int64)[names.indices.to_numpy()] if langs else np.empty(0, np.int64)
+    coded = rows.column("gram").combine_chunks().dictionary_encode()
+    gram, n = coded.indices.to_numpy().astype(np.int64), rows.column("n").to_numpy().astype(float)
+    by = np.lexsort((at, gram))
+    vocab = len(coded.dictionary)
+    totals = np.bincount(at, n, len(langs)) + vocab + 1
+    return {"langs": langs, "grams": coded.dictionary.to_pylist(), "start": np.searchsorted(gram[by], np.arange(vocab + 1)),
+            "lang": at[by].astype(np.int32), "gain": np.log(n[by] + 1), "other": -np.log(totals), "und": float(-np.log(vocab + 1))}
 
 
 class _Scorer:
@@ -124,28 +124,38 @@ class _Scorer:
     def __init__(self, model):
         self.n = len(model["langs"]) + 1
         self.place = {g: i for i, g in enumerate(model["grams"], 1)}     # 0: any other trigram
-        self.scores = np.array([[*x, model["und"]] for x in (model["other"], *model["grams"].values())])
+        self.start = np.concatenate([[0], model["start"]])
+        self.lang, self.gain = model["lang"], model["gain"]
+        self.base = np.array([*model["other"], model["und"]])
+        self.part = max(1, min(PART_WORDS, CELLS // 8 // self.n))
+        self.cache = max(self.part, min(CACHE_WORDS, CELLS // self.n))
         self.rows: dict[str, int] = {}
         self.table = np.zeros((1 << 12, self.n))
 
     def learn(self, new: list[str]) -> None:
         """Rows of the table for words without one."""
         at, place = len(self.rows), self.place
-        listed = [grams(w) for w in new]
-        sizes = np.fromiter(map(len, listed), np.int64, len(listed))
-        flat = [place.get(g, 0) for gs in listed for g in gs]
         while at + len(new) > len(self.table):
             self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-        self.table[at:at + len(new)] = np.add.reduceat(self.scores[flat], np.cumsum(sizes) - sizes, axis=0)
+        step = max(1, CELLS // 64 // self.n)
+        for i in range(0, len(new), step):
+            listed = [grams(w) for w in new[i:i + step]]
+            sizes = np.fromiter(map(len, listed), np.int64, len(listed))
+            flat = np.array([place.get(g, 0) for gs in listed for g in gs])
+            many = self.start[flat + 1] - self.start[flat]
+            cell = np.arange(many.sum()) + np.repeat(self.start[flat] - np.cumsum(many) + many, many)
+            word = np.repeat(np.repeat(np.arange(len(listed)), sizes), many)
+            gain = np.bincount(word * self.n + self.lang[cell], self.gain[cell], len(listed) * self.n)
+            self.table[at + i:at + i + len(listed)] = gain.reshape(-1, self.n) + sizes[:, None] * self.base
         self.rows.update(zip(new, range(at, at + len(new))))
 
     def score(self, text: str) -> np.ndarray | None:
         """Tempered log likelihoods of the languages and of ``und``; None
         where the text has no letters."""
         total, some, found = np.zeros(self.n), False, LETTERS.findall(text.lower())
-        for i in range(0, len(found), PART_WORDS):
-            part = found[i:i + PART_WORDS]
-            if len(self.rows) + len(part) > CACHE_WORDS:
+        for i in range(0, len(found), self.part):
+            part = found[i:i + self.part]
+            if len(self.rows) + len(part) > self.cache:
                 self.rows.clear()
             if new := list(set(part).difference(self.rows)):
                 self.learn(new)
@@ -207,10 +217,11 @@ def identify(rows: DataFrame, model: dict, keep: list[str], text: str = "text",
     every = (every + 1) / (every + 1).sum()
 
     def smoothed(df, above):
-        count = sum((F.col(f"s{i}") for i in range(n)), F.lit(0.0))
-        return [((F.col(f"s{i}") + SMOOTH * above[i]) / (count + SMOOTH)).alias(f"d{i}") for i in range(n)]
+        df = df.withColumn("__count", F.aggregate(F.array(*[f"s{i}" for i in range(n)]), F.lit(0.0), lambda a, x: a + x))
+        return df.select("__domain", *[((F.col(f"s{i}") + SMOOTH * above[i]) / (F.col("__count") + SMOOTH)).alias(f"d{i}")
+                                       for i in range(n)])
 
-    by_domain = by_domain.select("__domain", *smoothed(by_domain, [F.lit(float(x)) for x in every]))
+    by_domain = smoothed(by_domain, [F.lit(float(x)) for x in every])
     priors = by_host.join(by_domain, "__domain").select(
         "__host", F.array(*[f"s{i}" for i in range(n)]).alias("__sums"), F.array(*[f"d{i}" for i in range(n)]).alias("__above"))
     priors = priors.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))

@@ -252,3 +252,20 @@ def test_released_tables_go(spark):
     assert spark.conf.get(common.CLEAN_SHUFFLES, None) is None
     common.release(gone)
     assert not path_exists(spark, gone._cut_path) and kept.count() == 10
+
+
+def test_many_languages(spark):
+    """More than 64 labels, each in letters of its own; the last has the fewest rows."""
+    rng = random.Random(8)
+    data = []
+    for j in range(80):
+        letters = [chr(0x4E00 + 12 * j + i) for i in range(12)]
+        for _ in range(3 if j > 70 else 6):
+            text = " ".join("".join(rng.choice(letters) for _ in range(5)) for _ in range(30))
+            data.append((len(data), text, f"l{j:02}", "h"))
+    df = spark.createDataFrame(data, "doc_id long, text string, lang string, source string")
+    model = language_id.train(df)
+    assert model["langs"] == [f"l{j:02}" for j in range(80)]
+    for declared in (None, "lang"):
+        got = language_id.identify(df, model, ["doc_id", "lang"], declared=declared, host="source").collect()
+        assert len(got) == len(data) and all(r.lang_id == r.lang and r.accepted for r in got)
