@@ -27,17 +27,31 @@ from pyspark.sql import functions as F
 
 from quarry.functions.text import tokens
 from quarry.operators.util import broadcast_if_small
-from quarry.session import shared_dir
+from quarry.session import temporary_path
 
 SHINGLE_WIDTH = 8
 GRAM_WIDTH = 12
 
 
-def _keys(L: int, parts, n, piece):
+def _hashes(toks):
+    """Each token is hashed once, not once for every window it stands in."""
+    return F.transform(toks, lambda t: F.xxhash64(t))
+
+
+def _token_run(hashes):
+    return F.xxhash64(hashes)
+
+
+def _key(parts, L, piece):
+    """Key of a window from the hash of its content; the kind of its parts and
+    their number belong to it."""
+    return F.xxhash64(parts, L, piece)
+
+
+def _keys(L: int, parts: str, n, piece):
     """Keys of all windows of ``L`` parts; ``n`` counts the parts."""
-    windows = F.transform(F.sequence(F.lit(1), n - L + 1), lambda i: F.struct(
-        F.lit(parts).alias("parts"), F.lit(L).alias("L"), F.xxhash64(piece(i)).alias("key")))
-    return F.when(n >= L, windows)
+    return F.when(n >= L, F.transform(F.sequence(F.lit(1), n - L + 1),
+                                      lambda i: _key(F.lit(parts), F.lit(L), piece(i))))
 
 
 def containment_qrels(docs: DataFrame, passages: DataFrame, width: int = SHINGLE_WIDTH,
@@ -52,32 +66,35 @@ def containment_qrels(docs: DataFrame, passages: DataFrame, width: int = SHINGLE
          .withColumn("parts", F.when(F.size("toks") >= 3, "token").otherwise("char"))
          .withColumn("L", F.when(F.col("parts") == "token", F.least(F.lit(width), F.size("toks") - 2))
                      .otherwise(F.least(F.lit(GRAM_WIDTH), F.char_length(ptext))))
-         .select("qid", "ptext", "parts", "L", F.xxhash64(
-             F.when(F.col("parts") == "token", F.array_join(F.slice("toks", 2, F.col("L")), " "))
-             .otherwise(ptext.substr(F.lit(1), F.col("L")))).alias("key")))
+         .withColumn("hashes", _hashes(F.col("toks")))
+         .select("qid", "ptext", "parts", "L", _key(
+             F.col("parts"), F.col("L"),
+             F.when(F.col("parts") == "token", _token_run(F.slice("hashes", 2, F.col("L"))))
+             .otherwise(F.xxhash64(ptext.substr(F.lit(1), F.col("L"))))).alias("key")))
     needed = sorted((r[0], r[1]) for r in p.select("parts", "L").distinct().collect())  # <= 8 + 13 rows
     if not needed:
         return passages.sparkSession.createDataFrame(
             [], f"qid {passages.schema[qid].dataType.simpleString()}, "
                 f"docno {docs.schema[docno].dataType.simpleString()}, iteration int, relevance int")
     texts = docs.select(F.col(docno).alias("docno"), F.col(text).alias("dtext"))
-    toks, dtext = F.col("toks"), F.col("dtext")
+    hashes, dtext = F.col("hashes"), F.col("dtext")
     d = texts.filter(dtext.isNotNull())
     if any(parts == "token" for parts, _ in needed):
-        d = d.withColumn("toks", tokens(dtext, stop_words=None))
-    windows = [_keys(L, "token", F.size(toks), lambda i, L=L: F.array_join(F.slice(toks, i, L), " "))
+        d = d.withColumn("hashes", _hashes(tokens(dtext, stop_words=None)))
+    windows = [_keys(L, "token", F.size(hashes), lambda i, L=L: _token_run(F.slice(hashes, i, L)))
                if parts == "token" else
-               _keys(L, "char", F.char_length(dtext), lambda i, L=L: dtext.substr(i, F.lit(L)))
+               _keys(L, "char", F.char_length(dtext), lambda i, L=L: F.xxhash64(dtext.substr(i, F.lit(L))))
                for parts, L in needed]
-    none = F.array().cast("array<struct<parts:string,L:int,key:bigint>>")
-    keyed = d.select("docno", F.explode(F.array_distinct(F.concat(
-        *[F.coalesce(w, none) for w in windows]))).alias("w")).select("docno", "w.*")
-    probe = broadcast_if_small(p.select("qid", "parts", "L", "key"))
-    cand = keyed.join(probe, ["parts", "L", "key"]).select("qid", "docno").distinct()
-    # materialise the candidates once in the shared checkpoint folder: the
-    # size check of the broadcast then does not re-scan the documents
-    shared_dir(docs.sparkSession)
-    cand = broadcast_if_small(cand.checkpoint())
+    # repeated windows of a document meet their passage again: the pairs are made distinct, which is
+    # linear in the windows of a document however long it is
+    none = F.array().cast("array<bigint>")
+    keyed = d.select("docno", F.explode(F.concat(*[F.coalesce(w, none) for w in windows])).alias("key"))
+    cand = keyed.join(broadcast_if_small(p.select("qid", "key")), "key").select("qid", "docno").distinct()
+    # the candidates are written once to the shared folder, so the size check
+    # of their broadcast does not scan the documents again
+    path = temporary_path(docs.sparkSession, "candidates")
+    cand.write.parquet(path)
+    cand = broadcast_if_small(docs.sparkSession.read.schema(cand.schema).parquet(path))
     verified = (texts.join(cand, "docno")
                 .join(broadcast_if_small(p.select("qid", "ptext")), "qid")
                 .filter(dtext.contains(ptext)))
