@@ -38,8 +38,11 @@ def _hashes(toks):
     return F.transform(toks, lambda t: F.xxhash64(t))
 
 
-def _token_run(hashes):
-    return F.xxhash64(hashes)
+def _token_run(hashes, at, L, width):
+    """Hash of ``L`` token hashes from index ``at`` (0-based).  Elements are
+    read in place: ``slice`` would copy the whole array for every window.
+    Beyond ``L`` they are null, which the hash leaves out."""
+    return F.xxhash64(*[F.when(F.lit(j) < L, F.get(hashes, at + j)) for j in range(width)])
 
 
 def _key(parts, L, piece):
@@ -48,10 +51,17 @@ def _key(parts, L, piece):
     return F.xxhash64(parts, L, piece)
 
 
-def _keys(L: int, parts: str, n, piece):
-    """Keys of all windows of ``L`` parts; ``n`` counts the parts."""
-    return F.when(n >= L, F.transform(F.sequence(F.lit(1), n - L + 1),
-                                      lambda i: _key(F.lit(parts), F.lit(L), piece(i))))
+def _token_windows(hashes, L: int):
+    n = F.size(hashes)
+    return F.when(n >= L, F.transform(F.sequence(F.lit(1), n - L + 1), lambda i: _key(
+        F.lit("token"), F.lit(L), _token_run(hashes, i - 1, F.lit(L), L))))
+
+
+def _char_windows(text, L: int):
+    """All runs of ``L`` characters in one pass of a regular expression:
+    ``substr`` would count characters from the start for every window."""
+    return F.transform(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{L}}}))"), F.lit(1)),
+                       lambda g: _key(F.lit("char"), F.lit(L), F.xxhash64(g)))
 
 
 def containment_qrels(docs: DataFrame, passages: DataFrame, width: int = SHINGLE_WIDTH,
@@ -69,7 +79,7 @@ def containment_qrels(docs: DataFrame, passages: DataFrame, width: int = SHINGLE
          .withColumn("hashes", _hashes(F.col("toks")))
          .select("qid", "ptext", "parts", "L", _key(
              F.col("parts"), F.col("L"),
-             F.when(F.col("parts") == "token", _token_run(F.slice("hashes", 2, F.col("L"))))
+             F.when(F.col("parts") == "token", _token_run(F.col("hashes"), F.lit(1), F.col("L"), width))
              .otherwise(F.xxhash64(ptext.substr(F.lit(1), F.col("L"))))).alias("key")))
     needed = sorted((r[0], r[1]) for r in p.select("parts", "L").distinct().collect())  # <= 8 + 13 rows
     if not needed:
@@ -81,14 +91,13 @@ def containment_qrels(docs: DataFrame, passages: DataFrame, width: int = SHINGLE
     d = texts.filter(dtext.isNotNull())
     if any(parts == "token" for parts, _ in needed):
         d = d.withColumn("hashes", _hashes(tokens(dtext, stop_words=None)))
-    windows = [_keys(L, "token", F.size(hashes), lambda i, L=L: _token_run(F.slice(hashes, i, L)))
-               if parts == "token" else
-               _keys(L, "char", F.char_length(dtext), lambda i, L=L: F.xxhash64(dtext.substr(i, F.lit(L))))
-               for parts, L in needed]
+    windows = [_token_windows(hashes, L) if parts == "token" else _char_windows(dtext, L) for parts, L in needed]
     # repeated windows of a document meet their passage again: the pairs are made distinct, which is
     # linear in the windows of a document however long it is
+    # (the outer form, as Spark puts a filter on an exploded array below its projection and would
+    # hash all tokens again for every window)
     none = F.array().cast("array<bigint>")
-    keyed = d.select("docno", F.explode(F.concat(*[F.coalesce(w, none) for w in windows])).alias("key"))
+    keyed = d.select("docno", F.explode_outer(F.concat(*[F.coalesce(w, none) for w in windows])).alias("key"))
     cand = keyed.join(broadcast_if_small(p.select("qid", "key")), "key").select("qid", "docno").distinct()
     # the candidates are written once to the shared folder, so the size check
     # of their broadcast does not scan the documents again
