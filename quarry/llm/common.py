@@ -4,6 +4,7 @@
   expression ``[^\\x20\\x09-\\x0D]+`` on the text.
 * ``word_hashes`` / ``rolling``: 64-bit hashes of words and of runs of words.
 * ``cut``: cut lineage with a table written to the shared folder.
+* ``numbered``: places of rows in their groups without one task a group.
 * ``components``: connected components of an edge table.
 """
 
@@ -14,7 +15,7 @@ import sys
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.session import scratch_path
@@ -90,6 +91,28 @@ def row_key(*cols):
     return F.xxhash64(*[x for c in cols for x in (F.isnull(c), c)])
 
 
+def numbered(df: DataFrame, group: list[str], order: list[str]) -> DataFrame:
+    """``df`` with ``pos``, the place of a row in its group by ``order`` (from
+    0, nulls first), and ``of``, the rows of its group.
+
+    Rows are range-partitioned and sorted; each partition counts its own rows,
+    and only the counts of partitions meet in a window, so neither a group nor
+    equal rows need fit into one task.  Rows equal in all of ``group`` and
+    ``order`` are numbered in any order.  The numbered rows are written once.
+    """
+    seq = F.monotonically_increasing_id()
+    rows = cut(df.withColumn("__salt", seq).repartitionByRange(*group, *order, "__salt")
+               .sortWithinPartitions(*group, *order).drop("__salt")
+               .withColumn("__part", F.spark_partition_id())
+               .withColumn("__seq", seq.bitwiseAND(F.lit((1 << 33) - 1))))
+    parts = rows.groupBy(*group, "__part").agg(F.min("__seq").alias("least"), F.count(F.lit(1)).alias("many"))
+    whole = Window.partitionBy(*group)
+    before = F.sum("many").over(whole.orderBy("__part")) - F.col("many")
+    parts = parts.select(*group, "__part", (before - F.col("least")).alias("__shift"), F.sum("many").over(whole).alias("of"))
+    return (rows.join(parts, [*group, "__part"])
+            .select(*df.columns, (F.col("__seq") + F.col("__shift")).alias("pos"), "of"))
+
+
 def worker_memo(key, make):
     """An object that lives as long as the Python worker: tasks that the
     worker runs later find it again."""
