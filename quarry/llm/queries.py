@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from quarry.session import scratch_path
 
-from . import (bpe, chat, common, embedding_dedup, fingerprints, jaccard_join, language_id, merkle, mixing, sharding,
-               substring_dedup, token_counts)
+from . import (bpe, chat, common, embedding_dedup, fingerprints, jaccard_join, language_id, merkle, mixing, oracle, sharding,
+               substring_dedup, token_counts, topk_search, whitening)
 
 SHARDS = 8
 
@@ -80,13 +80,22 @@ def op10_bpe(spark, sf_dir):
     return bpe.encode_decode(common.documents(spark, sf_dir), tokenizer_json("word_bpe_49k.json"), digest=True)
 
 
+def op11_topk_search(spark, sf_dir):
+    return topk_search.top_k(_table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0)
+
+
 def op12_merkle(spark, sf_dir):
     tampered = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
     return merkle.manifest(common.documents(spark, sf_dir), tampered).drop("copied")
 
 
+def op13_whitening(spark, sf_dir):
+    return whitening.whiten(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_token_counts, op2_language_id, op3_chat_format, op4_jaccard_join, op5_sharding, op6_mixing,
-    op7_substring_dedup, op8_embedding_dedup, op9_fingerprints, op10_bpe, op12_merkle)}
+    op7_substring_dedup, op8_embedding_dedup, op9_fingerprints, op10_bpe, op11_topk_search,
+    op12_merkle, op13_whitening)}
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = oracle.SQL
