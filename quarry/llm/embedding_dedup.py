@@ -13,16 +13,18 @@
    vectors.  The length of the substrings is the cheapest for the number of
    classes, and rotations are added until the tables find ``RECALL`` of the
    made pairs of both kinds.  If they do not, substrings are halved, at last
-   to nothing: then all pairs are candidates.
+   to single bits.
 4. Candidates whose first two codes differ in more bits than those of nearly
    all made pairs (``FAR_KEEPS``) go at once.
 5. The rest is ranked by the cosine of the original vectors in double
    precision; pairs that reach the threshold are links.
 
-A vector that is null, empty, zero, holds a null or non-finite component, or
-has another dimension than most vectors links with nothing.  Copies count as
+Vectors of different dimensions never link; every dimension has rotations and
+tables of its own, in the same jobs.  A vector that is null, empty, zero, or
+holds a null or non-finite component links with nothing.  Copies count as
 links of each other, but their pairs are never written out.  Repeated rows
-are copies; an empty table gives an empty result.
+are copies; vectors at equal distance need no order, as every pair at the
+threshold is a link; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -68,8 +70,6 @@ class Plan:
 
     def cells(self, codes: list[np.ndarray]) -> np.ndarray:
         """A column a table."""
-        if not self.sub:
-            return np.zeros((len(codes[0]), 1), np.int64)
         per, mask = self.axes.shape[1] // self.sub, np.uint64((1 << self.sub) - 1)
         return np.stack([(codes[t // per] >> np.uint64(t % per * self.sub)) & mask for t in range(self.tables)],
                         axis=1).astype(np.int64)
@@ -128,8 +128,6 @@ def fit(sample: np.ndarray, n: int, cosine: float = COSINE, sub: int | None = No
     def cost(length):
         """Rows and comparisons, and the tables that they are for, if tables
         were independent."""
-        if not length:
-            return n * n / 2 + n * ROW_COST, 1
         share = min((np.mean([hits(d, length).mean() for d in known]) for known in differ), default=1.0)
         if not share:
             return math.inf, 0
@@ -140,9 +138,9 @@ def fit(sample: np.ndarray, n: int, cosine: float = COSINE, sub: int | None = No
         return tables * (n * ROW_COST + n * n / 2 * meet), tables
 
     if sub is None:
-        sub = min(range(min(bits, 40) + 1), key=lambda length: cost(length)[0])
+        sub = min(range(1, min(bits, 40) + 1), key=lambda length: cost(length)[0])
     sub = min(sub, bits)
-    while sub:
+    while True:
         most = 4 * cost(sub)[1]
         while True:
             found = [np.logical_or.accumulate(np.concatenate([hits(d, sub) for d in known], axis=1), axis=1)
@@ -151,16 +149,32 @@ def fit(sample: np.ndarray, n: int, cosine: float = COSINE, sub: int | None = No
             enough = np.flatnonzero(recall >= RECALL)
             if len(enough):
                 return Plan(mean, axes, rotations, sub, int(enough[0]) + 1, far, float(recall[enough[0]]))
-            if len(recall) >= most:
+            if len(recall) >= most and sub > 1:
                 break
             add()
         sub //= 2
-    return Plan(mean, axes, rotations[:2], 0, 1, 2 * bits, 1.0)
 
 
-def _unit(column: pa.Array, dim: int) -> np.ndarray:
-    x = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
-    return x / np.linalg.norm(x, axis=1, keepdims=True)
+def _by_dimension(column: pa.Array):
+    """``(dimension, row numbers, unit vectors)`` of the rows of a batch."""
+    values = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    size = np.diff(column.offsets.to_numpy())
+    start = np.cumsum(size) - size
+    for dim in np.unique(size).tolist():
+        at = np.flatnonzero(size == dim)
+        x = values[start[at][:, None] + np.arange(dim)]
+        yield dim, at, x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def _fit_dimensions(classes: DataFrame, cosine: float, sub: int | None) -> dict[int, Plan]:
+    """A plan for each dimension that more than one class has."""
+    plans = {}
+    for dim, n in sorted(map(tuple, classes.groupBy("dim").count().collect())):
+        if n > 1:
+            # the sample's order is that of the hashes: any bounded number of rows will do
+            sample = classes.filter(F.col("dim") == dim).orderBy("cid").limit(SAMPLE).select("v").toArrow()
+            plans[dim] = fit(next(_by_dimension(sample.column(0).combine_chunks()))[2], n, cosine, sub)
+    return plans
 
 
 def near_vectors(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", cosine: float = COSINE,
@@ -172,37 +186,41 @@ def near_vectors(vectors: DataFrame, key: str = "vec_id", vector: str = "embeddi
     size = F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x)
     sound = (v.isNotNull() & (F.size(v) > 0) & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
              & (size > 0) & (size < float("inf")))
-    rows = rows.withColumn("dim", F.when(sound, F.size(v)))
-    usual = rows.filter("dim is not null").groupBy("dim").count().orderBy(F.col("count").desc(), "dim").first()
-    dim = usual.dim if usual else 0
-    rows = rows.withColumn("cid", F.when(F.col("dim") == dim, F.xxhash64("v")))
-    classes = cut(rows.filter("cid is not null").groupBy("cid")
+    rows = (rows.withColumn("dim", F.when(sound, F.size(v)))
+            .withColumn("cid", F.when(F.col("dim").isNotNull(), F.xxhash64("dim", "v"))))
+    classes = cut(rows.filter("cid is not null").groupBy("cid", "dim")
                   .agg(F.first("v").alias("v"), F.min("id").alias("first"), F.count(F.lit(1)).alias("many")))
-    n = classes.count()
+    plans = _fit_dimensions(classes, cosine, sub)
 
-    if n > 1:
-        # the sample's order is that of the hashes: any bounded number of rows will do
-        sample = classes.orderBy("cid").limit(SAMPLE).select("v").toArrow().column(0).combine_chunks()
-        learned = spark.sparkContext.broadcast(fit(_unit(sample, dim), n, cosine, sub))
-        tables, far = learned.value.tables, learned.value.far
+    if plans:
+        # plain arrays travel: a class of this module would need the module on the executors
+        learned = spark.sparkContext.broadcast({dim: tuple(vars(p).values()) for dim, p in plans.items()})
+        tables = max(p.tables for p in plans.values())
 
         def code(batches):
-            plan = learned.value
+            plans = {dim: Plan(*p) for dim, p in learned.value.items()}
             for b in batches:
-                codes = plan.codes(_unit(b.column(1), dim))
-                cells = plan.cells(codes)
-                ends = np.arange(0, cells.size + 1, cells.shape[1], dtype=np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [b.column(0), *[pa.array(c.view(np.int64)) for c in codes[:2]],
-                     pa.ListArray.from_arrays(pa.array(ends), pa.array(cells.ravel()))], names=["cid", "c0", "c1", "cells"])
-
-        codes = cut(classes.select("cid", "v").mapInArrow(code, "cid long, c0 long, c1 long, cells array<long>"))
+                for dim, at, x in _by_dimension(b.column(1)):
+                    if dim not in plans:
+                        continue
+                    codes = plans[dim].codes(x)
+                    cells = plans[dim].cells(codes)
+                    ends = np.arange(0, cells.size + 1, cells.shape[1], dtype=np.int32)
+                    yield pa.RecordBatch.from_arrays(
+                        [b.column(0).take(pa.array(at)), pa.array(np.full(len(at), dim), pa.int32()),
+                         pa.array(np.full(len(at), plans[dim].far), pa.int32()),
+                         *[pa.array(c.view(np.int64)) for c in codes[:2]],
+                         pa.ListArray.from_arrays(pa.array(ends), pa.array(cells.ravel()))],
+                        names=["cid", "dim", "far", "c0", "c1", "cells"])
+
+        codes = cut(classes.select("cid", "v").mapInArrow(
+            code, "cid long, dim int, far int, c0 long, c1 long, cells array<long>"))
         found = []
         for first in range(0, tables, GROUP):
-            index = codes.select("cid", "c0", "c1", F.posexplode(F.slice("cells", first + 1, GROUP)).alias("t", "s"))
+            index = codes.select("cid", "dim", "far", "c0", "c1", F.posexplode(F.slice("cells", first + 1, GROUP)).alias("t", "s"))
             found.append(cut(index.alias("x").join(index.alias("y"), F.expr(
-                "x.t = y.t and x.s = y.s and x.cid < y.cid and "
-                f"bit_count(x.c0 ^ y.c0) + bit_count(x.c1 ^ y.c1) <= {far}"))
+                "x.dim = y.dim and x.t = y.t and x.s = y.s and x.cid < y.cid and "
+                "bit_count(x.c0 ^ y.c0) + bit_count(x.c1 ^ y.c1) <= x.far"))
                 .select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b")).distinct()))
         pairs = found[0] if len(found) == 1 else cut(reduce(DataFrame.union, found).distinct())
         both = (pairs.join(classes.select(F.col("cid").alias("a"), F.col("v").alias("va")), "a")
@@ -210,8 +228,10 @@ def near_vectors(vectors: DataFrame, key: str = "vec_id", vector: str = "embeddi
 
         def rank(batches):
             for b in batches:
-                if b.num_rows:
-                    near = (_unit(b.column(2), dim) * _unit(b.column(3), dim)).sum(axis=1) >= cosine
+                near = np.zeros(b.num_rows, bool)
+                for (_, at, x), (_, _, y) in zip(_by_dimension(b.column(2)), _by_dimension(b.column(3))):
+                    near[at] = (x * y).sum(axis=1) >= cosine
+                if near.any():
                     yield pa.record_batch({"a": b.column(0), "b": b.column(1)}).filter(pa.array(near))
 
         links = cut(both.mapInArrow(rank, "a long, b long"))

@@ -36,11 +36,12 @@ def test_hostile_vectors(spark):
     rng = np.random.default_rng(5)
     base = rng.standard_normal((40, 16))
     x = [v.tolist() for v in base] + [(v + 0.02 * rng.standard_normal(16)).tolist() for v in base[:20]] + [base[0].tolist()] * 30
-    x += [None, [], [0.0] * 16, [None] + [1.0] * 15, [float("nan")] * 16, [float("inf")] + [1.0] * 15, [1.0, 2.0], [1.0, 2.0]]
+    x += [None, [], [0.0] * 16, [None] + [1.0] * 15, [float("nan")] * 16, [float("inf")] + [1.0] * 15, [1.0, 2.0], [1.0, 2.0], [2.0, -1.0], [2.0], [3.0], [-1.0], [0.5] * 7]
+    short = rng.standard_normal((9, 5))
+    x += [v.tolist() for v in short] + [(v * 2 + 0.01).tolist() for v in short[:4]] + [short[0].tolist()] * 3
     ids = list(range(len(x)))
     df = spark.createDataFrame(list(zip(ids, x)), "vec_id long, embedding array<float>").selectExpr("*", "7 label", "1 cid", "2 v").repartition(4)
     single = [None if v is None else [None if c is None else float(np.float32(c)) for c in v] for v in x]
-    single = [None if v is not None and len(v) == 2 else v for v in single]      # not the usual dimension
     links = brute(ids, single)
     comp = components(ids, links)
     got = {r.vec_id: r for r in embedding_dedup.near_vectors(df).collect()}
@@ -110,3 +111,29 @@ def test_query(spark):
     got = op8_embedding_dedup(spark, SF_CHECK).collect()
     rows = spark.read.parquet(f"{SF_CHECK}/embeddings.parquet").collect()
     assert {r.vec_id for r in got} == {r.vec_id for r in rows}
+
+
+def test_workers_without_the_package(tmp_path):
+    """Executors need no copy of the library: workers are started where they cannot import it."""
+    import os
+    import subprocess
+    import sys
+    repo = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    code = f"""
+import sys
+sys.path.insert(0, {repo!r})
+from pyspark.sql import SparkSession
+spark = (SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false")
+         .config("spark.checkpoint.dir", {str(tmp_path / "ckpt")!r}).config("spark.sql.shuffle.partitions", "2").getOrCreate())
+from quarry.llm import embedding_dedup, merkle, topk_search, whitening
+from pyspark.sql import functions as F
+df = spark.createDataFrame([(i, [float(i % 5), 1.0, 2.0]) for i in range(20)], "vec_id long, embedding array<double>")
+print("LINKS", sorted(r.n_links for r in embedding_dedup.near_vectors(df).collect())[-1])
+print("TOP", topk_search.top_k(df, F.col("id") == 0).count(), "WHITE", whitening.whiten(df).count())
+docs = spark.createDataFrame([(i, "T", "en", "a", 1) for i in range(20)], "doc_id long, text string, lang string, source string, n_chars long")
+print("VERIFIED", merkle.manifest(docs).filter("verified").count())
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=280)
+    assert done.returncode == 0, done.stderr[-2000:]
+    assert "TOP 5 WHITE 60" in done.stdout and "VERIFIED 20" in done.stdout and "LINKS" in done.stdout
