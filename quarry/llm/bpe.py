@@ -85,7 +85,7 @@ def check_rules(tokenizer_json: str) -> None:
 def _library(json_text: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
-    return worker_memo(("bpe", hash(json_text)), lambda: Tokenizer.from_str(json_text))
+    return worker_memo("bpe", hash(json_text), lambda: Tokenizer.from_str(json_text))
 
 
 def id_type(vocabulary: int):

@@ -11,6 +11,8 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import sys
 
 import numpy as np
@@ -20,8 +22,10 @@ from pyspark.sql import functions as F
 
 from quarry.session import scratch_path
 
-#: Words a worker remembers before it starts its memory anew.
-CACHE_WORDS = 400_000
+#: Bytes of words and their hashes that a worker remembers before it starts anew.
+CACHE_BYTES = 32 << 20
+ENTRY_BYTES = 130       # of an entry beside its word
+LONG_WORD = 64          # bytes from which on a word is hashed anew each time
 #: Spark removes the shuffle files of a query when it ends.
 CLEAN_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -113,20 +117,40 @@ def numbered(df: DataFrame, group: list[str], order: list[str]) -> DataFrame:
             .select(*df.columns, (F.col("__seq") + F.col("__shift")).alias("pos"), "of"))
 
 
-def worker_memo(key, make):
-    """An object that lives as long as the Python worker: tasks that the
-    worker runs later find it again."""
+def worker_memo(owner: str, key, make):
+    """An object that tasks which the Python worker runs later find again.
+    Objects of one owner live at a time: when another one starts, the worker
+    forgets them and gives their memory back."""
     memo = sys.__dict__.setdefault("_quarry_llm_memo", {})
-    if key not in memo:
-        memo[key] = make()
-    return memo[key]
+    if memo.get("owner") != owner:
+        if memo:
+            memo.clear()
+            _give_back()
+        memo["owner"] = owner
+    if ("of", key) not in memo:
+        memo["of", key] = make()
+    return memo["of", key]
+
+
+def _give_back() -> None:
+    gc.collect()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):       # no such C library: the memory is used again, not returned
+        pass
 
 
 class _WordHashes(dict):
+    size = 0
+
     def __missing__(self, word):
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
+        h = xxhash.xxh3_64_intdigest(word)
+        if len(word) < LONG_WORD:
+            if self.size >= CACHE_BYTES:
+                self.clear()
+                self.size = 0
+            self[word] = h
+            self.size += len(word) + ENTRY_BYTES
         return h
 
 
@@ -138,7 +162,7 @@ def words(text: str | None, lower: bool = False) -> list[bytes]:
 
 
 def word_hashes(ws: list[bytes]) -> np.ndarray:
-    memo = worker_memo("word_hashes", _WordHashes)
+    memo = worker_memo("words", "hashes", _WordHashes)
     return np.fromiter(map(memo.__getitem__, ws), np.uint64, len(ws))
 
 

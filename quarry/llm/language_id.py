@@ -189,7 +189,7 @@ def identify(rows: DataFrame, model: dict, keep: list[str], text: str = "text",
         T.StructField("__ll", T.ArrayType(T.DoubleType())), T.StructField("__p", T.ArrayType(T.DoubleType()))]
 
     def likelihoods(batches):
-        slot = worker_memo("lang", dict)        # one model a worker
+        slot = worker_memo("language", "model", dict)        # one model a worker
         if token not in slot:
             slot.clear()
             slot[token] = _Scorer(shared.value)

@@ -41,7 +41,7 @@ def pre_tokens(text: str) -> list[str]:
 
 def _tokenizer(json_text: str):
     from tokenizers import Tokenizer
-    return worker_memo(("tokenizer", hash(json_text)), lambda: Tokenizer.from_str(json_text))
+    return worker_memo("token_counts", ("tokenizer", hash(json_text)), lambda: Tokenizer.from_str(json_text))
 
 
 def _specials(tok) -> list[str]:
@@ -115,7 +115,7 @@ def count_tokens(docs: DataFrame, tokenizer_json: str, text: str = "text", keep:
     def count(batches):
         json_text, frequent = shared.value
         tok = _tokenizer(json_text)
-        lengths = worker_memo(("lengths", hash(json_text)), lambda: _Lengths(tok, frequent))
+        lengths = worker_memo("token_counts", ("lengths", hash(json_text)), lambda: _Lengths(tok, frequent))
         specials = _specials(tok)
         special = re.compile("|".join(map(re.escape, specials))) if specials else None
         for b in batches:
