@@ -16,7 +16,8 @@ giving all their pairs, that happens in rounds:
 
 * First each group's classes are compared with its first class, and the groups
   that share a prefix shingle with a fixed number of them (PIVOTS, chosen by
-  hash).  Of what the bit maps leave to a class, PICKED pairs are verified.
+  hash).  Of a class's partners, the NEAREST by shared prefix shingles are held
+  against the bit maps, and of what those leave, PICKED pairs are verified.
   TURNS such rounds compare only what is not in one component yet.
 * The last round compares everything that shares a prefix shingle (or a group)
   and is not in one component yet.
@@ -40,7 +41,8 @@ FREQUENT = 16           # documents from which on a shingle comes last
 CHUNK = 8 << 20         # shingles that a task counts at a time
 FREQUENT_MAX = 1 << 20  # size bound of the broadcast table of frequent ones
 PIVOTS, TURNS = 24, 2      # members that are compared with all others, and how often anew
-PICKED = 2              # pairs of a class that a turn verifies; the last round takes all
+NEAREST = 4             # partners of a class that a turn compares by bit maps,
+PICKED = 2              # and verifies; the last round takes all
 BITS = 4                # places of a bit map a shingle, at least
 BROADCAST_ROWS = 1 << 20   # up to so many wanted rows are broadcast, else shuffled
 
@@ -74,21 +76,6 @@ def may_overlap(x: np.ndarray, y: np.ndarray, nx: int, ny: int, percent: int) ->
     return (100 + percent) * most >= percent * (nx + ny)
 
 
-def _sets(docs: DataFrame, k: int) -> DataFrame:
-    """``(doc_id, rid, n, cid)`` of every row."""
-    def rows(batches):
-        for b in batches:
-            n, cid = [], []
-            for t in b.column(2).to_pylist():
-                s = shingles(word_hashes(words(t, lower=True)), k)
-                n.append(len(s))
-                cid.append(class_id(s) if len(s) else None)
-            yield pa.record_batch({"doc_id": b.column(0), "rid": b.column(1), "n": pa.array(n, pa.int64()),
-                                   "cid": pa.array(cid, pa.int64())})
-
-    return docs.select("doc_id", "rid", "text").mapInArrow(rows, "doc_id long, rid long, n long, cid long")
-
-
 def _short(s: np.ndarray) -> np.ndarray:
     """32 bits of a hash: enough to count by, as counts only set the order."""
     return (s >> np.uint64(32)).astype(np.uint32)
@@ -130,34 +117,33 @@ def _frequent(docs: DataFrame, k: int) -> np.ndarray:
     return np.sort(got.column(0).to_numpy().astype(np.int32).view(np.uint32))
 
 
-def _classes(docs: DataFrame, k: int, percent: int, frequent) -> DataFrame:
-    """One row per distinct set: ``(cid, n, gid, prefix, rid, bits)``; ``rid``
-    names a row that has the set."""
+def _coded(docs: DataFrame, k: int, percent: int, frequent) -> DataFrame:
+    """``(doc_id, rid, n, cid, gid, prefix, bits)`` of every row, in one pass
+    over the texts; rows without words have only the first three."""
     def rows(batches):
         often = frequent.value
         for b in batches:
-            rids, cids, ns, gids, prefixes, bits = [], [], [], [], [], []
-            for rid, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            cids, ns, gids, prefixes, bits = [], [], [], [], []
+            for t in b.column(2).to_pylist():
                 s = shingles(word_hashes(words(t, lower=True)), k)
                 n = len(s)
+                ns.append(n)
                 if not n:
+                    for c in (cids, gids, prefixes, bits):
+                        c.append(None)
                     continue
                 p = _order(s, often)[:prefix_size(n, percent)]
-                rids.append(rid)
                 cids.append(class_id(s))
-                ns.append(n)
                 gids.append(class_id(np.concatenate((p, [np.uint64(n)]))))
                 prefixes.append(p.view(np.int64))
                 bits.append(bit_map(s).tobytes())
-            if rids:
-                yield pa.record_batch({
-                    "cid": pa.array(cids, pa.int64()), "n": pa.array(ns, pa.int64()),
-                    "gid": pa.array(gids, pa.int64()), "rid": pa.array(rids, pa.int64()),
-                    "prefix": pa.array(prefixes, pa.list_(pa.int64())), "bits": pa.array(bits, pa.binary())})
+            yield pa.record_batch({
+                "doc_id": b.column(0), "rid": b.column(1), "n": pa.array(ns, pa.int64()), "cid": pa.array(cids, pa.int64()),
+                "gid": pa.array(gids, pa.int64()), "prefix": pa.array(prefixes, pa.list_(pa.int64())),
+                "bits": pa.array(bits, pa.binary())})
 
-    return (docs.select("rid", "text")
-            .mapInArrow(rows, "cid long, n long, gid long, rid long, prefix array<long>, bits binary")
-            .dropDuplicates(["cid"]))
+    return docs.select("doc_id", "rid", "text").mapInArrow(
+        rows, "doc_id long, rid long, n long, cid long, gid long, prefix array<long>, bits binary")
 
 
 def _may_link(a: str, b: str, percent: int) -> str:
@@ -214,7 +200,8 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, per
     wanted = cut(_of_ends(classes, pairs, "rid"))
     if wanted.count() <= BROADCAST_ROWS:      # two longs a row
         wanted = F.broadcast(wanted)
-    texts = docs.select("rid", "text").join(wanted, "rid").select("cid", "text")
+    # rows equal in key and text share the rid: one of them is enough
+    texts = docs.select("rid", "text").join(wanted, "rid").select("cid", "text").dropDuplicates(["cid"])
 
     def sets(batches):
         for b in batches:
@@ -249,9 +236,12 @@ def jaccard_components(docs: DataFrame, text: str = "text", key: str = "doc_id",
     spark = docs.sparkSession
     docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     docs = docs.withColumn("rid", row_key("doc_id", "text"))
-    rows = cut(_sets(docs, shingle))
     often = spark.sparkContext.broadcast(_frequent(docs, shingle))
-    classes = cut(_classes(docs, shingle, percent, often))
+    coded = cut(_coded(docs, shingle, percent, often))
+    # one row per distinct set; its rid names a row that has the set
+    classes = cut(coded.filter("cid is not null").drop("doc_id").dropDuplicates(["cid"]))
+    rows = cut(coded.select("doc_id", "rid", "n", "cid"))
+    release(coded)
 
     groups = cut(classes.groupBy("gid").agg(F.min("cid").alias("rep")))
     one = classes.alias("c").join(groups.alias("g"), F.expr("c.gid = g.gid and c.cid = g.rep"), "left_semi")
@@ -272,7 +262,7 @@ def jaccard_components(docs: DataFrame, text: str = "text", key: str = "doc_id",
         parts = member.groupBy("gid", "comp").agg(F.min("cid").alias("cid"))
         if turn == 0:
             inside = (classes.alias("c").join(groups.alias("g"), F.expr("c.gid = g.gid and c.cid <> g.rep"))
-                      .select(F.col("c.cid").alias("a"), F.col("g.rep").alias("b")))
+                      .select(F.col("c.cid").alias("a"), F.col("g.rep").alias("b"), F.size("c.prefix").cast("long").alias("c")))
             parts = groups.select("gid", F.col("rep").alias("comp"), F.col("rep").alias("cid"))
         rows_ = _mixed(shared.join(parts, "gid"))
         turned = Window.partitionBy("token").orderBy(F.xxhash64(F.lit(turn), "gid", "comp"))
@@ -280,10 +270,12 @@ def jaccard_components(docs: DataFrame, text: str = "text", key: str = "doc_id",
         star = (rows_.alias("x").join(rows_.filter(F.col("at") <= PIVOTS).alias("y"), F.expr(
             f"x.token = y.token and x.at > y.at and x.comp <> y.comp and {_may_link('x', 'y', percent)}"))
             .selectExpr("x.cid a", "y.cid b", "x.n na", "y.n nb", "x.left la", "y.left lb")
-            .groupBy("a", "b", "na", "nb").agg(*_last()).filter(_enough(percent)).select("a", "b"))
+            .groupBy("a", "b", "na", "nb").agg(*_last()).filter(_enough(percent)).select("a", "b", "c"))
         if turn == 0:
-            star = star.union(inside).distinct()
-        star = cut(star)
+            star = star.union(inside)
+        # of a class's partners, those with whom it shares most of the prefix are compared
+        close = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("c"), "b"))
+        star = cut(star.withColumn("at", close).filter(F.col("at") <= NEAREST).select("a", "b"))
         maybe = cut(_possible(star, classes, percent))
         first = F.row_number().over(Window.partitionBy("a").orderBy("b"))
         picked = cut(maybe.withColumn("at", first).filter(F.col("at") <= PICKED).select("a", "b"))
