@@ -111,6 +111,33 @@ def test_sharding(spark, scratch):
     assert sharding.write_shards(df.limit(0), scratch("none"), 8).count() == 0
 
 
+def test_sharding_depends_on_nothing_else(spark, scratch):
+    """Other shuffle partitions and another dealing of the input give the same places."""
+    data = fx.rows()
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    got = []
+    for i, (n, parts) in enumerate(((3, 2), (20, 7))):
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        df = spark.createDataFrame(data, fx.SCHEMA).repartition(parts)
+        out = sharding.write_shards(df, scratch(f"place{i}"), 8, bucket_bytes=20_000).select("doc_id", "text", "shard", "slot")
+        got.append(Counter(map(tuple, out.collect())))
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert got[0] == got[1]
+
+
+def test_repeated_rows_spread_over_buckets(spark):
+    """1,000 rows equal in every column, without an id: no bucket holds them all, and a bucket is a partition."""
+    df = spark.createDataFrame([(None, "same text")] * 1000 + [(i, f"t{i}") for i in range(200)], "doc_id long, text string").repartition(4)
+    out = sharding.scatter(df, sharding.text_size(), "doc_id", bucket_bytes=1000)
+    many = {r["bucket"]: r["count"] for r in out.filter("rec.doc_id is null").groupBy("bucket").count().collect()}
+    assert sum(many.values()) == 1000 and len(many) == 16 and max(many.values()) < 120
+    at = out.select("bucket", F.spark_partition_id().alias("p")).distinct().collect()
+    assert all(r.bucket == r.p for r in at)
+    plan = sharding.shuffled(df, sharding.text_size(), "doc_id")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortAggregate") + plan.count("ObjectHashAggregate") >= 1
+    assert "Exchange hashpartitioning(bucket" not in plan
+
+
 def test_sharding_query(spark):
     data = [tuple(r) for r in spark.read.parquet(f"{SF_CHECK}/documents.parquet").select("doc_id", "text").collect()]
     got = op5_sharding(spark, SF_CHECK).collect()
