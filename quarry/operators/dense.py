@@ -25,6 +25,7 @@ from pyspark.sql import types as T
 from quarry.operators.util import SCORE_DECIMALS, broadcast_if_small, top_k
 
 DEPTH = 1000
+HASHED_DIMS = 64
 DOC_BLOCK, QUERY_BLOCK = 65_536, 4_096   # vectors of a group, on average
 BLOCK_ROWS, BLOCK_QUERIES = 4_096, 256   # those of one matrix product inside it
 
@@ -74,6 +75,51 @@ def hashed_encoder(dims: int = 64, text_tokens=None):
     return fn
 
 
+def _dim(term, dims: int):
+    return F.pmod(F.conv(F.substring(F.md5(term), 1, 4), 16, 10).cast("int"), F.lit(dims))
+
+
+def _sign(term):
+    return F.when(F.conv(F.substring(F.md5(term), 5, 1), 16, 10).cast("int") % 2 == 0, 1.0).otherwise(-1.0)
+
+
+def hashed_vectors(ids: DataFrame, terms: DataFrame, index, id_col: str, dims: int = HASHED_DIMS) -> DataFrame:
+    """H6 without model weights: ``(id, vec array<double>)`` for every row of
+    ``ids`` from ``terms(id, term_bucket, term, tf)``.
+
+    Each term falls on one of ``dims`` places with a sign, both by its MD5, and
+    counts ``tf * log2(N / df + 1)``; the vector is normalised and rounded.
+    Texts without known terms get the zero vector.  A labelled stand-in: it is
+    made in Spark and SQL can repeat it, but it is no neural encoder."""
+    lex = broadcast_if_small(index.lexicon.select("term_bucket", "term", "df"))
+    idf = F.log2(F.lit(float(index.n_docs)) / F.col("df") + 1.0)
+    places = (terms.join(lex, ["term_bucket", "term"])
+              .groupBy(id_col, _dim(F.col("term"), dims).alias("dim"))
+              .agg(F.sum(F.col("tf").cast("double") * idf * _sign(F.col("term"))).alias("x")))
+    made = (places.groupBy(id_col)
+            .agg(F.map_from_entries(F.collect_list(F.struct("dim", "x"))).alias("at"), F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
+            .select(id_col, F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.round(F.coalesce(
+                F.try_divide(F.try_element_at("at", i), F.col("norm")), F.lit(0.0)), SCORE_DECIMALS) + F.lit(0.0)).alias("vec")))
+    return (ids.select(id_col).join(made, id_col, "left")
+            .select(id_col, F.coalesce("vec", F.array_repeat(F.lit(0.0), dims)).alias("vec")))
+
+
+def document_vectors(index, field: int = 0, dims: int = HASHED_DIMS) -> DataFrame:
+    """``(docno, vec)`` of every indexed document; where the lexicon is small
+    the work stays in the index's buckets."""
+    post = index.postings.filter(F.col("field") == field).select("docno", "term_bucket", "term", "tf")
+    return hashed_vectors(index.doc_stats.filter(F.col("field") == field), post, index, "docno", dims)
+
+
+def query_vectors(topics: DataFrame, index, dims: int = HASHED_DIMS) -> DataFrame:
+    """``(qid, vec)`` of every topic by the index's own term rule."""
+    from quarry.operators.index import term_bucket
+    from quarry.operators.retrieve import query_terms
+    terms = (query_terms(topics, index).withColumnRenamed("weight", "tf")
+             .withColumn("term_bucket", term_bucket("term", index.term_buckets)))
+    return hashed_vectors(topics, terms, index, "qid", dims)
+
+
 def exhaustive_topk(docs: DataFrame, queries: DataFrame, k: int = DEPTH,
                     doc_id: str = "docno", doc_vec: str = "vec",
                     qid: str = "qid", q_vec: str = "vec") -> DataFrame:
@@ -140,21 +186,29 @@ def build_dense_index(docs: DataFrame, path: str, encode_fn: Callable[[list[str]
     """Encode every document and store ``(docno, vec)`` as Parquet
     bucketed by ``docno`` (so re-ranking joins shuffle only the run).
     ``mode``: ``errorifexists`` (create-or-fail) or ``overwrite``."""
+    vec = encode(docs.select(F.col(doc_id).alias("docno"), F.col(text).alias("text")), encode_fn,
+                 "docno", "text", batch_size)
+    return store_vectors(vec, path, mode, buckets, source=docs)
+
+
+def store_vectors(vec: DataFrame, path: str, mode: str = "errorifexists", buckets: int | None = None,
+                  source: DataFrame | None = None) -> DataFrame:
+    """A dense index from ``(docno, vec)``; ``source`` is the table whose
+    size sets the number of buckets."""
     from quarry.operators.index import _delete, _table_name, auto_doc_buckets
     from quarry.session import path_exists
-    spark = docs.sparkSession
+    spark = vec.sparkSession
     if path_exists(spark, path):
         if mode == "errorifexists":
             raise RuntimeError(f"there are vectors at {path} already; pass mode='overwrite' to replace them")
         _delete(spark, path)
-    B = int(buckets or auto_doc_buckets(docs))
+    B = int(buckets or auto_doc_buckets(vec if source is None else source))
     name = _table_name(path, "vectors")
     spark.sql(f"DROP TABLE IF EXISTS {name}")
-    vec = encode(docs.select(F.col(doc_id).alias("docno"), F.col(text).alias("text")), encode_fn,
-                 "docno", "text", batch_size)
     (vec.repartition(B, "docno").write.format("parquet").bucketBy(B, "docno").sortBy("docno")
         .option("path", path).saveAsTable(name))
-    meta = json.dumps({"buckets": B, "docno_type": docs.schema[doc_id].dataType.simpleString()})
+    meta = json.dumps({"buckets": B, "docno_type": vec.schema["docno"].dataType.simpleString(),
+                       "vec_type": vec.schema["vec"].dataType.simpleString()})
     spark.createDataFrame([(meta,)], "meta string").coalesce(1).write.mode("overwrite").text(f"{path}/_meta")
     return open_dense_index(spark, path)
 
@@ -168,6 +222,6 @@ def open_dense_index(spark, path: str) -> DataFrame:
     name = _table_name(path, "vectors")
     if not spark.catalog.tableExists(name):
         meta = json.loads(spark.read.text(f"{path}/_meta").first()[0])
-        spark.sql(f"CREATE TABLE {name} (docno {meta['docno_type']}, vec ARRAY<FLOAT>) USING parquet "
+        spark.sql(f"CREATE TABLE {name} (docno {meta['docno_type']}, vec {meta['vec_type']}) USING parquet "
                   f"CLUSTERED BY (docno) SORTED BY (docno) INTO {meta['buckets']} BUCKETS LOCATION '{path}'")
     return spark.table(name)

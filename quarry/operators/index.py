@@ -2,30 +2,40 @@
 
 Layout (one folder per index)::
 
-    docs/       docno, <fields...>            bucketed by docno
-    postings/   docno, field, term, dl, tf    partitioned by term_bucket,
-                                              bucketed by docno
-    lexicon/    term, df, cf                  partitioned by term_bucket
-    doc_stats/  docno, field, dl              bucketed by docno
+    docs/       docno, <fields...>                bucketed by docno
+    forward/    docno, field, dl, terms           bucketed and sorted by docno
+    postings/   docno, field, term, dl, tf, ntf   partitioned by term_bucket,
+                                                  bucketed by docno, sorted by
+                                                  term and ntf
+    lexicon/    term, df, cf, impacts             partitioned by term_bucket
     _meta/      one JSON row: buckets, fields, counts (written last; its
                 presence marks a complete index)
 
 Why this layout scales:
 
 * Documents are hash-bucketed by ``docno`` once (the only shuffle of the
-  raw text).  Tokenising, counting term frequencies and writing postings
-  then happen bucket-locally, with no further shuffle of postings.
+  raw text).  Tokenising, counting term frequencies and writing the forward
+  table and the postings then happen bucket-locally, with no further shuffle.
 * At query time the per-(query, document) score sum needs no shuffle
   either (the scan is already clustered by ``docno``), and the per-query
   top-k runs a partial limit inside each bucket before the only shuffle,
   so at most buckets x queries x k rows cross the network - never the
   matched postings.
-* ``term_bucket = pmod(xxhash64(term), T)`` partitions postings and
-  lexicon, which keeps a term's rows together; retrieval scans every bucket,
-  as Spark plans no dynamic pruning for a query-term table without a filter.
-
-Term frequencies and lengths are stored raw; BM25 / TF-IDF / BM25F weights
-are computed at query time, so one index serves every weighting model.
+* ``term_bucket = pmod(xxhash64(term), T)`` partitions postings and lexicon;
+  retrieval reads the partitions of its terms only.
+* ``ntf = tf / (1 - b + b * dl / avgdl)`` is a posting's impact: every weighting
+  model is an increasing function of it.  Files are sorted by term and impact,
+  so Parquet's own statistics of row groups and pages are the largest and least
+  impact of each block of a term's postings.
+* The lexicon's ``impacts`` give, for each field, a term's largest impact and how
+  many postings reach each step of a fixed ladder.  They are sums and maxima
+  combined map-side, and give retrieval a lower bound of the k-th score before
+  it reads any posting (``operators/retrieve.py``).
+* The forward table gives a document's terms without any posting: relevance
+  feedback reads the buckets of its few documents.
+
+Term frequencies and lengths are stored raw beside the impact, so one index
+serves every weighting model with any parameters.
 Tables are registered in the session catalog under names derived from the
 path, because Spark only keeps bucket information for catalog tables.
 """
@@ -46,6 +56,10 @@ from quarry.operators.util import known_size
 from quarry.session import path_exists
 
 DEFAULT_TERM_BUCKETS = 16
+# b of the length normalisation in stored impacts.
+B_LENGTH = 0.75
+# Steps of the impact ladder of the lexicon.
+LADDER = tuple(round(0.1 * 1.4 ** i, 6) for i in range(16))
 # Input bytes per document bucket when the bucket count is derived from the
 # size of the input (Catalyst's estimate of the scanned files).
 TARGET_BUCKET_BYTES = 256 * 1024 * 1024
@@ -56,7 +70,8 @@ def auto_doc_buckets(docs: DataFrame, target_bytes: int = TARGET_BUCKET_BYTES) -
     large inputs: one bucket per ``target_bytes`` of input.  The input size
     is the sum of the file-backed leaf scans (each counted once).  An input
     without any (memory, checkpoints) is measured by one aggregate, as Spark's
-    estimates for those can be far off.  Pass ``doc_buckets`` for an input that
+    estimates for those can be far off.  Never more than Spark's own limit on
+    buckets, with which the tables must be read, too.  Pass ``doc_buckets`` for an input that
     joins a large checkpoint with small files."""
     spark = docs.sparkSession
     floor = max(1, int(spark.sparkContext.defaultParallelism))
@@ -70,7 +85,8 @@ def auto_doc_buckets(docs: DataFrame, target_bytes: int = TARGET_BUCKET_BYTES) -
         key = leaf.simpleString(200).split("#")[0]
         sizes[key] = max(sizes.get(key, 0), int(str(leaf.stats().sizeInBytes())))
     size = sum(sizes.values()) if sizes else known_size(docs)[1]
-    return int(max(floor, -(-size // target_bytes)))
+    most = int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets"))
+    return int(min(most, max(floor, -(-size // target_bytes))))
 
 
 def term_bucket(term_col, n_buckets: int):
@@ -78,6 +94,11 @@ def term_bucket(term_col, n_buckets: int):
     return F.pmod(F.xxhash64(t), F.lit(n_buckets)).cast("int")
 
 
+def length_normalised(tf, dl, avgdl, b: float = B_LENGTH):
+    """``tf / (1 - b + b * dl / avgdl)``."""
+    return F.col(tf).cast("double") / (1.0 - b + b * F.col(dl).cast("double") / avgdl)
+
+
 @dataclass(frozen=True)
 class Index:
     """Handle on an opened index: DataFrames plus a few scalar statistics."""
@@ -86,6 +107,7 @@ class Index:
     docs: DataFrame
     postings: DataFrame
     lexicon: DataFrame
+    forward: DataFrame
     doc_stats: DataFrame
     fields: tuple
     n_docs: int
@@ -167,13 +189,10 @@ def build_index(docs: DataFrame, path: str, fields=("text",), docno: str = "docn
                 raise ValueError(f"the index at {path} was built with other {', '.join(other)}")
             return open_index(spark, path)
         _delete(spark, path)
-    for part in ("docs", "postings", "lexicon", "doc_stats"):
+    for part in ("docs", "forward", "postings", "lexicon"):
         spark.sql(f"DROP TABLE IF EXISTS {_table_name(path, part)}")
     B = int(doc_buckets or auto_doc_buckets(docs))
     T = int(term_buckets)
-    limit = "spark.sql.sources.bucketing.maxBuckets"
-    spark.conf.set(limit, max(B, int(spark.conf.get(limit))))
-
     # 1. the one shuffle of raw text: hash documents into B buckets.  With
     #    ``store`` the bucketed text is kept (for text lookup) and tokenised
     #    from there; otherwise it is tokenised straight from the shuffle.
@@ -187,45 +206,59 @@ def build_index(docs: DataFrame, path: str, fields=("text",), docno: str = "docn
     else:
         src = hashed
 
-    # 2. bucket-local tokenising and tf counting; empty fields keep one row
-    #    with a null term so that their length (0) is recorded.
+    # 2. bucket-local tokenising and tf counting; a document's terms are put
+    #    together again where they are.  Empty fields keep a row of length 0.
     per_field = F.inline(F.array(*[
         F.struct(F.lit(i).alias("field"), tokens(F.col(f), stop_words, stem).alias("toks"))
         for i, f in enumerate(fields)]))
-    postings = (src.select("docno", per_field)
-                .select("docno", "field", F.size("toks").alias("dl"),
-                        F.explode_outer("toks").alias("term"))
-                .groupBy("docno", "field", "term", "dl")
-                .agg(F.count(F.lit(1)).alias("tf"))
+    (src.select("docno", per_field)
+        .select("docno", "field", F.size("toks").alias("dl"), F.explode_outer("toks").alias("term"))
+        .groupBy("docno", "field", "term", "dl").agg(F.count(F.lit(1)).alias("tf"))
+        .groupBy("docno", "field", "dl")
+        .agg(F.collect_list(F.when(F.col("term").isNotNull(), F.struct("term", "tf"))).alias("terms"))
+        .write.mode("overwrite").format("parquet")
+        .bucketBy(B, "docno").sortBy("docno")
+        .option("path", f"{path}/forward").saveAsTable(_table_name(path, "forward")))
+    forward = spark.table(_table_name(path, "forward"))
+    per_field_rows = {r["field"]: (r["n"], r["tok"], r["width"]) for r in
+                      forward.groupBy("field").agg(F.count(F.lit(1)).alias("n"), F.sum("dl").alias("tok"),
+                                                   F.max(F.octet_length(F.col("docno").cast("string"))).alias("width"))
+                      .collect()}
+    n_docs = max((v[0] for v in per_field_rows.values()), default=0)
+    field_tokens = [int(per_field_rows.get(i, (0, 0))[1] or 0) for i in range(len(fields))]
+
+    # 3. postings with impacts, bucket-local.
+    avgdl = F.element_at(F.array(*[F.lit(t / n_docs if t else 1.0) for t in field_tokens]), F.col("field") + 1)
+    postings = (forward.select("docno", "field", "dl", F.explode("terms").alias("t"))
+                .select("docno", "field", F.col("t.term").alias("term"), "dl", F.col("t.tf").alias("tf"))
+                .withColumn("ntf", length_normalised("tf", "dl", avgdl))
                 .withColumn("term_bucket", term_bucket("term", T)))
     (postings.write.mode("overwrite").format("parquet")
-        .partitionBy("term_bucket").bucketBy(B, "docno").sortBy("term")
+        .partitionBy("term_bucket").bucketBy(B, "docno").sortBy("term", "ntf")
         .option("path", f"{path}/postings").saveAsTable(_table_name(path, "postings")))
     post = spark.table(_table_name(path, "postings"))
 
-    # 3. lexicon: fields of one document are added up bucket-locally, then one
+    # 4. lexicon: fields of one document are added up bucket-locally, then one
     #    partial-aggregated shuffle by term, written from there.
-    terms = post.filter(F.col("term").isNotNull())
+    ntfs = [F.when(F.col("field") == i, F.col("ntf")).alias(f"ntf{i}") for i in range(len(fields))]
+    terms = post.select("docno", "term_bucket", "term", "tf", *ntfs)
     if len(fields) > 1:
-        terms = terms.groupBy("docno", "term_bucket", "term").agg(F.sum("tf").alias("tf"))
+        terms = terms.groupBy("docno", "term_bucket", "term").agg(
+            F.sum("tf").alias("tf"), *[F.max(f"ntf{i}").alias(f"ntf{i}") for i in range(len(fields))])
+    reach = [F.count(F.when(F.col(f"ntf{i}") >= step, 1)).alias(f"r{i}_{j}")
+             for i in range(len(fields)) for j, step in enumerate(LADDER)]
+    impacts = F.array(*[F.struct(F.col(f"max{i}").alias("max"),
+                                 F.array(*[F.col(f"r{i}_{j}") for j in range(len(LADDER))]).alias("reach"))
+                        for i in range(len(fields))])
     (terms.groupBy("term_bucket", "term")
-        .agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
+        .agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"),
+             *[F.max(f"ntf{i}").alias(f"max{i}") for i in range(len(fields))], *reach)
+        .select("term", "df", "cf", impacts.alias("impacts"), "term_bucket")
+        .repartition("term_bucket").sortWithinPartitions("term_bucket", "term")     # one file a bucket, sorted
         .write.mode("overwrite").format("parquet").partitionBy("term_bucket")
         .option("path", f"{path}/lexicon").saveAsTable(_table_name(path, "lexicon")))
 
-    # 4. document lengths, bucket-local.
-    (post.select("docno", "field", "dl").distinct()
-        .write.mode("overwrite").format("parquet")
-        .bucketBy(B, "docno").sortBy("docno")
-        .option("path", f"{path}/doc_stats").saveAsTable(_table_name(path, "doc_stats")))
-
     # 5. scalar statistics (a handful of rows) and the completion marker.
-    ds = spark.table(_table_name(path, "doc_stats"))
-    per_field_rows = {r["field"]: (r["n"], r["tok"], r["width"]) for r in
-                      ds.groupBy("field").agg(F.count(F.lit(1)).alias("n"), F.sum("dl").alias("tok"),
-                                              F.max(F.octet_length(F.col("docno").cast("string"))).alias("width"))
-                      .collect()}
-    n_docs = max((v[0] for v in per_field_rows.values()), default=0)
     n_terms, term_width = spark.table(_table_name(path, "lexicon")).agg(
         F.count(F.lit(1)), F.max(F.octet_length("term"))).first()
     meta = {
@@ -241,7 +274,7 @@ def build_index(docs: DataFrame, path: str, fields=("text",), docno: str = "docn
         "max_term_bytes": int(term_width or 0),
         "max_docno_bytes": max((int(v[2] or 0) for v in per_field_rows.values()), default=0),
         "build_id": uuid.uuid4().hex,
-        "field_tokens": [int(per_field_rows.get(i, (0, 0))[1] or 0) for i in range(len(fields))],
+        "field_tokens": field_tokens,
     }
     spark.createDataFrame([(json.dumps(meta),)], "meta string").coalesce(1) \
         .write.mode("overwrite").text(f"{path}/_meta")
@@ -275,21 +308,24 @@ def open_index(spark: SparkSession, path: str) -> Index:
                            f"(docno {docno_type}, {field_cols}) USING parquet "
                            f"CLUSTERED BY (docno) SORTED BY (docno) INTO {B} BUCKETS")
     post_t = _register(spark, path, "postings",
-                       f"(docno {docno_type}, field INT, term STRING, dl INT, tf BIGINT, "
+                       f"(docno {docno_type}, field INT, term STRING, dl INT, tf BIGINT, ntf DOUBLE, "
                        f"term_bucket INT) USING parquet PARTITIONED BY (term_bucket) "
-                       f"CLUSTERED BY (docno) SORTED BY (term) INTO {B} BUCKETS")
+                       f"CLUSTERED BY (docno) SORTED BY (term, ntf) INTO {B} BUCKETS")
     lex_t = _register(spark, path, "lexicon",
-                      "(term STRING, df BIGINT, cf BIGINT, term_bucket INT) USING parquet "
+                      "(term STRING, df BIGINT, cf BIGINT, "
+                      "impacts ARRAY<STRUCT<max: DOUBLE, reach: ARRAY<BIGINT>>>, term_bucket INT) USING parquet "
                       "PARTITIONED BY (term_bucket)")
-    ds_t = _register(spark, path, "doc_stats",
-                     f"(docno {docno_type}, field INT, dl INT) USING parquet "
-                     f"CLUSTERED BY (docno) SORTED BY (docno) INTO {B} BUCKETS")
-    doc_stats = spark.table(ds_t)
+    fwd_t = _register(spark, path, "forward",
+                      f"(docno {docno_type}, field INT, dl INT, terms ARRAY<STRUCT<term: STRING, tf: BIGINT>>) "
+                      f"USING parquet CLUSTERED BY (docno) SORTED BY (docno) INTO {B} BUCKETS")
+    forward = spark.table(fwd_t)
+    doc_stats = forward.select("docno", "field", "dl")
     return Index(
         path=path,
         docs=spark.table(docs_t) if stored else doc_stats.select("docno").distinct(),
-        postings=spark.table(post_t).filter(F.col("term").isNotNull()),
+        postings=spark.table(post_t),
         lexicon=spark.table(lex_t),
+        forward=forward,
         doc_stats=doc_stats,
         fields=fields,
         n_docs=meta["n_docs"],

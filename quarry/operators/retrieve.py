@@ -4,8 +4,8 @@ The only query representation is a weighted term table
 ``query_terms(qid, term, weight double)`` (H5); plain queries weight each
 term by its count in the query.  Retrieval is::
 
-    query_terms (broadcast, size-checked) -> lexicon (idf)
-        -> postings (streamed)
+    query_terms (broadcast, size-checked) -> lexicon (idf, impacts)
+        -> postings of the touched term buckets (streamed, pruned)
         -> sum per (qid, docno)   [bucket-local, docno-clustered scan]
         -> top-k per qid          [partial limit per bucket, then one shuffle]
 
@@ -18,23 +18,42 @@ document frequency, ``K = k1 * (1 - b + b * dl / avgdl)``:
 * BM25F:  ``t = sum_f wf * tf_f / (1 - b + b * dl_f / avgdl_f)``,
   ``w * idf_bm25 * t / (k1 + t)``; rows with ``t = 0`` are dropped.
 
+With ``ntf = tf / (1 - b + b * dl / avgdl)``, which the index stores, all three
+are ``w * idf * a * ntf / (ntf + k1)`` and so increase with ``ntf``.
+
+Pruning is exact.  A query's k-th score is at least the contribution of the
+k-th best posting of any one of its terms, as far as the lexicon's ladder of
+impacts tells it, less what terms of negative weight can take away.  A posting
+so weak that its document stays below that even with every other term at its
+largest impact is left out: its document cannot be among the best k, and no
+other document's score changes.  For a handful of terms these least impacts go
+to the scan as literals, where Parquet's statistics skip whole blocks of a
+term's postings (files are sorted by term and impact); for larger query tables
+they are a filter behind the broadcast join.
+
 Scores are rounded to 6 decimals before ranking; ties go to the smaller
 ``docno``.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from quarry.operators.index import Index, term_bucket
-from quarry.operators.util import (SCORE_DECIMALS, broadcast_if_small, known_qids, known_size,
-                                   round_score, top_k)
+from quarry.operators.index import B_LENGTH, LADDER, Index, length_normalised, term_bucket
+from quarry.operators.util import (BROADCAST_MAX_BYTES, SCORE_DECIMALS, broadcast_if_small, known_size,
+                                   known_values, round_score, top_k)
+from quarry.session import temporary_path
 
 K1, B = 1.2, 0.75
 DEFAULT_DEPTH = 1000
 MODELS = ("BM25", "TF_IDF")
+PUSHED_TERMS = 64       # up to so many query terms reach the scan as literals
+PUSHED_DOCS = 256       # and so many ids of feedback documents
+SLACK = 1e-5            # scores are rounded, so bounds give way by more than that
 
 
 def query_terms(topics: DataFrame, index: Index, qid: str = "qid", query: str = "query") -> DataFrame:
@@ -53,47 +72,93 @@ def _idf(model: str, n_docs: int):
     raise ValueError(f"unknown weighting model {model!r}; use one of {MODELS + ('BM25F',)}")
 
 
-def _weighted_terms(index: Index, qterms: DataFrame, model: str, size: int | None = None):
-    """Query terms joined to the lexicon: ``(qid, term_bucket, term, w)``.
+def _touched(index: Index, qterms: DataFrame) -> list[int] | None:
+    """Term buckets that a query table of bounded size touches."""
+    if known_size(qterms)[1] > BROADCAST_MAX_BYTES:
+        return None
+    return known_values(qterms, f"buckets{index.term_buckets}", term_bucket("term", index.term_buckets))
 
-    Returns the frame, broadcast where its bytes are proven to be few (the
-    lexicon has one row per term, so the join cannot grow the query-term
-    table).  ``size`` is a known bound on those bytes; without it the query
-    terms are measured.
-    """
+
+def _in_buckets(df: DataFrame, buckets: list[int] | None) -> DataFrame:
+    """Partitions that the query touches; the literals prune at planning."""
+    return df if buckets is None else df.filter(F.col("term_bucket").isin(buckets))
+
+
+def _weighted_terms(index: Index, qterms: DataFrame, model: str, buckets: list[int] | None):
+    """Query terms joined to the lexicon: ``(qid, term_bucket, term, w,
+    impacts)``.  The lexicon has one row per term, so the join cannot grow the
+    query-term table."""
     qt = qterms.select("qid", "term", F.col("weight").cast("double").alias("weight")) \
         .withColumn("term_bucket", term_bucket("term", index.term_buckets))
-    if size is None:
-        rows, size = known_size(qterms)
-        size += 8 * rows
-    qt = broadcast_if_small(qt, size=size)
-    lex = index.lexicon.select("term_bucket", "term", "df")
-    w = (qt.join(lex, ["term_bucket", "term"])
-           .select("qid", "term_bucket", "term",
-                   (F.col("weight") * _idf(model, index.n_docs)).alias("w")))
-    return broadcast_if_small(w, size=size)
+    rows, size = known_size(qterms)
+    lex = _in_buckets(index.lexicon, buckets).select("term_bucket", "term", "df", "impacts")
+    return (broadcast_if_small(qt, size=size + 8 * rows).join(lex, ["term_bucket", "term"])
+            .select("qid", "term_bucket", "term", (F.col("weight") * _idf(model, index.n_docs)).alias("w"), "impacts"))
+
+
+def _floored(weighted: DataFrame, k: int | None, top: float, k1: float, field_weights: dict[int, float]) -> DataFrame:
+    """``(qid, term_bucket, term, w, least)``: below ``least`` (of the weighted
+    sum of impacts over fields) a posting's document is not among the best
+    ``k``.  A term contributes ``w * top * x / (x + k1)`` at impact ``x``."""
+    if k is None or min(field_weights.values()) < 0:
+        return weighted.select("qid", "term_bucket", "term", "w", F.lit(0.0).alias("least"))
+    w = F.col("w")
+    impact = lambda i: F.get(F.col("impacts"), F.lit(i))                                  # noqa: E731
+    score = lambda x: w * top * x / (x + k1)                                              # noqa: E731
+    largest = sum((F.coalesce(impact(i)["max"], F.lit(0.0)) * x for i, x in field_weights.items()), F.lit(0.0))
+    reached = [F.coalesce(*[F.when(F.get(impact(i)["reach"], F.lit(j)) >= k, F.lit(LADDER[j] * x))
+                            for j in reversed(range(len(LADDER)))], F.lit(0.0)) for i, x in field_weights.items()]
+    sure = reached[0] if len(reached) == 1 else F.greatest(*reached)
+    of_query = W.partitionBy("qid")
+    t = (weighted.withColumn("most", F.when(w > 0, score(largest)).otherwise(0.0))
+         .withColumn("loss", F.when(w < 0, score(largest)).otherwise(0.0))
+         .withColumn("sure", F.when(w > 0, score(sure)).otherwise(0.0))
+         .withColumn("floor", F.max("sure").over(of_query) + F.sum("loss").over(of_query))
+         .withColumn("others", F.sum("most").over(of_query) - F.col("most")))
+    # the share of this term's ceiling that a document needs of it
+    share = (F.col("floor") - F.col("others") - SLACK - 1e-9 * (F.col("others") + F.col("most"))) / (w * top)
+    least = F.when((w > 0) & (F.col("floor") > 0) & (share > 0),
+                   F.when(share < 1, k1 * share / (1 - share)).otherwise(F.lit(float("inf")))).otherwise(0.0)
+    return t.select("qid", "term_bucket", "term", "w", least.alias("least"))
+
+
+def _broadcast_terms(floored: DataFrame, qterms: DataFrame) -> DataFrame:
+    rows, size = known_size(qterms)
+    return broadcast_if_small(floored, size=size + 16 * rows)
+
+
+def _matched(index: Index, floored: DataFrame, qterms: DataFrame, buckets: list[int] | None, field: int):
+    """Postings of one field that meet a query term: those of the touched
+    buckets, for a few terms only their blocks of sufficient impact."""
+    post = _in_buckets(index.postings, buckets).filter(F.col("field") == field)
+    if known_size(qterms)[0] <= PUSHED_TERMS:
+        rows = floored.collect()                 # at most PUSHED_TERMS, here and in the literals
+        least: dict[str, float] = {}
+        for r in rows:
+            least[r.term] = min(r.least, least.get(r.term, r.least))
+        wanted = [(F.col("term") == t) & (F.col("ntf") >= x) if x > 0 else F.col("term") == t
+                  for t, x in sorted(least.items())]
+        post = post.filter(reduce(lambda a, b: a | b, wanted, F.lit(False)))
+        floored = floored.sparkSession.createDataFrame(rows, floored.schema)
+    return post.join(_broadcast_terms(floored, qterms), ["term_bucket", "term"])
 
 
 def retrieve(index: Index, qterms: DataFrame, model: str = "BM25",
              k: int | None = DEFAULT_DEPTH, k1: float = K1, b: float = B,
-             field: int = 0, qterms_size: int | None = None) -> DataFrame:
+             field: int = 0) -> DataFrame:
     """H1/H2/H5: ranked run ``(qid, docno, score, rank)``, at most ``k`` per qid.
 
-    ``qterms_size`` may carry a proven bound on the bytes of the weighted terms
-    (used for the broadcast check instead of measuring them)."""
+    With another ``b`` than that of the stored impacts nothing is pruned and
+    the lengths are normalised anew."""
     if model not in MODELS:
         raise ValueError(f"unknown weighting model {model!r}; use one of {MODELS}")
-    w = _weighted_terms(index, qterms, model, qterms_size)
-    avgdl = index.avgdl(field)
-    tf = F.col("tf").cast("double")
-    norm = k1 * (1.0 - b + b * F.col("dl").cast("double") / F.lit(avgdl))
-    if model == "BM25":
-        tfn = tf * (k1 + 1.0) / (tf + norm)
-    else:
-        tfn = k1 * tf / (tf + norm)
-    post = index.postings.filter(F.col("field") == field)
-    scores = (post.join(w, ["term_bucket", "term"])
-              .groupBy("qid", "docno").agg(F.sum(F.col("w") * tfn).alias("score"))
+    buckets = _touched(index, qterms)
+    top = k1 + 1.0 if model == "BM25" else k1
+    stored = b == B_LENGTH
+    floored = _floored(_weighted_terms(index, qterms, model, buckets), k if stored else None, top, k1, {field: 1.0})
+    ntf = F.col("ntf") if stored else length_normalised("tf", "dl", F.lit(index.avgdl(field)), b)
+    scores = (_matched(index, floored, qterms, buckets, field).filter(F.col("ntf") >= F.col("least"))
+              .groupBy("qid", "docno").agg(F.sum(F.col("w") * (top * ntf / (ntf + k1))).alias("score"))
               .withColumn("score", round_score("score")))
     return top_k(scores, k).select("qid", "docno", "score", "rank")
 
@@ -113,24 +178,38 @@ def bm25f(index: Index, qterms: DataFrame, weights, k: int | None = DEFAULT_DEPT
     weights = [float(x) for x in weights]
     if len(weights) != len(index.fields):
         raise ValueError(f"need {len(index.fields)} field weights, got {len(weights)}")
-    w = _weighted_terms(index, qterms, "BM25F")
-    wf = F.element_at(F.array(*[F.lit(x) for x in weights]), F.col("field") + 1)
-    avg = F.element_at(F.array(*[F.lit(index.avgdl(i)) for i in range(len(weights))]),
-                       F.col("field") + 1)
-    norm_tf = F.col("tf").cast("double") / (1.0 - b + b * F.col("dl").cast("double") / avg)
-    per_term = (index.postings.join(w, ["term_bucket", "term"])
-                .groupBy("qid", "docno", "term")
-                .agg(F.sum(wf * norm_tf).alias("t"), F.first("w").alias("w"))
-                .filter(F.col("t") > 0))
-    scores = (per_term.groupBy("qid", "docno")
+    buckets = _touched(index, qterms)
+    used = {i: x for i, x in enumerate(weights) if x != 0} or {0: 0.0}
+    stored = b == B_LENGTH
+    floored = _floored(_weighted_terms(index, qterms, "BM25F", buckets), k if stored else None, 1.0, k1, used)
+    at = F.col("field") + 1
+    wf = F.element_at(F.array(*[F.lit(x) for x in weights]), at)
+    avg = F.element_at(F.array(*[F.lit(index.avgdl(i)) for i in range(len(weights))]), at)
+    ntf = F.col("ntf") if stored else length_normalised("tf", "dl", avg, b)
+    post = _in_buckets(index.postings, buckets).filter(F.col("field").isin(sorted(used)))
+    matched = post.join(_broadcast_terms(floored, qterms), ["term_bucket", "term"])
+    if len(used) == 1:          # a term has one posting a document
+        per_term = matched.select("qid", "docno", "w", "least", (wf * ntf).alias("t"))
+    else:
+        per_term = matched.groupBy("qid", "docno", "term").agg(
+            F.sum(wf * ntf).alias("t"), F.first("w").alias("w"), F.first("least").alias("least"))
+    scores = (per_term.filter((F.col("t") > 0) & (F.col("t") >= F.col("least")))
+              .groupBy("qid", "docno")
               .agg(F.sum(F.col("w") * F.col("t") / (k1 + F.col("t"))).alias("score"))
               .withColumn("score", round_score("score")))
     return top_k(scores, k).select("qid", "docno", "score", "rank")
 
 
+def _stored(df: DataFrame, name: str) -> DataFrame:
+    """A table of a few rows a query, written once."""
+    spark = df.sparkSession
+    path = temporary_path(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def rm3_terms(index: Index, run: DataFrame, qterms: DataFrame, fb_docs: int = 3,
-              fb_terms: int = 10, fb_lambda: float = 0.6, field: int = 0,
-              n_queries: int | None = None) -> DataFrame:
+              fb_terms: int = 10, fb_lambda: float = 0.6, field: int = 0) -> DataFrame:
     """H4 (first half): RM3 query model from the top ``fb_docs`` documents.
 
     ``P(t) ~ sum_d tf(t,d)/dl(d) * s_d / sum s`` over the feedback documents
@@ -138,6 +217,9 @@ def rm3_terms(index: Index, run: DataFrame, qterms: DataFrame, fb_docs: int = 3,
     (ties by term), normalise to 1, and mix
     ``lambda * q / sum q + (1 - lambda) * P``.  Returns ``(qid, term, weight)``;
     terms whose weight is 0 are dropped (they would match without scoring).
+
+    The feedback documents (at most ``fb_docs`` a query) are written once and
+    their terms come from the index's forward table; no posting is read.
     """
     per_q = W.partitionBy("qid")
     fb = (run.filter(F.col("rank") <= fb_docs).select("qid", "docno", "score")
@@ -146,15 +228,14 @@ def rm3_terms(index: Index, run: DataFrame, qterms: DataFrame, fb_docs: int = 3,
           .select("qid", "docno",
                   F.when(F.col("tot") > 0, F.col("score") / F.col("tot"))
                    .otherwise(1.0 / F.col("cnt")).alias("dw")))
-    # proven bound: at most fb_docs rows per query, whose ids the query terms
-    # hold at least once; the run need not be measured
-    if n_queries is None:
-        n_queries = known_qids(qterms)
-    fb = broadcast_if_small(fb, size=fb_docs * (known_size(qterms)[1]
-                                                + n_queries * (index.max_docno_bytes + 24)))
-    post = index.postings.filter(F.col("field") == field).select("docno", "term", "tf", "dl")
-    p = (post.join(fb, "docno")
-         .groupBy("qid", "term")
+    fb = _stored(fb, "feedback")
+    forward = index.forward.filter(F.col("field") == field)
+    if known_size(fb)[0] <= PUSHED_DOCS:      # the literals prune buckets
+        forward = forward.filter(F.col("docno").isin(known_values(fb, "docnos", F.col("docno"))))
+    post = (forward.join(broadcast_if_small(fb), "docno")
+            .select("qid", "dl", "dw", F.explode("terms").alias("t"))
+            .select("qid", "dl", "dw", F.col("t.term").alias("term"), F.col("t.tf").alias("tf")))
+    p = (post.groupBy("qid", "term")
          .agg(F.sum(F.col("tf").cast("double") / F.col("dl") * F.col("dw")).alias("p"))
          .withColumn("p", F.round("p", SCORE_DECIMALS)))
     p = (p.withColumn("r", F.row_number().over(
@@ -174,17 +255,15 @@ def rm3_terms(index: Index, run: DataFrame, qterms: DataFrame, fb_docs: int = 3,
 def rm3(index: Index, qterms: DataFrame, model: str = "BM25", k: int | None = DEFAULT_DEPTH,
         first_run: DataFrame | None = None, fb_docs: int = 3, fb_terms: int = 10,
         fb_lambda: float = 0.6) -> DataFrame:
-    """H4: ``model >> RM3 >> model`` (the first run may be passed in).
-
-    The expanded query has at most (original terms + queries x fb_terms)
-    rows, and no term is longer than the index's longest: a bound known without
-    running the first stage."""
-    n_terms, n_bytes = known_size(qterms)
-    n_queries = known_qids(qterms)
-    run1 = first_run if first_run is not None else retrieve(index, qterms, model, k)
-    expanded = rm3_terms(index, run1, qterms, fb_docs, fb_terms, fb_lambda, n_queries=n_queries)
-    return retrieve(index, expanded, model, k, qterms_size=(
-        n_bytes * (1 + fb_terms) + 8 * n_terms + n_queries * fb_terms * (index.max_term_bytes + 32)))
+    """H4: ``model >> RM3 >> model`` (the first run may be passed in; of it
+    only the feedback documents are needed, so only those are retrieved).
+
+    The expanded query (at most original terms + queries x ``fb_terms`` rows)
+    is written once: its size is then known, and the second pass reads the
+    postings of its terms only."""
+    run1 = first_run if first_run is not None else retrieve(index, qterms, model, fb_docs)
+    expanded = _stored(rm3_terms(index, run1, qterms, fb_docs, fb_terms, fb_lambda), "expanded")
+    return retrieve(index, expanded, model, k)
 
 
 def cutoff(run: DataFrame, k: int) -> DataFrame:

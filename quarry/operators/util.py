@@ -55,12 +55,13 @@ def known_size(df: DataFrame) -> tuple[int, int]:
     return memo["size"]
 
 
-def known_qids(df: DataFrame) -> int:
-    """Number of distinct ``qid``, remembered like ``known_size``."""
+def known_values(df: DataFrame, name: str, value: Column) -> list:
+    """Distinct values (not null) of an expression over ``df``, remembered like
+    ``known_size`` under ``name``; for few values only."""
     memo = _memo(df)
-    if "qids" not in memo:
-        memo["qids"] = df.select("qid").distinct().count()
-    return memo["qids"]
+    if name not in memo:
+        memo[name] = sorted(r[0] for r in df.select(value.alias("v")).filter("v is not null").distinct().collect())
+    return memo[name]
 
 
 def content_key(df: DataFrame) -> str:

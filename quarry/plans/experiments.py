@@ -25,6 +25,7 @@ from quarry.operators import keywords as kw
 from quarry.operators import rerank as rr
 from quarry.operators import retrieve as rt
 from quarry.operators.util import content_key, top_k
+from quarry.session import temporary_path
 from quarry.sources import runs as runs_io
 
 DEPTH = 1000
@@ -36,6 +37,29 @@ def _names(prefix: str, systems: list[str], sample_size: int | None) -> list[str
     return [f"{prefix}_{s}_sample_{sample_size}_queries" for s in systems]
 
 
+def once(run: DataFrame) -> DataFrame:
+    """The run, written to the shared folder and read from there: metrics,
+    feedback and re-ranking take it from there instead of retrieving again.
+    At most topics x depth rows."""
+    spark = run.sparkSession
+    path = temporary_path(spark, "run")
+    run.write.parquet(path)
+    out = spark.read.schema(run.schema).parquet(path)
+    out._once = True
+    return out
+
+
+def lazily(make: Callable[[], DataFrame]) -> Callable[[], DataFrame]:
+    """``make``'s run, made and written at the first call."""
+    made = []
+
+    def run():
+        if not made:
+            made.append(once(make()))
+        return made[0]
+    return run
+
+
 def evaluate_systems(systems: list[tuple[str, Callable[[], DataFrame]]], qrels: DataFrame,
                      topics: DataFrame, save_dir: str | None = None, params: str = "",
                      ap_cut: int | None = None, map_name: str = "map") -> DataFrame:
@@ -52,6 +76,7 @@ def evaluate_systems(systems: list[tuple[str, Callable[[], DataFrame]]], qrels:
             run = run.drop("name")
         else:
             run = make()
+            run = run if getattr(run, "_once", False) else once(run)
         parts.append(run.select("qid", "docno", "rank").withColumn("name", F.lit(name)))
     union = parts[0]
     for p in parts[1:]:
@@ -79,10 +104,10 @@ def _topics_and_size(topics: DataFrame, sample: int | None):
 def experiment_0(index: ix.Index, topics: DataFrame, qrels: DataFrame) -> DataFrame:
     """J0 (notebook): TF_IDF, BM25 and BM25+RM3 with AP@1000, P@5, P@10."""
     qt = rt.query_terms(topics, index)
-    bm25 = rt.bm25(index, qt, DEPTH)
+    bm25 = lazily(lambda: rt.bm25(index, qt, DEPTH))
     systems = [("TF_IDF", lambda: rt.tf_idf(index, qt, DEPTH)),
-               ("BM25", lambda: bm25),
-               ("BM25_RM3", lambda: rt.rm3(index, qt, "BM25", DEPTH, first_run=bm25))]
+               ("BM25", bm25),
+               ("BM25_RM3", lambda: rt.rm3(index, qt, "BM25", DEPTH, first_run=bm25()))]
     t = evaluate_systems(systems, qrels, topics, ap_cut=1000, map_name="ap_1000")
     return t.select("name", "ap_1000", "p_5", "p_10")
 
@@ -91,11 +116,9 @@ def _four(index, topics, prefix, sample_size):
     qt = rt.query_terms(topics, index)
     names = _names(prefix, ["bm25", "bm25_rm3", "tfidf", "tfidf_rm3"], sample_size)
     # the RM3 pipelines reuse the plain runs as their first stage
-    bm25, tfidf = rt.bm25(index, qt, DEPTH), rt.tf_idf(index, qt, DEPTH)
-    makers = [lambda: bm25,
-              lambda: rt.rm3(index, qt, "BM25", DEPTH, first_run=bm25),
-              lambda: tfidf,
-              lambda: rt.rm3(index, qt, "TF_IDF", DEPTH, first_run=tfidf)]
+    bm25, tfidf = lazily(lambda: rt.bm25(index, qt, DEPTH)), lazily(lambda: rt.tf_idf(index, qt, DEPTH))
+    makers = [bm25, lambda: rt.rm3(index, qt, "BM25", DEPTH, first_run=bm25()),
+              tfidf, lambda: rt.rm3(index, qt, "TF_IDF", DEPTH, first_run=tfidf())]
     return list(zip(names, makers))
 
 
@@ -124,9 +147,9 @@ def experiment_3(kw_index: ix.Index, topics: DataFrame, qrels: DataFrame, thesau
     x = kw.expand_queries(t, thesaurus)
     qa, qb = rt.query_terms(t, kw_index), rt.query_terms(x, kw_index)
     names = _names("experiment3A", ["bm25", "bm25_rm3"], n) + _names("experiment3B", ["bm25", "bm25_rm3"], n)
-    ra, rb = rt.bm25(kw_index, qa, DEPTH), rt.bm25(kw_index, qb, DEPTH)
-    makers = [lambda: ra, lambda: rt.rm3(kw_index, qa, "BM25", DEPTH, first_run=ra),
-              lambda: rb, lambda: rt.rm3(kw_index, qb, "BM25", DEPTH, first_run=rb)]
+    ra, rb = lazily(lambda: rt.bm25(kw_index, qa, DEPTH)), lazily(lambda: rt.bm25(kw_index, qb, DEPTH))
+    makers = [ra, lambda: rt.rm3(kw_index, qa, "BM25", DEPTH, first_run=ra()),
+              rb, lambda: rt.rm3(kw_index, qb, "BM25", DEPTH, first_run=rb())]
     return evaluate_systems(list(zip(names, makers)), qrels, t, save_dir,
                             _params(save_dir, kw_index, t, x.select("qid", "query")))
 

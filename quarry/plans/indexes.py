@@ -13,13 +13,13 @@ import hashlib
 from pyspark.sql import SparkSession
 
 from quarry.operators import index as ix
-from quarry.session import shared_dir, source_key
+from quarry.session import path_exists, shared_dir, source_key
 from quarry.sources import tables
 
 
 def index_path(spark: SparkSession, sf_dir: str, kind: str) -> str:
     data = source_key(spark, tables.table_path(sf_dir, "documents"))
-    h = hashlib.sha1(f"{data}|{kind}|v4".encode()).hexdigest()[:12]
+    h = hashlib.sha1(f"{data}|{kind}|v5".encode()).hexdigest()[:12]
     return f"{shared_dir(spark)}/quarry-index/{kind}-{h}"
 
 
@@ -31,6 +31,16 @@ def basic_index(spark: SparkSession, sf_dir: str) -> ix.Index:
     return ix.build_index(tables.corpus(spark, sf_dir), path, fields=("text",), mode="overwrite")
 
 
+def dense_index(spark: SparkSession, sf_dir: str):
+    """``(docno, vec)`` of every document, by the hashed encoder."""
+    from quarry.operators import dense
+    path = index_path(spark, sf_dir, "dense")
+    if not path_exists(spark, f"{path}/_meta"):
+        docs = tables.corpus(spark, sf_dir)
+        return dense.store_vectors(dense.document_vectors(basic_index(spark, sf_dir)), path, "overwrite", source=docs)
+    return dense.open_dense_index(spark, path)
+
+
 def keywords_index(spark: SparkSession, sf_dir: str) -> ix.Index:
     """Each document replaced by its keywords and synonyms."""
     from quarry.operators.keywords import expand_documents

@@ -304,6 +304,20 @@ def rm3_ctes(name: str, run: str, qterms: str, fb_docs: int = 3, fb_terms: int =
            WHERE round({dbl(fb_lambda)} * coalesce(a.q, {dbl(0.0)}) + {dbl(1.0 - fb_lambda)} * coalesce(b.p, {dbl(0.0)}), 9) <> 0)"""
 
 
+def hashed_vectors_ctes(name: str, ids: str, id_col: str, terms: str, tf: str, dims: int = 64) -> str:
+    """``name(id, vec)`` of the hashed encoder over ``lex`` and ``stats``."""
+    hexed = lambda a, n: f"CAST('0x' || substr(md5(term), {a}, {n}) AS INTEGER)"      # noqa: E731
+    return f"""
+{name}_w AS (SELECT {id_col}, {hexed(1, 4)} % {dims} AS dim,
+               sum(CAST({tf} AS DOUBLE) * log2(n / CAST(df AS DOUBLE) + {dbl(1.0)})
+                   * CASE WHEN {hexed(5, 1)} % 2 = 0 THEN {dbl(1.0)} ELSE {dbl(-1.0)} END) AS x
+             FROM {terms} JOIN lex USING (term) CROSS JOIN stats GROUP BY ALL),
+{name}_n AS (SELECT {id_col}, sqrt(sum(x * x)) AS norm FROM {name}_w GROUP BY {id_col}),
+{name} AS (SELECT {id_col}, list(round(coalesce(x / nullif(norm, 0), {dbl(0.0)}), 6) + {dbl(0.0)} ORDER BY dim) AS vec
+           FROM (SELECT {id_col} FROM {ids}) CROSS JOIN (SELECT range AS dim FROM range({dims}))
+           LEFT JOIN {name}_n USING ({id_col}) LEFT JOIN {name}_w USING ({id_col}, dim) GROUP BY {id_col})"""
+
+
 def dense_topk_ctes(name: str, docs: str, queries: str, k: int) -> str:
     """``name(qid, docno, score, rank)`` by exhaustive dot product."""
     return f"""

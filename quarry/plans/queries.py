@@ -406,43 +406,77 @@ def _vectors(spark, sf_dir):
                                                 F.col("embedding").alias("vec"), "label")
 
 
-@query("dense_topk", O.with_(_VEC_CTE, "qv AS (SELECT docno AS qid, vec FROM vecs)",
-                             O.dense_topk_ctes("run", "vecs", "qv", de.DEPTH))
+_QV_CTE = "qv AS (SELECT docno AS qid, vec FROM vecs WHERE docno % 20 = 0)"
+
+
+def _asking(v):
+    """Every twentieth vector asks, all answer."""
+    return v.filter(F.col("docno") % 20 == 0).withColumnRenamed("docno", "qid")
+
+
+@query("dense_topk", O.with_(_VEC_CTE, _QV_CTE, O.dense_topk_ctes("run", "vecs", "qv", de.DEPTH))
        + " SELECT qid, docno, score, rank FROM run")
 def dense_topk(spark, sf_dir):
-    """H7: every vector queries the whole vector table (top 1000)."""
+    """H7: vectors whose id is divisible by 20 query the whole vector table (top 1000)."""
     v = _vectors(spark, sf_dir)
-    return de.exhaustive_topk(v, v.select(F.col("docno").alias("qid"), "vec"), de.DEPTH)
+    return de.exhaustive_topk(v, _asking(v), de.DEPTH)
 
 
-@query("dense_label_metrics", O.with_(_VEC_CTE, "qv AS (SELECT docno AS qid, vec FROM vecs)",
-                                      O.dense_topk_ctes("run", "vecs", "qv", de.DEPTH),
-                                      "ql AS (SELECT docno AS qid, label FROM vecs)",
+@query("dense_label_metrics", O.with_(_VEC_CTE, _QV_CTE, O.dense_topk_ctes("run", "vecs", "qv", de.DEPTH),
+                                      "ql AS (SELECT docno AS qid, label FROM vecs WHERE docno % 20 = 0)",
                                       O.label_metrics_ctes("run", "vecs", "ql"))
        + f" SELECT i.qid, {O.metric_select()} FROM lm_i i LEFT JOIN lm_a USING (qid)")
 def dense_label_metrics(spark, sf_dir):
     """Dense run scored with same-label relevance (judgments never built)."""
     v = _vectors(spark, sf_dir)
-    run = de.exhaustive_topk(v, v.select(F.col("docno").alias("qid"), "vec"), de.DEPTH)
-    ql = v.select(F.col("docno").alias("qid"), "label")
+    ql = _asking(v)
+    run = de.exhaustive_topk(v, ql, de.DEPTH)
+    ql = ql.select("qid", "label")
     return ev.metrics_from_hits(ev.label_hits(run, v, ql), ev.label_ideal(v, ql))
 
 
-_DENSE_RERANK_SQL = O.with_(
-    O.corpus_cte(), O.topics_cte(), O.index_ctes(), O.query_terms_cte("qt", "topics"),
-    O.retrieve_ctes("r1", "qt", "BM25", DEPTH), _VEC_CTE) + """,
-rs AS (SELECT r.qid, r.docno, round(list_sum(list_transform(list_zip(q.vec, d.vec),
+_DV_CTE = O.hashed_vectors_ctes("dv", "corpus", "docno", "post", "tf")
+_TV_CTE = O.hashed_vectors_ctes("tv", "topics", "qid", "qt", "weight")
+_ENCODED = [O.corpus_cte(), O.topics_cte(), O.index_ctes(), O.query_terms_cte("qt", "topics"), _DV_CTE, _TV_CTE]
+
+
+@query("dense_encode", O.with_(*_ENCODED) + """,
+e AS (SELECT 'document' AS kind, docno AS id, generate_subscripts(vec, 1) - 1 AS dim, unnest(vec) AS x FROM dv
+      UNION ALL SELECT 'query', qid, generate_subscripts(vec, 1) - 1, unnest(vec) FROM tv)
+ SELECT kind, id, CAST(dim AS INTEGER) AS dim, x FROM e WHERE x <> 0""")
+def dense_encode(spark, sf_dir):
+    """H6: hashed vectors of all documents and topics, one row per place that is not zero."""
+    idx = indexes.basic_index(spark, sf_dir)
+    d = de.document_vectors(idx).withColumnRenamed("docno", "id").withColumn("kind", F.lit("document"))
+    q = de.query_vectors(tables.topics(spark, sf_dir), idx).withColumnRenamed("qid", "id").withColumn("kind", F.lit("query"))
+    return (d.unionByName(q).select("kind", "id", F.posexplode("vec").alias("dim", "x"))
+            .filter("x <> 0"))
+
+
+@query("dense_index_search", O.with_(*_ENCODED, O.dense_topk_ctes("run", "dv", "tv", 100))
+       + " SELECT qid, docno, score, rank FROM run")
+def dense_index_search(spark, sf_dir):
+    """Every document encoded and stored, opened, and searched by every topic (top 100)."""
+    idx = indexes.basic_index(spark, sf_dir)
+    return de.exhaustive_topk(indexes.dense_index(spark, sf_dir), de.query_vectors(tables.topics(spark, sf_dir), idx), 100)
+
+
+def _rescored(name: str, run: str) -> str:
+    return f"""{name}_s AS (SELECT r.qid, r.docno, round(list_sum(list_transform(list_zip(q.vec, d.vec),
           lambda p: CAST(p[1] AS DOUBLE) * CAST(p[2] AS DOUBLE))), 6) AS score
-       FROM r1 r JOIN vecs d ON d.docno = r.docno JOIN vecs q ON q.docno = r.qid)
- SELECT qid, docno, score, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, docno) AS INTEGER) AS rank FROM rs"""
+       FROM {run} r LEFT JOIN dv d ON d.docno = r.docno LEFT JOIN tv q ON q.qid = r.qid),
+{name} AS (SELECT qid, docno, score, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, docno) AS INTEGER) AS rank
+       FROM {name}_s)"""
 
 
-@query("dense_rerank", _DENSE_RERANK_SQL)
+@query("dense_rerank", O.with_(*_ENCODED, O.retrieve_ctes("r1", "qt", "BM25", DEPTH), _rescored("rr", "r1"))
+       + " SELECT qid, docno, score, rank FROM rr")
 def dense_rerank(spark, sf_dir):
-    """H8: BM25 top 1000 re-scored by the dot product of the document's and
-    the query's vectors (``vec_id = doc_id`` / ``vec_id = item_id``)."""
-    v = _vectors(spark, sf_dir)
-    return de.rerank(_bm25_run(spark, sf_dir), v, v.select(F.col("docno").alias("qid"), "vec"))
+    """H8: BM25 top 1000 re-scored by the dot product of the vectors of
+    document and topic; every document has one, so no row is lost."""
+    idx = indexes.basic_index(spark, sf_dir)
+    return de.rerank(_bm25_run(spark, sf_dir), indexes.dense_index(spark, sf_dir),
+                     de.query_vectors(tables.topics(spark, sf_dir), idx))
 
 
 # ------------------------------------------------- passages, re-rank, answers
@@ -646,20 +680,14 @@ def exp4(spark, sf_dir):
                            tables.qrels(spark, sf_dir))
 
 
-_E5 = _BASE + [_VEC_CTE, "qv AS (SELECT docno AS qid, vec FROM vecs WHERE docno IN (SELECT qid FROM topics))",
-               O.dense_topk_ctes("dn", "vecs", "qv", DEPTH), O.retrieve_ctes("rb", "qt", "BM25", DEPTH),
-               """rr_s AS (SELECT r.qid, r.docno, round(list_sum(list_transform(list_zip(q.vec, d.vec),
-                   lambda p: CAST(p[1] AS DOUBLE) * CAST(p[2] AS DOUBLE))), 6) AS score
-                 FROM rb r JOIN vecs d ON d.docno = r.docno JOIN qv q ON q.qid = r.qid)""",
-               "rr AS (SELECT qid, docno, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, docno)"
-               " AS rank FROM rr_s)"]
+_E5 = _BASE + [_DV_CTE, _TV_CTE, O.dense_topk_ctes("dn", "dv", "tv", DEPTH),
+               O.retrieve_ctes("rb", "qt", "BM25", DEPTH), _rescored("rr", "rb")]
 
 
 @query("exp5", _exp_sql(_E5, [(_lit("experiment5_biencoder"), "dn"), (_lit("experiment5_bm25_biencoder"), "rr")]))
 def exp5(spark, sf_dir):
-    v = _vectors(spark, sf_dir)
-    return xp.experiment_5(indexes.basic_index(spark, sf_dir), v.select("docno", "vec"),
-                           v.select(F.col("docno").alias("qid"), "vec"), tables.topics(spark, sf_dir),
+    idx, t = indexes.basic_index(spark, sf_dir), tables.topics(spark, sf_dir)
+    return xp.experiment_5(idx, indexes.dense_index(spark, sf_dir), de.query_vectors(t, idx), t,
                            tables.qrels(spark, sf_dir))
 
 
