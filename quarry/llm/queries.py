@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.session import scratch_path
+from quarry.session import temporary_path
 
 from . import (bpe, chat, common, embedding_dedup, fingerprints, jaccard_join, language_id, merkle, mixing, oracle, sharding,
                substring_dedup, token_counts, topk_search, whitening)
@@ -51,7 +51,7 @@ def op4_jaccard_join(spark, sf_dir):
 
 def op5_sharding(spark, sf_dir):
     docs = common.documents(spark, sf_dir).select("doc_id", "text")
-    shards = sharding.write_shards(docs, scratch_path(spark, "shards"), SHARDS)
+    shards = sharding.write_shards(docs, temporary_path(spark, "shards"), SHARDS)
     text = F.coalesce("text", F.lit(""))
     return shards.select("doc_id", sharding.text_size().alias("size"), F.crc32(text).alias("text_crc32"),
                          F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

@@ -6,6 +6,8 @@ from collections import Counter, defaultdict
 
 from pyspark.sql import functions as F
 
+import xxhash
+
 from quarry.llm import common, fingerprints, language_id, mixing, sharding
 from quarry.llm.queries import op2_language_id, op5_sharding, op6_mixing, op9_fingerprints
 
@@ -68,14 +70,76 @@ def test_short_texts():
     assert 0 < alike(mark(word), mark(fingerprints.edited(word, other))) < 1 and alike(mark(word), mark(other)) == 0.0
 
 
+M64 = (1 << 64) - 1
+
+
+def plain_mix(x):
+    x = ((x ^ (x >> 30)) * 0xBF58476D1CE4E5B9) & M64
+    x = ((x ^ (x >> 27)) * 0x94D049BB133111EB) & M64
+    return x ^ (x >> 31)
+
+
+def plain_hash(run):
+    """A polynomial in the golden-ratio base, mixed."""
+    x = 0
+    for v in run:
+        x = (x * 0x9E3779B97F4A7C15 + v) & M64
+    return plain_mix(x)
+
+
+def plain_syncmers(h, k, s):
+    """Every run is looked at by itself."""
+    if len(h) < k:
+        return [(0, plain_mix((plain_hash(h) + len(h)) & M64) >> 32)]
+    small = [plain_hash(h[i:i + s]) for i in range(len(h) - s + 1)]
+    runs = [plain_hash(h[i:i + k]) for i in range(len(h) - k + 1)]
+    out = [(i, r >> 32) for i, r in enumerate(runs) if min(small[i:i + k - s + 1]) in (small[i], small[i + k - s])]
+    return out or [(runs.index(min(runs)), min(runs) >> 32)]
+
+
+def plain_anchors(text):
+    ws = fx.words(text)
+    if not ws:
+        return []
+    out = plain_syncmers([xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")) for w in ws], 16, 4)
+    if len(ws) < 4 * (2 * 16 - 4 - 1):
+        out += [(i, v | 1 << 32) for i, v in plain_syncmers([plain_mix(ord(c) + 1) for c in " ".join(ws)], 4, 2)]
+    return out
+
+
+def plain_fingerprint(found):
+    out, before = [], 0
+    for at, h in found:
+        out.append(f"{at - before:x}:{h:08x}")
+        before = at
+    return " ".join(out)
+
+
+def plain_likeness(a, b):
+    if not a or not b:
+        return float(not a and not b)
+    if a[-1][1] >> 32 or b[-1][1] >> 32:
+        short = bool(a[-1][1] >> 32 and b[-1][1] >> 32)
+        a, b = ([(at, h) for at, h in x if bool(h >> 32) == short] for x in (a, b))
+    places = defaultdict(list)
+    for at, h in b:
+        places[h].append(at)
+    met, shifts = Counter(), []
+    for at, h in a:
+        if met[h] < len(places[h]):
+            shifts.append(places[h][met[h]] - at)
+        met[h] += 1
+    return max((sum(abs(x - y) <= 8 for y in shifts) for x in set(shifts)), default=0) / max(len(a), len(b))
+
+
 def expected_pairs(data):
     data = sorted(((i, t or "") for i, t in data), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
     for (i, t), (_, following) in zip(data, data[1:] + data[:1]):
         half = len(t) // 2
         e = t[:len(t) - half] + following[:half]
-        m = fingerprints.anchors
-        yield (i, len(t), fx.sha(e), fingerprints.as_text(*m(t)), fingerprints.as_text(*m(e)),
-               fingerprints.likeness(m(t), m(e)), fingerprints.likeness(m(t), m(following)))
+        mine, changed = plain_anchors(t), plain_anchors(e)
+        yield (i, len(t), fx.sha(e), plain_fingerprint(mine), plain_fingerprint(changed),
+               plain_likeness(mine, changed), plain_likeness(mine, plain_anchors(following)))
 
 
 def test_fingerprint_pairs(spark):
