@@ -20,11 +20,11 @@ from pyspark.sql import functions as F  # noqa: E402
 
 from quarry.operators import answer as an  # noqa: E402
 from quarry.operators import dense as de  # noqa: E402
-from quarry.operators import evaluate as ev  # noqa: E402
 from quarry.operators import index as ix  # noqa: E402
 from quarry.operators import keywords as kw  # noqa: E402
 from quarry.operators import rerank as rr  # noqa: E402
 from quarry.operators import retrieve as rt  # noqa: E402
+from quarry.plans import experiments as xp  # noqa: E402
 from quarry.session import local_session, scratch_path  # noqa: E402
 from quarry.sources import tables, thesaurus  # noqa: E402
 
@@ -55,16 +55,7 @@ def main():
     timed("rm3_bm25", lambda: rt.rm3(idx, qt, "BM25", 1000))
     qrels = timed("qrels_containment", lambda: tables.qrels(spark, sf_dir))
 
-    def exp1():
-        runs = None
-        for name, make in (("bm25", lambda: rt.bm25(idx, qt, 1000)),
-                           ("bm25_rm3", lambda: rt.rm3(idx, qt, "BM25", 1000)),
-                           ("tfidf", lambda: rt.tf_idf(idx, qt, 1000)),
-                           ("tfidf_rm3", lambda: rt.rm3(idx, qt, "TF_IDF", 1000))):
-            r = make().withColumn("name", F.lit(name))
-            runs = r if runs is None else runs.unionByName(r)
-        return ev.metrics_table(runs, qrels, topics, names=["bm25", "bm25_rm3", "tfidf", "tfidf_rm3"])
-    timed("experiment1_table", exp1)
+    timed("experiment1_table", lambda: xp.experiment_1(idx, topics, qrels))
     timed("rake_keywords", lambda: kw.rake_keywords(docs))
     idx2 = timed("two_field_index_build", lambda: ix.build_index(
         kw.expand_documents(docs, th, replace=False), scratch_path(spark, "bench-two"),
@@ -73,9 +64,11 @@ def main():
     timed("query_expand_bm25", lambda: rt.bm25(idx, rt.query_terms(kw.expand_queries(topics, th), idx), 1000))
 
     vec = tables.vectors(spark, sf_dir).select(F.col("vec_id").alias("docno"), F.col("embedding").alias("vec"))
-    qv = vec.select(F.col("docno").alias("qid"), "vec")
+    qv = vec.filter("docno % 20 = 0").withColumnRenamed("docno", "qid")
     timed("dense_topk", lambda: de.exhaustive_topk(vec, qv, 1000))
-    timed("dense_rerank", lambda: de.rerank(rt.bm25(idx, qt, 1000), vec, qv))
+    dv = timed("dense_index_build", lambda: de.store_vectors(
+        de.document_vectors(idx), scratch_path(spark, "bench-dense"), source=docs))
+    timed("dense_rerank", lambda: de.rerank(rt.bm25(idx, qt, 1000), dv, de.query_vectors(topics, idx)))
 
     def maxp():
         run = rt.bm25(idx, qt, 100)

@@ -1,8 +1,9 @@
 """D3, D5-D8, G3/G4 usage: length analysis of a corpus.
 
-All of these are single-pass aggregates with partial aggregation; the
-histogram and cumulative tables have at most ``bins`` rows, so the global
-window in D8 runs over a bounded input.
+All of these are single-pass aggregates with partial aggregation: bins come
+from a table of distinct values and their counts.  The histogram and cumulative
+tables have at most ``bins`` rows, so the global window in D8 runs over a
+bounded input.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from quarry.functions.text import char_length, count_tokens, count_words
+from quarry.operators.util import stored
 
 
 def with_lengths(docs: DataFrame, text: str = "text", tokenizer=None) -> DataFrame:
@@ -45,20 +47,25 @@ def fraction_within(df: DataFrame, col: str, limit: int = 512) -> DataFrame:
     return df.agg(F.round(F.avg((F.col(col) <= limit).cast("double")), 6).alias("fraction"))
 
 
+def value_counts(df: DataFrame, col: str) -> DataFrame:
+    """``(value, count)`` of the values that are not null: one mergeable
+    aggregate, written once.  Bins, shares and ranges follow from it without
+    another look at the rows."""
+    return stored(df.filter(F.col(col).isNotNull()).groupBy(F.col(col).cast("double").alias("value"))
+                  .agg(F.count(F.lit(1)).alias("count")), "values")
+
+
 def _binned(df: DataFrame, col: str, bins: int) -> DataFrame:
-    x = F.col(col).cast("double")
-    rng = df.agg(F.min(x).alias("mn"), F.max(x).alias("mx"))
-    mn, mx = rng.select("mn").scalar(), rng.select("mx").scalar()
-    width = mx - mn
-    b = F.when(width > 0, F.least(F.floor((x - mn) * float(bins) / width), F.lit(bins - 1))) \
-         .otherwise(F.lit(0)).cast("int")
-    counts = df.filter(F.col(col).isNotNull()).groupBy(b.alias("bin")).agg(
-        F.count(F.lit(1)).alias("count"))
-    grid = rng.select(F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"), "mn", "mx")
-    return (grid.join(counts, "bin", "left")
-            .select("bin",
-                    F.round(F.col("mn") + F.col("bin") * (F.col("mx") - F.col("mn")) / float(bins), 6).alias("lo"),
-                    F.round(F.col("mn") + (F.col("bin") + 1) * (F.col("mx") - F.col("mn")) / float(bins), 6).alias("hi"),
+    values = value_counts(df, col)
+    mn, mx = values.agg(F.min("value"), F.max("value")).first()      # two numbers
+    lo, width = F.lit(mn).cast("double"), (mx - mn if mn is not None else None)
+    x = F.col("value")
+    b = F.least(F.floor((x - lo) * float(bins) / F.lit(width)), F.lit(bins - 1)) if width else F.lit(0)
+    counts = values.groupBy(b.cast("int").alias("bin")).agg(F.sum("count").alias("count"))
+    grid = df.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"))
+    edge = lambda i: F.round(lo + i * F.lit(width).cast("double") / float(bins), 6)       # noqa: E731
+    return (grid.join(F.broadcast(counts), "bin", "left")       # at most one row a bin
+            .select("bin", edge(F.col("bin")).alias("lo"), edge(F.col("bin") + 1).alias("hi"),
                     F.coalesce("count", F.lit(0)).alias("count")))
 
 

@@ -10,13 +10,17 @@ batches; no network client lives here.
 
 from __future__ import annotations
 
+import inspect
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarry.operators.models import in_batches
+
 CONTEXT_DOCS = 3
+BATCH_SIZE = 16
 
 # The two system prompts of the reference's answer layouts.
 SYSTEM_PROMPT_TOOL = "You are a helpful assistant. Answer reading the context ONLY if it is relevant.IF THE TOPIC OF DISCUSSION IS NOT IN THE CONTEXT REPLY 'I DO NOT KNOW' OTHERWISE MENTION THE RELEVANT THINGS IN THE CONTEXT"  # noqa: E501
@@ -27,6 +31,7 @@ MESSAGE = "array<struct<role:string,content:string>>"
 def context(run: DataFrame, n: int = CONTEXT_DOCS) -> DataFrame:
     """E7 + D17 + I2: ``(qid, context)`` from the top ``n`` rows of a run
     carrying ``text``; fewer than ``n`` results give fewer blocks."""
+    # The labels of a context block.
     top = run.filter(F.col("rank") <= n)
     blocks = F.transform(
         F.array_sort(F.collect_list(F.struct("rank", "docno", "text"))),
@@ -57,31 +62,37 @@ def prompts_user(questions: DataFrame, contexts: DataFrame, query: str = "query"
         "qid", msg.alias("messages"), F.coalesce("context", F.lit("")).alias("context"))
 
 
-def first_passage_answer(messages: list[dict]) -> str:
-    """Stand-in answer function (no model): the first context block's text."""
-    ctx = next((m["content"] for m in messages if m["role"] in ("tool",)), None)
-    if ctx is None:
-        user = next((m["content"] for m in messages if m["role"] == "user"), "")
-        ctx = user
-    parts = ctx.split("\n\n")
-    return parts[1] if len(parts) > 2 else ""
+def first_passage() -> Column:
+    """Stand-in answer (no model): the text of the first context block, from
+    the ``tool`` message where there is one, else from the user's."""
+    said = lambda role: F.get(F.filter("messages", lambda m: m["role"] == role), 0)["content"]      # noqa: E731
+    has_tool = F.exists("messages", lambda m: m["role"] == "tool")
+    parts = F.split(F.when(has_tool, said("tool")).otherwise(F.coalesce(said("user"), F.lit(""))), "\n\n", -1)
+    return F.when(F.size(parts) > 2, F.get(parts, 1)).otherwise("")
+
 
+def generate(prompts: DataFrame, answer_fn: Callable[[list[list[dict]]], list[str]] | None = None,
+             temperature: float = 0.7, max_tokens: int = 256, batch_size: int = BATCH_SIZE) -> DataFrame:
+    """``(qid, answer[, context])`` of every prompt.
 
-def generate(prompts: DataFrame, answer_fn: Callable[[list[dict]], str] = first_passage_answer,
-             temperature: float = 0.7, max_tokens: int = 256) -> DataFrame:
-    """``(qid, answer[, context])`` from ``answer_fn(messages)`` per
-    prompt, called inside Arrow batches (``mapInPandas``).  A ``context``
-    column of the prompts is passed through.  ``temperature`` and
-    ``max_tokens`` are passed on when the function accepts them."""
-    import inspect
+    ``answer_fn`` gets a list of prompts (each a list of messages), at most
+    ``batch_size`` at a time, and returns as many answers; it runs in Arrow
+    batches (``mapInPandas``).  Take its model from ``models.worker_model``, so
+    that each Python worker makes it once.  Without a function the stand-in
+    answers, in Spark's own expressions.  A ``context`` column of the prompts is
+    passed through.  ``temperature`` and ``max_tokens`` are passed on when the
+    function accepts them."""
+    keep = ["context"] if "context" in prompts.columns else []
+    if answer_fn is None:
+        return prompts.select("qid", first_passage().alias("answer"), *keep)
     params = inspect.signature(answer_fn).parameters
     extra = {k: v for k, v in (("temperature", temperature), ("max_tokens", max_tokens)) if k in params}
     qid_type = prompts.schema["qid"].dataType.simpleString()
-    keep = ["context"] if "context" in prompts.columns else []
 
     def run(batches):
         for pdf in batches:
-            answers = [answer_fn([dict(m) for m in msgs], **extra) for msgs in pdf["messages"]]
+            asked = [[dict(m) for m in msgs] for msgs in pdf["messages"]]
+            answers = [a for part in in_batches(asked, batch_size) for a in answer_fn(part, **extra)]
             out = pd.DataFrame({"qid": pdf["qid"].values, "answer": answers})
             for c in keep:
                 out[c] = pdf[c].values

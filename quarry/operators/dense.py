@@ -165,7 +165,7 @@ def exhaustive_topk(docs: DataFrame, queries: DataFrame, k: int = DEPTH,
 
     partial = (d.groupBy("db", "qb").cogroup(q.groupBy("db", "qb"))
                .applyInPandas(score, f"qid {q_type}, docno {id_type}, score double"))
-    return top_k(partial, k).select("qid", "docno", "score", "rank")
+    return top_k(partial, k, parts=d_blocks).select("qid", "docno", "score", "rank")
 
 
 def rerank(run: DataFrame, doc_vectors: DataFrame, query_vectors: DataFrame,

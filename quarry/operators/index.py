@@ -52,10 +52,11 @@ from pyspark.sql import functions as F
 
 from quarry.functions.stopwords import ENGLISH_STOP_WORDS
 from quarry.functions.text import tokens
-from quarry.operators.util import known_size
+from quarry.operators.util import known_size, known_values, stored
 from quarry.session import path_exists
 
 DEFAULT_TERM_BUCKETS = 16
+PUSHED_DOCS = 256       # up to so many document ids reach a scan as literals, which prune buckets
 # b of the length normalisation in stored impacts.
 B_LENGTH = 0.75
 # Steps of the impact ladder of the lexicon.
@@ -349,13 +350,19 @@ def lexicon(index: Index) -> DataFrame:
 def get_text(run: DataFrame, index: Index, field: str = "text") -> DataFrame:
     """Attach stored text to a run by ``docno`` (left join).
 
-    The docs table is bucketed by ``docno``, so the join is a sort-merge
+    The run (at most topics x depth rows) is written once, so the stages before
+    it do not run again for each use.  For a few documents their ids go to the
+    scan: it opens their buckets only, and files are sorted by ``docno``.
+    Otherwise the docs table is joined as it is bucketed, by a sort-merge
     join that shuffles only the run (never the docs, which are never
     broadcast); the text work downstream (passages, scoring) then runs in
-    as many tasks as there are buckets.  For small runs Spark's runtime
-    bloom filter prunes the docs scan.
+    as many tasks as there are buckets.
     """
     if field not in index.docs.columns:
         raise ValueError(f"index at {index.path} does not store field {field!r} (built with store=False)")
     docs = index.docs.select("docno", F.col(field).alias("text"))
+    run = stored(run, "run")
+    if known_size(run)[0] <= PUSHED_DOCS:
+        docs = docs.filter(F.col("docno").isin(known_values(run, "docnos", F.col("docno"))))
+        return run.join(docs, "docno", "left")
     return run.join(docs.hint("merge"), "docno", "left")

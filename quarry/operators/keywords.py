@@ -32,39 +32,54 @@ from pyspark.sql import Window as W
 
 from quarry.functions.stopwords import ENGLISH_STOP_WORDS
 from quarry.functions.text import WHITESPACE_CLASS
-from quarry.operators.util import SCORE_DECIMALS, broadcast_if_small
+from quarry.operators.util import BROADCAST_MAX_BYTES, SCORE_DECIMALS, broadcast_if_small, known_size
 
 MAX_KEYWORDS = 3
 MAX_SYNONYMS = 2
 METHODS = ("rake", "bert")
+SAMPLE_DOCS = 20_000    # documents that term vectors are learned from, at most
+SPLITS = 16             # of a term in the join with its vector, where that is no broadcast
 
 _WORD = r"[\p{L}\p{N}]+"
 _NOT_SPACE_OR_WORD = "[^\\p{L}\\p{N}" + WHITESPACE_CLASS[1:-1] + "]+"
 RAKE_TOKEN = f"({_WORD}|{_NOT_SPACE_OR_WORD})"
+_MARK = "\x01"      # ends a phrase; no word holds it
+
+
+def by_document(docs: DataFrame, docno: str = "docno", text: str = "text") -> DataFrame:
+    """``(docno, text)`` dealt by document.  Steps that start from the same
+    frame share its one shuffle."""
+    return docs.select(F.col(docno).alias("docno"), F.col(text).alias("text")).repartition("docno")
+
+
+def _phrase_texts(text, stop_words):
+    """Phrases of a text, each its words parted by a space: every token that
+    ends a phrase becomes a mark, and the text is split there."""
+    stops = list(stop_words)
+    toks = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(RAKE_TOKEN), 1)
+    marked = F.transform(toks, lambda t: F.when(t.rlike("^" + _WORD + "$") & ~t.isin(stops), t).otherwise(_MARK))
+    return F.filter(F.split(F.array_join(marked, " "), f"(?: ?{_MARK})+ ?"), lambda p: p != "")
 
 
 def rake_keywords(docs: DataFrame, docno: str = "docno", text: str = "text",
                   max_keywords: int = MAX_KEYWORDS,
-                  stop_words=ENGLISH_STOP_WORDS) -> DataFrame:
-    """``(docno, kw_rank, keyword)``, at most ``max_keywords`` per document."""
-    stops = list(stop_words)
-    # shuffle documents (not their many tokens) by docno once; every window
-    # and aggregate below is then partition-local
-    toks = docs.select(F.col(docno).alias("docno"), F.col(text).alias("text")).repartition("docno") \
-        .select("docno",
-                F.posexplode(F.regexp_extract_all(F.lower(F.coalesce(F.col("text"), F.lit(""))),
-                                                  F.lit(RAKE_TOKEN), 1)).alias("pos", "tok"))
-    is_break = (~F.col("tok").rlike("^" + _WORD + "$")) | F.col("tok").isin(stops)
-    by_pos = W.partitionBy("docno").orderBy("pos").rowsBetween(W.unboundedPreceding, W.currentRow)
-    words = (toks.withColumn("phrase", F.sum(is_break.cast("int")).over(by_pos))
-             .filter(~is_break)
-             .withColumn("plen", F.count(F.lit(1)).over(W.partitionBy("docno", "phrase"))))
+                  stop_words=ENGLISH_STOP_WORDS, dealt: bool = False) -> DataFrame:
+    """``(docno, kw_rank, keyword)``, at most ``max_keywords`` per document.
+
+    Documents (not their many words) are shuffled by ``docno`` once, unless
+    ``docs`` comes from ``by_document`` (``dealt``); every window and aggregate
+    below is then partition-local."""
+    d = docs if dealt else by_document(docs, docno, text)
+    # (the outer form: Spark would put a filter on the phrases below the shuffle, and work them out twice)
+    words = (d.select("docno", F.posexplode_outer(_phrase_texts(F.col("text"), stop_words)).alias("phrase", "ptext"))
+             .select("docno", "phrase", F.split("ptext", " ").alias("w"))
+             .select("docno", "phrase", F.size("w").alias("plen"), F.posexplode("w").alias("pos", "tok")))
     per_word = W.partitionBy("docno", "tok")
     words = words.withColumn("wscore", F.sum("plen").over(per_word) / F.count(F.lit(1)).over(per_word))
     phrases = (words.groupBy("docno", "phrase")
                .agg(F.round(F.sum("wscore"), SCORE_DECIMALS).alias("score"),
                     F.array_sort(F.collect_list(F.struct("pos", "tok"))).alias("ws"))
-               .select("docno", "score", F.col("ws")[0]["pos"].alias("first_pos"),
+               .select("docno", "score", F.col("phrase").alias("first_pos"),
                        F.transform("ws", lambda s: s["tok"]).alias("words")))
     ranked = phrases.withColumn("prank", F.row_number().over(
         W.partitionBy("docno").orderBy(F.col("score").desc(),
@@ -85,30 +100,60 @@ def keywords_extractor(docs: DataFrame, max_keywords: int = MAX_KEYWORDS, method
         raise ValueError(f"unknown keyword method {method!r}; use one of {METHODS}")
     if method == "rake":
         return rake_keywords(docs, docno, text, max_keywords)
-    if term_vectors is None or doc_vectors is None:
-        raise ValueError("method 'bert' needs term_vectors and doc_vectors tables")
+    if (term_vectors is None) != (doc_vectors is None):
+        raise ValueError("method 'bert' needs both term_vectors and doc_vectors, or learns both")
+    if term_vectors is None:
+        term_vectors, doc_vectors = learned_vectors(docs, docno, text)
     return similarity_keywords(docs, term_vectors, doc_vectors, max_keywords, docno, text)
 
 
+def learned_vectors(docs: DataFrame, docno: str = "docno", text: str = "text", dims: int = 32,
+                    sample: int = SAMPLE_DOCS, min_count: int = 5, seed: int = 7) -> tuple[DataFrame, DataFrame]:
+    """Vectors for G6, learned here: ``(term, vec)`` and ``(docno, vec)``.
+
+    Word2Vec is fitted on a bounded sample, the ``sample`` documents with the
+    smallest hashes of their ids, in one order; terms seen less than
+    ``min_count`` times there have no vector.  Every document gets the mean of
+    its terms' vectors.  The same documents give the same vectors."""
+    from pyspark.ml.feature import Word2Vec
+    from pyspark.ml.functions import vector_to_array
+
+    from quarry.functions.text import tokens
+    words = docs.select(F.col(docno).alias("docno"), tokens(F.col(text)).alias("words"))
+    some = words.orderBy(F.xxhash64("docno"), "docno").limit(sample).select("words")
+    model = Word2Vec(vectorSize=dims, minCount=min_count, numPartitions=1, maxIter=1, seed=seed,
+                     inputCol="words", outputCol="vec").fit(some)
+    terms = model.getVectors().select(F.col("word").alias("term"), vector_to_array("vector").alias("vec"))
+    return terms, model.transform(words).select("docno", vector_to_array("vec").alias("vec"))
+
+
 def similarity_keywords(docs: DataFrame, term_vectors: DataFrame, doc_vectors: DataFrame,
                         max_keywords: int = MAX_KEYWORDS, docno: str = "docno",
                         text: str = "text") -> DataFrame:
     """Single words (English stop words out) ranked by cosine similarity
-    of their vector to the document vector; top ``max_keywords``.
+    of their vector to the document vector, ties by term; top ``max_keywords``.
 
     ``term_vectors(term, vec array<double>)`` and ``doc_vectors(docno, vec)``
-    come from the caller's encoder (e.g. ``pyspark.ml.feature.Word2Vec`` or a
-    model run with ``mapInPandas``); vectors are compared as given.
+    come from ``learned_vectors`` or the caller's encoder; vectors are compared
+    as given, and a vector of length 0 is like nothing (similarity 0).  Term
+    vectors that are too large to broadcast are joined in ``SPLITS`` parts of
+    each term, as a common term stands in nearly every document.
     """
     from quarry.functions.text import tokens
     terms = (docs.select(F.col(docno).alias("docno"), F.explode(F.array_distinct(
         tokens(F.col(text))).alias("t")).alias("term")))
-    tv = term_vectors.select("term", F.col("vec").alias("tv"))
-    dv = doc_vectors.select(F.col("docno"), F.col("vec").alias("dv"))
+    norm = lambda c: F.sqrt(F.aggregate(c, F.lit(0.0), lambda s, x: s + x * x))           # noqa: E731
+    tv = term_vectors.select("term", F.col("vec").alias("tv"), norm(F.col("vec")).alias("tn"))
+    dv = doc_vectors.select(F.col("docno"), F.col("vec").alias("dv"), norm(F.col("vec")).alias("dn"))
+    if known_size(tv)[1] <= BROADCAST_MAX_BYTES:
+        found = terms.join(F.broadcast(tv), "term")
+    else:
+        terms = terms.withColumn("part", F.pmod(F.xxhash64("docno"), F.lit(SPLITS)))
+        tv = tv.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SPLITS - 1).cast("long"))))
+        found = terms.join(tv, ["term", "part"]).drop("part")
     dot = F.aggregate(F.zip_with("tv", "dv", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
-    nrm = lambda c: F.sqrt(F.aggregate(F.transform(c, lambda a: a * a), F.lit(0.0), lambda s, x: s + x))
-    scored = (terms.join(tv, "term").join(dv, "docno")
-              .select("docno", "term", F.round(dot / (nrm("tv") * nrm("dv")), SCORE_DECIMALS).alias("sim")))
+    scored = found.join(dv, "docno").select(
+        "docno", "term", F.round(F.coalesce(F.try_divide(dot, F.col("tn") * F.col("dn")), F.lit(0.0)), SCORE_DECIMALS).alias("sim"))
     return (scored.withColumn("kw_rank", F.row_number().over(
                 W.partitionBy("docno").orderBy(F.col("sim").desc(), "term")))
             .filter(F.col("kw_rank") <= max_keywords)
@@ -157,18 +202,22 @@ def expansion_text(expanded: DataFrame) -> DataFrame:
 def expand_texts(docs: DataFrame, thesaurus: DataFrame, docno: str = "docno",
                  text: str = "text", max_keywords: int = MAX_KEYWORDS,
                  max_synonyms: int = MAX_SYNONYMS) -> DataFrame:
-    """G5 + G8 per text: ``(docno, expansion)``; texts without keywords get ``""``."""
-    d = docs.select(F.col(docno).alias("docno"), F.col(text).alias("text"))
-    kw = rake_keywords(d, max_keywords=max_keywords)
+    """G5 + G8 per text: ``(docno, text, expansion)``; texts without keywords
+    get ``""``.  Keywords, senses and the texts themselves come from one scan
+    and one shuffle of the documents."""
+    # as a struct the id is never null, so joins put no filter of their own below the shared shuffle
+    d = by_document(docs.select(F.struct(F.col(docno).alias("id")).alias("docno"), F.col(text).alias("text")))
+    kw = rake_keywords(d, max_keywords=max_keywords, dealt=True)
     exp = expansion_text(thesaurus_expansion(d, kw, thesaurus, max_synonyms))
-    return d.select("docno").join(exp, "docno", "left") \
-        .select("docno", F.coalesce("expansion", F.lit("")).alias("expansion"))
+    return d.join(exp, "docno", "left") \
+        .select("docno.id", "text", F.coalesce("expansion", F.lit("")).alias("expansion")) \
+        .withColumnRenamed("id", "docno")
 
 
 def expand_queries(topics: DataFrame, thesaurus: DataFrame, **kw) -> DataFrame:
     """G9 + B6: ``query = query + " " + expansion``, original kept as ``query_0``."""
     exp = expand_texts(topics, thesaurus, docno="qid", text="query", **kw) \
-        .withColumnRenamed("docno", "qid")
+        .select(F.col("docno").alias("qid"), "expansion")
     return (topics.join(exp, "qid", "left")
             .withColumn("query_0", F.col("query"))
             .withColumn("query", F.concat_ws(" ", F.col("query"), F.coalesce("expansion", F.lit(""))))
@@ -179,9 +228,7 @@ def expand_documents(docs: DataFrame, thesaurus: DataFrame, replace: bool = True
                      docno: str = "docno", text: str = "text", **kw) -> DataFrame:
     """``replace=True`` - text becomes its expansion (keyword-only
     index, A11); otherwise a ``keywords`` column is added (two fields, A12)."""
-    exp = expand_texts(docs, thesaurus, docno=docno, text=text, **kw)
-    base = docs.select(F.col(docno).alias("docno"), F.col(text).alias("text"))
-    out = base.join(exp, "docno", "left")
+    out = expand_texts(docs, thesaurus, docno=docno, text=text, **kw)
     if replace:
         return out.select("docno", F.col("expansion").alias("text"))
     return out.select("docno", "text", F.col("expansion").alias("keywords"))

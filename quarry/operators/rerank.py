@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 
 from quarry.functions.text import split_words
 from quarry.operators.index import Index, term_bucket
-from quarry.operators.util import SCORE_DECIMALS, broadcast_if_small, round_score, top_k
+from quarry.operators.util import SCORE_DECIMALS, broadcast_if_small, round_score, stored, top_k
 
 LENGTH, STRIDE = 256, 128
 BATCH_SIZE = 16
@@ -75,6 +75,7 @@ def run_passages(run: DataFrame, index: Index, length: int = LENGTH, stride: int
     retrieved by many queries is tokenised once, not once per query.
     """
     from quarry.operators.index import get_text
+    run = stored(run, "run")
     ids = run.select("docno").distinct()
     ps = sliding(get_text(ids, index, field), length, stride)
     if with_terms:

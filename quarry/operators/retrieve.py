@@ -43,16 +43,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from quarry.operators.index import B_LENGTH, LADDER, Index, length_normalised, term_bucket
+from quarry.operators.index import B_LENGTH, LADDER, PUSHED_DOCS, Index, length_normalised, term_bucket
 from quarry.operators.util import (BROADCAST_MAX_BYTES, SCORE_DECIMALS, broadcast_if_small, known_size,
-                                   known_values, round_score, top_k)
-from quarry.session import temporary_path
+                                   known_values, round_score, stored, top_k)
 
 K1, B = 1.2, 0.75
 DEFAULT_DEPTH = 1000
 MODELS = ("BM25", "TF_IDF")
 PUSHED_TERMS = 64       # up to so many query terms reach the scan as literals
-PUSHED_DOCS = 256       # and so many ids of feedback documents
 SLACK = 1e-5            # scores are rounded, so bounds give way by more than that
 
 
@@ -160,7 +158,7 @@ def retrieve(index: Index, qterms: DataFrame, model: str = "BM25",
     scores = (_matched(index, floored, qterms, buckets, field).filter(F.col("ntf") >= F.col("least"))
               .groupBy("qid", "docno").agg(F.sum(F.col("w") * (top * ntf / (ntf + k1))).alias("score"))
               .withColumn("score", round_score("score")))
-    return top_k(scores, k).select("qid", "docno", "score", "rank")
+    return top_k(scores, k, parts=index.doc_buckets).select("qid", "docno", "score", "rank")
 
 
 def bm25(index: Index, qterms: DataFrame, k: int | None = DEFAULT_DEPTH, **kw) -> DataFrame:
@@ -197,15 +195,7 @@ def bm25f(index: Index, qterms: DataFrame, weights, k: int | None = DEFAULT_DEPT
               .groupBy("qid", "docno")
               .agg(F.sum(F.col("w") * F.col("t") / (k1 + F.col("t"))).alias("score"))
               .withColumn("score", round_score("score")))
-    return top_k(scores, k).select("qid", "docno", "score", "rank")
-
-
-def _stored(df: DataFrame, name: str) -> DataFrame:
-    """A table of a few rows a query, written once."""
-    spark = df.sparkSession
-    path = temporary_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return top_k(scores, k, parts=index.doc_buckets).select("qid", "docno", "score", "rank")
 
 
 def rm3_terms(index: Index, run: DataFrame, qterms: DataFrame, fb_docs: int = 3,
@@ -228,7 +218,7 @@ def rm3_terms(index: Index, run: DataFrame, qterms: DataFrame, fb_docs: int = 3,
           .select("qid", "docno",
                   F.when(F.col("tot") > 0, F.col("score") / F.col("tot"))
                    .otherwise(1.0 / F.col("cnt")).alias("dw")))
-    fb = _stored(fb, "feedback")
+    fb = stored(fb, "feedback")
     forward = index.forward.filter(F.col("field") == field)
     if known_size(fb)[0] <= PUSHED_DOCS:      # the literals prune buckets
         forward = forward.filter(F.col("docno").isin(known_values(fb, "docnos", F.col("docno"))))
@@ -262,7 +252,7 @@ def rm3(index: Index, qterms: DataFrame, model: str = "BM25", k: int | None = DE
     is written once: its size is then known, and the second pass reads the
     postings of its terms only."""
     run1 = first_run if first_run is not None else retrieve(index, qterms, model, fb_docs)
-    expanded = _stored(rm3_terms(index, run1, qterms, fb_docs, fb_terms, fb_lambda), "expanded")
+    expanded = stored(rm3_terms(index, run1, qterms, fb_docs, fb_terms, fb_lambda), "expanded")
     return retrieve(index, expanded, model, k)
 
 

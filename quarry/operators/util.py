@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import weakref
 
 from pyspark.sql import Column, DataFrame
@@ -9,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
+from quarry.session import temporary_path
+
 # Largest size we broadcast, in bytes of column values.  Every broadcast in the
 # package goes through ``broadcast_if_small`` so the bound is checked at run
 # time; above it the planner's shuffle join is used instead.
@@ -18,6 +21,9 @@ BROADCAST_MAX_BYTES = 64 << 20
 # the summation order of a shuffle.
 SCORE_DECIMALS = 6
 
+# Partitions from which on a top-k merges its partial limits in two levels.
+MERGE_PARTS = 64
+
 
 _COUNTS: "weakref.WeakKeyDictionary" = weakref.WeakKeyDictionary()
 
@@ -84,6 +90,20 @@ def broadcast_if_small(df: DataFrame, max_bytes: int = BROADCAST_MAX_BYTES,
     return F.broadcast(df) if n <= max_bytes else df
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once to the shared folder and read from there, for
+    tables of a few rows a query that several steps read.  Such a table is not
+    written again.  Its files go when the process ends."""
+    if _memo(df).get("stored"):
+        return df
+    spark = df.sparkSession
+    path = temporary_path(spark, name)
+    df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _memo(out)["stored"] = True
+    return out
+
+
 def round_score(c: Column | str) -> Column:
     c = F.col(c) if isinstance(c, str) else c
     return F.round(c.cast("double"), SCORE_DECIMALS)
@@ -97,12 +117,22 @@ def rank_window(group: str | list[str] = "qid", score: str = "score",
 
 def top_k(df: DataFrame, k: int | None, group: str | list[str] = "qid",
           score: str = "score", tie: str = "docno",
-          rank_col: str = "rank") -> DataFrame:
+          rank_col: str = "rank", parts: int = 1) -> DataFrame:
     """E1+E2: ``row_number`` per group by score desc, tie by ``tie`` asc.
 
     The ``rank <= k`` filter lets Spark plan a partial ``WindowGroupLimit``
     before the shuffle, so at most partitions x groups x k rows move.
+
+    ``parts`` tells in how many partitions a group's rows may lie.  Beyond
+    ``MERGE_PARTS`` the limits merge in two levels: first by group and slice
+    (a hash of ``tie``; about the root of ``parts`` slices), so no task gets more
+    than slices x k rows of one group.
     """
+    if k is not None and parts > MERGE_PARTS:
+        group_cols = [group] if isinstance(group, str) else list(group)
+        df = (df.withColumn("__slice", F.pmod(F.xxhash64(tie), F.lit(math.isqrt(parts))))
+              .withColumn("__at", F.row_number().over(rank_window([*group_cols, "__slice"], score, tie)))
+              .filter(F.col("__at") <= k).drop("__slice", "__at"))
     ranked = df.withColumn(rank_col, F.row_number().over(rank_window(group, score, tie)))
     if k is not None:
         ranked = ranked.filter(F.col(rank_col) <= k)

@@ -24,8 +24,7 @@ from quarry.operators import index as ix
 from quarry.operators import keywords as kw
 from quarry.operators import rerank as rr
 from quarry.operators import retrieve as rt
-from quarry.operators.util import content_key, top_k
-from quarry.session import temporary_path
+from quarry.operators.util import content_key, stored, top_k
 from quarry.sources import runs as runs_io
 
 DEPTH = 1000
@@ -37,25 +36,13 @@ def _names(prefix: str, systems: list[str], sample_size: int | None) -> list[str
     return [f"{prefix}_{s}_sample_{sample_size}_queries" for s in systems]
 
 
-def once(run: DataFrame) -> DataFrame:
-    """The run, written to the shared folder and read from there: metrics,
-    feedback and re-ranking take it from there instead of retrieving again.
-    At most topics x depth rows."""
-    spark = run.sparkSession
-    path = temporary_path(spark, "run")
-    run.write.parquet(path)
-    out = spark.read.schema(run.schema).parquet(path)
-    out._once = True
-    return out
-
-
 def lazily(make: Callable[[], DataFrame]) -> Callable[[], DataFrame]:
     """``make``'s run, made and written at the first call."""
     made = []
 
     def run():
         if not made:
-            made.append(once(make()))
+            made.append(stored(make(), "run"))
         return made[0]
     return run
 
@@ -75,8 +62,7 @@ def evaluate_systems(systems: list[tuple[str, Callable[[], DataFrame]]], qrels:
                                 docno_type=qrels.schema["docno"].dataType.simpleString())
             run = run.drop("name")
         else:
-            run = make()
-            run = run if getattr(run, "_once", False) else once(run)
+            run = stored(make(), "run")      # metrics, feedback and re-ranking read it from there
         parts.append(run.select("qid", "docno", "rank").withColumn("name", F.lit(name)))
     union = parts[0]
     for p in parts[1:]:

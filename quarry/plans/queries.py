@@ -288,6 +288,13 @@ def rake_keywords(spark, sf_dir):
     return kw.rake_keywords(tables.corpus(spark, sf_dir))
 
 
+@query("similarity_keywords", None)
+def similarity_keywords(spark, sf_dir):
+    """Keywords of every document by similarity to its vector, both learned from the documents.
+    SQL has no such training; tests hold the ranking against numpy."""
+    return kw.keywords_extractor(tables.corpus(spark, sf_dir), method="bert")
+
+
 @query("thesaurus_expand", O.with_(O.corpus_cte(), O.rake_ctes("corpus"), O.thesaurus_ctes("corpus", "rk"))
        + " SELECT docno, kw_rank, keyword, array_to_string(synonyms, '|') AS synonyms FROM th")
 def thesaurus_expand(spark, sf_dir):
@@ -769,3 +776,76 @@ def row_counts(spark, sf_dir):
         c = df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("name"), "n")
         out = c if out is None else out.unionByName(c)
     return out
+
+
+# ------------------------------------------- cases that the plain tables never reach
+_GRADED = (O.qrels_cte("flat") + ",\ngraded AS (SELECT qid, docno, iteration, CAST(1 + docno % 3 AS INTEGER) AS relevance FROM flat)")
+
+
+@query("metrics_graded", O.with_(O.corpus_cte(), O.topics_cte(), O.index_ctes(), O.query_terms_cte("qt", "topics"),
+                                 O.retrieve_ctes("run", "qt", "BM25", DEPTH), _GRADED, O.metrics_ctes("run", "graded"))
+       + f" SELECT i.qid, {O.metric_select()} FROM m_i i LEFT JOIN m_a USING (qid)")
+def metrics_graded(spark, sf_dir):
+    """Judgments of grades 1 to 3 (by document id), so gains and ideals differ from hits."""
+    graded = tables.qrels(spark, sf_dir).withColumn("relevance", (1 + F.col("docno") % 3).cast("int"))
+    return ev.per_query(_bm25_run(spark, sf_dir), graded, tables.topics(spark, sf_dir))
+
+
+@query("ap_below_run_depth", O.with_(O.corpus_cte(), O.topics_cte(), O.index_ctes(), O.query_terms_cte("qt", "topics"),
+                                     O.retrieve_ctes("full", "qt", "TF_IDF", DEPTH), O.qrels_cte(),
+                                     "run AS (SELECT * FROM full WHERE rank <= 2)", O.metrics_ctes("run", "qrels"))
+       + " SELECT i.qid, round(coalesce(ap_sum, 0) / num_rel, 6) AS ap FROM m_i i LEFT JOIN m_a USING (qid)")
+def ap_below_run_depth(spark, sf_dir):
+    """Average precision cut at rank 2 of a run of depth 1,000."""
+    run = rt.tf_idf(indexes.basic_index(spark, sf_dir), _qterms(spark, sf_dir), k=DEPTH)
+    return ev.per_query(run, tables.qrels(spark, sf_dir), tables.topics(spark, sf_dir), ap_cut=2).select("qid", "ap")
+
+
+@query("exp1_sample_10", _exp_sql([O.corpus_cte(), O.topics_cte(),
+                                   _SAMPLE.replace(f"LIMIT {co.SAMPLE_SIZE}", "LIMIT 10"), O.index_ctes(),
+                                   O.query_terms_cte("qt", "stopics")] + _four_sql("qt"),
+                                  _four_runs("experiment1", lambda s: f"'{s}_sample_10_queries'"), topics="stopics"))
+def exp1_sample_10(spark, sf_dir):
+    """Experiment 1 on a seeded sample of 10 topics, fewer than there are."""
+    return xp.experiment_1(indexes.basic_index(spark, sf_dir), tables.topics(spark, sf_dir),
+                           tables.qrels(spark, sf_dir), sample=10)
+
+
+@query("empty_ids_dropped", O.with_(O.splits_cte()) + """
+ SELECT para_id, count(*) AS n FROM (SELECT CASE pos % 7 WHEN 0 THEN '' WHEN 1 THEN NULL ELSE para_id END AS para_id FROM splits)
+ WHERE para_id IS NOT NULL AND para_id <> '' GROUP BY para_id""")
+def empty_ids_dropped(spark, sf_dir):
+    """Records without an id go; every seventh record here has an empty one, another seventh none."""
+    rows = _union(spark, sf_dir).withColumn("para_id", F.when(F.col("pos") % 7 == 0, "").when(F.col("pos") % 7 == 1, None)
+                                            .otherwise(F.col("para_id")))
+    return co.non_empty_id(rows, "para_id").groupBy("para_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("load_array_files", """
+ SELECT CAST(row_number() OVER (PARTITION BY item_id % 2 ORDER BY item_id) - 1 AS INTEGER) AS pos,
+        CAST(item_id AS VARCHAR) AS query_id, text AS question FROM benchmark""")
+def load_array_files(spark, sf_dir):
+    """A4, A5: passages written as two JSON arrays, beside a truncated one, an object and an empty file; read as one folder."""
+    b = tables.table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("string").alias("query_id"), F.col("text").alias("question"))
+    half = F.col("query_id").cast("long") % 2
+    ordered = lambda d: d.agg(F.to_json(F.transform(F.array_sort(F.collect_list(F.struct(          # noqa: E731
+        F.col("query_id").cast("long").alias("at"), "query_id", "question"))),
+        lambda r: F.struct(r["query_id"].alias("query_id"), r["question"].alias("question")))).alias("value"))
+    path = temporary_path(spark, "arrays")
+    whole = [ordered(b.filter(half == i)) for i in (0, 1)]
+    broken = [whole[0].select(F.expr("substr(value, 1, length(value) - 3)").alias("value")),
+              whole[1].select(F.concat(F.lit('{"items": '), "value", F.lit("}")).alias("value")),
+              whole[0].select(F.lit("").alias("value"))]
+    for i, d in enumerate([*whole, *broken]):
+        d.coalesce(1).write.text(f"{path}/part{i}")
+    json_io.check_paths(spark, path)
+    return json_io.load_list_or_empty(spark, path).select("pos", "query_id", "question")
+
+
+@query("custom_tokenizer", """
+ SELECT doc_id AS docno, CAST(ceil(length(text) / CAST(3 AS DOUBLE)) AS BIGINT) AS n_tokens FROM documents""")
+def custom_tokenizer(spark, sf_dir):
+    """Lengths by a caller's tokenizer, here pieces of three characters."""
+    from quarry.functions.text import count_tokens
+    pieces = lambda s: [s[i:i + 3] for i in range(0, len(s), 3)]                                   # noqa: E731
+    return tables.corpus(spark, sf_dir).select("docno", count_tokens("text", pieces).alias("n_tokens"))

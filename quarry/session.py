@@ -86,6 +86,25 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return bool(_matches(spark, path)[1])
 
 
+def file_heads(spark: SparkSession, path: str, size: int = 256):
+    """``(file, its first bytes)`` of the files at a path, a folder or a glob,
+    by name; marker files (``_`` or ``.``) are left out."""
+    fs, found = _matches(spark, path)
+    names = []
+    for status in found:
+        files = fs.listFiles(status.getPath(), True)
+        while files.hasNext():
+            p = files.next().getPath()
+            if not p.getName().startswith(("_", ".")):
+                names.append(p.toString())
+    for name in sorted(names):
+        stream = fs.open(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name))
+        try:
+            yield name, bytes(stream.readNBytes(size))
+        finally:
+            stream.close()
+
+
 def source_key(spark: SparkSession, path: str) -> str:
     """Hash of names, lengths and times of all files below ``path``: changed
     data under one path has another key.  File metadata only."""

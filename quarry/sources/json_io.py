@@ -1,10 +1,11 @@
 """JSON sources and sinks of the benchmark collection.
 
 The reference's inputs are JSON *arrays* (one document per file).  A JSON
-array cannot be split, so ``load_list_or_empty`` parses each file in one
-task (``wholetext``) - this is the import path only.  Everything we write is
-JSON lines (splittable, one object per line), and the ``load_*`` readers
-accept both forms, so re-reading our own output is parallel.
+array cannot be split, so each file is one task, which reads it as a stream of
+tokens, element by element, and never as one string.  This is the import path
+only.  Everything we write is JSON lines (splittable, one object per line), and
+the ``load_*`` readers accept both forms, so re-reading our own output is
+parallel.
 """
 
 from __future__ import annotations
@@ -12,11 +13,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql import Window as W
 
-from quarry.session import path_exists
+from quarry.session import file_heads, path_exists
 
 S = T.StringType()
 
+# The field names of the input files.
 # Raw record of a train / validation / test split: all strings; query_id
 # may be an int or a digit string in the source and is read as a string.
 RECORD_SCHEMA = T.StructType([T.StructField(c, S) for c in (
@@ -25,33 +28,27 @@ RECORD_SCHEMA = T.StructType([T.StructField(c, S) for c in (
 COLLECTION_FIELDS = ("para_id", "context", "raw_ocr", "publication_date")
 
 
-def _whole_files(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.text(path, wholetext=True).select(F.col("value"))
-
-
 def load_list_or_empty(spark: SparkSession, path: str,
                        schema: T.StructType = RECORD_SCHEMA) -> DataFrame:
-    """A5: records of a JSON-array file as ``(pos, <schema fields>)``.
+    """A5: records of JSON-array files as ``(pos, <schema fields>)``.
 
     Missing, zero-byte, invalid-JSON and non-list files give no rows instead
     of an error; ``pos`` is the position in the array (file order).
     """
-    empty = spark.createDataFrame([], T.StructType([T.StructField("pos", T.IntegerType())]
-                                                   + list(schema.fields)))
-    if not path_exists(spark, path):
-        return empty
-    arr = F.from_json(F.col("value"), T.ArrayType(schema))
-    parsed = (_whole_files(spark, path)
-              .filter(F.ltrim(F.col("value")).startswith("["))
-              .select(F.posexplode(arr).alias("pos", "r"))
-              .select("pos", "r.*"))
-    return parsed
+    arrays = [f for f, head in file_heads(spark, path) if head.lstrip().startswith(b"[")]
+    fields = T.StructType([T.StructField("pos", T.IntegerType())] + list(schema.fields))
+    if not arrays:
+        return spark.createDataFrame([], fields)
+    rows = (spark.read.schema(schema).option("multiLine", True).option("mode", "DROPMALFORMED").json(arrays)
+            .withColumn("__file", F.input_file_name()).withColumn("__at", F.monotonically_increasing_id()))
+    of_file = W.partitionBy("__file").orderBy("__at")       # a file's rows come from one task already
+    return rows.withColumn("pos", F.row_number().over(of_file) - 1).select("pos", *[F.col(f"`{f.name}`") for f in schema.fields])
 
 
 def _holds_array(spark: SparkSession, path: str) -> bool:
     check_paths(spark, path)  # A4
-    head = spark.read.text(path).filter(F.length(F.trim("value")) > 0).first()
-    return head is not None and head[0].lstrip().startswith("[")
+    head = next((head for _, head in file_heads(spark, path) if head.strip()), b"")
+    return head.lstrip().startswith(b"[")
 
 
 def _read_records(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
