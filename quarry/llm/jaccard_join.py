@@ -17,7 +17,7 @@ giving all their pairs, that happens in rounds:
 * First each group's classes are compared with its first class, and the groups
   that share a prefix shingle with a fixed number of them (PIVOTS, chosen by
   hash).  Of a class's partners, the NEAREST by shared prefix shingles are held
-  against the bit maps, and of what those leave, PICKED pairs are verified.
+  against the bit maps, and what those leave is verified.
   TURNS such rounds compare only what is not in one component yet.
 * The last round compares everything that shares a prefix shingle (or a group)
   and is not in one component yet.
@@ -41,8 +41,7 @@ FREQUENT = 16           # documents from which on a shingle comes last
 CHUNK = 8 << 20         # shingles that a task counts at a time
 FREQUENT_MAX = 1 << 20  # size bound of the broadcast table of frequent ones
 PIVOTS, TURNS = 24, 2      # members that are compared with all others, and how often anew
-NEAREST = 4             # partners of a class that a turn compares by bit maps,
-PICKED = 2              # and verifies; the last round takes all
+NEAREST = 8             # partners of a class that a turn compares; the last round takes all
 BITS = 4                # places of a bit map a shingle, at least
 BROADCAST_ROWS = 1 << 20   # up to so many wanted rows are broadcast, else shuffled
 
@@ -277,13 +276,9 @@ def jaccard_components(docs: DataFrame, text: str = "text", key: str = "doc_id",
         close = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("c"), "b"))
         star = cut(star.withColumn("at", close).filter(F.col("at") <= NEAREST).select("a", "b"))
         maybe = cut(_possible(star, classes, percent))
-        first = F.row_number().over(Window.partitionBy("a").orderBy("b"))
-        picked = cut(maybe.withColumn("at", first).filter(F.col("at") <= PICKED).select("a", "b"))
         release(rows_)
-        found = _verified(picked, classes, docs, shingle, percent)
-        # settled: what the bit maps refuse, and what was verified
-        near = (star.join(maybe, ["a", "b"], "left_anti").union(picked)
-                .selectExpr("least(a, b) a", "greatest(a, b) b"))
+        found = _verified(maybe, classes, docs, shingle, percent)
+        near = star.selectExpr("least(a, b) a", "greatest(a, b) b")     # settled: refused or verified
         done = near if done is None else done.union(near)
         edges = found if edges is None else edges.union(found)
         label = components(edges)
