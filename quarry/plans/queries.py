@@ -792,8 +792,8 @@ def metrics_graded(spark, sf_dir):
 
 
 @query("ap_below_run_depth", O.with_(O.corpus_cte(), O.topics_cte(), O.index_ctes(), O.query_terms_cte("qt", "topics"),
-                                     O.retrieve_ctes("full", "qt", "TF_IDF", DEPTH), O.qrels_cte(),
-                                     "run AS (SELECT * FROM full WHERE rank <= 2)", O.metrics_ctes("run", "qrels"))
+                                     O.retrieve_ctes("deep", "qt", "TF_IDF", DEPTH), O.qrels_cte(),
+                                     "run AS (SELECT * FROM deep WHERE rank <= 2)", O.metrics_ctes("run", "qrels"))
        + " SELECT i.qid, round(coalesce(ap_sum, 0) / num_rel, 6) AS ap FROM m_i i LEFT JOIN m_a USING (qid)")
 def ap_below_run_depth(spark, sf_dir):
     """Average precision cut at rank 2 of a run of depth 1,000."""
