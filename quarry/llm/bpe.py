@@ -36,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import worker_memo
+from .common import give_back, worker_memo
 
 BLOCK_BYTES = 32 << 20
 
@@ -154,6 +154,8 @@ def pack_blocks(docs: DataFrame, special: re.Pattern, text: str = "text", key: s
                     ids, lens, index, size, places, n = [], [], [], 0, _Places(), n + 1
         if ids:
             yield _pack(base + n, ids, lens, places, index)
+        del ids, lens, index, places
+        give_back()
 
     return (docs.select(F.col(key).cast("long"), F.col(text).cast("string").alias("text"))
             .mapInArrow(pack, "block long, vocab binary, body binary").repartition("block"))
@@ -255,6 +257,9 @@ def encode_decode(docs: DataFrame, tokenizer_json: str, text: str = "text", key:
             decimal = [str(x[0]) if len(x) == 1 else " ".join(map(str, x)) for x in each] if digest else None
             del listed_ids, each
             block(body, size, start, flat, texts, decimal, doc_ids, n, a, b)
+            del texts, decimal, flat, coded
+        del known
+        give_back()
         return pa.table({key: pa.array(doc_ids, pa.int64()), "n_tokens": pa.array(n, pa.int64()),
                          **({"ids_sha256": pa.array(a, pa.string()), "decoded_sha256": pa.array(b, pa.string())}
                             if digest else

@@ -16,6 +16,7 @@ import gc
 import sys
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 from quarry.session import scratch_path
 
 #: Bytes of words and their hashes that a worker remembers before it starts anew.
-CACHE_BYTES = 32 << 20
+CACHE_BYTES = 24 << 20
 ENTRY_BYTES = 130       # of an entry beside its word
 LONG_WORD = 64          # bytes from which on a word is hashed anew each time
 #: Spark removes the shuffle files of a query when it ends.
@@ -125,21 +126,30 @@ def worker_memo(owner: str, key, make):
     if memo.get("owner") != owner:
         if memo:
             memo.clear()
-            _give_back()
+            give_back()
         memo["owner"] = owner
     if ("of", key) not in memo:
         memo["of", key] = make()
     return memo["of", key]
 
 
-def _give_back() -> None:
+def give_back() -> None:
+    """Return what the worker no longer uses: Arrow's pool and the C library
+    keep freed memory otherwise, and later tasks of any operator pay for it."""
     gc.collect()
+    pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)
     except (OSError, AttributeError):       # no such C library: the memory is used again, not returned
         pass
 
 
+def texts_of(column):
+    """The texts of a column; only a few at a time are Python strings."""
+    for at in range(0, len(column), 256):
+        yield from column.slice(at, 256).to_pylist()
+
+
 class _WordHashes(dict):
     size = 0
 

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, cut, mix, release, row_key, shingles, word_hashes, words
+from .common import components, cut, give_back, mix, release, row_key, shingles, texts_of, word_hashes, words
 
 SHINGLE, PERCENT = 4, 85
 FREQUENT = 16           # documents from which on a shingle comes last
@@ -101,7 +101,7 @@ def _frequent(docs: DataFrame, k: int) -> np.ndarray:
     def rows(batches):
         held, size = [], 0
         for b in batches:
-            for t in b.column(0).to_pylist():
+            for t in texts_of(b.column(0)):
                 held.append(_short(shingles(word_hashes(words(t, lower=True)), k)))
                 size += len(held[-1])
                 if size >= CHUNK:
@@ -109,6 +109,8 @@ def _frequent(docs: DataFrame, k: int) -> np.ndarray:
                     held, size = [], 0
         if held:
             yield repeated(held)
+        del held
+        give_back()
 
     got = (docs.select("text").mapInArrow(rows, "shingle int, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
            .filter(F.col("n") >= FREQUENT)
@@ -123,7 +125,7 @@ def _coded(docs: DataFrame, k: int, percent: int, frequent) -> DataFrame:
         often = frequent.value
         for b in batches:
             cids, ns, gids, prefixes, bits = [], [], [], [], []
-            for t in b.column(2).to_pylist():
+            for t in texts_of(b.column(2)):
                 s = shingles(word_hashes(words(t, lower=True)), k)
                 n = len(s)
                 ns.append(n)
@@ -140,6 +142,7 @@ def _coded(docs: DataFrame, k: int, percent: int, frequent) -> DataFrame:
                 "doc_id": b.column(0), "rid": b.column(1), "n": pa.array(ns, pa.int64()), "cid": pa.array(cids, pa.int64()),
                 "gid": pa.array(gids, pa.int64()), "prefix": pa.array(prefixes, pa.list_(pa.int64())),
                 "bits": pa.array(bits, pa.binary())})
+        give_back()
 
     return docs.select("doc_id", "rid", "text").mapInArrow(
         rows, "doc_id long, rid long, n long, cid long, gid long, prefix array<long>, bits binary")
@@ -204,7 +207,7 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, per
 
     def sets(batches):
         for b in batches:
-            got = [shingles(word_hashes(words(t, lower=True)), k).tobytes() for t in b.column(1).to_pylist()]
+            got = [shingles(word_hashes(words(t, lower=True)), k).tobytes() for t in texts_of(b.column(1))]
             yield pa.record_batch({"cid": b.column(0), "set": pa.array(got, pa.binary())})
 
     has = cut(texts.mapInArrow(sets, "cid long, set binary"))

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, row_key, worker_memo
+from .common import cut, give_back, row_key, texts_of, worker_memo
 
 TRAIN_ROWS, MAX_GRAMS = 400, 50_000
 TEMPER = 1 / 3          # a trigram shares two characters with the next
@@ -196,13 +196,14 @@ def identify(rows: DataFrame, model: dict, keep: list[str], text: str = "text",
         scorer = slot[token]
         for b in batches:
             ll, p = [], []
-            for t in b.column(b.num_columns - 1).to_pylist():
+            for t in texts_of(b.column(b.num_columns - 1)):
                 s = scorer.score(visible(t) if html else t) if t else None
                 ll.append(None if s is None else s.tolist())
                 p.append(None if s is None else soft(s).tolist())
             kind = pa.list_(pa.float64())
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(ll, kind), pa.array(p, kind)],
                                              names=[f.name for f in fields])
+        give_back()
 
     seen = cut(base.mapInArrow(likelihoods, T.StructType(fields)))
 
