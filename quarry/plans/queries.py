@@ -413,24 +413,24 @@ def _vectors(spark, sf_dir):
                                                 F.col("embedding").alias("vec"), "label")
 
 
-_QV_CTE = "qv AS (SELECT docno AS qid, vec FROM vecs WHERE docno % 20 = 0)"
+_QV_CTE = "qv AS (SELECT docno AS qid, vec FROM vecs)"
 
 
 def _asking(v):
-    """Every twentieth vector asks, all answer."""
-    return v.filter(F.col("docno") % 20 == 0).withColumnRenamed("docno", "qid")
+    """Every vector asks, all answer."""
+    return v.withColumnRenamed("docno", "qid")
 
 
 @query("dense_topk", O.with_(_VEC_CTE, _QV_CTE, O.dense_topk_ctes("run", "vecs", "qv", de.DEPTH))
        + " SELECT qid, docno, score, rank FROM run")
 def dense_topk(spark, sf_dir):
-    """H7: vectors whose id is divisible by 20 query the whole vector table (top 1000)."""
+    """H7: every vector queries the whole vector table (top 1000)."""
     v = _vectors(spark, sf_dir)
     return de.exhaustive_topk(v, _asking(v), de.DEPTH)
 
 
 @query("dense_label_metrics", O.with_(_VEC_CTE, _QV_CTE, O.dense_topk_ctes("run", "vecs", "qv", de.DEPTH),
-                                      "ql AS (SELECT docno AS qid, label FROM vecs WHERE docno % 20 = 0)",
+                                      "ql AS (SELECT docno AS qid, label FROM vecs)",
                                       O.label_metrics_ctes("run", "vecs", "ql"))
        + f" SELECT i.qid, {O.metric_select()} FROM lm_i i LEFT JOIN lm_a USING (qid)")
 def dense_label_metrics(spark, sf_dir):

@@ -63,3 +63,16 @@ def test_dense_index_reopen_in_fresh_catalog(spark, scratch):
     de.build_dense_index(docs, path, de.hashed_encoder(4), buckets=5)   # some buckets empty
     spark.sql(f"DROP TABLE IF EXISTS {_table_name(path, 'vectors')}")   # as in a new session
     assert sorted(r.docno for r in de.open_dense_index(spark, path).collect()) == [1, 2]
+
+
+def test_every_vector_asks(spark):
+    """No query of the registered searches is left out, in Spark or in SQL."""
+    import __spark_entry__ as E
+    from quarry.plans import queries as q
+    from quarry.sources import tables
+    n = tables.vectors(spark, "/root/testdata/sf0.001").count()
+    ql = q._asking(q._vectors(spark, "/root/testdata/sf0.001"))
+    assert n > 20 and ql.select("qid").distinct().count() == n
+    for name in ("dense_topk", "dense_label_metrics"):
+        assert E.queries()[name](spark, "/root/testdata/sf0.001").select("qid").distinct().count() == n
+        assert "% 20" not in E.oracle_sql()[name]
