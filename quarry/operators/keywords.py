@@ -11,9 +11,8 @@ RAKE (Rose et al. 2010), per document:
 * keywords: walk ranked phrases word by word, skip repeats, keep the first
   ``max_keywords`` (default 3).
 
-Every step is a window or aggregate keyed by ``docno``, so after one
-shuffle by document (none if the input is bucketed by ``docno``) the work
-is document-local and scales with the number of documents.
+Every step works inside the arrays of one document, so after one shuffle by
+document the work is document-local and scales with the number of documents.
 
 Sense choice (Lesk 1986) uses a thesaurus table
 ``(lemma, sense_id, gloss, members array<string>)``: among the keyword's
@@ -32,12 +31,15 @@ from pyspark.sql import Window as W
 
 from quarry.functions.stopwords import ENGLISH_STOP_WORDS
 from quarry.functions.text import WHITESPACE_CLASS
-from quarry.operators.util import BROADCAST_MAX_BYTES, SCORE_DECIMALS, broadcast_if_small, known_size
+from quarry.operators.index import auto_doc_buckets
+from quarry.operators.util import (BROADCAST_MAX_BYTES, SCORE_DECIMALS, broadcast_if_small, known_size, run_end,
+                                   run_starts)
 
 MAX_KEYWORDS = 3
 MAX_SYNONYMS = 2
 METHODS = ("rake", "bert")
 SAMPLE_DOCS = 20_000    # documents that term vectors are learned from, at most
+PART_BYTES = 8 << 20    # of input in a part of ``by_document``
 SPLITS = 16             # of a term in the join with its vector, where that is no broadcast
 
 _WORD = r"[\p{L}\p{N}]+"
@@ -48,17 +50,29 @@ _MARK = "\x01"      # ends a phrase; no word holds it
 
 def by_document(docs: DataFrame, docno: str = "docno", text: str = "text") -> DataFrame:
     """``(docno, text)`` dealt by document.  Steps that start from the same
-    frame share its one shuffle."""
-    return docs.select(F.col(docno).alias("docno"), F.col(text).alias("text")).repartition("docno")
+    frame share its one shuffle.  The work on a text is far more than its bytes
+    tell, so the number of parts is not left to Spark's merging by bytes."""
+    parts = auto_doc_buckets(docs, PART_BYTES)
+    return docs.select(F.col(docno).alias("docno"), F.col(text).alias("text")).repartition(parts, "docno")
 
 
 def _phrase_texts(text, stop_words):
     """Phrases of a text, each its words parted by a space: every token that
-    ends a phrase becomes a mark, and the text is split there."""
+    ends a phrase becomes a mark, and the text is split at the marks."""
     stops = list(stop_words)
     toks = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(RAKE_TOKEN), 1)
     marked = F.transform(toks, lambda t: F.when(t.rlike("^" + _WORD + "$") & ~t.isin(stops), t).otherwise(_MARK))
-    return F.filter(F.split(F.array_join(marked, " "), f"(?: ?{_MARK})+ ?"), lambda p: p != "")
+    # (one mark at a time: Java's regex recurses for every turn of a repeated group, and long runs of
+    # stop words end in a stack overflow)
+    return F.filter(F.transform(F.split(F.array_join(marked, " "), _MARK), lambda p: F.trim(p)), lambda p: p != "")
+
+
+def _phrase_words(text, stop_words):
+    """``array<struct<tok, phrase, pos, plen>>``: the words of all phrases of a text."""
+    return F.flatten(F.transform(
+        F.transform(_phrase_texts(text, stop_words), lambda p: F.split(p, " ")),
+        lambda ws, j: F.transform(ws, lambda w, k: F.struct(
+            w.alias("tok"), j.alias("phrase"), k.alias("pos"), F.size(ws).alias("plen")))))
 
 
 def rake_keywords(docs: DataFrame, docno: str = "docno", text: str = "text",
@@ -66,30 +80,43 @@ def rake_keywords(docs: DataFrame, docno: str = "docno", text: str = "text",
                   stop_words=ENGLISH_STOP_WORDS, dealt: bool = False) -> DataFrame:
     """``(docno, kw_rank, keyword)``, at most ``max_keywords`` per document.
 
-    Documents (not their many words) are shuffled by ``docno`` once, unless
-    ``docs`` comes from ``by_document`` (``dealt``); every window and aggregate
-    below is then partition-local."""
+    Documents are shuffled by ``docno`` once, unless ``docs`` comes from
+    ``by_document`` (``dealt``).  Words never become rows: they are sorted
+    inside their document's arrays, once by word for the word scores and once
+    by phrase, so a task holds few documents at a time and nothing spills."""
     d = docs if dealt else by_document(docs, docno, text)
-    # (the outer form: Spark would put a filter on the phrases below the shuffle, and work them out twice)
-    words = (d.select("docno", F.posexplode_outer(_phrase_texts(F.col("text"), stop_words)).alias("phrase", "ptext"))
-             .select("docno", "phrase", F.split("ptext", " ").alias("w"))
-             .select("docno", "phrase", F.size("w").alias("plen"), F.posexplode("w").alias("pos", "tok")))
-    per_word = W.partitionBy("docno", "tok")
-    words = words.withColumn("wscore", F.sum("plen").over(per_word) / F.count(F.lit(1)).over(per_word))
-    phrases = (words.groupBy("docno", "phrase")
-               .agg(F.round(F.sum("wscore"), SCORE_DECIMALS).alias("score"),
-                    F.array_sort(F.collect_list(F.struct("pos", "tok"))).alias("ws"))
-               .select("docno", "score", F.col("phrase").alias("first_pos"),
-                       F.transform("ws", lambda s: s["tok"]).alias("words")))
-    ranked = phrases.withColumn("prank", F.row_number().over(
-        W.partitionBy("docno").orderBy(F.col("score").desc(),
-                                       F.array_join("words", " ").desc(), "first_pos")))
-    walk = (ranked.select("docno", "prank", F.posexplode("words").alias("widx", "keyword"))
-            .groupBy("docno", "keyword").agg(F.min(F.struct("prank", "widx")).alias("first")))
-    return (walk.withColumn("kw_rank", F.row_number().over(
-                W.partitionBy("docno").orderBy("first")))
-            .filter(F.col("kw_rank") <= max_keywords)
-            .select("docno", "kw_rank", "keyword"))
+    words = F.flatten(F.transform("texts", lambda t: _phrase_words(t, stop_words)))
+    score = lambda s, e: (F.aggregate(F.sequence(s, e - 1), F.lit(0).cast("long"),                      # noqa: E731
+                                      lambda acc, i: acc + F.get("by_word", i)["plen"].cast("long")) / (e - s))
+    phrase = lambda s, e: F.struct(                                                                      # noqa: E731
+        F.round(F.aggregate(F.sequence(s, e - 1), F.lit(0.0), lambda acc, i: acc + F.get("by_phrase", i)["wscore"]),
+                SCORE_DECIMALS).alias("score"),
+        F.array_join(F.transform(F.sequence(s, e - 1), lambda i: F.get("by_phrase", i)["tok"]), " ").alias("ptext"),
+        (-F.get("by_phrase", s)["phrase"]).alias("before"))
+    ranked = (_texts(d)
+              .select("docno", F.array_sort(words).alias("by_word"))
+              .select("docno", "by_word", run_starts("by_word", "tok").alias("at"))
+              .select("docno", "by_word", F.transform("at", lambda s, j: F.struct(
+                  s.alias("s"), run_end("by_word", "at", j).alias("e"))).alias("runs"))
+              .select("docno", F.array_sort(F.flatten(F.transform(
+                  F.transform("runs", lambda r: F.struct(r["s"].alias("s"), r["e"].alias("e"), score(r["s"], r["e"]).alias("wscore"))),
+                  lambda r: F.transform(F.sequence(r["s"], r["e"] - 1), lambda i: F.struct(
+                      F.get("by_word", i)["phrase"].alias("phrase"), F.get("by_word", i)["pos"].alias("pos"),
+                      F.get("by_word", i)["tok"].alias("tok"), r["wscore"].alias("wscore")))))).alias("by_phrase"))
+              .select("docno", "by_phrase", run_starts("by_phrase", "phrase").alias("at"))
+              # falling score, then falling text, then the phrase that comes first
+              .select("docno", F.sort_array(F.transform("at", lambda s, j: phrase(
+                  s, run_end("by_phrase", "at", j))), asc=False).alias("phrases")))
+    walk = F.array_distinct(F.flatten(F.transform("phrases", lambda p: F.split(p["ptext"], " "))))
+    # (the outer form: Spark would put a filter on the array below, and work it out twice)
+    return (ranked.select("docno", F.posexplode_outer(F.slice(walk, 1, max_keywords)).alias("pos", "keyword"))
+            .filter(F.col("keyword").isNotNull())
+            .select("docno", (F.col("pos") + 1).alias("kw_rank"), "keyword"))
+
+
+def _texts(d: DataFrame) -> DataFrame:
+    """``(docno, texts)``: one row a document, also where an id repeats."""
+    return d.groupBy("docno").agg(F.collect_list(F.coalesce("text", F.lit(""))).alias("texts"))
 
 
 def keywords_extractor(docs: DataFrame, max_keywords: int = MAX_KEYWORDS, method: str = "rake",
@@ -140,11 +167,13 @@ def similarity_keywords(docs: DataFrame, term_vectors: DataFrame, doc_vectors: D
     each term, as a common term stands in nearly every document.
     """
     from quarry.functions.text import tokens
-    terms = (docs.select(F.col(docno).alias("docno"), F.explode(F.array_distinct(
-        tokens(F.col(text))).alias("t")).alias("term")))
     norm = lambda c: F.sqrt(F.aggregate(c, F.lit(0.0), lambda s, x: s + x * x))           # noqa: E731
     tv = term_vectors.select("term", F.col("vec").alias("tv"), norm(F.col("vec")).alias("tn"))
     dv = doc_vectors.select(F.col("docno"), F.col("vec").alias("dv"), norm(F.col("vec")).alias("dn"))
+    # the document's vector meets its text, not each of its terms with their vectors: only terms and
+    # similarities stay by document after that
+    terms = (docs.select(F.col(docno).alias("docno"), F.col(text).alias("text")).join(dv, "docno")
+             .select("docno", "dv", "dn", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term")))
     if known_size(tv)[1] <= BROADCAST_MAX_BYTES:
         found = terms.join(F.broadcast(tv), "term")
     else:
@@ -152,7 +181,7 @@ def similarity_keywords(docs: DataFrame, term_vectors: DataFrame, doc_vectors: D
         tv = tv.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SPLITS - 1).cast("long"))))
         found = terms.join(tv, ["term", "part"]).drop("part")
     dot = F.aggregate(F.zip_with("tv", "dv", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
-    scored = found.join(dv, "docno").select(
+    scored = found.select(
         "docno", "term", F.round(F.coalesce(F.try_divide(dot, F.col("tn") * F.col("dn")), F.lit(0.0)), SCORE_DECIMALS).alias("sim"))
     return (scored.withColumn("kw_rank", F.row_number().over(
                 W.partitionBy("docno").orderBy(F.col("sim").desc(), "term")))
@@ -170,23 +199,26 @@ def thesaurus_expansion(docs: DataFrame, keywords: DataFrame, thesaurus: DataFra
     """
     th = broadcast_if_small(thesaurus.select(F.lower("lemma").alias("lemma"), "sense_id",
                                              "gloss", "members"))
-    ctx = docs.select(F.col(docno).alias("docno"), F.array_distinct(F.regexp_extract_all(
-        F.coalesce(F.col(text), F.lit("")), F.lit(RAKE_TOKEN), 1)).alias("ctx"))
-    senses = (keywords.join(th, F.lower(keywords["keyword"]) == th["lemma"])
-              .join(ctx, "docno")
-              .withColumn("overlap", F.size(F.array_intersect(
-                  F.split(F.trim(F.col("gloss")), WHITESPACE_CLASS + "+"), F.col("ctx")))))
-    best = (senses.withColumn("r", F.row_number().over(
-                W.partitionBy("docno", "kw_rank").orderBy(F.col("overlap").desc(),
-                                                         F.col("sense_id").desc())))
+    texts = _texts(docs.select(F.col(docno).alias("docno"), F.col(text).alias("text")))
+    ctx = lambda t: F.array_distinct(F.regexp_extract_all(t, F.lit(RAKE_TOKEN), 1))       # noqa: E731
+    gloss = F.split(F.trim(F.col("gloss")), WHITESPACE_CLASS + "+")
+    # texts are joined as they are and read only where a keyword has a sense
+    senses = (keywords.select("docno", "kw_rank", "keyword").join(th, F.lower("keyword") == F.col("lemma"), "left")
+              .join(texts, "docno", "left")
+              .select("docno", "kw_rank", "keyword", "sense_id", "members",
+                      (F.col("lemma").isNotNull() & F.col("texts").isNotNull()).alias("found"),
+                      F.when(F.col("lemma").isNotNull(), F.array_max(F.transform("texts", lambda t: F.size(
+                          F.array_intersect(gloss, ctx(t)))))).alias("overlap")))
+    synonyms = F.slice(F.array_distinct(F.transform(
+        F.filter("members", lambda m: F.lower(m) != F.lower(F.col("keyword"))),
+        lambda m: F.regexp_replace(m, "_", " "))), 1, max_synonyms)
+    none = F.array().cast("array<string>")
+    return (senses.withColumn("r", F.row_number().over(
+                W.partitionBy("docno", "kw_rank", "keyword").orderBy(F.col("found").desc(), F.col("overlap").desc(),
+                                                                    F.col("sense_id").desc())))
             .filter(F.col("r") == 1)
             .select("docno", "kw_rank", "keyword",
-                    F.slice(F.array_distinct(F.transform(
-                        F.filter("members", lambda m: F.lower(m) != F.lower(F.col("keyword"))),
-                        lambda m: F.regexp_replace(m, "_", " "))), 1, max_synonyms).alias("synonyms")))
-    return (keywords.join(best.select("docno", "kw_rank", "synonyms"), ["docno", "kw_rank"], "left")
-            .select("docno", "kw_rank", "keyword",
-                    F.coalesce("synonyms", F.array().cast("array<string>")).alias("synonyms")))
+                    F.coalesce(F.when(F.col("found"), synonyms), none).alias("synonyms")))
 
 
 def expansion_text(expanded: DataFrame) -> DataFrame:

@@ -104,6 +104,20 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def run_starts(array: str, field: str | None = None) -> Column:
+    """Indexes at which a run of equal values begins in a sorted array column
+    (of the values' ``field``).  Elements are read in place, so this is linear."""
+    at = lambda i: F.get(array, i) if field is None else F.get(array, i)[field]            # noqa: E731
+    return F.when(F.size(array) > 0, F.filter(
+        F.sequence(F.lit(0), F.size(array) - 1), lambda i: (i == 0) | (at(i) != at(i - 1)))
+    ).otherwise(F.array().cast("array<int>"))
+
+
+def run_end(array: str, starts: str, j: Column) -> Column:
+    """Index after the ``j``-th of the runs that ``run_starts`` gave as ``starts``."""
+    return F.coalesce(F.get(starts, j + 1), F.size(array))
+
+
 def round_score(c: Column | str) -> Column:
     c = F.col(c) if isinstance(c, str) else c
     return F.round(c.cast("double"), SCORE_DECIMALS)

@@ -2,6 +2,7 @@ from quarry.operators import keywords as kw
 from quarry.sources import thesaurus as th
 
 import pytest
+from pyspark.sql import functions as F
 
 
 def test_rake_two_sentences(spark):
@@ -50,3 +51,18 @@ def test_expand_queries_keeps_original(spark):
     r = kw.expand_queries(topics, t).first()
     assert r.query_0 == "der Hund und die Katze"
     assert r.query.startswith(r.query_0 + " ")
+
+
+def test_rake_of_long_runs_of_stop_words(spark):
+    """A regex with a repeated group overflowed the stack on such a text."""
+    text = "alpha beta " + "the " * 30_000 + "gamma"
+    docs = spark.createDataFrame([(1, text), (1, text), (None, "delta")], "docno int, text string")
+    got = sorted((r.docno or 0, r.kw_rank, r.keyword) for r in kw.rake_keywords(docs).collect())
+    assert got == [(0, 1, "delta"), (1, 1, "alpha"), (1, 2, "beta"), (1, 3, "gamma")]
+
+
+def test_rake_keeps_words_in_arrays(spark):
+    """Words as rows were sorted, hashed and spilled; now a document is one row until its keywords."""
+    docs = spark.range(1, 50).select(F.col("id").alias("docno"), F.lit("red fox. the lazy dog").alias("text"))
+    plan = kw.rake_keywords(docs)._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and plan.count("Exchange hashpartitioning") == 1
