@@ -52,7 +52,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions.stopwords import ENGLISH_STOP_WORDS
 from quarry.functions.text import tokens
-from quarry.operators.util import known_size, known_values, stored
+from quarry.operators.util import known_size, known_values, run_end, run_starts, stored
 from quarry.session import path_exists
 
 DEFAULT_TERM_BUCKETS = 16
@@ -62,8 +62,9 @@ B_LENGTH = 0.75
 # Steps of the impact ladder of the lexicon.
 LADDER = tuple(round(0.1 * 1.4 ** i, 6) for i in range(16))
 # Input bytes per document bucket when the bucket count is derived from the
-# size of the input (Catalyst's estimate of the scanned files).
-TARGET_BUCKET_BYTES = 256 * 1024 * 1024
+# size of the input (Catalyst's estimate of the scanned files).  A task sorts all
+# postings of a bucket, several times its text, in memory.
+TARGET_BUCKET_BYTES = 32 * 1024 * 1024
 
 
 def auto_doc_buckets(docs: DataFrame, target_bytes: int = TARGET_BUCKET_BYTES) -> int:
@@ -167,7 +168,7 @@ def build_index(docs: DataFrame, path: str, fields=("text",), docno: str = "docn
     """Index ``fields`` of ``docs`` (field i gets number i).
 
     ``store=False`` keeps no copy of the text (no ``get_text``), as for the
-    keyword-only and two-field indexes.  ``doc_buckets`` defaults to ``auto_doc_buckets`` (one bucket per ~256 MB
+    keyword-only and two-field indexes.  ``doc_buckets`` defaults to ``auto_doc_buckets`` (one bucket per ~32 MB
     of input, at least the session's cores); ``term_buckets`` partitions
     postings and lexicon by term hash for partition pruning.
 
@@ -207,16 +208,17 @@ def build_index(docs: DataFrame, path: str, fields=("text",), docno: str = "docn
     else:
         src = hashed
 
-    # 2. bucket-local tokenising and tf counting; a document's terms are put
-    #    together again where they are.  Empty fields keep a row of length 0.
+    # 2. bucket-local tokenising; a document's terms are sorted and counted in its
+    #    array and never become rows here.  Empty fields keep a row of length 0.
     per_field = F.inline(F.array(*[
         F.struct(F.lit(i).alias("field"), tokens(F.col(f), stop_words, stem).alias("toks"))
         for i, f in enumerate(fields)]))
     (src.select("docno", per_field)
-        .select("docno", "field", F.size("toks").alias("dl"), F.explode_outer("toks").alias("term"))
-        .groupBy("docno", "field", "term", "dl").agg(F.count(F.lit(1)).alias("tf"))
-        .groupBy("docno", "field", "dl")
-        .agg(F.collect_list(F.when(F.col("term").isNotNull(), F.struct("term", "tf"))).alias("terms"))
+        .groupBy("docno", "field", F.size("toks").alias("dl"))
+        .agg(F.array_sort(F.flatten(F.collect_list("toks"))).alias("toks"))
+        .select("docno", "field", "dl", "toks", run_starts("toks").alias("at"))
+        .select("docno", "field", "dl", F.transform("at", lambda s, j: F.struct(
+            F.get("toks", s).alias("term"), (run_end("toks", "at", j) - s).cast("long").alias("tf"))).alias("terms"))
         .write.mode("overwrite").format("parquet")
         .bucketBy(B, "docno").sortBy("docno")
         .option("path", f"{path}/forward").saveAsTable(_table_name(path, "forward")))
@@ -240,7 +242,8 @@ def build_index(docs: DataFrame, path: str, fields=("text",), docno: str = "docn
     post = spark.table(_table_name(path, "postings"))
 
     # 4. lexicon: fields of one document are added up bucket-locally, then one
-    #    partial-aggregated shuffle by term, written from there.
+    #    partial-aggregated shuffle by term, written from there (a term bucket has
+    #    a file of each task, so no task holds a whole one).
     ntfs = [F.when(F.col("field") == i, F.col("ntf")).alias(f"ntf{i}") for i in range(len(fields))]
     terms = post.select("docno", "term_bucket", "term", "tf", *ntfs)
     if len(fields) > 1:
@@ -255,7 +258,7 @@ def build_index(docs: DataFrame, path: str, fields=("text",), docno: str = "docn
         .agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"),
              *[F.max(f"ntf{i}").alias(f"max{i}") for i in range(len(fields))], *reach)
         .select("term", "df", "cf", impacts.alias("impacts"), "term_bucket")
-        .repartition("term_bucket").sortWithinPartitions("term_bucket", "term")     # one file a bucket, sorted
+        .sortWithinPartitions("term_bucket", "term")
         .write.mode("overwrite").format("parquet").partitionBy("term_bucket")
         .option("path", f"{path}/lexicon").saveAsTable(_table_name(path, "lexicon")))
 

@@ -201,3 +201,14 @@ def test_judgments_are_linear_in_a_document(spark):
     start = time.time()
     assert [(r.qid, r.docno) for r in containment_qrels(docs, p).collect()] == [(1, 1)]
     assert time.time() - start < 20
+
+
+def test_documents_that_repeat_are_one_in_the_index(spark):
+    """Same id and length: frequencies add up; terms are counted in sorted arrays, the lexicon has many files a bucket."""
+    from quarry.session import scratch_path
+    docs = spark.createDataFrame([(1, "b a b"), (1, "b c c"), (2, ""), (None, "a")], "docno long, text string")
+    idx = ix.build_index(docs, scratch_path(spark, "repeats"), doc_buckets=2, term_buckets=2, stop_words=None)
+    got = {(r.docno, r.dl): sorted(map(tuple, r.terms)) for r in idx.forward.collect()}
+    assert got == {(1, 3): [("a", 1), ("b", 3), ("c", 2)], (2, 0): [], (None, 1): [("a", 1)]}
+    assert sorted(map(tuple, ix.lexicon(idx).collect())) == [("a", 2, 2), ("b", 1, 3), ("c", 1, 2)]
+    assert ix.TARGET_BUCKET_BYTES <= 64 << 20
