@@ -138,3 +138,28 @@ def max_passage(scored: DataFrame, k: int | None = None) -> DataFrame:
                           F.struct("score", (-F.col("passage_no")).alias("p"))).alias("b"))
             .select("qid", "docno", "b.score", "b.text"))
     return top_k(best, k).select("qid", "docno", "score", "text", "rank")
+
+
+def top_passages(run: DataFrame, topics: DataFrame, index: Index, n: int, length: int = LENGTH,
+                 stride: int = STRIDE, field: str = "text") -> DataFrame:
+    """The ``n`` best rows a query of ``max_passage(coverage_scores(run_passages(run)))``.
+
+    All passages of the run are scored by their terms; only those returned meet
+    their text, so the text of a document does not travel once for each query
+    that found it."""
+    from quarry.operators.index import get_text
+    run = stored(run, "run")
+
+    def cut(ids):
+        return (sliding(get_text(ids.select("docno").distinct(), index, field), length, stride)
+                .withColumn("same", F.xxhash64("text")))       # tells texts apart where an id repeats
+
+    terms = cut(run).select("docno", "passage_no", "same", F.array_distinct(index.terms(F.col("text"))).alias("terms"))
+    scored = coverage_scores(run.select("qid", "docno").join(terms, "docno"), topics, index)
+    best = (scored.groupBy("qid", "docno")
+            .agg(F.max_by(F.struct("score", "passage_no", "same"),
+                          F.struct("score", (-F.col("passage_no")).alias("p"))).alias("b"))
+            .select("qid", "docno", "b.*"))
+    top = stored(top_k(best, n), "top")
+    return (top.join(cut(top).select("docno", "passage_no", "same", "text"), ["docno", "passage_no", "same"])
+            .dropDuplicates(["qid", "docno"]).select("qid", "docno", "score", "text", "rank"))

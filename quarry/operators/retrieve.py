@@ -28,8 +28,9 @@ so weak that its document stays below that even with every other term at its
 largest impact is left out: its document cannot be among the best k, and no
 other document's score changes.  For a handful of terms these least impacts go
 to the scan as literals, where Parquet's statistics skip whole blocks of a
-term's postings (files are sorted by term and impact); for larger query tables
-they are a filter behind the broadcast join.
+term's postings (files are sorted by term and impact).  Larger query tables with
+a depth ``k`` are answered by blocks (``_by_blocks``): all their postings are
+read, but pairs of a query and a matching document are added up in arrays.
 
 Scores are rounded to 6 decimals before ranking; ties go to the smaller
 ``docno``.
@@ -39,6 +40,9 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -51,6 +55,7 @@ K1, B = 1.2, 0.75
 DEFAULT_DEPTH = 1000
 MODELS = ("BM25", "TF_IDF")
 PUSHED_TERMS = 64       # up to so many query terms reach the scan as literals
+BLOCK_DOCS, BLOCK_TERMS = 16_384, 1_000_000     # documents, query terms of a block, on average
 SLACK = 1e-5            # scores are rounded, so bounds give way by more than that
 
 
@@ -141,6 +146,104 @@ def _matched(index: Index, floored: DataFrame, qterms: DataFrame, buckets: list[
     return post.join(_broadcast_terms(floored, qterms), ["term_bucket", "term"])
 
 
+def _best_of_block(k: int, top: float, k1: float, whole_terms: bool):
+    """Function of one block's postings ``(docno, term, t)`` and query terms
+    ``(qid, term, w)``: its best ``k`` documents a query."""
+    def runs(codes, n):
+        """Order that sorts codes, and where each code's run begins and ends."""
+        order = np.argsort(codes, kind="stable")
+        ends = np.cumsum(np.bincount(codes, minlength=n))
+        return order, np.concatenate([[0], ends[:-1]]).astype(np.int64), ends
+
+    def coded(column):
+        c = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+        c = c.dictionary_encode(null_encoding="encode")
+        c = pa.concat_arrays(c.chunks) if isinstance(c, pa.ChunkedArray) else c
+        return c.dictionary, c.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+
+    def best(post, asked):
+        qid_type, docno_type = asked.schema.field("qid").type, post.schema.field("docno").type
+        schema = pa.schema([("qid", qid_type), ("docno", docno_type), ("score", pa.float64())])
+        if not post.num_rows or not asked.num_rows:
+            return schema.empty_table()
+        ids, doc = coded(post["docno"])
+        order = pc.array_sort_indices(ids, null_placement="at_start")      # documents by id, so ties go to the smaller
+        place = np.empty(len(ids), np.int64)
+        place[order.to_numpy()] = np.arange(len(ids))
+        ids, doc = ids.take(order), place[doc]
+        words, term = coded(post["term"])
+        t = post["t"].to_numpy()
+        if whole_terms:                     # a term's fields count as one
+            key, inverse = np.unique(term * len(ids) + doc, return_inverse=True)
+            t, term, doc = np.bincount(inverse, weights=t), key // len(ids), key % len(ids)
+        by_term, begin, end = runs(term, len(words))
+        doc, x = doc[by_term], top * t[by_term] / (t[by_term] + k1)
+        qids, q = coded(asked["qid"])
+        at = pc.index_in(asked["term"], value_set=words)
+        at = (at.combine_chunks() if isinstance(at, pa.ChunkedArray) else at).fill_null(-1).to_numpy(zero_copy_only=False)
+        w = asked["w"].to_numpy()
+        known = at >= 0
+        q, at, w = q[known], at[known], w[known]
+        by_query, first, last = runs(q, len(qids))
+        at, w = at[by_query], w[by_query]
+        out_q, out_d, out_s = [], [], []
+        for n in range(len(qids)):
+            mine = range(first[n], last[n])
+            if not mine:
+                continue
+            hit = np.concatenate([doc[begin[at[i]]:end[at[i]]] for i in mine])
+            part = np.concatenate([w[i] * x[begin[at[i]]:end[at[i]]] for i in mine])
+            total = np.bincount(hit, weights=part, minlength=len(ids))
+            seen = np.zeros(len(ids), bool)
+            seen[hit] = True
+            found = np.flatnonzero(seen)
+            s = total[found]
+            s = np.copysign(np.floor(np.abs(s) * 10 ** SCORE_DECIMALS + 0.5) / 10 ** SCORE_DECIMALS, s) + 0.0
+            if len(s) > k:
+                keep = s >= np.partition(s, len(s) - k)[len(s) - k]
+                found, s = found[keep], s[keep]
+                keep = np.argsort(-s, kind="stable")[:k]
+                found, s = found[keep], s[keep]
+            out_q.append(np.full(len(s), n))
+            out_d.append(found)
+            out_s.append(s)
+        if not out_q:
+            return schema.empty_table()
+        return pa.table([qids.take(pa.array(np.concatenate(out_q))), ids.take(pa.array(np.concatenate(out_d))),
+                         pa.array(np.concatenate(out_s))], schema=schema)
+    return best
+
+
+def _by_blocks(index: Index, weighted: DataFrame, qterms: DataFrame, buckets: list[int] | None, t, k: int,
+               top: float, k1: float, whole_terms: bool) -> DataFrame:
+    """Retrieval for many query terms: documents and queries are dealt into
+    blocks of bounded size, and each pair of blocks is one group that adds up
+    its scores in arrays and keeps its best ``k`` a query.  A posting crosses
+    the network once for each block of queries, and pairs of a query and a
+    matching document never become rows."""
+    weighted = stored(weighted.select("qid", "term_bucket", "term", "w"), "weighted")
+    rows, size = known_size(weighted)
+    cores = int(weighted.sparkSession.sparkContext.defaultParallelism)
+    q_blocks = max(1, -(-rows // BLOCK_TERMS))
+    d_blocks = max(1, -(-index.n_docs // BLOCK_DOCS), -(-cores // q_blocks))
+    block = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")                     # noqa: E731
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))                       # noqa: E731
+    asked = broadcast_if_small(weighted.select("term_bucket", "term").distinct(), size=size)
+    post = (_in_buckets(index.postings, buckets).withColumn("t", t).filter(F.col("t") > 0)
+            .join(asked, ["term_bucket", "term"], "left_semi")
+            .select("docno", "term", "t", block("docno", d_blocks).alias("db"), each(q_blocks).alias("qb")))
+    queries = (weighted.select("qid", "term", "w", block("qid", q_blocks).alias("qb"), each(d_blocks).alias("db")))
+    types = [f"{c} {f.schema[c].dataType.simpleString()}" for c, f in (("qid", weighted), ("docno", index.postings))]
+    best = _best_of_block(k, top, k1, whole_terms)
+
+    def score(post_, queries_):
+        return best(post_.select(["docno", "term", "t"]), queries_.select(["qid", "term", "w"]))
+
+    partial = (post.groupBy("db", "qb").cogroup(queries.groupBy("db", "qb"))
+               .applyInArrow(score, f"{', '.join(types)}, score double"))
+    return top_k(partial, k, parts=d_blocks).select("qid", "docno", "score", "rank")
+
+
 def retrieve(index: Index, qterms: DataFrame, model: str = "BM25",
              k: int | None = DEFAULT_DEPTH, k1: float = K1, b: float = B,
              field: int = 0) -> DataFrame:
@@ -153,6 +256,10 @@ def retrieve(index: Index, qterms: DataFrame, model: str = "BM25",
     buckets = _touched(index, qterms)
     top = k1 + 1.0 if model == "BM25" else k1
     stored = b == B_LENGTH
+    if k is not None and known_size(qterms)[0] > PUSHED_TERMS:
+        ntf = F.col("ntf") if stored else length_normalised("tf", "dl", F.lit(index.avgdl(field)), b)
+        return _by_blocks(index, _weighted_terms(index, qterms, model, buckets), qterms, buckets,
+                          F.when(F.col("field") == field, ntf), k, top, k1, whole_terms=False)
     floored = _floored(_weighted_terms(index, qterms, model, buckets), k if stored else None, top, k1, {field: 1.0})
     ntf = F.col("ntf") if stored else length_normalised("tf", "dl", F.lit(index.avgdl(field)), b)
     scores = (_matched(index, floored, qterms, buckets, field).filter(F.col("ntf") >= F.col("least"))
@@ -179,11 +286,14 @@ def bm25f(index: Index, qterms: DataFrame, weights, k: int | None = DEFAULT_DEPT
     buckets = _touched(index, qterms)
     used = {i: x for i, x in enumerate(weights) if x != 0} or {0: 0.0}
     stored = b == B_LENGTH
-    floored = _floored(_weighted_terms(index, qterms, "BM25F", buckets), k if stored else None, 1.0, k1, used)
     at = F.col("field") + 1
     wf = F.element_at(F.array(*[F.lit(x) for x in weights]), at)
     avg = F.element_at(F.array(*[F.lit(index.avgdl(i)) for i in range(len(weights))]), at)
     ntf = F.col("ntf") if stored else length_normalised("tf", "dl", avg, b)
+    if k is not None and known_size(qterms)[0] > PUSHED_TERMS:
+        return _by_blocks(index, _weighted_terms(index, qterms, "BM25F", buckets), qterms, buckets,
+                          F.when(F.col("field").isin(sorted(used)), wf * ntf), k, 1.0, k1, whole_terms=len(used) > 1)
+    floored = _floored(_weighted_terms(index, qterms, "BM25F", buckets), k if stored else None, 1.0, k1, used)
     post = _in_buckets(index.postings, buckets).filter(F.col("field").isin(sorted(used)))
     matched = post.join(_broadcast_terms(floored, qterms), ["term_bucket", "term"])
     if len(used) == 1:          # a term has one posting a document

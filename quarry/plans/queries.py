@@ -547,8 +547,7 @@ def _qa_context(spark, sf_dir):
     q = tables.questions(spark, sf_dir)
     idx = indexes.basic_index(spark, sf_dir)
     run = rt.bm25(idx, rt.query_terms(q, idx), k=CROSS_DEPTH)
-    ranked = rr.max_passage(rr.coverage_scores(rr.run_passages(run, idx), q, idx))
-    return q, an_.context(ranked, an_.CONTEXT_DOCS)
+    return q, an_.context(rr.top_passages(run, q, idx, an_.CONTEXT_DOCS), an_.CONTEXT_DOCS)
 
 
 @query("context", O.with_(*_QA_SQL) + " SELECT qid, context FROM ctx")

@@ -100,3 +100,18 @@ def test_experiment_reads_postings_once_a_run(spark, index, monkeypatch):
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert len(asked) == 4 and "_postings" not in plan
     assert out.count() == 4
+
+
+def test_many_terms_are_answered_by_blocks(spark, index, monkeypatch):
+    """Pairs of a query and a matching document are no rows; several blocks of queries and documents, ties, null ids."""
+    monkeypatch.setattr(rt, "BLOCK_DOCS", 90)
+    monkeypatch.setattr(rt, "BLOCK_TERMS", 60)
+    many = spark.createDataFrame([(i, f"w{i % 9} w{i} w{i} w{(7 * i) % 120}") for i in range(60)], "qid long, query string")
+    docs = corpus(spark).unionByName(spark.createDataFrame([(None, "w1 w2", "w3"), (5, "w1", "w2")], "docno long, text string, keywords string"))
+    two = ix.build_index(docs, scratch_path(spark, "blocks"), fields=("text", "keywords"), doc_buckets=2, term_buckets=4, stop_words=None)
+    qt = rt.query_terms(many, two)
+    best = lambda df, k: sorted(r for r in ((r.qid, r.rank, r.docno or -1, round(r.score, 5)) for r in df.collect()) if r[1] <= k)
+    for make in (lambda k: rt.bm25(two, qt, k), lambda k: rt.tf_idf(two, qt, k, b=0.3), lambda k: rt.bm25f(two, qt, (0.7, 0.3), k),
+                 lambda k: rt.bm25f(two, qt, (0.0, 1.0), k)):
+        assert best(make(7), 7) == best(make(None), 7)
+    assert "FlatMapCoGroupsInArrow" in rt.bm25(two, qt, 7)._jdf.queryExecution().executedPlan().toString()

@@ -43,3 +43,21 @@ def test_model_scores_batches(spark):
                                   "qid int, docno int, query string, text string").coalesce(1)
     out = rr.model_scores(pairs, score_fn, batch_size=16)
     assert sorted(r.score for r in out.collect()) == [float(i) for i in range(40)]
+
+
+def test_top_passages_are_those_of_max_passage(spark):
+    """Texts are joined to the rows returned only; same rows as the head of the whole ranking."""
+    from pyspark.sql import functions as F
+
+    from quarry.operators import index as ix
+    from quarry.operators import rerank as rr
+    from quarry.session import scratch_path
+    docs = spark.createDataFrame([(i, " ".join(f"w{(i * j) % 13}" for j in range(5 * i + 1))) for i in range(30)]
+                                 + [(3, "w1 w2")], "docno long, text string")
+    idx = ix.build_index(docs, scratch_path(spark, "topp"), doc_buckets=2, term_buckets=2, stop_words=None)
+    topics = spark.createDataFrame([(1, "w1 w5 w7"), (2, "w2 w2 w11"), (3, "none")], "qid int, query string")
+    run = spark.range(30).select((F.col("id") % 3 + 1).cast("int").alias("qid"), F.col("id").alias("docno"),
+                                 F.lit(1).alias("rank"))
+    whole = rr.max_passage(rr.coverage_scores(rr.run_passages(run, idx, 6, 3), topics, idx), 2)
+    got = rr.top_passages(run, topics, idx, 2, 6, 3)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, whole.collect())) and got.count() == 6
