@@ -20,7 +20,9 @@ giving all their pairs, that happens in rounds:
   against the bit maps, and what those leave is verified.
   TURNS such rounds compare only what is not in one component yet.
 * The last round compares everything that shares a prefix shingle (or a group)
-  and is not in one component yet.
+  and is not in one component yet.  Where many rows meet at a shingle, the whole
+  sets of its classes are counted first: a shingle that no other group there has is in
+  no overlap, so a text whose edits stand alone meets none of a crowd that it cannot link with.
 
 A pair that the last round leaves out is in one component already, so components are
 exact.  Null, empty and blank texts have an empty set and link with nothing;
@@ -44,6 +46,7 @@ PIVOTS, TURNS = 24, 2      # members that are compared with all others, and how
 NEAREST = 8             # partners of a class that a turn compares; the last round takes all
 BITS = 4                # places of a bit map a shingle, at least
 BROADCAST_ROWS = 1 << 20   # up to so many wanted rows are broadcast, else shuffled
+CROWD = 64              # rows of a shingle from which on its classes are counted by their whole sets first
 
 
 def prefix_size(n: int, percent: int) -> int:
@@ -197,9 +200,9 @@ def _possible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "xa", "xb", "na", "nb").mapInArrow(check, "a long, b long")
 
 
-def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs ``(a, b)`` of classes whose whole sets are similar enough."""
-    wanted = cut(_of_ends(classes, pairs, "rid"))
+def _sets(wanted: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    """``(cid, set)``: the whole sets of the classes ``(cid, rid)``."""
+    wanted = cut(wanted)
     if wanted.count() <= BROADCAST_ROWS:      # two longs a row
         wanted = F.broadcast(wanted)
     # rows equal in key and text share the rid: one of them is enough
@@ -210,7 +213,56 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, per
             got = [shingles(word_hashes(words(t, lower=True)), k).tobytes() for t in texts_of(b.column(1))]
             yield pa.record_batch({"cid": b.column(0), "set": pa.array(got, pa.binary())})
 
-    has = cut(texts.mapInArrow(sets, "cid long, set binary"))
+    return texts.mapInArrow(sets, "cid long, set binary")
+
+
+def _crowded(rows: DataFrame, shared: DataFrame, member: DataFrame, classes: DataFrame, docs: DataFrame,
+             k: int, percent: int) -> DataFrame:
+    """Rows ``(token, gid, n, left, pos, comp)`` with ``rest``: for the groups that
+    have a token of many rows, a bound on the shingles from this one on (in the
+    global order) that any other of these groups has; null for all others.
+
+    Those groups' whole sets are counted; a shingle is common where two of the
+    groups have it.  Rows of such a token go where the bound allows no link."""
+    crowds = cut(rows.groupBy("token").count().filter(F.col("count") > CROWD).select("token"))
+    if crowds.isEmpty():
+        return rows.withColumn("rest", F.lit(None).cast("long"))
+    there = cut(rows.join(crowds, "token", "left_semi").select("gid").distinct())
+    some = cut(member.join(there, "gid"))
+    has = _sets(classes.select("cid", "rid").join(some.select("cid"), "cid"), docs, k)
+
+    def listed(batches):
+        for b in batches:
+            for at in range(0, b.num_rows, 256):
+                part = b.slice(at, 256)
+                sets = [np.frombuffer(x, np.int64) for x in part.column(1).to_pylist()]
+                many = np.array([len(x) for x in sets])
+                yield pa.record_batch({"cid": part.column(0).take(pa.array(np.repeat(np.arange(len(sets)), many))),
+                                       "token": pa.array(np.concatenate(sets))})
+
+    spread = cut(has.mapInArrow(listed, "cid long, token long").join(some, "cid").select("token", "gid", "comp", "cid"))
+    common = cut(spread.groupBy("token").agg(F.min("gid").alias("lo"), F.max("gid").alias("hi"))
+                 .filter("lo <> hi").select("token"))
+    many = (spread.join(common, "token", "left_semi").groupBy("gid", "comp", "cid").count()
+            .groupBy("gid", "comp").agg(F.max("count").alias("many")))
+    before = F.row_number().over(Window.partitionBy("gid").orderBy(F.desc("left"))) - 1
+    places = (shared.join(there, "gid", "left_semi").join(common, "token", "left_semi")
+              .select("token", "gid", before.alias("before")))
+    # (a token that is not common there, and a group without any, get 0)
+    rest = F.coalesce(F.col("many") - F.col("before"), F.lit(0))
+    out = cut(rows.join(places, ["token", "gid"], "left").join(many, ["gid", "comp"], "left")
+              .join(there.withColumn("there", F.lit(True)), "gid", "left")
+              .join(crowds.withColumn("crowd", F.lit(True)), "token", "left")
+              .withColumn("rest", F.when(F.col("there"), rest).cast("long"))
+              .filter(F.col("crowd").isNull() | F.expr(f"100 * rest >= {percent} * n"))
+              .select(*rows.columns, "rest"))
+    release(spread)
+    return out
+
+
+def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """The pairs ``(a, b)`` of classes whose whole sets are similar enough."""
+    has = cut(_sets(_of_ends(classes, pairs, "rid"), docs, k))
     both = (pairs.join(has.select(F.col("cid").alias("a"), F.col("set").alias("sa")), "a")
             .join(has.select(F.col("cid").alias("b"), F.col("set").alias("sb")), "b"))
 
@@ -294,9 +346,11 @@ def jaccard_components(docs: DataFrame, text: str = "text", key: str = "doc_id",
     apart = member.join(split, "gid")
     within = (apart.alias("x").join(apart.alias("y"), F.expr("x.gid = y.gid and x.comp < y.comp"))
               .select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b")))
-    rows_ = cut(_mixed(shared.join(parts, "gid")))
+    rows_ = _crowded(cut(_mixed(shared.join(parts, "gid"))), shared, member, classes, docs, shingle, percent)
+    # of a linked pair, what is left out is last in the order: _enough then holds at an earlier place
     across = (rows_.alias("x").join(rows_.alias("y"), F.expr(
-        f"x.token = y.token and x.gid < y.gid and x.comp <> y.comp and {_may_link('x', 'y', percent)}"))
+        f"x.token = y.token and x.gid < y.gid and x.comp <> y.comp and {_may_link('x', 'y', percent)} and "
+        f"(x.rest is null or y.rest is null or {100 + percent} * least(x.rest, y.rest) >= {percent} * (x.n + y.n))"))
         .selectExpr("x.gid ga", "x.comp ca", "y.gid gb", "y.comp cb", "x.n na", "y.n nb", "x.left la", "y.left lb")
         .groupBy("ga", "ca", "gb", "cb", "na", "nb").agg(*_last()).filter(_enough(percent)))
     across = (across.join(member.selectExpr("cid a", "gid ga", "comp ca"), ["ga", "ca"])
