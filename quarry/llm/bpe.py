@@ -39,6 +39,7 @@ from pyspark.sql import functions as F
 from .common import give_back, worker_memo
 
 BLOCK_BYTES = 32 << 20
+LISTED_BYTES = 4 << 20      # of a block whose ids and texts are returned: they are in memory until its last document
 
 # The normalizer and the split of the tokenizer file, for which
 # the splitting into words below is right.
@@ -136,7 +137,8 @@ def _words_of(vocab: bytes) -> list[str]:
     return raw.split("\n") if raw else []
 
 
-def pack_blocks(docs: DataFrame, special: re.Pattern, text: str = "text", key: str = "doc_id") -> DataFrame:
+def pack_blocks(docs: DataFrame, special: re.Pattern, text: str = "text", key: str = "doc_id",
+                block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``(block, vocab, body)``, dealt by block: documents as positions in
     their block's words.  No word holds a line feed."""
     def pack(batches):
@@ -149,7 +151,7 @@ def pack_blocks(docs: DataFrame, special: re.Pattern, text: str = "text", key: s
                 lens.append(len(ws))
                 index.append(np.fromiter(map(places.__getitem__, ws), np.uint32, len(ws)))
                 size += len(t or "") + 64
-                if size >= BLOCK_BYTES:
+                if size >= block_bytes:
                     yield _pack(base + n, ids, lens, places, index)
                     ids, lens, index, size, places, n = [], [], [], 0, _Places(), n + 1
         if ids:
@@ -231,7 +233,7 @@ def encode_decode(docs: DataFrame, tokenizer_json: str, text: str = "text", key:
     Returns ``key``, ``n_tokens`` and either ``ids`` and ``decoded`` or, with
     ``digest``, the SHA-256 of both (decimal ids parted by one space)."""
     check_rules(tokenizer_json)
-    blocks = pack_blocks(docs, special_strings(tokenizer_json), text, key)
+    blocks = pack_blocks(docs, special_strings(tokenizer_json), text, key, BLOCK_BYTES if digest else LISTED_BYTES)
     rows = _word_rows(blocks)
     back = encode_words(rows, tokenizer_json)
     shared = docs.sparkSession.sparkContext.broadcast((tokenizer_json, piece_list(tokenizer_json)))

@@ -1,3 +1,4 @@
+import hashlib
 from collections import Counter
 
 import public_tokenizers
@@ -106,3 +107,22 @@ def test_queries_on_given_table(spark, byte_level, word_level):
     for r in got:
         ids, text = library(word_level, docs[r.doc_id])
         assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), fx.sha(" ".join(map(str, ids))), fx.sha(text))
+
+
+def test_listed_blocks_are_smaller(spark, monkeypatch):
+    """Ids and texts that are returned stay in memory until their block's end: the pipeline's last stage went
+    over its memory with blocks as large as a file part."""
+    sizes, pack = [], bpe.pack_blocks
+
+    def seen(docs, special, text, key, block_bytes):
+        sizes.append(block_bytes)
+        return pack(docs, special, text, key, block_bytes)
+    monkeypatch.setattr(bpe, "pack_blocks", seen)
+    monkeypatch.setattr(bpe, "LISTED_BYTES", 300)
+    docs = spark.createDataFrame([(i, f"some words of text {i} " * (i % 9)) for i in range(60)], "doc_id long, text string")
+    json_text = tokenizer_json("word_bpe_49k.json")
+    listed = {r.doc_id: (r.n_tokens, r.decoded) for r in bpe.encode_decode(docs.coalesce(1), json_text).collect()}
+    digest = {r.doc_id: r for r in bpe.encode_decode(docs.coalesce(1), json_text, digest=True).collect()}
+    assert sizes == [300, bpe.BLOCK_BYTES] and len(listed) == 60
+    for i, (n, decoded) in listed.items():
+        assert n == digest[i].n_tokens and hashlib.sha256(decoded.encode()).hexdigest() == digest[i].decoded_sha256
