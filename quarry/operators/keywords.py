@@ -11,8 +11,9 @@ RAKE (Rose et al. 2010), per document:
 * keywords: walk ranked phrases word by word, skip repeats, keep the first
   ``max_keywords`` (default 3).
 
-Every step works inside the arrays of one document, so after one shuffle by
-document the work is document-local and scales with the number of documents.
+After one shuffle by document the work is document-local and scales with the
+number of documents: Spark marks where phrases end, and an Arrow batch at a time
+``_best_words`` scores the phrases of each document.
 
 Sense choice (Lesk 1986) uses a thesaurus table
 ``(lemma, sense_id, gloss, members array<string>)``: among the keyword's
@@ -25,6 +26,10 @@ expansion of a text is each keyword followed by its synonyms.
 
 from __future__ import annotations
 
+import math
+from decimal import ROUND_HALF_UP, Decimal
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -32,8 +37,7 @@ from pyspark.sql import Window as W
 from quarry.functions.stopwords import ENGLISH_STOP_WORDS
 from quarry.functions.text import WHITESPACE_CLASS
 from quarry.operators.index import auto_doc_buckets
-from quarry.operators.util import (BROADCAST_MAX_BYTES, SCORE_DECIMALS, broadcast_if_small, known_size, run_end,
-                                   run_starts)
+from quarry.operators.util import BROADCAST_MAX_BYTES, SCORE_DECIMALS, broadcast_if_small, known_size
 
 MAX_KEYWORDS = 3
 MAX_SYNONYMS = 2
@@ -56,23 +60,63 @@ def by_document(docs: DataFrame, docno: str = "docno", text: str = "text") -> Da
     return docs.select(F.col(docno).alias("docno"), F.col(text).alias("text")).repartition(parts, "docno")
 
 
-def _phrase_texts(text, stop_words):
-    """Phrases of a text, each its words parted by a space: every token that
-    ends a phrase becomes a mark, and the text is split at the marks."""
-    stops = list(stop_words)
-    toks = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(RAKE_TOKEN), 1)
-    marked = F.transform(toks, lambda t: F.when(t.rlike("^" + _WORD + "$") & ~t.isin(stops), t).otherwise(_MARK))
-    # (one mark at a time: Java's regex recurses for every turn of a repeated group, and long runs of
-    # stop words end in a stack overflow)
-    return F.filter(F.transform(F.split(F.array_join(marked, " "), _MARK), lambda p: F.trim(p)), lambda p: p != "")
-
-
-def _phrase_words(text, stop_words):
-    """``array<struct<tok, phrase, pos, plen>>``: the words of all phrases of a text."""
-    return F.flatten(F.transform(
-        F.transform(_phrase_texts(text, stop_words), lambda p: F.split(p, " ")),
-        lambda ws, j: F.transform(ws, lambda w, k: F.struct(
-            w.alias("tok"), j.alias("phrase"), k.alias("pos"), F.size(ws).alias("plen")))))
+def _marked(text):
+    """The lower-cased text with a mark for each run of punctuation."""
+    # (a plain class: Java's regex recurses for every turn of a repeated group, and long runs end in a stack overflow)
+    return F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), _NOT_SPACE_OR_WORD, f" {_MARK} ")
+
+
+def _rounded(x: float) -> float:
+    """As Spark rounds: half up, by the decimal form."""
+    y = x * 10 ** SCORE_DECIMALS
+    n = math.floor(y)
+    if y > 1e11 or abs(y - n - 0.5) < 1e-3:
+        return float(Decimal(repr(x)).quantize(Decimal(1).scaleb(-SCORE_DECIMALS), ROUND_HALF_UP))
+    return (n + (y - n > 0.5)) / 10 ** SCORE_DECIMALS
+
+
+def _best_words(texts, stop_words, most: int) -> list[str]:
+    """The first ``most`` words of the ranked phrases of one document's marked
+    texts.  Where an id has several texts, their n-th phrases count as one,
+    its words by place, then by word."""
+    degree, freq, phrases = {}, {}, []
+    for t in texts:
+        found, run = [], []
+        for w in [*t.split(), _MARK]:
+            if w != _MARK and w not in stop_words:
+                run.append(w)
+            elif run:
+                found.append(run)
+                run = []
+        for run in found:
+            n = len(run)
+            for w in run:
+                degree[w] = degree.get(w, 0) + n
+                freq[w] = freq.get(w, 0) + 1
+        if len(texts) == 1:
+            phrases = found
+            break
+        for j, run in enumerate(found):
+            if j == len(phrases):
+                phrases.append([])
+            phrases[j] += enumerate(run)
+    if len(texts) > 1:
+        phrases = [[w for _, w in sorted(placed)] for placed in phrases]
+    weight = {w: n / freq[w] for w, n in degree.items()}
+    by_score: dict[float, list[int]] = {}
+    for j, ws in enumerate(phrases):
+        score = 0.0
+        for w in ws:
+            score += weight[w]
+        by_score.setdefault(_rounded(score), []).append(j)
+    out: dict[str, None] = {}
+    # falling score, then falling text, then the phrase that comes first (which has the same words)
+    for score in sorted(by_score, reverse=True):
+        if len(out) >= most:
+            break
+        for phrase in sorted({" ".join(phrases[j]) for j in by_score[score]}, reverse=True):
+            out.update(dict.fromkeys(phrase.split(" ")))
+    return list(out)[:most]
 
 
 def rake_keywords(docs: DataFrame, docno: str = "docno", text: str = "text",
@@ -81,35 +125,18 @@ def rake_keywords(docs: DataFrame, docno: str = "docno", text: str = "text",
     """``(docno, kw_rank, keyword)``, at most ``max_keywords`` per document.
 
     Documents are shuffled by ``docno`` once, unless ``docs`` comes from
-    ``by_document`` (``dealt``).  Words never become rows: they are sorted
-    inside their document's arrays, once by word for the word scores and once
-    by phrase, so a task holds few documents at a time and nothing spills."""
+    ``by_document`` (``dealt``).  Words never become rows: a document's words are
+    counted and its phrases ranked where it lies, so nothing spills."""
     d = docs if dealt else by_document(docs, docno, text)
-    words = F.flatten(F.transform("texts", lambda t: _phrase_words(t, stop_words)))
-    score = lambda s, e: (F.aggregate(F.sequence(s, e - 1), F.lit(0).cast("long"),                      # noqa: E731
-                                      lambda acc, i: acc + F.get("by_word", i)["plen"].cast("long")) / (e - s))
-    phrase = lambda s, e: F.struct(                                                                      # noqa: E731
-        F.round(F.aggregate(F.sequence(s, e - 1), F.lit(0.0), lambda acc, i: acc + F.get("by_phrase", i)["wscore"]),
-                SCORE_DECIMALS).alias("score"),
-        F.array_join(F.transform(F.sequence(s, e - 1), lambda i: F.get("by_phrase", i)["tok"]), " ").alias("ptext"),
-        (-F.get("by_phrase", s)["phrase"]).alias("before"))
-    ranked = (_texts(d)
-              .select("docno", F.array_sort(words).alias("by_word"))
-              .select("docno", "by_word", run_starts("by_word", "tok").alias("at"))
-              .select("docno", "by_word", F.transform("at", lambda s, j: F.struct(
-                  s.alias("s"), run_end("by_word", "at", j).alias("e"))).alias("runs"))
-              .select("docno", F.array_sort(F.flatten(F.transform(
-                  F.transform("runs", lambda r: F.struct(r["s"].alias("s"), r["e"].alias("e"), score(r["s"], r["e"]).alias("wscore"))),
-                  lambda r: F.transform(F.sequence(r["s"], r["e"] - 1), lambda i: F.struct(
-                      F.get("by_word", i)["phrase"].alias("phrase"), F.get("by_word", i)["pos"].alias("pos"),
-                      F.get("by_word", i)["tok"].alias("tok"), r["wscore"].alias("wscore")))))).alias("by_phrase"))
-              .select("docno", "by_phrase", run_starts("by_phrase", "phrase").alias("at"))
-              # falling score, then falling text, then the phrase that comes first
-              .select("docno", F.sort_array(F.transform("at", lambda s, j: phrase(
-                  s, run_end("by_phrase", "at", j))), asc=False).alias("phrases")))
-    walk = F.array_distinct(F.flatten(F.transform("phrases", lambda p: F.split(p["ptext"], " "))))
+    stops = frozenset(stop_words)
+
+    @F.pandas_udf("array<string>")
+    def best(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda ts: _best_words(ts, stops, max_keywords))
+
+    ranked = _texts(d).select("docno", best(F.transform("texts", _marked)).alias("words"))
     # (the outer form: Spark would put a filter on the array below, and work it out twice)
-    return (ranked.select("docno", F.posexplode_outer(F.slice(walk, 1, max_keywords)).alias("pos", "keyword"))
+    return (ranked.select("docno", F.posexplode_outer("words").alias("pos", "keyword"))
             .filter(F.col("keyword").isNotNull())
             .select("docno", (F.col("pos") + 1).alias("kw_rank"), "keyword"))
 
