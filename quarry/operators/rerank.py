@@ -21,17 +21,23 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarry.functions.text import split_words
 from quarry.operators.index import Index, term_bucket
-from quarry.operators.util import SCORE_DECIMALS, broadcast_if_small, round_score, stored, top_k
+from quarry.operators.util import (SCORE_DECIMALS, broadcast_if_small, one_array, ranges, round_score, round_scores,
+                                   stored, top_k)
 
 LENGTH, STRIDE = 256, 128
 BATCH_SIZE = 16
+BLOCK_TOKENS = 1 << 20      # index tokens of the documents that a group of ``top_passages`` scores, on average
+LOOKUPS = 1 << 20           # terms of (query, document) pairs that are looked up at a time
 
 
 def whitespace_tokens(c: Column) -> Column:
@@ -140,13 +146,81 @@ def max_passage(scored: DataFrame, k: int | None = None) -> DataFrame:
     return top_k(best, k).select("qid", "docno", "score", "text", "rank")
 
 
+def _best_passages(passages: pa.Table, asked: pa.Table) -> pa.Table:
+    """The best passage of each (query, document) pair of a block, as
+    ``max_passage(coverage_scores(...))`` finds it, before ranking.
+
+    ``passages(docno, passage_no, same, terms)``, ``asked(qid, docnos, terms,
+    idfs, total)``.  Terms are looked up by document, so a passage costs
+    something only where it holds a query term."""
+    schema = pa.schema([("qid", asked.schema.field("qid").type), ("docno", passages.schema.field("docno").type),
+                        ("score", pa.float64()), ("passage_no", pa.int32()), ("same", pa.int64())])
+    if not passages.num_rows or not asked.num_rows:
+        return schema.empty_table()
+    coded = one_array(passages["docno"]).dictionary_encode()
+    ids, doc = coded.dictionary, coded.indices.to_numpy().astype(np.int64)
+    order = np.lexsort((passages["passage_no"].to_numpy(), doc))
+    passages, doc = passages.take(pa.array(order)), doc[order]
+    many = np.bincount(doc, minlength=len(ids))         # passages of each document, from ``base`` on
+    base = np.cumsum(many) - many
+
+    lists = one_array(asked["terms"])
+    words = pc.unique(lists.flatten())
+    place = lambda column: pc.index_in(column, value_set=words).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+    lengths = lambda column: pc.list_value_length(column).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)         # noqa: E731
+
+    # (document, term) -> the passages that hold it
+    held = one_array(passages["terms"])
+    term, row = place(held.flatten()), np.repeat(np.arange(len(doc)), lengths(held))
+    row, term = row[term >= 0], term[term >= 0]
+    key = doc[row] * len(words) + term
+    order = np.argsort(key, kind="stable")
+    row = row[order]
+    key, begin, count = np.unique(key[order], return_index=True, return_counts=True)
+
+    term, idf = place(lists.flatten()), one_array(asked["idfs"]).flatten().to_numpy(zero_copy_only=False)
+    of_query = lengths(lists)
+    first = np.cumsum(of_query) - of_query
+    total = asked["total"].to_numpy()
+    docnos = one_array(asked["docnos"])
+    q = np.repeat(np.arange(asked.num_rows), lengths(docnos))
+    d = pc.index_in(docnos.flatten(), value_set=ids).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+    q, d = q[d >= 0], d[d >= 0]
+    scores, best = np.zeros(len(q)), np.zeros(len(q), np.int64)
+    work = np.cumsum(of_query[q] + many[d])
+    cuts = np.searchsorted(work, np.arange(LOOKUPS, work[-1] if len(work) else 0, LOOKUPS))
+    for lo, hi in zip([0, *cuts], [*cuts, len(q)]):
+        if lo == hi:
+            continue
+        mq, md = q[lo:hi], d[lo:hi]
+        slots = np.cumsum(many[md]) - many[md]
+        pair, at = ranges(first[mq], of_query[mq])
+        wanted = md[pair] * len(words) + term[at]
+        found = np.minimum(np.searchsorted(key, wanted), max(len(key) - 1, 0))
+        hit = key[found] == wanted if len(key) else np.zeros(len(wanted), bool)
+        pair, at, found = pair[hit], at[hit], found[hit]
+        n, posting = ranges(begin[found], count[found])
+        slot = slots[pair[n]] + row[posting] - base[md[pair[n]]]
+        size = int(many[md].sum())
+        sums = np.bincount(slot, weights=idf[at[n]], minlength=size)
+        of = np.repeat(np.arange(len(mq)), many[md])
+        with np.errstate(divide="ignore", invalid="ignore"):
+            s = np.nan_to_num(round_scores(sums / total[mq][of]), nan=0.0, posinf=0.0, neginf=0.0)
+        scores[lo:hi] = np.maximum.reduceat(s, slots)
+        place_ = np.where(s == scores[lo:hi][of], np.arange(size), size)
+        best[lo:hi] = base[md] + np.minimum.reduceat(place_, slots) - slots     # the earliest of the best
+    got = passages.select(["passage_no", "same"]).take(pa.array(best))
+    return pa.table([one_array(asked["qid"]).take(pa.array(q)), ids.take(pa.array(d)), pa.array(scores),
+                     one_array(got["passage_no"]).cast(pa.int32()), one_array(got["same"])], schema=schema)
+
+
 def top_passages(run: DataFrame, topics: DataFrame, index: Index, n: int, length: int = LENGTH,
                  stride: int = STRIDE, field: str = "text") -> DataFrame:
     """The ``n`` best rows a query of ``max_passage(coverage_scores(run_passages(run)))``.
 
-    All passages of the run are scored by their terms; only those returned meet
-    their text, so the text of a document does not travel once for each query
-    that found it."""
+    All passages of the run are scored by their terms, a block of documents and
+    all that was asked of it at a time; only those returned meet their text, so the
+    text of a document does not travel once for each query that found it."""
     from quarry.operators.index import get_text
     run = stored(run, "run")
 
@@ -154,12 +228,24 @@ def top_passages(run: DataFrame, topics: DataFrame, index: Index, n: int, length
         return (sliding(get_text(ids.select("docno").distinct(), index, field), length, stride)
                 .withColumn("same", F.xxhash64("text")))       # tells texts apart where an id repeats
 
-    terms = cut(run).select("docno", "passage_no", "same", F.array_distinct(index.terms(F.col("text"))).alias("terms"))
-    scored = coverage_scores(run.select("qid", "docno").join(terms, "docno"), topics, index)
-    best = (scored.groupBy("qid", "docno")
-            .agg(F.max_by(F.struct("score", "passage_no", "same"),
-                          F.struct("score", (-F.col("passage_no")).alias("p"))).alias("b"))
-            .select("qid", "docno", "b.*"))
+    blocks = max(int(run.sparkSession.sparkContext.defaultParallelism), -(-index.n_tokens // BLOCK_TOKENS))
+    block = F.pmod(F.xxhash64("docno"), F.lit(blocks)).cast("int").alias("block")
+    known = F.col("docno").isNotNull()
+    terms = cut(run).filter(known).select(block, "docno", "passage_no", "same",
+                                          F.array_distinct(index.terms(F.col("text"))).alias("terms"))
+    maps = query_idf_maps(topics, index).select("qid", F.map_keys("qmap").alias("terms"),
+                                                F.map_values("qmap").alias("idfs"), "total")
+    asked = (run.filter(known).groupBy("qid", block).agg(F.collect_list("docno").alias("docnos"))
+             .join(broadcast_if_small(maps), "qid", "left")
+             .select("block", "qid", "docnos", "terms", "idfs", F.coalesce("total", F.lit(0.0)).alias("total")))
+    kinds = ", ".join(f"{c} {run.schema[c].dataType.simpleString()}" for c in ("qid", "docno"))
+
+    def score(passages, asked_):
+        return _best_passages(passages.select(["docno", "passage_no", "same", "terms"]),
+                              asked_.select(["qid", "docnos", "terms", "idfs", "total"]))
+
+    best = (terms.groupBy("block").cogroup(asked.groupBy("block"))
+            .applyInArrow(score, f"{kinds}, score double, passage_no int, same long"))
     top = stored(top_k(best, n), "top")
     return (top.join(cut(top).select("docno", "passage_no", "same", "text"), ["docno", "passage_no", "same"])
             .dropDuplicates(["qid", "docno"]).select("qid", "docno", "score", "text", "rank"))

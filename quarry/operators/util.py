@@ -5,6 +5,8 @@ from __future__ import annotations
 import math
 import weakref
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -123,6 +125,24 @@ def round_score(c: Column | str) -> Column:
     return F.round(c.cast("double"), SCORE_DECIMALS)
 
 
+def round_scores(x: np.ndarray) -> np.ndarray:
+    """``round_score`` for an array."""
+    return np.copysign(np.floor(np.abs(x) * 10 ** SCORE_DECIMALS + 0.5) / 10 ** SCORE_DECIMALS, x) + 0.0
+
+
+def one_array(column) -> pa.Array:
+    """A column in one chunk."""
+    if not isinstance(column, pa.ChunkedArray):
+        return column
+    return pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], column.type)
+
+
+def ranges(start: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of runs ``start .. start + count``: each element's run, and the element."""
+    run = np.repeat(np.arange(len(count)), count)
+    return run, np.arange(len(run)) - (np.cumsum(count) - count)[run] + start[run]
+
+
 def rank_window(group: str | list[str] = "qid", score: str = "score",
                 tie: str = "docno"):
     group = [group] if isinstance(group, str) else list(group)

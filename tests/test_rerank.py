@@ -61,3 +61,37 @@ def test_top_passages_are_those_of_max_passage(spark):
     whole = rr.max_passage(rr.coverage_scores(rr.run_passages(run, idx, 6, 3), topics, idx), 2)
     got = rr.top_passages(run, topics, idx, 2, 6, 3)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, whole.collect())) and got.count() == 6
+
+
+def test_top_passages_look_terms_up_by_document(spark, monkeypatch):
+    """Each passage of each pair was intersected with its query; now blocks of documents look terms up."""
+    from pyspark.sql import functions as F
+
+    from quarry.operators import index as ix
+    from quarry.session import scratch_path
+    docs = spark.createDataFrame([(i, " ".join(f"w{(i * j * j) % 17}" for j in range(7 * i))) for i in range(20)]
+                                 + [(40, None)], "docno long, text string")
+    idx = ix.build_index(docs, scratch_path(spark, "topl"), doc_buckets=2, term_buckets=2, stop_words=None)
+    topics = spark.createDataFrame([("a", "w1 w5 w7"), ("b", "w2 w2 w11 w16"), ("c", "")], "qid string, query string")
+    run = topics.select("qid").crossJoin(spark.range(41).select(F.col("id").alias("docno"))).withColumn("rank", F.lit(1))
+    whole = rr.max_passage(rr.coverage_scores(rr.run_passages(run, idx, 6, 3), topics, idx), 5)
+    want = sorted(map(tuple, whole.select("qid", "docno", "score", "text", "rank").collect()))
+    assert len(want) == 15
+    monkeypatch.setattr(rr, "coverage_scores", None)
+    got = rr.top_passages(run, topics, idx, 5, 6, 3)
+    assert sorted(map(tuple, got.select("qid", "docno", "score", "text", "rank").collect())) == want
+
+
+def test_best_passages_in_parts(monkeypatch):
+    """The parts of a block's look-ups change nothing."""
+    import pyarrow as pa
+    passages = pa.table({"docno": pa.array([2, 1, 1, 2, 2], pa.int64()), "passage_no": pa.array([1, 0, 1, 0, 2], pa.int32()),
+                         "same": pa.array([21, 10, 11, 20, 22], pa.int64()),
+                         "terms": pa.array([["x", "y"], ["x"], ["x", "z"], [], ["y", "x"]], pa.list_(pa.string()))})
+    asked = pa.table({"qid": pa.array([7, 8, None], pa.int64()), "docnos": pa.array([[1, 2], [2, 9], [1]], pa.list_(pa.int64())),
+                      "terms": pa.array([["x", "y"], ["z"], None], pa.list_(pa.string())),
+                      "idfs": pa.array([[1.0, 3.0], [2.0], None], pa.list_(pa.float64())), "total": [4.0, 2.0, 0.0]})
+    want = [(7, 1, 0.25, 0, 10), (7, 2, 1.0, 1, 21), (8, 2, 0.0, 0, 20), (None, 1, 0.0, 0, 10)]
+    for lookups in (1, 3, 1 << 20):
+        monkeypatch.setattr(rr, "LOOKUPS", lookups)
+        assert [tuple(r.values()) for r in rr._best_passages(passages, asked).to_pylist()] == want
