@@ -19,7 +19,7 @@ def test_a_crowd_that_does_not_link_meets_no_pairs(spark, monkeypatch):
     rows = []
     for i in range(120):
         ws = list(base)
-        for e in range(4 if i % 4 else 1):               # a few link with others, most with nothing
+        for e in range(2 if i % 4 else 1):               # those with one edit link, the others do not
             ws[(17 * i + 23 * e) % 127 + 1] = f"own{i}x{e}"
         rows.append((i, " ".join(ws)))
     rows += [(200, " ".join(base[:50])), (201, "word1 word2 word3 word4 and others"), (202, None)]
@@ -45,4 +45,4 @@ def test_a_crowd_that_does_not_link_meets_no_pairs(spark, monkeypatch):
     x, y = out.alias("x"), out.alias("y")
     met = x.join(y, F.expr(f"x.token = y.token and x.gid < y.gid and x.comp <> y.comp and {jj._may_link('x', 'y', 85)}"))
     pairs = met.filter("x.rest is null or y.rest is null or 185 * least(x.rest, y.rest) >= 85 * (x.n + y.n)")
-    assert before and pairs.count() * 5 < met.count()
+    assert before and pairs.count() * 2 < met.count()
