@@ -265,8 +265,11 @@ def expand_texts(docs: DataFrame, thesaurus: DataFrame, docno: str = "docno",
     get ``""``.  Keywords, senses and the texts themselves come from one scan
     and one shuffle of the documents."""
     # as a struct the id is never null, so joins put no filter of their own below the shared shuffle
-    d = by_document(docs.select(F.struct(F.col(docno).alias("id")).alias("docno"), F.col(text).alias("text")))
-    kw = rake_keywords(d, max_keywords=max_keywords, dealt=True)
+    keyed = docs.select(F.struct(F.col(docno).alias("id")).alias("docno"), F.col(text).alias("text"))
+    d = by_document(keyed)
+    # Spark does not know that the Arrow call leaves rows where they lie: dealt as the texts are, these few
+    # words a document meet them without another shuffle of the texts
+    kw = rake_keywords(d, max_keywords=max_keywords, dealt=True).repartition(auto_doc_buckets(keyed, PART_BYTES), "docno")
     exp = expansion_text(thesaurus_expansion(d, kw, thesaurus, max_synonyms))
     return d.join(exp, "docno", "left") \
         .select("docno.id", "text", F.coalesce("expansion", F.lit("")).alias("expansion")) \
