@@ -53,7 +53,7 @@ from pyspark.sql import functions as F
 from quarry.functions.stopwords import ENGLISH_STOP_WORDS
 from quarry.functions.text import tokens
 from quarry.operators.util import known_size, known_values, run_end, run_starts, stored
-from quarry.session import path_exists
+from quarry.session import path_exists, setting
 
 DEFAULT_TERM_BUCKETS = 16
 PUSHED_DOCS = 256       # up to so many document ids reach a scan as literals, which prune buckets
@@ -62,9 +62,12 @@ B_LENGTH = 0.75
 # Steps of the impact ladder of the lexicon.
 LADDER = tuple(round(0.1 * 1.4 ** i, 6) for i in range(16))
 # Input bytes per document bucket when the bucket count is derived from the
-# size of the input (Catalyst's estimate of the scanned files).  A task sorts all
-# postings of a bucket, several times its text, in memory.
-TARGET_BUCKET_BYTES = 32 * 1024 * 1024
+# size of the input (Catalyst's estimate of the scanned files).  A task sorts the
+# postings of one bucket in memory: about 15 times these bytes (compressed text),
+# so that four tasks fit into an executor of a few GB without spilling.
+TARGET_BUCKET_BYTES = 16 * 1024 * 1024
+# Off, a bucketed table is read by one task a bucket even where nothing needs it.
+PACKED_BUCKETS = "spark.sql.sources.bucketing.autoBucketedScan.enabled"
 
 
 def auto_doc_buckets(docs: DataFrame, target_bytes: int = TARGET_BUCKET_BYTES) -> int:
@@ -168,7 +171,7 @@ def build_index(docs: DataFrame, path: str, fields=("text",), docno: str = "docn
     """Index ``fields`` of ``docs`` (field i gets number i).
 
     ``store=False`` keeps no copy of the text (no ``get_text``), as for the
-    keyword-only and two-field indexes.  ``doc_buckets`` defaults to ``auto_doc_buckets`` (one bucket per ~32 MB
+    keyword-only and two-field indexes.  ``doc_buckets`` defaults to ``auto_doc_buckets`` (one bucket per ~16 MB
     of input, at least the session's cores); ``term_buckets`` partitions
     postings and lexicon by term hash for partition pruning.
 
@@ -230,15 +233,17 @@ def build_index(docs: DataFrame, path: str, fields=("text",), docno: str = "docn
     n_docs = max((v[0] for v in per_field_rows.values()), default=0)
     field_tokens = [int(per_field_rows.get(i, (0, 0))[1] or 0) for i in range(len(fields))]
 
-    # 3. postings with impacts, bucket-local.
+    # 3. postings with impacts, bucket-local: a task sorts those of one bucket, as
+    #    files packed up to Spark's split size would spill that sort.
     avgdl = F.element_at(F.array(*[F.lit(t / n_docs if t else 1.0) for t in field_tokens]), F.col("field") + 1)
     postings = (forward.select("docno", "field", "dl", F.explode("terms").alias("t"))
                 .select("docno", "field", F.col("t.term").alias("term"), "dl", F.col("t.tf").alias("tf"))
                 .withColumn("ntf", length_normalised("tf", "dl", avgdl))
                 .withColumn("term_bucket", term_bucket("term", T)))
-    (postings.write.mode("overwrite").format("parquet")
-        .partitionBy("term_bucket").bucketBy(B, "docno").sortBy("term", "ntf")
-        .option("path", f"{path}/postings").saveAsTable(_table_name(path, "postings")))
+    with setting(spark, PACKED_BUCKETS, "false"):
+        (postings.write.mode("overwrite").format("parquet")
+            .partitionBy("term_bucket").bucketBy(B, "docno").sortBy("term", "ntf")
+            .option("path", f"{path}/postings").saveAsTable(_table_name(path, "postings")))
     post = spark.table(_table_name(path, "postings"))
 
     # 4. lexicon: fields of one document are added up bucket-locally, then one

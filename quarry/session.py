@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import hashlib
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -28,6 +29,20 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
     )
 
 
+@contextmanager
+def setting(spark: SparkSession, key: str, value: str):
+    """A runtime setting of the session for the queries inside only."""
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder for materialised tables (indexes, cut lineage).
 

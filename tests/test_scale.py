@@ -133,3 +133,16 @@ def test_learned_similarity_against_numpy(spark, monkeypatch, limit):
         by_term = {t: s for s, t in want[d]}
         for (rank, term), (best, _) in zip(sorted(rows), want[d]):
             assert abs(by_term[term] - best) <= 2e-5
+
+
+def test_a_task_sorts_the_postings_of_one_bucket(spark):
+    """Small buckets are not packed into one task, whose sort would hold them all."""
+    docs = spark.createDataFrame([(i, f"word{i % 7} text {i}") for i in range(400)], "docno long, text string")
+    path = scratch_path(spark, "packed")
+    idx = ix.build_index(docs, path, doc_buckets=48, term_buckets=2)
+    files = [r.f.rsplit("/", 1)[1] for r in idx.postings.select(F.input_file_name().alias("f")).distinct().collect()]
+    of_task = collections.defaultdict(set)
+    for f in files:                      # part-<task>-<job>_<bucket>.c000...
+        of_task[f.split("-")[1]].add(f.rsplit("_", 1)[1].split(".")[0])
+    assert len(of_task) > 40 and all(len(buckets) == 1 for buckets in of_task.values())
+    assert spark.conf.get(ix.PACKED_BUCKETS) == "true"
