@@ -22,10 +22,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.operators.util import SCORE_DECIMALS, broadcast_if_small, top_k
+from quarry.operators.util import BROADCAST_MAX_BYTES, SCORE_DECIMALS, broadcast_if_small, top_k
 
 DEPTH = 1000
 HASHED_DIMS = 64
+COMMON_BYTES = BROADCAST_MAX_BYTES       # of the lexicon's common terms, which go to the postings
 DOC_BLOCK, QUERY_BLOCK = 65_536, 4_096   # vectors of a group, on average
 BLOCK_ROWS, BLOCK_QUERIES = 4_096, 256   # those of one matrix product inside it
 
@@ -83,41 +84,77 @@ def _sign(term):
     return F.when(F.conv(F.substring(F.md5(term), 5, 1), 16, 10).cast("int") % 2 == 0, 1.0).otherwise(-1.0)
 
 
-def hashed_vectors(ids: DataFrame, terms: DataFrame, index, id_col: str, dims: int = HASHED_DIMS) -> DataFrame:
+def _weighted(lexicon: DataFrame, n_docs: int, dims: int) -> DataFrame:
+    """Terms with ``dim``, their place, and ``w``, their idf with its sign."""
+    idf = F.log2(F.lit(float(n_docs)) / F.col("df") + 1.0)
+    return lexicon.withColumn("dim", _dim(F.col("term"), dims)).withColumn("w", idf * _sign(F.col("term"))).drop("df")
+
+
+def _common_from(lexicon: DataFrame, max_bytes: int) -> tuple[int | None, bool]:
+    """The least power of two so that the terms of at least that document
+    frequency are small enough to broadcast (``None``: no such terms), and
+    whether those are all terms."""
+    steps = (lexicon.groupBy(F.floor(F.log2("df")).cast("int").alias("step"))
+             .agg(F.sum(F.octet_length("term") + 24).alias("size")).collect())       # one a power of two
+    size, least = 0, None
+    for r in sorted(steps, key=lambda r: -r.step):
+        size += r["size"]
+        if size > max_bytes:
+            return least, False
+        least = 2 ** r.step
+    return least, True
+
+
+def hashed_vectors(ids: DataFrame, terms: DataFrame, index, id_col: str, dims: int = HASHED_DIMS,
+                   few: bool = False) -> DataFrame:
     """H6 without model weights: ``(id, vec array<double>)`` for every row of
-    ``ids`` from ``terms(id, term_bucket, term, tf)``.
+    ``ids`` from ``terms(id, term, tf)``.
 
     Each term falls on one of ``dims`` places with a sign, both by its MD5, and
     counts ``tf * log2(N / df + 1)``; the vector is normalised and rounded.
     Texts without known terms get the zero vector.  A labelled stand-in: it is
-    made in Spark and SQL can repeat it, but it is no neural encoder."""
-    lex = broadcast_if_small(index.lexicon.select("term_bucket", "term", "df"))
-    idf = F.log2(F.lit(float(index.n_docs)) / F.col("df") + 1.0)
-    places = (terms.join(lex, ["term_bucket", "term"])
-              .groupBy(id_col, _dim(F.col("term"), dims).alias("dim"))
-              .agg(F.sum(F.col("tf").cast("double") * idf * _sign(F.col("term"))).alias("x")))
-    made = (places.groupBy(id_col)
-            .agg(F.map_from_entries(F.collect_list(F.struct("dim", "x"))).alias("at"), F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
-            .select(id_col, F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.round(F.coalesce(
-                F.try_divide(F.try_element_at("at", i), F.col("norm")), F.lit(0.0)), SCORE_DECIMALS) + F.lit(0.0)).alias("vec")))
-    return (ids.select(id_col).join(made, id_col, "left")
-            .select(id_col, F.coalesce("vec", F.array_repeat(F.lit(0.0), dims)).alias("vec")))
+    made in Spark and SQL can repeat it, but it is no neural encoder.
+
+    With ``few`` terms those go to the lexicon.  Otherwise the common terms of the
+    lexicon go to ``terms``, and only rows of rare ones (most terms, but few
+    rows) are shuffled to meet it."""
+    lex = index.lexicon.select("term", "df")
+    if few:
+        met = [_weighted(broadcast_if_small(terms).join(lex, "term"), index.n_docs, dims)]
+    else:
+        least, whole = _common_from(lex, COMMON_BYTES)
+        common = _weighted(lex if least is None else lex.filter(F.col("df") >= least), index.n_docs, dims)
+        if whole:
+            met = [terms.join(F.broadcast(common), "term")]
+        elif least is None:
+            met = [terms.join(common, "term")]
+        else:
+            rare = _weighted(lex.filter(F.col("df") < least), index.n_docs, dims)
+            met = [terms.join(F.broadcast(common), "term"),
+                   terms.join(F.broadcast(common.select("term")), "term", "left_anti").join(rare.hint("merge"), "term")]
+    out = ids.select(id_col)
+    for i, rows in enumerate(met):
+        at = (rows.groupBy(id_col, "dim").agg(F.sum(F.col("tf").cast("double") * F.col("w")).alias("x"))
+              .groupBy(id_col).agg(F.map_from_entries(F.collect_list(F.struct("dim", "x"))).alias(f"at{i}")))
+        out = out.join(at, id_col, "left")
+    place = lambda i: sum((F.coalesce(F.try_element_at(f"at{j}", i), F.lit(0.0)) for j in range(len(met))), F.lit(0.0))
+    return (out.select(id_col, F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), place).alias("x"))
+            .withColumn("norm", F.sqrt(F.aggregate("x", F.lit(0.0), lambda s, x: s + x * x)))
+            .select(id_col, F.transform("x", lambda x: F.round(F.coalesce(
+                F.try_divide(x, F.col("norm")), F.lit(0.0)), SCORE_DECIMALS) + F.lit(0.0)).alias("vec")))
 
 
 def document_vectors(index, field: int = 0, dims: int = HASHED_DIMS) -> DataFrame:
-    """``(docno, vec)`` of every indexed document; where the lexicon is small
-    the work stays in the index's buckets."""
-    post = index.postings.filter(F.col("field") == field).select("docno", "term_bucket", "term", "tf")
+    """``(docno, vec)`` of every indexed document; but for rare terms of a large
+    lexicon the work stays in the index's buckets."""
+    post = index.postings.filter(F.col("field") == field).select("docno", "term", "tf")
     return hashed_vectors(index.doc_stats.filter(F.col("field") == field), post, index, "docno", dims)
 
 
 def query_vectors(topics: DataFrame, index, dims: int = HASHED_DIMS) -> DataFrame:
     """``(qid, vec)`` of every topic by the index's own term rule."""
-    from quarry.operators.index import term_bucket
     from quarry.operators.retrieve import query_terms
-    terms = (query_terms(topics, index).withColumnRenamed("weight", "tf")
-             .withColumn("term_bucket", term_bucket("term", index.term_buckets)))
-    return hashed_vectors(topics, terms, index, "qid", dims)
+    return hashed_vectors(topics, query_terms(topics, index).withColumnRenamed("weight", "tf"), index, "qid", dims, few=True)
 
 
 def exhaustive_topk(docs: DataFrame, queries: DataFrame, k: int = DEPTH,

@@ -160,7 +160,7 @@ def experiment_5(index: ix.Index, doc_vectors: DataFrame, query_vectors: DataFra
     """Exhaustive dense retrieval, and BM25 top 1000 re-ranked densely.
     ``doc_vectors(docno, vec)``, ``query_vectors(qid, vec)``."""
     t, n = _topics_and_size(topics, sample)
-    qv = query_vectors.join(t.select("qid"), "qid", "left_semi")
+    qv = stored(query_vectors.join(t.select("qid"), "qid", "left_semi"), "query-vectors")
     qt = rt.query_terms(t, index)
     names = _names("experiment5", ["biencoder", "bm25_biencoder"], n)
     makers = [lambda: de.exhaustive_topk(doc_vectors, qv, DEPTH),

@@ -76,3 +76,26 @@ def test_every_vector_asks(spark):
     for name in ("dense_topk", "dense_label_metrics"):
         assert E.queries()[name](spark, "/root/testdata/sf0.001").select("qid").distinct().count() == n
         assert "% 20" not in E.oracle_sql()[name]
+
+
+def test_vectors_of_a_large_lexicon(spark, scratch, monkeypatch):
+    """Common terms are broadcast, rows of rare ones shuffled: the vectors stay those of one join."""
+    from quarry.operators import index as ix
+    rows = [(i, " ".join([f"common{i % 3}", f"half{i % 20}", f"half{i % 20}", f"rare{i}"])) for i in range(120)]
+    docs = spark.createDataFrame([*rows, (500, None), (501, "rare7"), (7, "common1 again")], "docno long, text string")
+    idx = ix.build_index(docs, scratch("large-lexicon"), doc_buckets=4, term_buckets=2)
+    lex = idx.lexicon.select("term", "df")
+    topics = spark.createDataFrame([(1, "common1 rare5"), (2, "unknownword"), (3, None)], "qid int, query string")
+    got = {}
+    for size in (1 << 20, 600, 1):
+        monkeypatch.setattr(de, "COMMON_BYTES", size)
+        got[size] = (sorted(map(tuple, de.document_vectors(idx).collect())),
+                     sorted(map(tuple, de.query_vectors(topics, idx).collect())))
+    assert de._common_from(lex, 1 << 20)[1] and de._common_from(lex, 1) == (None, False)
+    least, whole = de._common_from(lex, 600)
+    assert 2 < least <= 32 and not whole
+    assert got[1 << 20] == got[600] == got[1] and len(got[1][0]) == docs.count()
+    assert all(any(v) == (d != 500) for d, v in got[1][0])
+    monkeypatch.setattr(de, "COMMON_BYTES", 600)
+    plan = de.document_vectors(idx)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("broadcast") == 2
