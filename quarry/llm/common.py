@@ -144,6 +144,13 @@ def give_back() -> None:
         pass
 
 
+def forget() -> None:
+    """Let go of what ``worker_memo`` keeps and give it back, where the steps
+    that follow don't need it: idle workers wait beside the JVM's joins."""
+    sys.__dict__.get("_quarry_llm_memo", {}).clear()
+    give_back()
+
+
 def texts_of(column):
     """The texts of a column; only a few at a time are Python strings."""
     for at in range(0, len(column), 256):

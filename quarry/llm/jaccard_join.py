@@ -36,7 +36,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, cut, give_back, mix, release, row_key, shingles, texts_of, word_hashes, words
+from quarry.session import setting
+
+from .common import components, cut, forget, give_back, mix, release, row_key, shingles, texts_of, word_hashes, words
 
 SHINGLE, PERCENT = 4, 85
 FREQUENT = 16           # documents from which on a shingle comes last
@@ -47,6 +49,10 @@ NEAREST = 8             # partners of a class that a turn compares; the last rou
 BITS = 4                # places of a bit map a shingle, at least
 BROADCAST_ROWS = 1 << 20   # up to so many wanted rows are broadcast, else shuffled
 CROWD = 64              # rows of a shingle from which on its classes are counted by their whole sets first
+#: Texts, sets and bit maps meet Python in batches of so many bytes: Spark's writer, the worker's Arrow and its
+#: objects each hold a batch, in every task at once, and freed blocks of many MB stay with the process.
+BATCH_BYTES = 2 << 20
+ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def prefix_size(n: int, percent: int) -> int:
@@ -92,14 +98,26 @@ def _order(s: np.ndarray, often: np.ndarray) -> np.ndarray:
     return np.concatenate((s[~last], s[last]))
 
 
+def repeats(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The values that stand in ``a`` more than once, and how often; sorts
+    ``a``.  Beside it, three marks a value are all that memory has to hold."""
+    a.sort()
+    same = np.zeros(len(a) + 1, bool)           # is a value that of the one before?
+    np.equal(a[1:], a[:-1], out=same[1:-1])
+    first = np.flatnonzero(same[1:] & ~same[:-1])
+    last = np.flatnonzero(same[:-1] & ~same[1:])
+    return a[first], last - first + 1
+
+
 def _frequent(docs: DataFrame, k: int) -> np.ndarray:
     """Shingles that many documents have, at most FREQUENT_MAX.  Every text is
     counted; a task passes on what it has met at least twice in CHUNK
     shingles, so the counts are lower bounds and little is shuffled."""
     def repeated(held):
-        u, c = np.unique(np.concatenate(held), return_counts=True)
-        return pa.record_batch({"shingle": pa.array(u[c > 1].view(np.int32), pa.int32()),
-                                "n": pa.array(c[c > 1], pa.int64())})
+        a = np.concatenate(held)
+        held.clear()
+        u, c = repeats(a)
+        return pa.record_batch({"shingle": pa.array(u.view(np.int32), pa.int32()), "n": pa.array(c, pa.int64())})
 
     def rows(batches):
         held, size = [], 0
@@ -109,7 +127,7 @@ def _frequent(docs: DataFrame, k: int) -> np.ndarray:
                 size += len(held[-1])
                 if size >= CHUNK:
                     yield repeated(held)
-                    held, size = [], 0
+                    size = 0
         if held:
             yield repeated(held)
         del held
@@ -145,7 +163,7 @@ def _coded(docs: DataFrame, k: int, percent: int, frequent) -> DataFrame:
                 "doc_id": b.column(0), "rid": b.column(1), "n": pa.array(ns, pa.int64()), "cid": pa.array(cids, pa.int64()),
                 "gid": pa.array(gids, pa.int64()), "prefix": pa.array(prefixes, pa.list_(pa.int64())),
                 "bits": pa.array(bits, pa.binary())})
-        give_back()
+        forget()
 
     return docs.select("doc_id", "rid", "text").mapInArrow(
         rows, "doc_id long, rid long, n long, cid long, gid long, prefix array<long>, bits binary")
@@ -196,6 +214,7 @@ def _possible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
             keep = [may_overlap(np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8), nx, ny, percent)
                     for x, y, nx, ny in zip(*[b.column(i).to_pylist() for i in range(2, 6)])]
             yield pa.record_batch({"a": b.column(0), "b": b.column(1)}).filter(pa.array(keep, pa.bool_()))
+        give_back()
 
     return both.select("a", "b", "xa", "xb", "na", "nb").mapInArrow(check, "a long, b long")
 
@@ -212,6 +231,7 @@ def _sets(wanted: DataFrame, docs: DataFrame, k: int) -> DataFrame:
         for b in batches:
             got = [shingles(word_hashes(words(t, lower=True)), k).tobytes() for t in texts_of(b.column(1))]
             yield pa.record_batch({"cid": b.column(0), "set": pa.array(got, pa.binary())})
+        forget()
 
     return texts.mapInArrow(sets, "cid long, set binary")
 
@@ -239,6 +259,7 @@ def _crowded(rows: DataFrame, shared: DataFrame, member: DataFrame, classes: Dat
                 many = np.array([len(x) for x in sets])
                 yield pa.record_batch({"cid": part.column(0).take(pa.array(np.repeat(np.arange(len(sets)), many))),
                                        "token": pa.array(np.concatenate(sets))})
+        give_back()
 
     spread = cut(has.mapInArrow(listed, "cid long, token long").join(some, "cid").select("token", "gid", "comp", "cid"))
     common = cut(spread.groupBy("token").agg(F.min("gid").alias("lo"), F.max("gid").alias("hi"))
@@ -274,6 +295,7 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, per
                 inter = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(100 * inter >= percent * (len(x) + len(y) - inter))
             yield pa.record_batch({"a": b.column(0), "b": b.column(1)}).filter(pa.array(keep, pa.bool_()))
+        give_back()
 
     out = cut(both.select("a", "b", "sa", "sb").mapInArrow(verify, "a long, b long").distinct())
     release(has)
@@ -287,6 +309,12 @@ def jaccard_components(docs: DataFrame, text: str = "text", key: str = "doc_id",
     ``component_id`` is the smallest key that links reach; ``kept`` marks the
     rows of one document in each component (that with the smallest key, null
     last); ``rid`` is ``row_key(key, text)``."""
+    # every step in Python ends in a table that is written here
+    with setting(docs.sparkSession, ARROW_BYTES, str(BATCH_BYTES)):
+        return _components(docs, text, key, shingle, percent)
+
+
+def _components(docs: DataFrame, text: str, key: str, shingle: int, percent: int) -> DataFrame:
     spark = docs.sparkSession
     docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     docs = docs.withColumn("rid", row_key("doc_id", "text"))
