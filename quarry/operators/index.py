@@ -101,7 +101,7 @@ def term_bucket(term_col, n_buckets: int):
 
 def length_normalised(tf, dl, avgdl, b: float = B_LENGTH):
     """``tf / (1 - b + b * dl / avgdl)``."""
-    return F.col(tf).cast("double") / (1.0 - b + b * F.col(dl).cast("double") / avgdl)
+    return (F.col(tf) if isinstance(tf, str) else tf).cast("double") / (1.0 - b + b * F.col(dl).cast("double") / avgdl)
 
 
 @dataclass(frozen=True)

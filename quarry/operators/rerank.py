@@ -36,7 +36,8 @@ from quarry.operators.util import (SCORE_DECIMALS, broadcast_if_small, one_array
 
 LENGTH, STRIDE = 256, 128
 BATCH_SIZE = 16
-BLOCK_TOKENS = 1 << 20      # index tokens of the documents that a group of ``top_passages`` scores, on average
+BLOCK_TOKENS = 1 << 23      # index tokens of the documents that a group of ``top_passages`` scores, on average
+PASSAGES = 1 << 14          # whose terms are looked up at a time
 LOOKUPS = 1 << 20           # terms of (query, document) pairs that are looked up at a time
 
 
@@ -151,8 +152,8 @@ def _best_passages(passages: pa.Table, asked: pa.Table) -> pa.Table:
     ``max_passage(coverage_scores(...))`` finds it, before ranking.
 
     ``passages(docno, passage_no, same, terms)``, ``asked(qid, docnos, terms,
-    idfs, total)``.  Terms are looked up by document, so a passage costs
-    something only where it holds a query term."""
+    idfs, total)``; terms are lists, or joined by spaces.  They are looked up by
+    document, so a passage costs something only where it holds a query term."""
     schema = pa.schema([("qid", asked.schema.field("qid").type), ("docno", passages.schema.field("docno").type),
                         ("score", pa.float64()), ("passage_no", pa.int32()), ("same", pa.int64())])
     if not passages.num_rows or not asked.num_rows:
@@ -164,16 +165,21 @@ def _best_passages(passages: pa.Table, asked: pa.Table) -> pa.Table:
     many = np.bincount(doc, minlength=len(ids))         # passages of each document, from ``base`` on
     base = np.cumsum(many) - many
 
-    lists = one_array(asked["terms"])
+    split = lambda column: column if pa.types.is_list(column.type) else pc.split_pattern(column, " ")                          # noqa: E731
+    lists = split(one_array(asked["terms"]))                        # null: a query without known terms
     words = pc.unique(lists.flatten())
-    place = lambda column: pc.index_in(column, value_set=words).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+    place = lambda column: pc.index_in(column, value_set=words).fill_null(-1).to_numpy(zero_copy_only=False)                   # noqa: E731
     lengths = lambda column: pc.list_value_length(column).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)         # noqa: E731
 
     # (document, term) -> the passages that hold it
-    held = one_array(passages["terms"])
-    term, row = place(held.flatten()), np.repeat(np.arange(len(doc)), lengths(held))
-    row, term = row[term >= 0], term[term >= 0]
-    key = doc[row] * len(words) + term
+    keys, rows = [], []
+    for at in range(0, len(doc), PASSAGES):
+        held = split(one_array(passages["terms"].slice(at, PASSAGES)))
+        term, row = place(held.flatten()), np.repeat(np.arange(at, at + len(held), dtype=np.int32), lengths(held))
+        row, term = row[term >= 0], term[term >= 0]
+        keys.append(doc[row] * len(words) + term)
+        rows.append(row)
+    key, row = np.concatenate(keys), np.concatenate(rows)
     order = np.argsort(key, kind="stable")
     row = row[order]
     key, begin, count = np.unique(key[order], return_index=True, return_counts=True)
@@ -220,7 +226,9 @@ def top_passages(run: DataFrame, topics: DataFrame, index: Index, n: int, length
 
     All passages of the run are scored by their terms, a block of documents and
     all that was asked of it at a time; only those returned meet their text, so the
-    text of a document does not travel once for each query that found it."""
+    text of a document does not travel once for each query that found it.  A
+    query's terms travel once for each block that holds a document of its run, so
+    blocks are large and terms are one string."""
     from quarry.operators.index import get_text
     run = stored(run, "run")
 
@@ -232,8 +240,8 @@ def top_passages(run: DataFrame, topics: DataFrame, index: Index, n: int, length
     block = F.pmod(F.xxhash64("docno"), F.lit(blocks)).cast("int").alias("block")
     known = F.col("docno").isNotNull()
     terms = cut(run).filter(known).select(block, "docno", "passage_no", "same",
-                                          F.array_distinct(index.terms(F.col("text"))).alias("terms"))
-    maps = query_idf_maps(topics, index).select("qid", F.map_keys("qmap").alias("terms"),
+                                          F.array_join(F.array_distinct(index.terms(F.col("text"))), " ").alias("terms"))
+    maps = query_idf_maps(topics, index).select("qid", F.array_join(F.map_keys("qmap"), " ").alias("terms"),
                                                 F.map_values("qmap").alias("idfs"), "total")
     asked = (run.filter(known).groupBy("qid", block).agg(F.collect_list("docno").alias("docnos"))
              .join(broadcast_if_small(maps), "qid", "left")

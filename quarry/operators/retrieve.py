@@ -30,7 +30,8 @@ other document's score changes.  For a handful of terms these least impacts go
 to the scan as literals, where Parquet's statistics skip whole blocks of a
 term's postings (files are sorted by term and impact).  Larger query tables with
 a depth ``k`` are answered by blocks (``_by_blocks``): all their postings are
-read, but pairs of a query and a matching document are added up in arrays.
+read, but pairs of a query and a matching document are added up in arrays, and
+of a block only the share of the best ``k`` that falls to it is returned.
 
 Scores are rounded to 6 decimals before ranking; ties go to the smaller
 ``docno``.
@@ -38,6 +39,7 @@ Scores are rounded to 6 decimals before ranking; ties go to the smaller
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 import numpy as np
@@ -49,13 +51,14 @@ from pyspark.sql import Window as W
 
 from quarry.operators.index import B_LENGTH, LADDER, PUSHED_DOCS, Index, length_normalised, term_bucket
 from quarry.operators.util import (BROADCAST_MAX_BYTES, SCORE_DECIMALS, broadcast_if_small, known_size,
-                                   known_values, round_score, stored, top_k)
+                                   known_values, one_array, read_back, round_score, round_scores, stored, top_k)
 
 K1, B = 1.2, 0.75
 DEFAULT_DEPTH = 1000
 MODELS = ("BM25", "TF_IDF")
 PUSHED_TERMS = 64       # up to so many query terms reach the scan as literals
-BLOCK_DOCS, BLOCK_TERMS = 16_384, 1_000_000     # documents, query terms of a block, on average
+BLOCK_DOCS, BLOCK_TERMS = 32_768, 4_000_000     # documents, query terms of a block, on average
+FEW_ROWS = 2_000_000    # up to so many rows of partial results more, blocks return their whole best k
 SLACK = 1e-5            # scores are rounded, so bounds give way by more than that
 
 
@@ -147,8 +150,9 @@ def _matched(index: Index, floored: DataFrame, qterms: DataFrame, buckets: list[
 
 
 def _best_of_block(k: int, top: float, k1: float, whole_terms: bool):
-    """Function of one block's postings ``(docno, term, t)`` and query terms
-    ``(qid, term, w)``: its best ``k`` documents a query."""
+    """Function of one block's postings ``(docno, terms, ts)`` and queries ``(qid,
+    terms, ws)``: its best ``k`` documents a query; ``cut`` marks the last of them
+    where there were more.  Terms are joined by spaces."""
     def runs(codes, n):
         """Order that sorts codes, and where each code's run begins and ends."""
         order = np.argsort(codes, kind="stable")
@@ -156,41 +160,45 @@ def _best_of_block(k: int, top: float, k1: float, whole_terms: bool):
         return order, np.concatenate([[0], ends[:-1]]).astype(np.int64), ends
 
     def coded(column):
-        c = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-        c = c.dictionary_encode(null_encoding="encode")
-        c = pa.concat_arrays(c.chunks) if isinstance(c, pa.ChunkedArray) else c
-        return c.dictionary, c.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        c = one_array(one_array(column).dictionary_encode(null_encoding="encode"))
+        return c.dictionary, c.indices.to_numpy(zero_copy_only=False)
+
+    def split(table, values):
+        """A column of joined terms: one array, the values to them, and how many each row has."""
+        lists = one_array(table[values])
+        return (pc.split_pattern(one_array(table["terms"]), " ").flatten(), lists.flatten().to_numpy(zero_copy_only=False),
+                pc.list_value_length(lists).to_numpy(zero_copy_only=False))
 
     def best(post, asked):
         qid_type, docno_type = asked.schema.field("qid").type, post.schema.field("docno").type
-        schema = pa.schema([("qid", qid_type), ("docno", docno_type), ("score", pa.float64())])
+        schema = pa.schema([("qid", qid_type), ("docno", docno_type), ("score", pa.float64()), ("cut", pa.bool_())])
         if not post.num_rows or not asked.num_rows:
             return schema.empty_table()
         ids, doc = coded(post["docno"])
         order = pc.array_sort_indices(ids, null_placement="at_start")      # documents by id, so ties go to the smaller
-        place = np.empty(len(ids), np.int64)
+        place = np.empty(len(ids), np.int32)
         place[order.to_numpy()] = np.arange(len(ids))
         ids, doc = ids.take(order), place[doc]
-        words, term = coded(post["term"])
-        t = post["t"].to_numpy()
+        words, t, many = split(post, "ts")
+        words, term = coded(words)
+        doc, some = np.repeat(doc, many), t > 0
+        if not some.all():
+            doc, term, t = doc[some], term[some], t[some]
         if whole_terms:                     # a term's fields count as one
-            key, inverse = np.unique(term * len(ids) + doc, return_inverse=True)
+            key, inverse = np.unique(term.astype(np.int64) * len(ids) + doc, return_inverse=True)
             t, term, doc = np.bincount(inverse, weights=t), key // len(ids), key % len(ids)
         by_term, begin, end = runs(term, len(words))
-        doc, x = doc[by_term], top * t[by_term] / (t[by_term] + k1)
-        qids, q = coded(asked["qid"])
-        at = pc.index_in(asked["term"], value_set=words)
-        at = (at.combine_chunks() if isinstance(at, pa.ChunkedArray) else at).fill_null(-1).to_numpy(zero_copy_only=False)
-        w = asked["w"].to_numpy()
-        known = at >= 0
-        q, at, w = q[known], at[known], w[known]
-        by_query, first, last = runs(q, len(qids))
-        at, w = at[by_query], w[by_query]
-        out_q, out_d, out_s = [], [], []
-        for n in range(len(qids)):
+        doc, x = doc[by_term], t[by_term]
+        x = top * x / (x + k1)
+        at, w, many = split(asked, "ws")
+        last = np.cumsum(many, dtype=np.int64)
+        at = pc.index_in(at, value_set=words).fill_null(-1).to_numpy(zero_copy_only=False)
+        known = np.flatnonzero(at >= 0)
+        at, w, last = at[known], w[known], np.searchsorted(known, last)
+        first = np.concatenate([[0], last[:-1]])
+        out_q, out_d, out_s, out_c = [], [], [], []
+        for n in np.flatnonzero(last > first):
             mine = range(first[n], last[n])
-            if not mine:
-                continue
             hit = np.concatenate([doc[begin[at[i]]:end[at[i]]] for i in mine])
             part = np.concatenate([w[i] * x[begin[at[i]]:end[at[i]]] for i in mine])
             total = np.bincount(hit, weights=part, minlength=len(ids))
@@ -198,50 +206,100 @@ def _best_of_block(k: int, top: float, k1: float, whole_terms: bool):
             seen[hit] = True
             found = np.flatnonzero(seen)
             s = total[found]
-            s = np.copysign(np.floor(np.abs(s) * 10 ** SCORE_DECIMALS + 0.5) / 10 ** SCORE_DECIMALS, s) + 0.0
-            if len(s) > k:
-                keep = s >= np.partition(s, len(s) - k)[len(s) - k]
+            more = len(s) > k
+            if more:                        # (rounding keeps the order, so it can wait for those near the k-th)
+                keep = s >= np.partition(s, len(s) - k)[len(s) - k] - SLACK
                 found, s = found[keep], s[keep]
+            s = round_scores(s)
+            if more:
                 keep = np.argsort(-s, kind="stable")[:k]
                 found, s = found[keep], s[keep]
             out_q.append(np.full(len(s), n))
             out_d.append(found)
             out_s.append(s)
+            out_c.append(np.arange(len(s)) == (k - 1 if more else -1))
         if not out_q:
             return schema.empty_table()
-        return pa.table([qids.take(pa.array(np.concatenate(out_q))), ids.take(pa.array(np.concatenate(out_d))),
-                         pa.array(np.concatenate(out_s))], schema=schema)
+        return pa.table([one_array(asked["qid"]).take(pa.array(np.concatenate(out_q))),
+                         ids.take(pa.array(np.concatenate(out_d))), pa.array(np.concatenate(out_s)),
+                         pa.array(np.concatenate(out_c))], schema=schema)
     return best
 
 
-def _by_blocks(index: Index, weighted: DataFrame, qterms: DataFrame, buckets: list[int] | None, t, k: int,
-               top: float, k1: float, whole_terms: bool) -> DataFrame:
-    """Retrieval for many query terms: documents and queries are dealt into
-    blocks of bounded size, and each pair of blocks is one group that adds up
-    its scores in arrays and keeps its best ``k`` a query.  A posting crosses
-    the network once for each block of queries, and pairs of a query and a
-    matching document never become rows."""
-    weighted = stored(weighted.select("qid", "term_bucket", "term", "w"), "weighted")
-    rows, size = known_size(weighted)
-    cores = int(weighted.sparkSession.sparkContext.defaultParallelism)
+def block_share(k: int, blocks: int) -> int:
+    """Rows of a query's best ``k`` that each of ``blocks`` returns at first: its
+    even share and six standard deviations."""
+    even = k / blocks
+    return min(k, math.ceil(even + 6 * math.sqrt(even) + 3))
+
+
+def _by_blocks(index: Index, weighted: DataFrame, buckets: list[int] | None, weights: dict[int, float], b: float,
+               k: int, top: float, k1: float) -> DataFrame:
+    """Retrieval over fields of these ``weights`` for many query terms: documents
+    and queries are dealt into blocks of bounded size, and each pair of blocks is
+    one group that adds up its scores in arrays and keeps its best a query.
+    A posting crosses the network once for each block of queries, and pairs of a
+    query and a matching document never become rows.
+
+    Documents are dealt by hash, so of a query's best ``k`` a block holds about
+    its even share.  Where whole lists of ``k`` would be many rows, a block returns
+    ``block_share`` rows a query only.  Where the last of these is itself among the
+    best and the block had more, the query is asked again for all ``k`` of each
+    block: nothing is lost however the documents fell.  So many queries ask for
+    most terms, and the forward table's documents travel instead of postings: a
+    document's id once, its terms in one string."""
+    asked = stored(weighted.groupBy("qid").agg(F.collect_list(F.struct("term", "w")).alias("t"))
+                   .select("qid", F.array_join("t.term", " ").alias("terms"), F.col("t.w").alias("ws")), "weighted")
+    queries, rows = (int(x or 0) for x in asked.agg(F.count(F.lit(1)), F.sum(F.size("ws"))).first())
+    cores = int(asked.sparkSession.sparkContext.defaultParallelism)
     q_blocks = max(1, -(-rows // BLOCK_TERMS))
     d_blocks = max(1, -(-index.n_docs // BLOCK_DOCS), -(-cores // q_blocks))
+    share = block_share(k, d_blocks)
+    whole = queries * d_blocks * (k - share) <= FEW_ROWS
     block = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")                     # noqa: E731
     each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))                       # noqa: E731
-    asked = broadcast_if_small(weighted.select("term_bucket", "term").distinct(), size=size)
-    post = (_in_buckets(index.postings, buckets).withColumn("t", t).filter(F.col("t") > 0)
-            .join(asked, ["term_bucket", "term"], "left_semi")
-            .select("docno", "term", "t", block("docno", d_blocks).alias("db"), each(q_blocks).alias("qb")))
-    queries = (weighted.select("qid", "term", "w", block("qid", q_blocks).alias("qb"), each(d_blocks).alias("db")))
-    types = [f"{c} {f.schema[c].dataType.simpleString()}" for c, f in (("qid", weighted), ("docno", index.postings))]
-    best = _best_of_block(k, top, k1, whole_terms)
-
-    def score(post_, queries_):
-        return best(post_.select(["docno", "term", "t"]), queries_.select(["qid", "term", "w"]))
-
-    partial = (post.groupBy("db", "qb").cogroup(queries.groupBy("db", "qb"))
-               .applyInArrow(score, f"{', '.join(types)}, score double"))
-    return top_k(partial, k, parts=d_blocks).select("qid", "docno", "score", "rank")
+    per_field = lambda xs: F.element_at(F.array(*[F.lit(x) for x in xs]), F.col("field") + 1)      # noqa: E731
+    fields = range(len(index.fields))
+    weight, avgdl = per_field([weights.get(i, 0.0) for i in fields]), per_field([index.avgdl(i) for i in fields])
+    types = [f"{c} {f.schema[c].dataType.simpleString()}" for c, f in (("qid", asked), ("docno", index.postings))]
+
+    def postings(asked: DataFrame) -> DataFrame:
+        words = (asked.select(F.explode(F.split("terms", " ")).alias("term")).distinct()
+                 .select(term_bucket("term", index.term_buckets).alias("term_bucket"), "term"))
+        ntf = F.col("ntf") if b == B_LENGTH else length_normalised("tf", "dl", avgdl, b)
+        return (_in_buckets(index.postings, buckets).filter(F.col("field").isin(sorted(weights)))
+                .join(broadcast_if_small(words), ["term_bucket", "term"], "left_semi")
+                .select("docno", F.col("term").alias("terms"), F.array(weight * ntf).alias("ts")))
+
+    def documents() -> DataFrame:
+        t = lambda x: weight * length_normalised(x["tf"], "dl", avgdl, b)                # noqa: E731
+        return (index.forward.filter(F.col("field").isin(sorted(weights)) & (F.size("terms") > 0))
+                .select("docno", F.array_join("terms.term", " ").alias("terms"), F.transform("terms", t).alias("ts")))
+
+    def ranked(asked: DataFrame, n: int) -> DataFrame:
+        """The best ``k`` of the best ``n`` of each block."""
+        post = (postings(asked) if whole or n == k else documents()) \
+            .select("docno", "terms", "ts", block("docno", d_blocks).alias("db"), each(q_blocks).alias("qb"))
+        queries = asked.select("qid", "terms", "ws", block("qid", q_blocks).alias("qb"), each(d_blocks).alias("db"))
+        best = _best_of_block(n, top, k1, whole_terms=len(weights) > 1)
+
+        def score(post_, queries_):
+            return best(post_.select(["docno", "terms", "ts"]), queries_.select(["qid", "terms", "ws"]))
+
+        partial = (post.groupBy("db", "qb").cogroup(queries.groupBy("db", "qb"))
+                   .applyInArrow(score, f"{', '.join(types)}, score double, cut boolean"))
+        return top_k(partial, k, parts=d_blocks).select("qid", "docno", "score", "rank", "cut")
+
+    if whole:
+        return ranked(asked, k).drop("cut")
+    found = stored(ranked(asked, share), "ranked")
+    again = stored(found.filter(F.col("cut") & (F.col("rank") < k)).select(F.col("qid").alias("again")).distinct(), "again")
+    if not known_size(again)[0]:
+        return read_back(found.drop("cut"))
+    once_more = F.col("qid").eqNullSafe(F.col("again"))
+    again = broadcast_if_small(again)
+    return (found.join(again, once_more, "left_anti")
+            .unionByName(ranked(asked.join(again, once_more, "left_semi"), k)).drop("cut"))
 
 
 def retrieve(index: Index, qterms: DataFrame, model: str = "BM25",
@@ -257,9 +315,7 @@ def retrieve(index: Index, qterms: DataFrame, model: str = "BM25",
     top = k1 + 1.0 if model == "BM25" else k1
     stored = b == B_LENGTH
     if k is not None and known_size(qterms)[0] > PUSHED_TERMS:
-        ntf = F.col("ntf") if stored else length_normalised("tf", "dl", F.lit(index.avgdl(field)), b)
-        return _by_blocks(index, _weighted_terms(index, qterms, model, buckets), qterms, buckets,
-                          F.when(F.col("field") == field, ntf), k, top, k1, whole_terms=False)
+        return _by_blocks(index, _weighted_terms(index, qterms, model, buckets), buckets, {field: 1.0}, b, k, top, k1)
     floored = _floored(_weighted_terms(index, qterms, model, buckets), k if stored else None, top, k1, {field: 1.0})
     ntf = F.col("ntf") if stored else length_normalised("tf", "dl", F.lit(index.avgdl(field)), b)
     scores = (_matched(index, floored, qterms, buckets, field).filter(F.col("ntf") >= F.col("least"))
@@ -291,8 +347,7 @@ def bm25f(index: Index, qterms: DataFrame, weights, k: int | None = DEFAULT_DEPT
     avg = F.element_at(F.array(*[F.lit(index.avgdl(i)) for i in range(len(weights))]), at)
     ntf = F.col("ntf") if stored else length_normalised("tf", "dl", avg, b)
     if k is not None and known_size(qterms)[0] > PUSHED_TERMS:
-        return _by_blocks(index, _weighted_terms(index, qterms, "BM25F", buckets), qterms, buckets,
-                          F.when(F.col("field").isin(sorted(used)), wf * ntf), k, 1.0, k1, whole_terms=len(used) > 1)
+        return _by_blocks(index, _weighted_terms(index, qterms, "BM25F", buckets), buckets, used, b, k, 1.0, k1)
     floored = _floored(_weighted_terms(index, qterms, "BM25F", buckets), k if stored else None, 1.0, k1, used)
     post = _in_buckets(index.postings, buckets).filter(F.col("field").isin(sorted(used)))
     matched = post.join(_broadcast_terms(floored, qterms), ["term_bucket", "term"])

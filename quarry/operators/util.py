@@ -106,6 +106,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def read_back(df: DataFrame) -> DataFrame:
+    """``df``, columns of a ``stored`` table, which need not be written again."""
+    _memo(df)["stored"] = True
+    return df
+
+
 def run_starts(array: str, field: str | None = None) -> Column:
     """Indexes at which a run of equal values begins in a sorted array column
     (of the values' ``field``).  Elements are read in place, so this is linear."""
