@@ -42,7 +42,7 @@ from quarry.operators.util import BROADCAST_MAX_BYTES, SCORE_DECIMALS, broadcast
 MAX_KEYWORDS = 3
 MAX_SYNONYMS = 2
 METHODS = ("rake", "bert")
-SAMPLE_DOCS = 20_000    # documents that term vectors are learned from, at most
+PART_DOCS = 20_000      # documents of a part that term vectors are learned from, on average
 PART_BYTES = 8 << 20    # of input in a part of ``by_document``
 SPLITS = 16             # of a term in the join with its vector, where that is no broadcast
 
@@ -162,21 +162,27 @@ def keywords_extractor(docs: DataFrame, max_keywords: int = MAX_KEYWORDS, method
 
 
 def learned_vectors(docs: DataFrame, docno: str = "docno", text: str = "text", dims: int = 32,
-                    sample: int = SAMPLE_DOCS, min_count: int = 5, seed: int = 7) -> tuple[DataFrame, DataFrame]:
+                    min_count: int = 5, seed: int = 7) -> tuple[DataFrame, DataFrame]:
     """Vectors for G6, learned here: ``(term, vec)`` and ``(docno, vec)``.
 
-    Word2Vec is fitted on a bounded sample, the ``sample`` documents with the
-    smallest hashes of their ids, in one order; terms seen less than
-    ``min_count`` times there have no vector.  Every document gets the mean of
-    its terms' vectors.  The same documents give the same vectors."""
+    Word2Vec is fitted on all documents; terms seen less than ``min_count`` times
+    have no vector.  Every document gets the mean of its terms' vectors.  Up to
+    ``PART_DOCS`` documents are trained on in the order of their ids' hashes, so
+    the same documents give the same vectors.  More are dealt into parts, each
+    trained on by a task of its own, and Spark averages the parts; there a
+    cluster may bring a part's documents in another order the next time, which
+    moves the vectors a little.  Vocabulary and vectors pass through the driver
+    (``dims`` floats a term), documents do not."""
     from pyspark.ml.feature import Word2Vec
     from pyspark.ml.functions import vector_to_array
 
     from quarry.functions.text import tokens
     words = docs.select(F.col(docno).alias("docno"), tokens(F.col(text)).alias("words"))
-    some = words.orderBy(F.xxhash64("docno"), "docno").limit(sample).select("words")
-    model = Word2Vec(vectorSize=dims, minCount=min_count, numPartitions=1, maxIter=1, seed=seed,
-                     inputCol="words", outputCol="vec").fit(some)
+    n = docs.count()
+    parts = max(1, -(-n // PART_DOCS))
+    learn = words if parts > 1 else words.orderBy(F.xxhash64("docno"), "docno").limit(max(n, 1))
+    model = Word2Vec(vectorSize=dims, minCount=min_count, numPartitions=parts, maxIter=1, seed=seed,
+                     inputCol="words", outputCol="vec").fit(learn.select("words"))
     terms = model.getVectors().select(F.col("word").alias("term"), vector_to_array("vector").alias("vec"))
     return terms, model.transform(words).select("docno", vector_to_array("vec").alias("vec"))
 

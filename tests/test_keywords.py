@@ -88,3 +88,15 @@ def test_rounding_is_that_of_spark(spark):
     values = [2.0000005, 0.0078125, 1 / 3, 4.5, 1e12 / 7, 2.6666665, 7.0000004999999, 123456.1234565]
     rows = spark.createDataFrame([(v,) for v in values], "x double").select("x", F.round("x", 6).alias("r")).collect()
     assert [kw._rounded(r.x) for r in rows] == [r.r for r in rows]
+
+
+def test_vectors_are_learned_from_all_documents(spark):
+    """A word that only documents of the largest hashes hold has a vector, beyond 20,000 documents, too."""
+    docs = spark.range(21_500).select(F.col("id").alias("docno"), F.xxhash64("id").alias("h"))
+    last = docs.agg(F.percentile_approx("h", 0.98)).first()[0]
+    docs = docs.select("docno", F.when(F.col("h") > last, "gamma alpha").otherwise("alpha beta").alias("text")).repartition(4)
+    terms, vectors = kw.learned_vectors(docs, dims=4)
+    assert {r.term for r in terms.collect()} == {"alpha", "beta", "gamma"}
+    assert vectors.count() == 21_500
+    got = kw.keywords_extractor(docs, method="bert")
+    assert got.filter("keyword = 'gamma'").count() == docs.filter("text like 'gamma%'").count() > 100
