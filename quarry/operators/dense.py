@@ -3,9 +3,11 @@
 Exhaustive retrieval (C6/H7) scores every query against every document.
 Emitting those pairs as rows would not scale, so documents and queries are
 dealt into blocks of bounded size by hash of their id.  Each pair of blocks is
-one group: a blocked matrix product that keeps its own top-k per query; the
-final top-k per query merges those (first inside each partition).  Neither side
-passes through the driver or is broadcast.
+one task, which holds its queries and their best so far while its documents
+stream past: a blocked matrix product, of which only scores above a query's k-th
+are looked at.  Where queries are many, a task meets all documents and its
+ranks are final; else the top-k per query merges those of the tasks.  Neither
+side passes through the driver or is broadcast.
 
 Scores are dot products in double precision, rounded to 6 decimals before
 ranking; ties go to the smaller ``docno``.
@@ -18,17 +20,19 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from quarry.operators.util import BROADCAST_MAX_BYTES, SCORE_DECIMALS, broadcast_if_small, top_k
+from quarry.operators.util import BROADCAST_MAX_BYTES, SCORE_DECIMALS, broadcast_if_small, one_array, top_k
 
 DEPTH = 1000
 HASHED_DIMS = 64
 COMMON_BYTES = BROADCAST_MAX_BYTES       # of the lexicon's common terms, which go to the postings
-DOC_BLOCK, QUERY_BLOCK = 65_536, 4_096   # vectors of a group, on average
-BLOCK_ROWS, BLOCK_QUERIES = 4_096, 256   # those of one matrix product inside it
+DOC_BLOCK, QUERY_BLOCK = 1 << 20, 16_384    # vectors of a task, on average
+BLOCK_ROWS, BLOCK_QUERIES = 2_048, 512   # those of one matrix product inside it
 
 
 def dot(a, b):
@@ -157,52 +161,165 @@ def query_vectors(topics: DataFrame, index, dims: int = HASHED_DIMS) -> DataFram
     return hashed_vectors(topics, query_terms(topics, index).withColumnRenamed("weight", "tf"), index, "qid", dims, few=True)
 
 
+class _Best:
+    """The best ``k`` documents so far of some queries, by place: documents come
+    in the order of their ids, so of equal scores the earlier place wins.  What is
+    no number comes after all numbers."""
+
+    def __init__(self, queries: np.ndarray, k: int):
+        self.queries, self.k = queries, k
+        self.s, self.p = np.zeros((len(queries), 0)), np.zeros((len(queries), 0), np.int32)
+        self.least = None               # the k-th score, once there are k
+        self.waiting, self.waiting_rows = [], 0
+
+    def _keep(self, s: np.ndarray, p: np.ndarray) -> None:
+        """The best ``k`` of each row, left in their order."""
+        if s.shape[1] >= self.k:
+            key = np.where(np.isnan(s), -np.inf, s)
+            least = np.partition(key, s.shape[1] - self.k, axis=1)[:, s.shape[1] - self.k]
+            more, as_good = key > least[:, None], key == least[:, None]
+            room = self.k - more.sum(axis=1)
+            keep = more | (as_good & (np.cumsum(as_good, axis=1) <= room[:, None]))
+            s, p, self.least = s[keep].reshape(len(s), self.k), p[keep].reshape(len(s), self.k), least
+        self.s, self.p = s, p
+
+    def meet(self, docs: np.ndarray, place: int) -> None:
+        """Documents ``place ..`` are scored."""
+        scores = self.queries @ docs.T
+        if self.least is None:
+            places = np.broadcast_to(np.arange(place, place + len(docs), dtype=np.int32), scores.shape)
+            self._keep(np.concatenate([self.s, np.round(scores, SCORE_DECIMALS)], axis=1),
+                       np.concatenate([self.p, places], axis=1))
+            return
+        row, at = np.nonzero(~(scores < (self.least - 2 * 10.0 ** -SCORE_DECIMALS)[:, None]))
+        s = np.round(scores[row, at], SCORE_DECIMALS)
+        better = s > self.least[row]
+        if not np.isfinite(self.least).all():
+            better |= ~np.isfinite(self.least[row]) & np.isfinite(s)
+        if better.any():
+            self.waiting.append((row[better].astype(np.int32), (at[better] + place).astype(np.int32), s[better]))
+            self.waiting_rows += len(self.waiting[-1][0])
+            if self.waiting_rows > self.s.size // 2:
+                self.settle()
+
+    def settle(self) -> None:
+        """What waits is put beside the best, as many columns as a row needs."""
+        if not self.waiting:
+            return
+        row, p, s = (np.concatenate(x) for x in zip(*self.waiting))
+        self.waiting, self.waiting_rows = [], 0
+        order = np.argsort(row, kind="stable")
+        row, p, s = row[order], p[order], s[order]
+        many = np.bincount(row, minlength=len(self.s))
+        column = np.arange(len(row)) - (np.cumsum(many) - many)[row]
+        more_s, more_p = np.full((len(self.s), many.max()), np.nan), np.zeros((len(self.s), many.max()), np.int32)
+        more_s[row, column], more_p[row, column] = s, p
+        self._keep(np.concatenate([self.s, more_s], axis=1), np.concatenate([self.p, more_p], axis=1))
+
+    def ranked(self) -> tuple[np.ndarray, np.ndarray]:
+        """Scores and places by falling score, as Spark sorts (what is no number first)."""
+        self.settle()
+        order = np.argsort(-np.where(np.isnan(self.s), np.inf, self.s), axis=1, kind="stable")
+        return np.take_along_axis(self.s, order, axis=1), np.take_along_axis(self.p, order, axis=1)
+
+
+def _matrix(column) -> np.ndarray:
+    lists = one_array(column)
+    flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    dims = np.unique(lists.value_lengths().to_numpy(zero_copy_only=False))
+    if len(dims) > 1:
+        raise ValueError(f"vectors of {len(dims)} lengths, from {dims[0]} to {dims[-1]}")
+    return flat.reshape(len(lists), int(dims[0]) if len(dims) else 0)
+
+
+def _searched(k: int, schema: pa.Schema):
+    """Function of a task's rows ``(g, kind, qid, docno, vec)``, of each group its
+    queries (kind 0) before its documents: ranked rows."""
+    def results(asked, best, ids):
+        if not best or not ids:
+            return
+        qids, ids = one_array(pa.chunked_array(asked)), one_array(pa.chunked_array(ids))
+        coded = one_array(qids.dictionary_encode(null_encoding="encode"))
+        code, many = coded.indices.to_numpy(), np.bincount(coded.indices.to_numpy())
+        repeated: dict[int, list] = {}
+        rows = lambda q, p, s, rank: pa.RecordBatch.from_arrays(                               # noqa: E731
+            [one_array(qids.take(pa.array(q))), one_array(ids.take(pa.array(p))), pa.array(s), pa.array(rank, pa.int32())], schema=schema)
+        at = 0
+        for b in best:
+            s, p = b.ranked()
+            own = np.arange(at, at + len(s))
+            once = many[code[own]] == 1
+            for i in np.flatnonzero(~once):
+                repeated.setdefault(code[own[i]], []).append((own[i], s[i], p[i]))
+            if once.any():
+                yield rows(np.repeat(own[once], s.shape[1]), p[once].ravel(), s[once].ravel(),
+                           np.tile(np.arange(1, s.shape[1] + 1), once.sum()))
+            at += len(s)
+        for lists in repeated.values():         # queries of one id count as one
+            s, p = np.concatenate([x[1] for x in lists]), np.concatenate([x[2] for x in lists])
+            order = np.lexsort((p, -np.where(np.isnan(s), np.inf, s)))[:k]
+            yield rows(np.full(len(order), lists[0][0]), p[order], s[order], np.arange(1, len(order) + 1))
+
+    def run(batches):
+        group, asked, vecs, best, ids, place = None, [], [], [], [], 0
+        for batch in batches:
+            g, kind = (batch.column(c).to_numpy() for c in (0, 1))
+            cuts = np.flatnonzero((np.diff(g) != 0) | (np.diff(kind) != 0)) + 1
+            for lo, hi in zip([0, *cuts], [*cuts, len(g)]):
+                if lo == hi:
+                    continue
+                part = batch.slice(lo, hi - lo)
+                if g[lo] != group:
+                    yield from results(asked, best, ids)
+                    group, asked, vecs, best, ids, place = g[lo], [], [], [], [], 0
+                m = _matrix(part.column(4))
+                if not kind[lo]:
+                    asked.append(part.column(2))
+                    vecs.append(m)
+                    continue
+                if vecs:
+                    q, vecs = np.concatenate(vecs), []
+                    best = [_Best(q[i:i + BLOCK_QUERIES], k) for i in range(0, len(q), BLOCK_QUERIES)]
+                ids.append(part.column(3))
+                for i in range(0, len(m), BLOCK_ROWS):
+                    for b in best:
+                        b.meet(m[i:i + BLOCK_ROWS], place + i)
+                place += len(m)
+        yield from results(asked, best, ids)
+    return run
+
+
 def exhaustive_topk(docs: DataFrame, queries: DataFrame, k: int = DEPTH,
                     doc_id: str = "docno", doc_vec: str = "vec",
                     qid: str = "qid", q_vec: str = "vec") -> DataFrame:
     """C6 + H7: top ``k`` documents per query by dot product
-    ``(qid, docno, score, rank)``."""
+    ``(qid, docno, score, rank)``.
+
+    A document travels once for each block of queries, a query once for each
+    block of documents, and of these there is one where queries are many."""
     d = docs.select(F.col(doc_id).alias("docno"), F.col(doc_vec).alias("vec")).filter("vec is not null")
     q = queries.select(F.col(qid).alias("qid"), F.col(q_vec).alias("vec")).filter("vec is not null")
     n_d, n_q = d.count(), q.count()
     cores = int(docs.sparkSession.sparkContext.defaultParallelism)
-    q_blocks = max(1, -(-n_q // QUERY_BLOCK))
+    q_blocks = max(1, -(-n_q // QUERY_BLOCK), min(cores, n_q // BLOCK_QUERIES))
+    q_blocks = q_blocks if q_blocks <= cores else -(-q_blocks // cores) * cores          # tasks are equal, so whole rounds
     d_blocks = max(1, -(-n_d // DOC_BLOCK), -(-cores // q_blocks))
     block = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")                     # noqa: E731
     each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))                       # noqa: E731
-    d = d.withColumn("db", block("docno", d_blocks)).withColumn("qb", each(q_blocks))
-    q = q.withColumn("qb", block("qid", q_blocks)).withColumn("db", each(d_blocks))
-    id_type = docs.schema[doc_id].dataType.simpleString()
-    q_type = queries.schema[qid].dataType.simpleString()
-
-    def matrix(vecs):
-        return np.array([np.asarray(v, dtype=np.float64) for v in vecs])
-
-    def score(docs_, queries_):
-        if docs_.empty or queries_.empty:
-            return pd.DataFrame({"qid": queries_["qid"][:0], "docno": docs_["docno"][:0],
-                                 "score": np.zeros(0)})
-        out, all_ids = [], docs_["docno"].to_numpy()
-        for at in range(0, len(queries_), BLOCK_QUERIES):
-            part = queries_.iloc[at:at + BLOCK_QUERIES]
-            qm, best_s, best_d = matrix(part["vec"]), None, None
-            for i in range(0, len(docs_), BLOCK_ROWS):
-                s = np.round(qm @ matrix(docs_["vec"].iloc[i:i + BLOCK_ROWS]).T, SCORE_DECIMALS)
-                ids = np.broadcast_to(all_ids[i:i + BLOCK_ROWS], s.shape)
-                if best_s is not None:
-                    s, ids = np.concatenate([best_s, s], axis=1), np.concatenate([best_d, ids], axis=1)
-                if s.shape[1] > k:
-                    # exact top-k with ties by docno: sort by (-score, docno)
-                    order = np.lexsort((ids, -s), axis=1)[:, :k]
-                    s, ids = np.take_along_axis(s, order, axis=1), np.take_along_axis(ids, order, axis=1)
-                best_s, best_d = s, ids
-            out.append(pd.DataFrame({"qid": np.repeat(part["qid"].to_numpy(), best_s.shape[1]),
-                                     "docno": best_d.reshape(-1), "score": best_s.reshape(-1)}))
-        return pd.concat(out)
-
-    partial = (d.groupBy("db", "qb").cogroup(q.groupBy("db", "qb"))
-               .applyInPandas(score, f"qid {q_type}, docno {id_type}, score double"))
-    return top_k(partial, k, parts=d_blocks).select("qid", "docno", "score", "rank")
+    id_type, q_type, vec = d.schema["docno"].dataType, q.schema["qid"].dataType, d.schema["vec"].dataType
+    vec = vec if vec == q.schema["vec"].dataType else T.ArrayType(T.DoubleType())
+    g = (F.col("qb") * d_blocks + F.col("db")).alias("g")
+    d = (d.select("docno", "vec", block("docno", d_blocks).alias("db"), each(q_blocks).alias("qb"))
+         .select(g, F.lit(1).alias("kind"), F.lit(None).cast(q_type).alias("qid"), "docno", F.col("vec").cast(vec).alias("vec")))
+    q = (q.select("qid", "vec", block("qid", q_blocks).alias("qb"), each(d_blocks).alias("db"))
+         .select(g, F.lit(0).alias("kind"), "qid", F.lit(None).cast(id_type).alias("docno"), F.col("vec").cast(vec).alias("vec")))
+    out = T.StructType([T.StructField("qid", q_type), T.StructField("docno", id_type),
+                        T.StructField("score", T.DoubleType()), T.StructField("rank", T.IntegerType())])
+    found = (d.unionByName(q).repartitionById(q_blocks * d_blocks, "g").sortWithinPartitions("g", "kind", "docno")
+             .mapInArrow(_searched(k, to_arrow_schema(out)), out))
+    if d_blocks == 1:
+        return found
+    return top_k(found.drop("rank"), k, parts=d_blocks).select("qid", "docno", "score", "rank")
 
 
 def rerank(run: DataFrame, doc_vectors: DataFrame, query_vectors: DataFrame,
