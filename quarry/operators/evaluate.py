@@ -94,7 +94,8 @@ def label_hits(run: DataFrame, doc_labels: DataFrame, query_labels: DataFrame) -
     pairs themselves (all pairs within a label) are never built.
     """
     ql = broadcast_if_small(query_labels.select("qid", F.col("label").alias("qlabel")))
-    return (run.join(ql, "qid").join(doc_labels.select("docno", "label"), "docno")
+    dl = broadcast_if_small(doc_labels.select("docno", "label"))
+    return (run.join(ql, "qid").join(dl, "docno")
             .filter(F.col("label") == F.col("qlabel"))
             .select(*[c for c in run.columns if c not in ("score",)], F.lit(1).alias("relevance")))
 

@@ -78,3 +78,15 @@ def test_precision_bounded_property(spark):
         if len(rel_ranks) == 1:
             assert m["ap"] == round(1 / rel_ranks[0], 6)
     check()
+
+
+def test_labels_meet_the_run_by_broadcast(spark):
+    """A run of a thousand rows a query is not shuffled to meet its documents' labels."""
+    from quarry.session import setting
+    run = spark.createDataFrame([(1, 5, 1), (1, 6, 2), (2, 5, 1)], "qid int, docno int, rank int")
+    dl = spark.createDataFrame([(5, "a"), (6, "b")], "docno int, label string")
+    ql = spark.createDataFrame([(1, "b"), (2, "a")], "qid int, label string")
+    with setting(spark, "spark.sql.autoBroadcastJoinThreshold", "-1"):
+        hits = ev.label_hits(run, dl, ql)
+        assert sorted((r.qid, r.docno, r.rank) for r in hits.collect()) == [(1, 6, 2), (2, 5, 1)]
+        assert "SortMergeJoin" not in hits._jdf.queryExecution().executedPlan().toString()
