@@ -218,7 +218,7 @@ def build_index(docs: DataFrame, path: str, fields=("text",), docno: str = "docn
         for i, f in enumerate(fields)]))
     (src.select("docno", per_field)
         .groupBy("docno", "field", F.size("toks").alias("dl"))
-        .agg(F.array_sort(F.flatten(F.collect_list("toks"))).alias("toks"))
+        .agg(F.sort_array(F.flatten(F.collect_list("toks"))).alias("toks"))
         .select("docno", "field", "dl", "toks", run_starts("toks").alias("at"))
         .select("docno", "field", "dl", F.transform("at", lambda s, j: F.struct(
             F.get("toks", s).alias("term"), (run_end("toks", "at", j) - s).cast("long").alias("tf"))).alias("terms"))

@@ -367,7 +367,8 @@ _FIELDED = [O.corpus_cte(), O.rake_ctes("corpus"), O.thesaurus_ctes("corpus", "r
 
 def _bm25f(weights):
     def run(spark, sf_dir):
-        return rt.bm25f(indexes.two_fields_index(spark, sf_dir), _qterms(spark, sf_dir), weights, k=DEPTH)
+        idx = indexes.two_fields_index(spark, sf_dir)
+        return rt.bm25f(idx, _qterms(spark, sf_dir, idx), weights, k=DEPTH)
     return run
 
 

@@ -212,3 +212,16 @@ def test_documents_that_repeat_are_one_in_the_index(spark):
     assert got == {(1, 3): [("a", 1), ("b", 3), ("c", 2)], (2, 0): [], (None, 1): [("a", 1)]}
     assert sorted(map(tuple, ix.lexicon(idx).collect())) == [("a", 2, 2), ("b", 1, 3), ("c", 1, 2)]
     assert ix.TARGET_BUCKET_BYTES <= 64 << 20
+
+
+def test_bm25f_queries_build_the_index_they_ask(spark, scratch, monkeypatch):
+    """Terms of the queries come by the two-field index's own rule; no other index of the documents is built for it."""
+    from quarry.plans import indexes, queries
+    from quarry.plans.registry import REGISTRY
+    sf = scratch("two-fields-only")
+    spark.createDataFrame([(1, "apple banana. the apple"), (2, "cherry date; fig"), (3, None)], "doc_id long, text string") \
+        .write.parquet(f"{sf}/documents.parquet")
+    spark.createDataFrame([(5, "the apple fig")], "item_id long, text string").write.parquet(f"{sf}/benchmark.parquet")
+    monkeypatch.setattr(indexes, "basic_index", lambda *a: pytest.fail("another index"))
+    assert sorted((r.qid, r.docno) for r in REGISTRY["bm25f_mixed"][0](spark, sf).collect()) == [(5, 1), (5, 2)]
+    assert queries.indexes is indexes
